@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, token_files
+from . import ann, embedding_dedup, langid, mixing, packing, pii, sharding, simhash, token_files, warc
+from .shared import fresh_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to dictionary-compressed WARC archives and read back."""
+    path = fresh_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path, with_payload=False).drop("payload", "url")
+
+
+def op2_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth vector, by anisotropic four-bit codes and exact reranking."""
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of all documents by a Feistel permutation; law `rows`: counts one apart at most."""
     shards = sharding.document_shards(_table(spark, sf_dir, "documents"), 24)
@@ -39,12 +52,37 @@ def op7_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written to Re-Pair shard files and read back."""
-    from .shared import fresh_path
-
     path = fresh_path(spark, "token-files")
     token_files.write_token_files(_table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
     return token_files.read_token_files(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op3_feistel_shards, op6_hilbert_packing, op7_systematic_mix, op8_repair_token_files)}
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, score and rejection of all documents."""
+    return langid.predictions(_table(spark, sf_dir, "documents"))
+
+
+def op5_int8_tile_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of all embeddings at cosine 0.9."""
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate class of all documents."""
+    classes = simhash.near_duplicate_classes(_table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents: rule spans, and those that boosted trees add."""
+    return pii.found(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc_dictionary, op2_anisotropic_search, op3_feistel_shards, op4_language_id, op5_int8_tile_dedup,
+        op6_hilbert_packing, op7_systematic_mix, op8_repair_token_files, op9_gray_simhash, op10_boosted_pii,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
