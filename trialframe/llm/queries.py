@@ -85,4 +85,18 @@ QUERIES = {
         op6_hilbert_packing, op7_systematic_mix, op8_repair_token_files, op9_gray_simhash, op10_boosted_pii,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_systematic_mix": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
+        c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM s),
+        f AS (SELECT *, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS full_, sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_
+            FROM c WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
+        l AS (SELECT max((total - full_) / open_) FILTER ((total - full_) / open_ <= cap / w) AS level FROM f),
+        t AS (SELECT source, source_size, least(cap, coalesce(level * w, cap)) AS target FROM f, l),
+        r AS (SELECT d.doc_id, d.size, t.source_size, t.target, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS LAST) - 1 AS k,
+            CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+            CAST(concat('0x', substr(md5(concat('42:', CASE WHEN d.source IS NULL THEN 'null' ELSE concat('s', d.source) END)), 1, 7)) AS BIGINT) / 268435456.0::DOUBLE AS u
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target, CAST((floor(rate * (k + 1) + u) - floor(rate * k + u)) * size AS BIGINT) AS taken FROM r""",
+}
