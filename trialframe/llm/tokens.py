@@ -1,81 +1,103 @@
 """Whole-text encoding with a tokenizer file, through a cache of words.
 
-Encoding a word gives the same ids wherever the word stands, so each task encodes every distinct
-space-separated chunk once and joins the ids of its chunks. The tokenizers library makes all ids.
+Encoding a word gives the same ids wherever the word stands, so each worker encodes a distinct word
+once and joins the ids of the words of a text. The tokenizers library makes all ids.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from itertools import filterfalse
 
-import numpy as np
-
-#: Chunks that a worker keeps; further ones are encoded again in each batch.
-CACHE_CHUNKS = 400_000
+#: Words that a worker keeps, and words with punctuation or capitals, put together from two known ones.
+CACHE_WORDS, CACHE_JOINED = 500_000, 200_000
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-
-
-class _Cache(dict):
-    """Ids of chunks as little-endian uint32 bytes; `extra` holds those beyond the limit for one batch."""
-
-    def __init__(self):
-        super().__init__()
-        self.extra: dict = {}
-
-    def __missing__(self, chunk):
-        return self.extra[chunk]
+#: Letters up to U+024F, on which libraries agree, before a run of ASCII punctuation: always two pre-tokens.
+_WORD_AND_MARKS = re.compile(r"(\n?[^\W\d_\u0250-\U0010ffff]+)([!-/:-@\[-`{-~]+)")
+#: Separators that str.split takes for white space, but the tokenizers do not.
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
 
 class WordEncoder:
     """Encodes texts like Tokenizer.encode(text, add_special_tokens=False).
 
-    spaces_lead: the tokenizer joins a space to the word after it (byte-level BPE). A space between
-    two non-space characters is always a border of its pre-tokens, so chunks end there. Otherwise
-    white space only separates words and is dropped.
+    spaces_lead: the tokenizer joins a space to the word after it (byte-level BPE). A space, or one
+    line feed, between two non-space characters is then always a border of its pre-tokens, so chunks
+    end there: a chunk stands for a space and a word, or for a line feed and the first word of a line.
+    Otherwise the tokenizer folds case, and white space only separates words and is dropped. A word
+    followed by punctuation is put together from the two.
     """
 
     def __init__(self, path: str, spaces_lead: bool):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.lead = Tokenizer.from_file(path), " " if spaces_lead else ""
-        self.cache, self.first = _Cache(), _Cache()
-        self.marks = {c: self._encode([c])[0] for c in ",."}
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _chunks(self, text: str) -> list[str]:
-        chunks = text.split(" ")
-        if self.lead and any(not c or c[0].isspace() or c[-1].isspace() for c in chunks):
-            return _INNER_SPACE.split(text)
-        return chunks
-
-    def _learn(self, cache: _Cache, missing: set, lead: str) -> None:
-        # a run of letters followed by one comma or full stop is two pre-tokens
-        stems = {w: w[:-1] for w in missing if w[-1:] in self.marks and w[:-1].isalpha() and max(w) < "ɐ"}
-        plain = list((missing - stems.keys()) | set(filterfalse(cache.__contains__, stems.values())))
-        room = cache if len(cache) < CACHE_CHUNKS else cache.extra
-        room.update(zip(plain, self._encode([lead + w for w in plain]), strict=True))
-        for w, stem in stems.items():
-            room[w] = cache[stem] + self.marks[w[-1]]
+        self.tokenizer, self.lead = Tokenizer.from_file(path), spaces_lead
+        self.known: dict = {}  # ids of chunks as little-endian uint32 bytes
+        self.joined, self.marks = 0, {"": b""}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, missing: set) -> dict:
+        """Ids of the missing chunks; the caches keep them while there is room."""
+        whole, parts = set(), []
+        for w in missing:
+            if m := _WORD_AND_MARKS.fullmatch(w):
+                parts.append((w, m[1] if self.lead or max(m[1]) > "\xff" else m[1].lower(), m[2]))
+            elif not self.lead and max(w) <= "\xff" and (low := w.lower()) != w and w.isalpha():
+                parts.append((w, low, ""))
+            else:
+                whole.add(w)
+        known, new = self.known, {}
+        words = list(whole.union(filterfalse(known.__contains__, (p[1] for p in parts))))
+        ids = self._encode([w if w[0] == "\n" else " " + w for w in words] if self.lead else words)
+        new.update(zip(words, ids, strict=True))
+        if marks := {p[2] for p in parts} - self.marks.keys():
+            self.marks.update(zip(marks, self._encode(list(marks)), strict=True))
+        if len(known) - self.joined < CACHE_WORDS:
+            known.update(new)
+        pairs = {w: (known.get(stem) or new[stem]) + self.marks[mark] for w, stem, mark in parts}
+        if self.joined < CACHE_JOINED:
+            self.joined += len(pairs)
+            known.update(pairs)
+        new.update(pairs)
+        return new
+
+    @staticmethod
+    def _odd(c: str) -> bool:
+        """Whether a chunk shows white space that may belong together with its neighbours."""
+        return not c or c[-1].isspace() or (c[0].isspace() and (c[0] != "\n" or c[1].isspace()))
+
+    def _start(self, text: str):
+        """Ids before the chunks, and the chunks."""
+        if not self.lead:
+            return b"", text.split(" ") if any(c in text for c in _NOT_SPACE) else text.split()
+        return b"", ("\n" + text.replace("\n", " \n")).split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self._chunks(t) for t in texts]
-        self.cache.extra.clear()
-        self.first.clear()
-        missing: set = set()
-        for chunks in split:
-            missing.update(filterfalse(self.cache.__contains__, chunks[1:] if self.lead else chunks))
-        if missing:
-            self._learn(self.cache, missing, self.lead)
-        look = self.cache.__getitem__
-        if not self.lead:
-            return [b"".join(map(look, chunks)) for chunks in split]
-        if heads := {chunks[0] for chunks in split}:
-            self._learn(self.first, heads, "")
-        return [self.first[chunks[0]] + b"".join(map(look, chunks[1:])) for chunks in split]
+        get, missing, rows = self.known.get, set(), []
+        for text in texts:
+            head, chunks = self._start(text)
+            ids = list(map(get, chunks))
+            gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            if self.lead and any(self._odd(chunks[i]) for i in gaps):
+                first, *chunks = _INNER_SPACE.split(text)
+                head, ids = self._encode([first])[0], list(map(get, chunks))
+                gaps = [i for i, x in enumerate(ids) if x is None]
+            elif self.lead:
+                head = None
+            words = [chunks[i] for i in gaps]
+            missing.update(words)
+            rows.append((head, ids, gaps, words))
+        new, out = self._learn(missing), []
+        for head, ids, gaps, words in rows:
+            for i, w in zip(gaps, words, strict=True):
+                ids[i] = new[w]
+            # the line feed that _start put before the first word is one id
+            out.append(b"".join(ids)[4:] if head is None else head + b"".join(ids))
+        return out
 
 
 _ENCODERS: dict = {}
