@@ -15,7 +15,7 @@ from . import shared
 from .tokens import encoder, small_batches
 
 #: Ids in a shard before it is closed, and UTF-8 bytes of text for one file of shards.
-SHARD_IDS, FILE_TEXT_BYTES = 1_000_000, 24_000_000
+SHARD_IDS, FILE_TEXT_BYTES = 400_000, 12_000_000
 #: Rounds of replacement, pairs replaced in a round, and the least count of a replaced pair.
 ROUNDS, PAIRS, LEAST = 3, 512, 32
 _MAGIC = b"RPG1"
