@@ -105,10 +105,13 @@ def inner_scores(samples: DataFrame, outer: DataFrame, inner_splits: int, grid:
 
 
 def _auc(score: np.ndarray, y: np.ndarray) -> float:
-    pos, neg = score[y > 0], score[y <= 0]
-    if not len(pos) or not len(neg):
+    n1 = int((y > 0).sum())
+    n0 = len(y) - n1
+    if not n1 or not n0:
         return float("nan")
-    return float(((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg)))
+    _, at, n = np.unique(score, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[at]
+    return float((rank[y > 0].sum() - n1 * (n1 + 1) / 2) / (n1 * n0))
 
 
 def nested(samples: DataFrame, outer: DataFrame, inner_splits: int = 4, grid: tuple = C_GRID, metric: str = "acc", rule: str = "one_se", tie_break: str = "smaller"):
@@ -192,8 +195,9 @@ def sliding_permutations(samples: DataFrame, fold_of: DataFrame, labels: DataFra
         if not len(left) or not len(right):
             return pd.DataFrame({"perm": [], "window": [], "fold": [], "frame_acc": [], "trial_acc": []})
         x, _, trial, _, pdf = _sorted_samples(left)
-        fold, k = pdf["fold"].to_numpy(), x @ x.T + 1
-        wide, table = x.shape[1] > len(x), pd.DataFrame([tuple(r.values()) for r in right["labels"].iloc[0]], columns=["perm", "trial", "y"])
+        fold, wide = pdf["fold"].to_numpy(), x.shape[1] > len(x)
+        k = x @ x.T + 1 if wide else None
+        table = pd.DataFrame([tuple(r.values()) for r in right["p_labels"].iloc[0]], columns=["perm", "trial", "y"])
         out = []
         for perm, rows in table.groupby("perm"):
             y = rows.set_index("trial")["y"].reindex(trial).to_numpy()
@@ -212,7 +216,8 @@ def sliding_permutations(samples: DataFrame, fold_of: DataFrame, labels: DataFra
     placed = _with_tasks(samples.join(fold_of, "trial"), packs.select("pack"))
     windows = samples.select("window").distinct()
     listed = windows.crossJoin(F.broadcast(packs))  # a row of labels for each window and pack
-    return placed.groupBy("window", "pack").cogroup(listed.groupBy("window", "pack")).applyInPandas(run, "perm int, window int, fold int, frame_acc double, trial_acc double")
+    listed = listed.select(*[F.col(c).alias(f"p_{c}") for c in ("window", "pack", "labels")])  # both sides read the same table
+    return placed.groupBy("window", "pack").cogroup(listed.groupBy("p_window", "p_pack")).applyInPandas(run, "perm int, window int, fold int, frame_acc double, trial_acc double")
 
 
 def fixed_permutations(samples: DataFrame, outer: DataFrame, labels: DataFrame, inner_splits: int = 4, grid: tuple = C_GRID) -> DataFrame:
