@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import re
 from itertools import filterfalse
 
 import numpy as np
@@ -11,14 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tokens import small_batches
+
 
 #: Training sample: labelled documents of each language (a bound on what the driver holds), and the
 #: longest of them in characters. Prediction always reads whole texts.
-PER_LANGUAGE, TRAIN_CHARS = 1200, 20_000
-#: Hash buckets, dimensions of the embedding, character n-grams of a word, longest piece of a word.
-BUCKETS, DIMS, NGRAMS, PIECE = 1 << 15, 16, (2, 3, 4), 40
+PER_LANGUAGE, TRAIN_CHARS = 800, 20_000
+#: Hash buckets, dimensions of the embedding, lengths of the n-grams of a word.
+BUCKETS, DIMS, NGRAMS = 1 << 15, 16, (2, 3, 4)
+_NO_LETTER = re.compile(r"[^\w\n]|[\d_]")
 #: Passes over the sample, documents in a step, first step size, part kept for calibration.
-EPOCHS, STEP, RATE, CALIBRATE = 12, 32, 8.0, 0.2
+EPOCHS, STEP, RATE, CALIBRATE = 8, 32, 8.0, 0.2
 #: The part of rightly classified calibration documents that the rejection threshold may cost, and its upper bound.
 COST, MOST = 0.001, 0.5
 #: Words that a worker remembers.
@@ -26,16 +29,24 @@ CACHE = 300_000
 UNKNOWN = "und"
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the word's letters and their n-grams; none if it has no letter."""
-    letters = "".join(filter(str.isalpha, word.lower()))
-    out: list[int] = []
-    for i in range(0, len(letters), PIECE):
-        w = f"<{letters[i : i + PIECE]}>".encode()
-        marked = f"<{letters[i : i + PIECE]}>"
-        out.append(zlib.crc32(w) % BUCKETS)
-        out += [zlib.crc32(marked[j : j + n].encode()) % BUCKETS for n in NGRAMS for j in range(len(marked) - n + 1)]
-    return out
+def subwords(words: list[str]):
+    """(word, buckets) for each n-gram length: the n-grams of the UTF-8 letters of each word between < and >.
+
+    Letters are lower-cased, all else is left out; a word without letters has no subwords.
+    """
+    letters = _NO_LETTER.sub("", "\n".join(words).lower()).split("\n")
+    letters = [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in letters]
+    data = np.frombuffer(("<" + "><".join(letters) + ">").encode(), np.uint8).astype(np.uint32)
+    start, end = np.flatnonzero(data == ord("<")), np.flatnonzero(data == ord(">")) + 1
+    word = np.repeat(np.arange(len(words)), end - start)
+    left = end[word] - np.arange(len(data))  # bytes up to the word's end
+    left[end[word] - start[word] == 2] = 0
+    hashed = data.copy()
+    for n in range(2, max(NGRAMS) + 1):
+        hashed = hashed[:-1] * np.uint32(16777619) + data[n - 1 :]
+        if n in NGRAMS:
+            at = np.flatnonzero(left[: len(hashed)] >= n)
+            yield word[at], ((hashed[at] ^ np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
 
 
 class Model:
@@ -50,29 +61,37 @@ class Model:
         return {**self.__dict__, "seen": {}, "rows": self.rows[:0]}
 
     def _learn(self, words: list[str]) -> None:
-        parts = [subwords(w) for w in words]
-        new = np.zeros((len(words), self.rows.shape[1]), np.float32)
-        for row, p in zip(new, parts, strict=True):
-            if p:
-                row[:-1], row[-1] = self.table[p].sum(0), len(p)
-        self.seen.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
-        self.rows = np.concatenate([self.rows, new])
+        """Rows of new words; the table grows by doubling."""
+        start, k = len(self.seen), self.rows.shape[1] - 1
+        while len(self.rows) < start + len(words):
+            self.rows = np.concatenate([self.rows, np.zeros((max(1024, len(self.rows)), k + 1), np.float32)])
+        new = self.rows[start : start + len(words)]
+        new[:] = 0
+        for word, bucket in subwords(words) if words else ():
+            new[:, k] += np.bincount(word, minlength=len(words))
+            for c in range(k):
+                new[:, c] += np.bincount(word, self.table[bucket, c], len(words))
+        self.seen.update(zip(words, range(start, start + len(words)), strict=True))
+
+    def _sums(self, texts: list[str]) -> np.ndarray:
+        """Summed rows of the words of each text, all of whose new words are learned at once."""
+        split = [t.split() for t in texts]
+        missing = set().union(*(filterfalse(self.seen.__contains__, words) for words in split))
+        if len(self.seen) + len(missing) > CACHE:
+            self.seen, missing = {}, set().union(*split)
+        self._learn(list(missing))
+        out = np.zeros((len(texts), self.rows.shape[1]))
+        for row, words in zip(out, split, strict=True):
+            if words:
+                row += self.rows[np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
+        return out
 
     def logits(self, texts: list[str | None]):
         """Logits of whole texts, and the number of subwords in each (0: no letter)."""
-        out, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
-        for i, text in enumerate(texts):
-            words = (text or "").split()
-            for at in range(0, len(words), 1 << 20):
-                part = words[at : at + (1 << 20)]
-                if missing := set(filterfalse(self.seen.__contains__, part)):
-                    if len(self.seen) + len(missing) > CACHE:
-                        self.seen, self.rows, missing = {}, self.rows[:0], set(part)
-                    self._learn(list(missing))
-                rows = self.rows[np.fromiter(map(self.seen.__getitem__, part), np.int64, len(part))].sum(0, dtype=np.float64)
-                out[i] += rows[:-1]
-                n[i] += rows[-1]
-        return out / np.maximum(n, 1)[:, None] + self.bias, n
+        texts = [t or "" for t in texts]
+        out = np.concatenate([self._sums(texts[i:j]) for i, j in small_batches(texts)] or [np.zeros((0, self.rows.shape[1]))])
+        n = out[:, -1]
+        return out[:, :-1] / np.maximum(n, 1)[:, None] + self.bias, n
 
     def predict(self, texts: list[str | None]):
         """Language, calibrated probability and whether it is rejected, for each text."""
@@ -99,11 +118,7 @@ def train(texts: list[str], labels: list[str], seed: int = 1) -> Model:
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     rng = np.random.default_rng(seed)
-    docs = []
-    known: dict = {}
-    for t in texts:
-        found = [known.setdefault(w, subwords(w)) if w not in known else known[w] for w in t.split()]
-        docs.append(np.unique(np.array([b for f in found for b in f], np.int64), return_counts=True))
+    docs = [np.unique(np.concatenate([b for _, b in subwords(t.split() or [""])]), return_counts=True) for t in texts]
     y = np.searchsorted(languages, labels)
     order = rng.permutation(len(docs))
     held, kept = order[: int(CALIBRATE * len(docs))], order[int(CALIBRATE * len(docs)) :]
