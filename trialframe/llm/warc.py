@@ -15,7 +15,7 @@ from . import shared
 
 #: Payload bytes of one archive, and of the text handed to Spark's writer at once.
 ARCHIVE_BYTES, ROW_BYTES = 24_000_000, 1_000_000
-#: The dictionary: bytes, records it is trained on (those with the smallest hashes), and the longest of them.
+#: The dictionary: bytes, records it is trained on (about so many, by a hash), and the longest of them.
 DICTIONARY_BYTES, SAMPLE_RECORDS, SAMPLE_RECORD_BYTES = 65_536, 400, 65_536
 #: Fixed values of the formats: magic numbers of the dictionary frame and of a frame to skip, headers.
 DICTIONARY_MAGIC, SKIP_MAGIC = 0x184D2A5D, 0x184D2A50
@@ -119,14 +119,15 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     payload = _payload()
     narrow = pages.select("page_id", F.octet_length(payload).alias("bytes"), F.sha2(payload, 256).alias("sha"))
     narrow = shared.materialize(narrow, "warc-digests")
-    total = narrow.agg(F.sum("bytes")).first()[0] or 0
+    n, total = narrow.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     archives = max(1, -(-total // ARCHIVE_BYTES))
     copies = narrow.where(F.col("bytes") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     revisits = narrow.where(F.col("bytes") >= least_bytes).join(copies, "sha").where(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")))
     revisits = revisits.select(_key("page_id", "sha").alias("key"), F.col("first").alias("refers_to")).distinct().repartition(archives, "key")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    sample = rows.where(F.octet_length("payload") <= SAMPLE_RECORD_BYTES).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_RECORDS)
-    dictionary = train_dictionary([format_record(r.page_id, r.url, bytes(r.payload), None) for r in sample.collect()])
+    draw = F.pmod(F.xxhash64("page_id", "payload"), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, SAMPLE_RECORDS / max(1, n))))
+    sample = rows.where(draw & (F.octet_length("payload") <= SAMPLE_RECORD_BYTES)).collect()
+    dictionary = train_dictionary(sorted(format_record(r.page_id, r.url, bytes(r.payload), None) for r in sample))
 
     def frames(batches):
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
