@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import shared
 from .tokens import small_batches
 
 
@@ -25,7 +26,7 @@ EPOCHS, STEP, RATE, CALIBRATE = 8, 32, 8.0, 0.2
 #: The part of rightly classified calibration documents that the rejection threshold may cost, and its upper bound.
 COST, MOST = 0.001, 0.5
 #: Words that a worker remembers.
-CACHE = 300_000
+CACHE = 100_000
 UNKNOWN = "und"
 
 
@@ -183,7 +184,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     columns = documents.columns
 
     def rows(batches):
-        for batch in batches:
+        for batch in shared.in_slices(batches):
             lang, score, rejected = model.predict(batch["text"].to_pylist())
             more = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*columns, "_lang_pred", "_score", "_rejected"])

@@ -65,7 +65,7 @@ def encoded(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def rows(batches):
         enc = encoder(tokenizer, spaces_lead=False)
         small = enc.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
-        for batch in batches:
+        for batch in shared.in_slices(batches):
             names, texts = batch["doc_id"], batch["text"].to_pylist()
             for i, j in small_batches(texts):
                 ids = [np.frombuffer(x + tail, "<u4") for x in enc.encode(texts[i:j])]

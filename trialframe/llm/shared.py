@@ -67,6 +67,13 @@ def with_row_numbers(df: DataFrame, order: list[Column], name: str, out: str = "
     return rows.join(F.broadcast(base), "_pid").withColumn(out, F.col("_base") + F.col("_idx")).drop("_base")
 
 
+def in_slices(batches, rows: int = 1000):
+    """Arrow batches cut to fewer rows, so that Python objects of a few rows exist at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 FILE_END = b"\n"
 
 

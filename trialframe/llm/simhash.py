@@ -44,7 +44,7 @@ def with_fingerprints(documents: DataFrame, words: int = WORDS, seed: int = SEED
     columns = documents.columns
 
     def rows(batches):
-        for batch in batches:
+        for batch in shared.in_slices(batches):
             prints = np.array([fingerprint(t or "", words, seed) for t in batch["text"].to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*columns, "_fp"])
 

@@ -11,7 +11,7 @@ from array import array
 from itertools import filterfalse
 
 #: Words that a worker keeps, and words with punctuation or capitals, put together from two known ones.
-CACHE_WORDS, CACHE_JOINED = 500_000, 200_000
+CACHE_WORDS, CACHE_JOINED = 450_000, 130_000
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Letters up to U+024F, on which libraries agree, before a run of ASCII punctuation: always two pre-tokens.
 _WORD_AND_MARKS = re.compile(r"(\n?[^\W\d_\u0250-\U0010ffff]+)([!-/:-@\[-`{-~]+)")
