@@ -83,6 +83,25 @@ def test_boosting_adds_what_rules_miss(make_docs):
     assert got == ["card:5:24", "", "", "ip:8:22", ""]
 
 
+def odd_corpus():
+    rng = np.random.default_rng(6)
+    out = []
+    for i in range(60):
+        card = "4" + "".join(map(str, rng.integers(0, 10, 14)))
+        card = next(card + c for c in "0123456789" if luhn(card + c))
+        out += [f"mail joe{i} (at) site{i % 7} (dot) org or", f"mail ann{i} [at] site{i % 5}.org or", f"host 10[.]{i}[.]0[.]{i * 7 % 256} up", f"card {card[:4]}.{card[4:8]}.{card[8:12]}.{card[12:]} now"]
+        out += [f"host 10.{i}.0.{i * 7 % 400} up", f"mail joe{i}@site{i % 7}.org or", f"card {card} now", f"mail pat{i} @ site.org or"]
+    return list(enumerate(out))
+
+
+def test_formats_of_the_sample_are_added(make_docs):
+    models = pii.fit(make_docs(odd_corpus()))
+    right = ["mail jim (at) place (dot) org", "mail jim [at] place.org", "mail jim @ place.org", "host 10[.]1[.]2[.]3 up", "card 4111.1111.1111.1111 here"]
+    wrong = ["meet me @ 7.30 or so", "host 10[.]1[.]2[.]300 up", "card 4111.1111.1111.1112 here"]
+    got = [r.spans for r in pii.found(make_docs(list(enumerate(right + wrong))), models).orderBy("doc_id").collect()]
+    assert got == ["email:5:29", "email:5:23", "email:5:20", "ip:5:19", "card:5:24", "", "", ""]
+
+
 def test_trees_learn_and_calibrate():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((4000, 5))

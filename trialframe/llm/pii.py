@@ -34,7 +34,16 @@ NEEDS = {"email": r"@|\(at\)|\[at\]", "ip": r"[0-9][.(\[]", "card": r"[0-9]", "p
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _IP = rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"
 #: Words before a span that speak of such data.
-CONTEXT = r"(?i)(?:mail|phone|tel|call|mobil|fax|card|visa|konto|compte|cuenta|credit|server|host|addr|\bip\b)"
+CONTEXT = {
+    "email": r"(?i)(?:mail|contact|kontakt|write|reach|addr)",
+    "ip": r"(?i)(?:server|host|addr|\bip\b)",
+    "card": r"(?i)(?:card|visa|konto|compte|cuenta|credit|pay)",
+    "phone": r"(?i)(?:phone|telef|\btel|call|mobil|fax)",
+}
+_EMAIL = r"^[\p{L}\p{N}_%+'-][\p{L}\p{N}._%+'-]*+@(?:[\p{L}\p{N}-]++\.)++\p{L}{2,}$"
+#: First digits and lengths of card numbers, and the lengths of their printed groups.
+_ISSUER = r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5]|2[2-7]|35)[0-9]{14}|3[47][0-9]{13}|3[068][0-9]{12}|(?:5[0678]|6)[0-9]{10,17})$"
+_GROUPS = r"^(?:[0-9]+|[0-9]{4}(?:[^0-9]{1,3}[0-9]{4}){3}(?:[^0-9]{1,3}[0-9]{3})?|[0-9]{4}[^0-9]{1,3}[0-9]{6}[^0-9]{1,3}[0-9]{4,5})$"
 #: Matches whose lengths are summed at a time when positions are computed.
 BLOCK = 256
 #: The sample: documents, candidates; the boosting: trees, step, candidate cuts of a feature; the
@@ -119,31 +128,60 @@ def _with_candidates(df: DataFrame) -> DataFrame:
     return df
 
 
+def _plain(kind: str, txt: Column) -> Column:
+    """A candidate in one format for all: signs as signs, no spaces about them, numbers as digits only."""
+    if kind == "email":
+        signs = F.regexp_replace(txt, r"\s?(?:@|\(at\)|\[at\]|\[@\])\s?", "@")
+        return F.regexp_replace(signs, r"\s?(?:\(dot\)|\[dot\])\s?", ".")
+    return F.regexp_replace(txt, r"\[\.\]|\(\.\)", ".") if kind == "ip" else _digits(txt)
+
+
+#: Features of which one at least must speak for a candidate that passes the check.
+EVIDENCE = {"email": ("tight", "context"), "ip": (), "card": ("regular", "context"), "phone": ("foreign", "context")}
+
+
 def _features(kind: str, x: Column) -> dict[str, Column]:
-    """Numbers that describe the format and the context of a candidate."""
+    """Numbers that describe the plain form and the context of a candidate, not its separators."""
     txt, before, after = x["txt"], x["before"], x["after"]
-    digits = _digits(txt)
-    count = lambda p: F.regexp_count(txt, F.lit(p))
-    plain = F.regexp_replace(txt, r"\[\.\]|\(\.\)", ".")
-    check = {"card": F.when(F.length(digits).between(12, 19), _luhn(digits)).otherwise(F.lit(False)), "ip": plain.rlike(_IP), "phone": F.length(digits).between(9, 15), "email": txt.rlike(r"[A-Za-z]{2,}$")}
+    digits, plain = _digits(txt), _plain(kind, txt)
+    check = {
+        "card": F.when(plain.rlike(_ISSUER), _luhn(plain)).otherwise(F.lit(False)),
+        "ip": plain.rlike(_IP),
+        "phone": F.length(digits).between(9, 15),
+        "email": plain.rlike(_EMAIL),
+    }
     return {
         "check": check[kind].cast("int"),
+        "context": before.rlike(CONTEXT[kind]).cast("int"),
+        "tight": (~txt.rlike(r"\s@|@\s")).cast("int"),
+        "regular": txt.rlike(_GROUPS).cast("int"),
+        "foreign": txt.rlike(r"^(?:\+|00[1-9])").cast("int"),
         "digits": F.length(digits),
-        "others": F.length(txt) - F.length(digits),
-        "plus": txt.startswith("+").cast("int"),
-        "paren": txt.startswith("(").cast("int"),
-        "at": F.contains(txt, F.lit("@")).cast("int"),
-        "dots": count(r"\."),
-        "dashes": count("-"),
-        "spaces": count(r"\s"),
-        "groups": count("[0-9]+"),
         "kinds_of_digits": F.length(F.array_join(F.array_distinct(F.split(digits, "")), "")),
-        "context": before.rlike(CONTEXT).cast("int"),
         "free_before": before.rlike(r"(?:^|[\s(\[,:;<>\"'=])$").cast("int"),
         "free_after": after.rlike(r"^(?:$|[\s)\],:;<>\"'.!?])").cast("int"),
     }
 
 
+def label(kind: str, rows: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and labels to fit to: right is what passes the check of its plain form and has evidence.
+
+    Each right row also counts with its check failed, and with its evidence taken away: that is wrong
+    in any format, so wrong rows never lack, and what right and wrong rows share decides nothing.
+    """
+    at = [names.index(k) for k in EVIDENCE[kind]]
+    right = (rows[:, names.index("check")] == 1) & (rows[:, at].any(1) if at else True)
+    out = []
+    for row, good in zip(rows, right, strict=True):
+        out.append((row, good))
+        if good:
+            for off in [[names.index("check")], at][: 2 if at else 1]:
+                twin = row.copy()
+                twin[off] = 0
+                out.append((twin, False))
+    return np.array([r for r, _ in out]).reshape(-1, len(names)), np.array([g for _, g in out], float)
+
+
 def _grow(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int):
     """A regression tree for the second-order loss: (feature, cut, low, high) or a leaf value."""
     leaf = float(-RATE * grad.sum() / (hess.sum() + 1.0))
@@ -199,24 +237,23 @@ def boost(x: np.ndarray, y: np.ndarray):
 def fit(documents: DataFrame) -> dict:
     """A model per kind, fitted to candidates of a bounded sample of documents.
 
-    A candidate counts as right if it overlaps a valid rule span of its kind, so the trees learn what
-    such data looks like in these texts and where it stands; they then judge what the rules miss. A
-    kind without enough candidates of both sorts gets no model and adds nothing.
+    Candidates are labelled by their plain form and their context (see label), whether or not a rule
+    has them, so that those in other formats are learned as right too. A kind with fewer than about
+    15 right candidates gets no model and adds nothing.
     """
     n = documents.count()
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
     some = documents.select("doc_id", "text").where(draw < F.lit((1 << 20) * min(1.0, SAMPLE_DOCS / max(1, n))))
-    df = _with_candidates(with_rule_spans(some.where(F.col("text").rlike("[0-9@]"))))
+    df = _with_candidates(some.where(F.col("text").rlike(r"[0-9@]|\(at\)|\[at\]")).withColumn("_t", F.col("text")))
     models = {}
     for kind in KINDS:
         names = list(_features(kind, F.col("c")))
         # not explode: its implied filter would be pushed down and copy all of the expressions into itself
-        rows = df.select("doc_id", F.col(f"_rule_{kind}").alias("rule"), F.explode_outer(f"_maybe_{kind}").alias("c")).where("c.start is not null")
-        right = F.exists("rule", lambda s: (s["start"] < F.col("c.end")) & (F.col("c.start") < s["end"]))
-        rows = rows.select(F.xxhash64("doc_id", "c.txt", "c.start").alias("h"), right.cast("int").alias("right"), *[v.cast("double").alias(k) for k, v in _features(kind, F.col("c")).items()])
+        rows = df.select("doc_id", F.explode_outer(f"_maybe_{kind}").alias("c")).where("c.start is not null")
+        rows = rows.select(F.xxhash64("doc_id", "c.txt", "c.start").alias("h"), *[v.cast("double").alias(k) for k, v in _features(kind, F.col("c")).items()])
         data = np.array([tuple(r)[1:] for r in rows.orderBy("h", *names).limit(SAMPLE_CANDIDATES).collect()], float)
         if len(data):
-            models[kind] = boost(data[:, 1:], data[:, 0])
+            models[kind] = boost(*label(kind, data, names))
     return models
 
 
