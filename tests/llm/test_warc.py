@@ -16,12 +16,14 @@ ROWS = [
 
 
 def expected(rows, least=0):
-    out = []
+    out, seen = [], set()
     for page, _, html in rows:
         data = (html or "").encode()
         ids = [p for p, _, h in rows if (h or "") == (html or "") and p is not None]
         first = min(ids) if ids and len(data) >= least else None
-        revisit = first is not None and first != page
+        revisit = first is not None and (first != page or data in seen)
+        if first == page:
+            seen.add(data)  # of repeated rows one is the response
         out.append((page, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", first if revisit else None))
     return sorted(out, key=str)
 
@@ -57,6 +59,26 @@ def test_whole_table_and_dictionary(spark):
     assert first.startswith(b"WARC/1.1\r\n") and first.endswith(b"\r\n\r\n") and first.count(b"WARC-Type") == 1
 
 
+@pytest.mark.parametrize("rows", [[(i, "u", f"<p>{i}</p>" + "long page " * 7000 + str(i)) for i in range(40)], [(1, "u", "x")], [(1, None, None)]])
+def test_dictionary_of_long_few_and_empty_pages(spark, rows):
+    path = fresh_path(spark, "test-warc")
+    warc.write_archives(spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA), path)
+    back = warc.read_archives(spark, path)
+    assert digest_rows(back) == expected(rows)
+    content = bytes(read_files(spark, path).first().content)
+    size = int.from_bytes(content[4:8], "little")
+    assert content[:4] == warc.DICTIONARY_MAGIC.to_bytes(4, "little") and content[8:12] == bytes.fromhex("37a430ec") and size > 100
+
+
+def test_registered_query(spark):
+    from trialframe.llm.queries import op1_warc_dictionary
+
+    out = op1_warc_dictionary(spark, "/root/testdata/sf0.001")
+    assert out.dtypes == [("page_id", "bigint"), ("payload_bytes", "bigint"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", "bigint")]
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    assert digest_rows(out) == expected(rows)
+
+
 def test_empty(spark):
     path = fresh_path(spark, "test-warc")
     warc.write_archives(spark.createDataFrame([], SCHEMA), path)

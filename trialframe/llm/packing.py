@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .tokens import encoder, small_batches
+from .tokens import encoder, small_batches, vocabulary_size
 
 LENGTH = 2048
 #: Hash buckets of a document's vector, dimensions of the projection, and bits of each for the curve.
@@ -60,11 +59,11 @@ def curve_keys(ids: list[np.ndarray], buckets: int = BUCKETS, dims: int = DIMS,
 
 def encoded(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """_rid, doc_id, n_tokens, curve_key and ids (16 bits each if they fit) of every document, materialized."""
-    tail = np.array([end_id], "<u4").tobytes()
+    tail, vocabulary = np.array([end_id], "<u4").tobytes(), vocabulary_size(tokenizer, end_id)
 
     def rows(batches):
-        enc = encoder(tokenizer, spaces_lead=False)
-        small = enc.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
+        enc = encoder(tokenizer)
+        small = vocabulary <= 1 << 16
         for batch in shared.in_slices(batches):
             names, texts = batch["doc_id"], batch["text"].to_pylist()
             for i, j in small_batches(texts):

@@ -17,10 +17,13 @@ _LOW_33_BITS = (1 << 33) - 1
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    A private temporary folder is used only where that setting is absent (tests on one machine).
+    A private temporary folder is used only where that setting is absent and the session is local
+    (tests on one machine); without the setting, a cluster session raises an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if "path" not in _LOCAL_FALLBACK:
             _LOCAL_FALLBACK["path"] = "file://" + tempfile.mkdtemp(prefix="spark-")
         folder = _LOCAL_FALLBACK["path"]
@@ -32,20 +35,41 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that no column of df has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: short lineage, fixed rows."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing will read again."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = shared_folder(spark)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        if where.toUri().getPath().startswith(jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath() + "/"):
+            where.getFileSystem(conf).delete(where, True)
+
+
 def ordered_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df range-sorted by `order` and materialized, with _pid and _idx (row in the partition, from 0).
 
     (_pid, _idx) follows the global order. The table is written before anything reads it, so the
     range boundaries, which Spark samples, are fixed for every later use.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    tie = F.monotonically_increasing_id()  # rows that are equal in all columns part by their place in the input
+    placed = df.withColumn("_tie", tie).repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
+    placed = placed.withColumn("_m", F.monotonically_increasing_id())
     return (
         materialize(placed, name)
         .withColumn("_pid", F.shiftright("_m", 33).cast("int"))
@@ -77,18 +101,19 @@ def in_slices(batches, rows: int = 1000):
 FILE_END = b"\n"
 
 
-def write_files(rows: DataFrame, path: str) -> None:
-    """Write the binary column `bytes` as raw files, one per partition, through Spark's own writer.
+def write_files(rows: DataFrame, path: str, rows_per_file: int = 0) -> None:
+    """Write the binary column `bytes` as raw files through Spark's own writer: one per partition, or
+    more if a partition has over rows_per_file rows (0: no bound).
 
     The text sink copies the bytes of each row unchanged and then adds one line feed, so every row
     of the formats written here ends in a place where a line feed belongs. Spark's commit protocol
     makes the files whole even when tasks are repeated.
     """
-    rows.select(F.col("bytes").cast("string").alias("value")).write.text(path)
+    rows.select(F.col("bytes").cast("string").alias("value")).write.option("maxRecordsPerFile", rows_per_file).text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """The files below path as rows (path, content). Each file's size is bounded by its writer."""
+    """The files below path as rows (path, content). Writers bound a file's rows, and so its size."""
     schema = T.StructType(
         [
             T.StructField("path", T.StringType()),

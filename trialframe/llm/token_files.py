@@ -12,58 +12,85 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
-from .tokens import encoder, small_batches
+from .tokens import encoder, small_batches, vocabulary_size
 
 #: Ids in a shard before it is closed, and UTF-8 bytes of text for one file of shards.
 SHARD_IDS, FILE_TEXT_BYTES = 400_000, 12_000_000
-#: Rounds of replacement, pairs replaced in a round, and the least count of a replaced pair.
-ROUNDS, PAIRS, LEAST = 3, 512, 32
+#: The least count of a replaced pair: a rule takes 12 bytes of a shard and each use of it saves 3.
+LEAST = 5
 _MAGIC = b"RPG1"
 #: partition, ids before the shard in its partition, documents, ids, symbols, rules, first nonterminal
 _HEADER = struct.Struct("<4sqqqqqqq")
 _BUCKET_BITS = 18
-
-
-def build_grammar(ids: np.ndarray, ends: np.ndarray, first: int, rounds=ROUNDS, pairs=PAIRS, least=LEAST):
-    """Re-Pair by rounds: (symbols, positions of document ends, rules as left and right).
-
-    Each round counts all adjacent pairs inside documents, replaces the most frequent ones by new
-    nonterminals, and goes on with the shorter sequence. Of overlapping occurrences in a run every
-    second one, from the left, is replaced. ids >= first must not occur.
+#: Shards in a file at most, so that a file stays readable however texts are dealt out.
+FILE_SHARDS = 64
+
+
+def _uses(at: np.ndarray, key: np.ndarray, kinds: np.ndarray, least: int):
+    """Places to replace, the kind at each, and the kinds: of overlapping places in a run every second
+    one, from the left; kinds that then have fewer than `least` places are left out."""
+    rank = np.minimum(np.searchsorted(kinds, key), len(kinds) - 1)
+    hit = kinds[rank] == key
+    at, rank = at[hit], rank[hit]
+    starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    keep = (np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))) % 2 == 0
+    at, rank = at[keep], rank[keep]
+    used = np.bincount(rank, minlength=len(kinds)) >= least
+    keep = used[rank]
+    return at[keep], (np.cumsum(used) - 1)[rank[keep]], kinds[used]
+
+
+def _apart(kinds: np.ndarray) -> np.ndarray:
+    """Some of the kinds, none of which begins with a symbol that one ends with, so that none overlap."""
+    left, right = kinds >> np.uint64(32), kinds & np.uint64(0xFFFFFFFF)
+    for bit in range(64):
+        side = lambda x: (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63 - bit)) & np.uint64(1)  # noqa: E731, B023
+        some = kinds[(side(left) == 0) & (side(right) == 1)]
+        if len(some):
+            return some
+    return kinds[left != right][:1]
+
+
+def build_grammar(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST):
+    """Re-Pair: (symbols, positions of document ends, rules as left and right).
+
+    Pairs inside documents are replaced by new nonterminals, frequent ones first: a round replaces
+    all pairs whose count reaches a bar, the bar falls by half from round to round, and rounds go on
+    until no pair is left that can be replaced `least` times. Where overlaps keep every pair of a
+    round below that, pairs that cannot overlap go first. ids >= first must not occur.
     """
     seq, end = ids.astype(np.uint32), np.zeros(len(ids), bool)
     end[ends] = True
-    left: list = []
-    right: list = []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    rules: list = []
+    made, bar = 0, len(ids)
+    while len(seq) > 1:
         a, b = seq[:-1], seq[1:]
         bucket = (a * np.uint32(2654435761) + b * np.uint32(2246822519)) >> np.uint32(32 - _BUCKET_BITS)
         bucket[end[:-1]] = 1 << _BUCKET_BITS  # no pair goes across the end of a document
         count = np.bincount(bucket, minlength=(1 << _BUCKET_BITS) + 1)
         count[-1] = 0
-        bar = max(least, np.partition(count, -pairs)[-pairs])
+        bar = max(least, min(bar, int(count.max())) // 2)
         at = np.flatnonzero((count >= bar)[bucket])
         key = (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
-        kinds, n = np.unique(key, return_counts=True)  # exact counts, as buckets may hold several pairs
-        best = np.sort(kinds[np.argsort(-n, kind="stable")[:pairs]][np.sort(-n, kind="stable")[:pairs] <= -least])
-        if not len(best):
-            break
-        rank = np.minimum(np.searchsorted(best, key), len(best) - 1)
-        hit = best[rank] == key
-        at, rank = at[hit], rank[hit]
-        starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        keep = (np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))) % 2 == 0
-        at, rank = at[keep], rank[keep]
-        seq[at] = first + len(left) + rank
-        left += (best >> np.uint64(32)).tolist()
-        right += (best & np.uint64(0xFFFFFFFF)).tolist()
-        end[at] = end[at + 1]
+        kinds, n = np.unique(key, return_counts=True)  # exact counts, as a bucket may hold several pairs
+        every = kinds = kinds[n >= bar]
+        if len(every):
+            spots, rank, kinds = _uses(at, key, every, least)
+            if not len(kinds) and len(some := _apart(every)):
+                spots, rank, kinds = _uses(at, key, some, least)
+        if not len(kinds):
+            if bar == least:
+                break
+            continue
+        seq[spots] = first + made + rank
+        rules.append(kinds)
+        made += len(kinds)
+        end[spots] = end[spots + 1]
         stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
+        stay[spots + 1] = False
         seq, end = seq[stay], end[stay]
-    return seq, np.flatnonzero(end), np.array([left, right], np.uint32).reshape(2, -1)
+    pairs = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
+    return seq, np.flatnonzero(end), np.array([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], np.uint32).reshape(2, -1)
 
 
 def expansions(rules: np.ndarray, first: int):
@@ -140,21 +167,25 @@ class Shard:
         return np.split(decode(self.symbols, self.lengths, self.expanded, self.first), np.cumsum(self.counts)[:-1])
 
 
-def write_token_files(documents: DataFrame, path: str, tokenizer: str, end_id: int = 0, vocabulary: int = 1 << 16) -> None:
+def write_token_files(documents: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """Encode all texts, append end_id to each, and write shard files in ascending doc_id order.
 
-    Documents are range-sorted by doc_id (nulls first); a task encodes its range and closes a shard
-    every SHARD_IDS ids, so memory does not depend on the table. A null text counts as empty and
-    becomes the end id alone; an empty table writes no shards; other columns are not read.
+    Documents are range-sorted by doc_id (nulls first), rows of one doc_id by a hash of their text, so
+    that they too spread over ranges; a task encodes its range and closes a shard every SHARD_IDS ids,
+    so memory does not depend on the table. Nonterminals begin above the ids of the tokenizer file. A
+    null text counts as empty and becomes the end id alone; an empty table writes no shards; other
+    columns are not read.
     """
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-size // FILE_TEXT_BYTES))
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id")
-    tail = np.array([end_id], "<u4").tobytes()
+    order = ["doc_id", "hash", "tie"]
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("tie", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    tail, vocabulary = np.array([end_id], "<u4").tobytes(), vocabulary_size(tokenizer, end_id)
 
     def shards(batches):
-        encode, partition = encoder(tokenizer, spaces_lead=True).encode, TaskContext.get().partitionId()
+        encode, partition = encoder(tokenizer).encode, TaskContext.get().partitionId()
         docs: list = []
         ids: list = []
         held = before = 0
@@ -171,7 +202,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, end_id: i
         if docs:
             yield pa.RecordBatch.from_pydict({"bytes": pa.array([pack_shard(docs, ids, partition, before, vocabulary)], pa.binary())})
 
-    shared.write_files(rows.mapInArrow(shards, "bytes binary"), path)
+    shared.write_files(rows.mapInArrow(shards, "bytes binary"), path, FILE_SHARDS)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

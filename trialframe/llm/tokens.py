@@ -6,46 +6,97 @@ once and joins the ids of the words of a text. The tokenizers library makes all
 
 from __future__ import annotations
 
+import json
 import re
-from array import array
 from itertools import filterfalse
 
-#: Words that a worker keeps, and words with punctuation or capitals, put together from two known ones.
-CACHE_WORDS, CACHE_JOINED = 450_000, 130_000
+import numpy as np
+
+#: Words that a worker keeps, those of them put together from two others, and the longest kept.
+CACHE_WORDS, CACHE_JOINED, CACHE_CHARS = 450_000, 130_000, 48
+#: Words handed to the library in one string.
+TOGETHER = 2000
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: Letters up to U+024F, on which libraries agree, before a run of ASCII punctuation: always two pre-tokens.
-_WORD_AND_MARKS = re.compile(r"(\n?[^\W\d_\u0250-\U0010ffff]+)([!-/:-@\[-`{-~]+)")
+#: Letters of ASCII and Latin-1 that have one lower-case letter and no other normal form.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Such letters before a run of ASCII punctuation: always two pre-tokens.
+_WORD_AND_MARKS = re.compile(rf"(\n?[{_LETTERS}]+)([!-/:-@\[-`{{-~]+)")
+_PLAIN_WORD = re.compile(rf"[{_LETTERS}]+")
 #: Separators that str.split takes for white space, but the tokenizers do not.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
+#: The parts of a tokenizer file for which words may be encoded one by one.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+FOLDING = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTING = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def _mode(tokenizer) -> str:
+    """How texts may be cut: at spaces that lead words, at white space, or not at all (`whole`)."""
+    part = lambda x: None if x is None else json.loads(x.__getstate__())
+    plain = all(not (t.lstrip or t.rstrip or t.single_word or t.normalized) for t in tokenizer.get_added_tokens_decoder().values())
+    parts = part(tokenizer.normalizer), part(tokenizer.pre_tokenizer)
+    if not plain or tokenizer.post_processor is not None:
+        return "whole"
+    return {json.dumps([None, BYTE_LEVEL]): "lead", json.dumps([FOLDING, SPLITTING]): "fold"}.get(json.dumps(parts), "whole")
+
 
 class WordEncoder:
     """Encodes texts like Tokenizer.encode(text, add_special_tokens=False).
 
-    spaces_lead: the tokenizer joins a space to the word after it (byte-level BPE). A space, or one
-    line feed, between two non-space characters is then always a border of its pre-tokens, so chunks
-    end there: a chunk stands for a space and a word, or for a line feed and the first word of a line.
-    Otherwise the tokenizer folds case, and white space only separates words and is dropped. A word
-    followed by punctuation is put together from the two.
+    The tokenizer file decides how. With byte-level pre-tokens that take the space before a word
+    (`lead`), a space or one line feed between two non-space characters is a border of pre-tokens, so
+    chunks end there: a chunk stands for a space and a word, or for a line feed and the first word of
+    a line. With folded case and white space that only separates (`fold`), chunks are the words. A
+    chunk of plain letters and punctuation is put together from the two. Texts with characters on
+    which the definitions of white space differ, and all texts under any other tokenizer file, are
+    encoded whole.
     """
 
-    def __init__(self, path: str, spaces_lead: bool):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.lead = Tokenizer.from_file(path), spaces_lead
+        self.tokenizer = Tokenizer.from_file(path)
+        self.mode = _mode(self.tokenizer)
+        self.lead = self.mode == "lead"
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.border = next(((i, t.content) for i, t in sorted(added.items()) if t.special), None)
         self.known: dict = {}  # ids of chunks as little-endian uint32 bytes
         self.joined, self.marks = 0, {"": b""}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; words go to the library in one string, with a special token between them."""
+        if self.border is None:
+            return self._whole(words)
+        out: list = []
+        number, name = self.border
+        for i in range(0, len(words), TOGETHER):
+            some = words[i : i + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([name.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == number)
+            if len(cuts) != len(some) - 1:  # a word holds that token itself
+                out += self._whole(some)
+                continue
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
+        return out
 
     def _learn(self, missing: set) -> dict:
         """Ids of the missing chunks; the caches keep them while there is room."""
         whole, parts = set(), []
         for w in missing:
             if m := _WORD_AND_MARKS.fullmatch(w):
-                parts.append((w, m[1] if self.lead or max(m[1]) > "\xff" else m[1].lower(), m[2]))
-            elif not self.lead and max(w) <= "\xff" and (low := w.lower()) != w and w.isalpha():
+                parts.append((w, m[1] if self.lead else m[1].lower(), m[2]))
+            elif not self.lead and _PLAIN_WORD.fullmatch(w) and (low := w.lower()) != w:
                 parts.append((w, low, ""))
             else:
                 whole.add(w)
@@ -56,11 +107,12 @@ class WordEncoder:
         if marks := {p[2] for p in parts} - self.marks.keys():
             self.marks.update(zip(marks, self._encode(list(marks)), strict=True))
         if len(known) - self.joined < CACHE_WORDS:
-            known.update(new)
+            known.update((w, x) for w, x in new.items() if len(w) <= CACHE_CHARS)
         pairs = {w: (known.get(stem) or new[stem]) + self.marks[mark] for w, stem, mark in parts}
         if self.joined < CACHE_JOINED:
-            self.joined += len(pairs)
-            known.update(pairs)
+            short = {w: x for w, x in pairs.items() if len(w) <= CACHE_CHARS}
+            self.joined += len(short)
+            known.update(short)
         new.update(pairs)
         return new
 
@@ -69,22 +121,24 @@ class WordEncoder:
         """Whether a chunk shows white space that may belong together with its neighbours."""
         return not c or c[-1].isspace() or (c[0].isspace() and (c[0] != "\n" or c[1].isspace()))
 
-    def _start(self, text: str):
-        """Ids before the chunks, and the chunks."""
-        if not self.lead:
-            return b"", text.split(" ") if any(c in text for c in _NOT_SPACE) else text.split()
-        return b"", ("\n" + text.replace("\n", " \n")).split(" ")
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        if self.mode == "whole":
+            return self._whole(texts)
         get, missing, rows = self.known.get, set(), []
         for text in texts:
-            head, chunks = self._start(text)
+            head: bytes | None = b""
+            if self.lead:
+                chunks = ("\n" + text.replace("\n", " \n")).split(" ")
+            elif any(c in text for c in _NOT_SPACE):
+                head, chunks = self._whole([text])[0], []
+            else:
+                chunks = text.split()
             ids = list(map(get, chunks))
             gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
             if self.lead and any(self._odd(chunks[i]) for i in gaps):
                 first, *chunks = _INNER_SPACE.split(text)
-                head, ids = self._encode([first])[0], list(map(get, chunks))
+                head, ids = self._whole([first])[0], list(map(get, chunks))
                 gaps = [i for i, x in enumerate(ids) if x is None]
             elif self.lead:
                 head = None
@@ -95,7 +149,7 @@ class WordEncoder:
         for head, ids, gaps, words in rows:
             for i, w in zip(gaps, words, strict=True):
                 ids[i] = new[w]
-            # the line feed that _start put before the first word is one id
+            # the line feed put before the first word is one id
             out.append(b"".join(ids)[4:] if head is None else head + b"".join(ids))
         return out
 
@@ -103,11 +157,18 @@ class WordEncoder:
 _ENCODERS: dict = {}
 
 
-def encoder(path: str, spaces_lead: bool) -> WordEncoder:
+def encoder(path: str) -> WordEncoder:
     """The encoder of this Python worker, kept from task to task."""
-    if (path, spaces_lead) not in _ENCODERS:
-        _ENCODERS[path, spaces_lead] = WordEncoder(path, spaces_lead)
-    return _ENCODERS[path, spaces_lead]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
+def vocabulary_size(path: str, end_id: int) -> int:
+    """The least number above all ids of the tokenizer file and the end id."""
+    from tokenizers import Tokenizer
+
+    return max([end_id, *Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()]) + 1
 
 
 def small_batches(texts: list, most_bytes: int = 4_000_000):

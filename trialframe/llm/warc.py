@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Payload bytes of one archive, and of the text handed to Spark's writer at once.
+#: Compressed bytes of one archive, and of the text handed to Spark's writer at once.
 ARCHIVE_BYTES, ROW_BYTES = 24_000_000, 1_000_000
-#: The dictionary: bytes, records it is trained on (about so many, by a hash), and the longest of them.
+#: The dictionary: bytes, records it is trained on (about so many, by a hash, never over twice), and bytes
+#: of each of them (of a longer payload a slice from a place that the hash gives).
 DICTIONARY_BYTES, SAMPLE_RECORDS, SAMPLE_RECORD_BYTES = 65_536, 400, 65_536
 #: Fixed values of the formats: magic numbers of the dictionary frame and of a frame to skip, headers.
 DICTIONARY_MAGIC, SKIP_MAGIC = 0x184D2A5D, 0x184D2A50
@@ -30,16 +31,20 @@ def _urn(page) -> bytes:
     return b"<urn:page:%s>" % (b"null" if page is None else b"%d" % page)
 
 
-def format_record(page, url, payload: bytes, refers_to) -> bytes:
-    """A WARC record: a response, or, with refers_to, a revisit that keeps only the HTTP header."""
-    revisit = refers_to is not None
-    block = _HTTP % len(payload) + (b"" if revisit else payload)
+def payload_digest(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
+def format_record(page, url, size: int, digest: str, payload: bytes | None, refers_to=None) -> bytes:
+    """A WARC record: a response, or, without payload, a revisit that keeps only the HTTP header."""
+    revisit = payload is None
+    block = _HTTP % size + (payload or b"")
     head = [b"WARC/1.1\r\nWARC-Type: ", b"revisit" if revisit else b"response", b"\r\nWARC-Record-ID: ", _urn(page), b"\r\nWARC-Date: ", _DATE, b"\r\n"]
     if url is not None:
         head += [b"WARC-Target-URI: ", re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m[0][0], url.encode()), b"\r\n"]
     if revisit:
         head += [b"WARC-Refers-To: ", _urn(refers_to), b"\r\n", _PROFILE]
-    head += [b"WARC-Payload-Digest: sha1:", base64.b32encode(hashlib.sha1(payload).digest()), b"\r\n"]
+    head += [b"WARC-Payload-Digest: sha1:", digest.encode(), b"\r\n"]
     head += [b"Content-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\n" % len(block), block, b"\r\n\r\n"]
     return b"".join(head)
 
@@ -76,7 +81,7 @@ def parse_records(read):
         http, _, payload = block.partition(b"\r\n\r\n")
         kind, digest = head[b"WARC-Type"].decode(), head[b"WARC-Payload-Digest"].removeprefix(b"sha1:").decode()
         size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-        if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
+        if kind == "response" and (len(payload) != size or payload_digest(payload) != digest):
             raise ValueError("a payload does not match its header")
         url = head.get(b"WARC-Target-URI")
         refers = head.get(b"WARC-Refers-To")
@@ -84,58 +89,83 @@ def parse_records(read):
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A Zstandard dictionary of the sample records; the records themselves if they are too few to train on."""
+    """A Zstandard dictionary of the sample records; of few records, a small one from their pieces."""
     import zstandard
 
-    if not samples:
-        return b""
-    try:
-        return zstandard.train_dictionary(size, samples, k=512, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+    pieces = [s[i : i + 256] for s in samples for i in range(0, len(s), 256)]
+    pieces *= -(-1024 // max(1, len(pieces)))
+    for most, data in ((size, samples), (size // 4, pieces), (2048, pieces), (512, pieces)):
+        try:
+            return zstandard.train_dictionary(most, data, k=512 if most == size else 64, d=8).as_bytes()
+        except zstandard.ZstdError:
+            continue
+    return b""
+
+
+def sample_records(pages: DataFrame) -> list[bytes]:
+    """Records of about SAMPLE_RECORDS pages, chosen by a hash of page and payload, in a fixed order."""
+    n = pages.count()
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), _payload().alias("payload"))
+    rows = rows.withColumn("hash", F.pmod(F.xxhash64("page_id", "url", "payload"), F.lit(1 << 40)))
+    rows = rows.where(F.col("hash") < F.lit(int((1 << 40) * min(1.0, SAMPLE_RECORDS / max(1, n)))))
+    spare = F.greatest(F.octet_length("payload") - SAMPLE_RECORD_BYTES, F.lit(0))
+    place = (F.pmod(F.col("hash"), (spare + 1).cast("long")) + 1).cast("int")
+    rows = rows.withColumn("payload", F.substring(F.col("payload"), place, F.lit(SAMPLE_RECORD_BYTES)))
+    found = rows.orderBy("hash", "page_id", "payload").limit(2 * SAMPLE_RECORDS).collect()
+    return [format_record(r.page_id, r.url, len(r.payload), payload_digest(bytes(r.payload)), bytes(r.payload)) for r in found]
 
 
 def _payload() -> Column:
     return F.coalesce("html", F.lit("")).cast("binary")
 
 
-def _key(page: str, digest: str) -> Column:
-    return F.concat_ws(":", F.col(page).cast("string"), digest)
-
-
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Write a record per page (page_id, url, html) to .warc.zst archives below path.
 
     Payloads are html in UTF-8 (null: empty). Of records with equal payloads of least_bytes or more,
-    those with the smallest page_id become responses, the others revisits of it; a null page_id
-    counts as larger than all. Equal payloads are found on narrow rows of digest and page_id; the
-    smallest id is combined before the shuffle, and the join with it may split a hot payload. Only
-    then do payloads move, dealt by page, so no archive holds a whole group of copies. Each archive
-    starts with the dictionary in a skippable frame; each record is a frame of its own. An empty
-    table writes no records; other columns are not read.
+    one with the smallest page_id becomes the response, the others revisits of it; a null page_id
+    counts as larger than all, and records whose copies all lack an id are responses. Each page is
+    first compressed where it is read, as a response; only these small frames are written, numbered
+    and moved. Equal payloads are found on narrow rows of digest, page_id and number; the smallest
+    one is combined before the shuffle, the join with it may split a hot payload, and the frames are
+    then dealt by their numbers, so no archive holds a whole group of copies. Each archive starts
+    with the dictionary in a skippable frame; each record is a frame of its own. An empty table
+    writes no records; other columns are not read.
     """
     import zstandard
 
-    payload = _payload()
-    narrow = pages.select("page_id", F.octet_length(payload).alias("bytes"), F.sha2(payload, 256).alias("sha"))
-    narrow = shared.materialize(narrow, "warc-digests")
-    n, total = narrow.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    archives = max(1, -(-total // ARCHIVE_BYTES))
-    copies = narrow.where(F.col("bytes") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    revisits = narrow.where(F.col("bytes") >= least_bytes).join(copies, "sha").where(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")))
-    revisits = revisits.select(_key("page_id", "sha").alias("key"), F.col("first").alias("refers_to")).distinct().repartition(archives, "key")
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    draw = F.pmod(F.xxhash64("page_id", "payload"), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, SAMPLE_RECORDS / max(1, n))))
-    sample = rows.where(draw & (F.octet_length("payload") <= SAMPLE_RECORD_BYTES)).collect()
-    dictionary = train_dictionary(sorted(format_record(r.page_id, r.url, bytes(r.payload), None) for r in sample))
-
-    def frames(batches):
+    dictionary = train_dictionary(sample_records(pages))
+
+    def compressor():
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        compress = zstandard.ZstdCompressor(level=3, dict_data=known).compress
+        return zstandard.ZstdCompressor(level=3, dict_data=known).compress
+
+    def responses(batches):
+        compress = compressor()
+        for batch in shared.in_slices(batches, 200):
+            payloads = [x.as_py() for x in batch["payload"]]
+            digests, frames = [payload_digest(x) for x in payloads], []
+            for page, url, digest, payload in zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), digests, payloads, strict=True):
+                frames.append(compress(format_record(page, url, len(payload), digest, payload)))
+            sizes = pa.array([len(x) for x in payloads], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], sizes, pa.array(digests), pa.array(frames, pa.binary())], ["page_id", "url", "size", "digest", "frame"])
+
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), _payload().alias("payload"))
+    framed = rows.mapInArrow(responses, "page_id long, url string, size long, digest string, frame binary")
+    framed = shared.materialize(framed.withColumn("number", F.monotonically_increasing_id()), "warc-frames")
+    total = framed.agg(F.coalesce(F.sum(F.octet_length("frame")), F.lit(0))).first()[0]
+    archives = max(1, -(-total // ARCHIVE_BYTES))
+    alike = framed.where(F.col("size") >= least_bytes).select("digest", "page_id", "number")
+    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "number"))
+    copies = alike.groupBy("digest").agg(least.alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1 and not least.none")
+    revisits = alike.join(copies, "digest").where("number <> least.number").select("number", F.col("least.page_id").alias("refers_to"))
+
+    def archive(batches):
+        compress = compressor()
         held, size = [struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)), dictionary] if dictionary else [], 0
         for batch in batches:
-            for record in zip(*(batch[k] for k in ("page_id", "url", "payload", "refers_to")), strict=True):
-                held.append(compress(format_record(*(x.as_py() for x in record))))
+            for page, url, n, digest, frame, refers_to in zip(*(batch[k].to_pylist() for k in ("page_id", "url", "size", "digest", "frame", "refers_to")), strict=True):
+                held.append(frame if refers_to is None else compress(format_record(page, url, n, digest, None, refers_to)))
                 size += len(held[-1])
                 if size >= ROW_BYTES:
                     yield pa.RecordBatch.from_pydict({"bytes": pa.array([b"".join([*held, _ROW_END])], pa.binary())})
@@ -143,8 +173,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
         if size:
             yield pa.RecordBatch.from_pydict({"bytes": pa.array([b"".join([*held, _ROW_END])], pa.binary())})
 
-    keyed = rows.withColumn("key", _key("page_id", F.sha2("payload", 256))).repartition(archives, "key")
-    shared.write_files(keyed.join(revisits, "key", "left").select("page_id", "url", "payload", "refers_to").mapInArrow(frames, "bytes binary"), path)
+    dealt = framed.repartition(archives, "number").join(revisits.repartition(archives, "number"), "number", "left")
+    shared.write_files(dealt.select("page_id", "url", "size", "digest", "frame", "refers_to").mapInArrow(archive, "bytes binary"), path)
+    shared.discard(framed)
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
