@@ -60,7 +60,7 @@ def test_grammar_is_complete():
     symbols, _, rules = token_files.build_grammar(ids, np.array([len(ids) - 1]), 60_000)
     left = Counter(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True))
     assert max((n for (a, b), n in left.items() if a != b), default=0) < token_files.LEAST  # a run of n equal symbols has n // 2 uses
-    assert 3 * len(symbols) + 12 * rules.shape[1] < len(ids) / 4
+    assert 3 * len(symbols) + 12 * rules.shape[1] < 3 * len(ids) / 2
 
 
 def test_grammar_round_trip():
