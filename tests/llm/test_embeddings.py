@@ -3,6 +3,7 @@ import pytest
 from test_components import brute
 
 from trialframe.llm import ann, embedding_dedup
+from trialframe.llm import vectors as llm_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, block string"
 
@@ -106,6 +107,58 @@ def test_search_recall_and_blocks(spark, monkeypatch):
     assert ann.search(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["clusters", "copies", "plain"])
+def test_search_at_production_settings(spark, kind):
+    """A full block: 40 clusters, a third of all rows near copies of one vector, or no structure."""
+    rng = np.random.default_rng(11)
+    n, dim = ann.BLOCK, 64
+    x = rng.standard_normal((n, dim))
+    if kind == "clusters":
+        x = rng.standard_normal((40, dim))[rng.integers(0, 40, n)] + 0.3 * x
+    if kind == "copies":
+        x[: n // 3] = x[0] + 1e-3 * x[: n // 3]
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in ann.search(df).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    x = x.astype(float)
+    for q in range(0, n, 1000):
+        far = np.sqrt(((x - x[q]) ** 2).sum(1))
+        far[q] = np.inf
+        assert [v for _, v in sorted(got[q])] == np.lexsort((np.arange(n), far))[:10].tolist()
+
+
+def test_fitting_sample_is_bounded(spark):
+    df = frame(spark, [(i, [1.0] * 4) for i in range(900)])
+    found = llm_vectors.sample(llm_vectors.as_bytes(df), 50)
+    assert list(found) == [4] and 1 <= len(found[4]) <= 100
+
+
+def test_tiles_lose_no_pair(spark):
+    rng = np.random.default_rng(3)
+    mid, width = rng.uniform(0, 3, (30, 5)), rng.uniform(0, 0.4, (30, 5))
+    low, high = np.maximum(mid - width, 0), mid + width
+    rows = [(i, 8 if i < 29 else -1, low[i].tolist() if i < 29 else [], high[i].tolist() if i < 29 else []) for i in range(30)]
+    blocks = spark.createDataFrame(rows, "block int, _dim int, low array<double>, high array<double>")
+    for widest in (0.2, 0.45):
+        near = lambda i, j: max(i, j) == 29 or ((low[i] - high[j] <= widest) & (low[j] - high[i] <= widest)).all()  # noqa: E731, B023
+        want = {(i, j) for i in range(30) for j in range(i, 30) if near(i, j)}
+        assert {tuple(r) for r in embedding_dedup._tiles(blocks, widest).collect()} == want
+
+
+def test_registered_queries(spark):
+    from trialframe.llm.queries import op2_anisotropic_search, op5_int8_tile_dedup
+
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
+    out = op2_anisotropic_search(spark, "/root/testdata/sf0.001")
+    assert out.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
+    assert sorted(tuple(r)[:3] for r in out.collect()) == [r[:3] for r in slow_search(rows)]
+    out = op5_int8_tile_dedup(spark, "/root/testdata/sf0.001")
+    assert out.dtypes == [("vec_id", "bigint"), ("n_links", "bigint"), ("component_id", "bigint"), ("kept", "boolean")]
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in out.collect()), key=str) == slow_links(rows)
+
+
 def test_search_recall_on_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in table.collect()]

@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 import pytest
 
 from trialframe.llm import langid
@@ -22,8 +23,8 @@ def test_label_and_source_are_no_inputs(spark, make_docs):
     model = langid.fit(make_docs(rows))
     one = langid.identify(make_docs([(1, "the dog", "de", "x")]), model).first()
     two = langid.identify(make_docs([(77, "the dog", None, None)]), model).first()
-    assert one._lang_pred == two._lang_pred == "en"
-    assert one._score == two._score
+    assert one.lang_pred == two.lang_pred == "en"
+    assert one.score == two.score
 
 
 def test_odd_rows(make_docs, odd_rows):
@@ -40,6 +41,43 @@ def test_whole_texts_count():
     assert model.predict([long_tail])[0] == ["de"]
 
 
+def test_long_texts_train(make_docs):
+    long = {"en": "the cat and the dog of the house " * 800, "de": "der hund und die katze ist im haus " * 800}
+    docs = make_docs([(i, long[lang], lang, "s") for i in range(60) for lang in ("en", "de")])
+    got = langid.predictions(docs).collect()
+    assert sorted(r.lang_pred for r in got) == ["de"] * 60 + ["en"] * 60
+    pieces = make_docs([(1, long["de"], "de", "s")]).select(langid.training_text().alias("t")).first().t
+    assert 10_000 < len(pieces) < 30_000
+
+
+def test_score_equals_a_plain_version(make_docs):
+    """Mean over n-grams of the UTF-8 letters of <word>, softmax at the model's heat."""
+    docs = [(i, "the cat and the dog" if i % 2 else "der hund und die katze, größer", "en" if i % 2 else "de", "s") for i in range(90)]
+    model = langid.fit(make_docs(docs))
+    for text in ("Der große Hund!", "the DOG 12 cats", "x"):
+        grams = []
+        for word in text.split():
+            data = ("<" + "".join(c for c in word.lower() if c.isalpha()) + ">").encode()
+            for n in langid.NGRAMS if len(data) > 2 else ():
+                for i in range(len(data) - n + 1):
+                    h = data[i]
+                    for b in data[i + 1 : i + n]:
+                        h = (h * 16777619 + b) % (1 << 32)
+                    grams.append((((h ^ n) * 2654435761) % (1 << 32)) >> (32 - 15))
+        z = (np.mean([model.table[g].astype(float) for g in grams], axis=0) + model.bias) / model.heat
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        lang, score, _ = model.predict([text])
+        assert lang[0] == model.languages[p.argmax()] and score[0] == pytest.approx(p.max(), rel=1e-5)
+
+
+def test_registered_query(spark, small):
+    from trialframe.llm.queries import op4_language_id
+
+    out = op4_language_id(spark, "/root/testdata/sf0.001")
+    assert out.dtypes[:4] == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
+    assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in small.collect())
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "text", None, None)]])
 def test_nothing_to_learn(make_docs, rows):
     assert [r.lang_pred for r in langid.predictions(make_docs(rows)).collect()] == ["und"] * len(rows)
@@ -47,6 +85,7 @@ def test_nothing_to_learn(make_docs, rows):
 
 def test_keep_identified(make_docs, odd_rows):
     docs = make_docs([(100 + i, "plain words of text", "en", "s") for i in range(20)] + odd_rows)
+    docs = docs.withColumnsRenamed({"size": "_score", "shard": "_rejected"})
     kept = langid.keep_identified(docs)
     assert kept.columns == docs.columns
     assert {3, 4, 6}.isdisjoint({r.doc_id for r in kept.collect()})

@@ -64,7 +64,8 @@ def test_empty_and_wordless(make_docs):
 
 
 def test_apply_keeps_columns_and_repeats(make_docs, odd_rows):
-    docs = make_docs(odd_rows)
+    docs = make_docs(odd_rows).withColumnsRenamed({"size": "_copy", "shard": "_rid", "n_chars": "copies"})
     out = mixing.apply_mix(docs)
+    assert all(r._copy == "x" and r._rid == 7 for r in out.collect())
     assert out.columns == docs.columns
     assert out.count() == sum(r.copies for r in mixing.mix(docs).collect())

@@ -10,10 +10,12 @@ from pyspark.sql import Window as W
 
 from . import shared, vectors
 
-#: Neighbours returned, candidates reranked for each query and block, and vectors the codebooks are fitted to.
+#: Neighbours returned, candidates reranked first for each query and block, and vectors the codebooks are fitted to.
 NEIGHBOURS, RERANK, SAMPLE = 10, 150, 8192
 #: Vectors in a block and queries in a block; one task scans one by the other.
-BLOCK, QUERIES = 16_384, 1024
+BLOCK, QUERIES = 16_384, 8192
+#: Vectors measured exactly at a time.
+SLICE = 4096
 #: Dimensions of a subspace, and the inner product (as a part of the largest) above which errors matter most.
 SUB, MATTERS = 2, 0.2
 
@@ -95,6 +97,35 @@ class Quantiser:
         return (each[0::2, :, None] + each[1::2, None, :]).reshape(len(each) // 2, 256).astype(np.float32)
 
 
+def _nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, allowed: np.ndarray, score: np.ndarray, lower: np.ndarray, k: int, rerank: int):
+    """Rows of the k nearest of x to q, nearest first, and their distances, measured exactly.
+
+    The `rerank` rows of the best scores are measured first; then all others whose lower bound does
+    not exceed the k-th distance found so far, in slices by rising bound. So none is missed.
+    """
+    measured = lambda rows: np.sqrt(((x[rows] - q) ** 2).sum(1))
+
+    def keep(rows, far):
+        first = np.lexsort((ids[rows], far))[:k]
+        return rows[first], far[first]
+
+    rows = np.flatnonzero(allowed)
+    if len(rows) > rerank:
+        rows = rows[np.argpartition(-score[rows], rerank)[:rerank]]
+    left = allowed.copy()
+    left[rows] = False
+    rows, far = keep(rows, measured(rows))
+    more = np.flatnonzero(left & (lower <= far[-1])) if len(far) == k else np.flatnonzero(left)
+    more = more[np.argsort(lower[more], kind="stable")]
+    for i in range(0, len(more), SLICE):
+        some = more[i : i + SLICE]
+        some = some[lower[some] <= far[-1]] if len(far) == k else some
+        if not len(some):
+            break
+        rows, far = keep(np.concatenate([rows, some]), np.concatenate([far, measured(some)]))
+    return rows, far
+
+
 def _scan(models: dict, k: int, rerank: int):
     """Nearest k of one block of vectors for one block of queries."""
 
@@ -106,23 +137,21 @@ def _scan(models: dict, k: int, rerank: int):
             if not len(part):
                 continue
             x, ids = vectors.matrix(part["_vec"], d), part["vec_id"].to_numpy()
-            packed = np.frombuffer(b"".join(part["_codes"]), np.uint8).reshape(len(part), -1).T.copy()
-            half = (-(x**2).sum(1) / 2).astype(np.float32)
+            packed = np.frombuffer(b"".join(part["_codes"]), np.uint8).reshape(len(part), -1)
+            coded = models[d].decode(packed)
+            packed, half = packed.T.copy(), (x**2).sum(1) / 2
+            rest, size = np.linalg.norm(x - coded, axis=1), np.linalg.norm(coded, axis=1)
             for query, q in zip(asked["query_id"], vectors.matrix(asked["_vec"], d), strict=True):
-                score = half.copy()  # q . x - |x|^2 / 2 falls as the distance grows
+                product = np.zeros(len(x), np.float32)
                 for table, codes in zip(models[d].tables(q), packed, strict=True):
-                    score += table[codes]
-                score[ids == query] = -np.inf
-                if len(score) > rerank:  # equal scores go to smaller ids, which come first
-                    bar = np.partition(score, -rerank)[-rerank]
-                    sure = np.flatnonzero(score > bar)
-                    best = np.concatenate([sure, np.flatnonzero(score == bar)[: rerank - len(sure)]])
-                else:
-                    best = np.arange(len(score))
-                best = best[ids[best] != query]
-                far = np.sqrt(((x[best] - q) ** 2).sum(1))
-                first = np.lexsort((ids[best], far))[:k]
-                found.append(pd.DataFrame({"query_id": query, "vec_id": ids[best][first], "score": far[first]}))
+                    product += table[codes]
+                # |q - x| >= |q - coded| - |x - coded|; sums of single precision err by no more than slack
+                product, length = product.astype(np.float64), np.linalg.norm(q)
+                slack = (len(packed) + 2) * 2.0**-23 * length * size
+                lower = np.sqrt(np.maximum((length - size) ** 2 * (1 - 1e-9), length**2 - 2 * product + size**2 - 2 * slack)) - rest
+                lower -= 1e-9 * (length + size + rest)
+                rows, far = _nearest(q, x, ids, ids != query, product - half, lower, k, rerank)
+                found.append(pd.DataFrame({"query_id": query, "vec_id": ids[rows], "score": far}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     return run
@@ -133,8 +162,10 @@ def search(embeddings: DataFrame, every: int = 100, k: int = NEIGHBOURS, rerank:
 
     Queries are the rows whose vec_id is divisible by `every`, candidates all rows but the query's
     own id. Each block of vectors is scanned for each block of queries by four-bit tables; the best
-    `rerank` of a block are measured exactly and its nearest k go on. Memory is that of two blocks,
-    and each query's rows of the final ranking are k per block. Only vectors of equal dimension are
+    `rerank` of a block are measured exactly, then all that by the codes and the lengths of their
+    residuals may be as near as the k-th of these, so the result is that of a full search. A block's
+    nearest k go on. Memory is that of two blocks, and each query's rows of the final ranking are k
+    per block. Only vectors of equal dimension are
     compared; unusable vectors and null ids take no part. Of rows that repeat a query's id the
     smallest vector asks; repeated candidates each take a place. Codebooks are fitted to a bounded
     sample (SAMPLE); all vectors are encoded and scanned.

@@ -85,6 +85,31 @@ def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(unit @ pivots.T, -1, 1))
 
 
+def _tiles(blocks: DataFrame, widest: float) -> DataFrame:
+    """(block, second) of all pairs of blocks, block <= second, that may hold vectors within the angle `widest`.
+
+    Two vectors within that angle have angles to any pivot that differ by no more. So blocks meet by
+    an equi-join on the pivot next to the first block and on ranges of `widest` of the angle to it, in
+    the first range that both reach; all other pivots are then checked. A block of several dimensions
+    (no more than there are dimensions) meets every block.
+    """
+    pure = blocks.where("_dim >= 0")
+    cut = lambda x: F.floor(x / F.lit(widest))
+    left = pure.withColumn("c", (F.array_position("low", F.array_min("low")) - 1).cast("int")).select(
+        "block", F.col("_dim").alias("dim"), "low", "high", "c", cut(F.get("low", "c") - widest).alias("from"), cut(F.get("high", "c") + widest).alias("to")
+    )
+    left = left.withColumn("b", F.explode(F.sequence("from", "to")))
+    right = pure.select(F.col("block").alias("second"), F.col("_dim").alias("dim"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.posexplode(F.arrays_zip("low", "high")).alias("c", "z"))
+    right = right.withColumn("from2", cut(F.col("z.low"))).withColumn("b", F.explode(F.sequence("from2", cut(F.col("z.high")))))
+    near = left.join(right, ["dim", "c", "b"]).where("second >= block and b = greatest(`from`, from2)")
+    apart = F.expr(f"exists(arrays_zip(low, high, low2, high2), z -> z.low - z.high2 > {widest!r} or z.low2 - z.high > {widest!r})")
+    # the pivot next to the second block may lie elsewhere, but what it rules out is ruled out by `apart`
+    near = near.where(~apart).select("block", "second")
+    n_blocks = (blocks.agg(F.max("block")).first()[0] or 0) + 1
+    mixed = blocks.where("_dim < 0").select(F.col("block").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("o"))
+    return near.union(mixed.select(F.least("m", "o"), F.greatest("m", "o"))).distinct()
+
+
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector; links are pairs of cosine >= cosine (above 0).
 
@@ -124,13 +149,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     blocks = placed.groupBy("block").applyInPandas(reach, "block int, _dim int, low array<double>, high array<double>")
     blocks = shared.materialize(blocks, "dedup-blocks")
-    n_blocks = (blocks.agg(F.max("block")).first()[0] or 0) + 1
-    other = blocks.select(F.col("block").alias("second"), F.col("_dim").alias("dim2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    tiles = blocks.withColumn("second", F.explode(F.sequence(F.col("block"), F.lit(n_blocks - 1)))).join(other, "second")
-    widest = math.acos(cosine) + 1e-6
-    apart = F.expr(f"_dim = dim2 and _dim >= 0 and exists(arrays_zip(low, high, low2, high2), z -> z.low - z.high2 > {widest!r} or z.low2 - z.high > {widest!r})")
-    unlike = F.expr("_dim >= 0 and dim2 >= 0 and _dim <> dim2")
-    tiles = shared.materialize(tiles.where(~apart & ~unlike).select("block", "second"), "dedup-tiles")
+    tiles = shared.materialize(_tiles(blocks, math.acos(cosine) + 1e-6), "dedup-tiles")
     left = placed.join(tiles, "block").withColumnRenamed("second", "pair")
     right = placed.join(tiles.select(F.col("block").alias("first"), F.col("second").alias("block")), "block")
     right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])  # both sides are the same table

@@ -15,9 +15,10 @@ from . import shared
 from .tokens import small_batches
 
 
-#: Training sample: labelled documents of each language (a bound on what the driver holds), and the
-#: longest of them in characters. Prediction always reads whole texts.
-PER_LANGUAGE, TRAIN_CHARS = 800, 20_000
+#: Training sample: labelled documents of each language (about so many, never over twice), and characters
+#: of each: all of them, or of a longer text pieces of PIECE characters, chosen by a hash over the whole
+#: text. Prediction always reads whole texts.
+PER_LANGUAGE, TRAIN_CHARS, PIECE = 800, 20_000, 200
 #: Hash buckets, dimensions of the embedding, lengths of the n-grams of a word.
 BUCKETS, DIMS, NGRAMS = 1 << 15, 16, (2, 3, 4)
 _NO_LETTER = re.compile(r"[^\w\n]|[\d_]")
@@ -160,25 +161,34 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def training_text() -> Column:
+    """The text, or of a long one about TRAIN_CHARS characters in pieces from all over it."""
+    pieces = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int"))
+    some = F.filter(pieces, lambda i: F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.length("text"), i), F.length("text").cast("long")) < TRAIN_CHARS)
+    cut = F.array_join(F.transform(some, lambda i: F.substring(F.col("text"), i * PIECE + 1, F.lit(PIECE))), " ")
+    return F.when(F.length("text") <= TRAIN_CHARS, F.col("text")).otherwise(cut)
+
+
 def fit(documents: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 1) -> Model:
     """A model from labelled documents that are not held out: about per_language of each language.
 
     Documents are chosen by a hash of id and text against a rate per language, in one scan.
     """
-    usable = documents.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS))
+    usable = documents.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
     chosen = F.lit(False)
     for lang in sorted(counts):
-        chosen = chosen | ((F.col("lang") == lang) & (draw < per_language / counts[lang]))
-    rows = sorted((r.text, r.lang) for r in usable.where(chosen).select("text", "lang").collect())
+        chosen = chosen | ((F.col("lang") == lang) & (draw < F.lit(int((1 << 40) * min(1.0, per_language / counts[lang])))))
+    rows = usable.where(chosen).select(training_text().alias("text"), "lang", draw.alias("draw"))
+    rows = sorted((r.text, r.lang) for r in rows.orderBy("draw", "lang", "text").limit(2 * per_language * max(1, len(counts))).collect())
     return train([t for t, _ in rows], [lang for _, lang in rows], seed)
 
 
-def identify(documents: DataFrame, model: Model) -> DataFrame:
-    """documents with lang_pred, score and rejected; whole texts, through a cache of words.
+def identify(documents: DataFrame, model: Model, out: tuple = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """documents with language, score and rejection as columns `out`; whole texts, through a cache of words.
 
-    lang_pred is `und`, with score 0 and rejected, if the text is null or has no letter (or nothing
+    The language is `und`, with score 0 and rejected, if the text is null or has no letter (or nothing
     was learned). Otherwise rejected tells that the calibrated probability is below the threshold.
     """
     columns = documents.columns
@@ -187,19 +197,22 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
         for batch in shared.in_slices(batches):
             lang, score, rejected = model.predict(batch["text"].to_pylist())
             more = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*columns, "_lang_pred", "_score", "_rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*columns, *out])
 
-    more = [T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_rejected", T.BooleanType())]
+    more = [T.StructField(c, t) for c, t in zip(out, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]
     return documents.mapInArrow(rows, T.StructType([*documents.schema.fields, *more]))
 
 
 def predictions(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of every document; an empty table gives no rows."""
-    model = fit(documents)
-    out = identify(documents.select("doc_id", "text"), model)
-    return out.select("doc_id", held_out().alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
+    out = identify(documents.select("doc_id", "text"), fit(documents))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def keep_identified(documents: DataFrame) -> DataFrame:
-    """The documents that the model does not reject, with their columns."""
-    return identify(documents, fit(documents)).where(~F.col("_rejected")).select(*documents.columns)
+    """The documents that the model does not reject, with their columns, whatever their names.
+
+    Null texts and texts without a letter go; repeated rows are judged alike; an empty table stays empty.
+    """
+    names = tuple(shared.fresh_name(documents, c) for c in ("_lang_pred", "_score", "_rejected"))
+    return identify(documents, fit(documents), names).where(~F.col(names[2])).select(*documents.columns)

@@ -75,8 +75,12 @@ def mix(documents: DataFrame, carry: list[str] = (), seed: int = 42, **targets)
 
 
 def apply_mix(documents: DataFrame, seed: int = 42, **targets) -> DataFrame:
-    """The mixed documents themselves: every row as often as the mix takes it, with its columns."""
-    columns = documents.columns
-    tagged = shared.materialize(documents.withColumn("_rid", F.monotonically_increasing_id()), "mix-docs")
-    taken = mix(tagged, ["_rid"], seed, **targets).where(F.col("copies") > 0).select("_rid", "copies")
-    return tagged.join(taken, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*columns)
+    """The mixed documents themselves: every row as often as the mix takes it, with its columns.
+
+    Handles nulls, repeated rows and empty tables as mix does; columns may have any names.
+    """
+    columns, rid, copy = documents.columns, shared.fresh_name(documents, "_rid"), shared.fresh_name(documents, "_copy")
+    tagged = shared.materialize(documents.withColumn(rid, F.monotonically_increasing_id()), "mix-docs")
+    sized = tagged.select("doc_id", "source", "text", F.col(rid).alias("_row"))
+    taken = mix(sized, ["_row"], seed, **targets).where(F.col("copies") > 0).select(F.col("_row").alias(rid), F.sequence(F.lit(1).cast("long"), F.col("copies")).alias(copy))
+    return tagged.join(taken, rid).withColumn(copy, F.explode(copy)).select(*columns)

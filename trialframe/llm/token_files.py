@@ -26,12 +26,21 @@ _BUCKET_BITS = 18
 FILE_SHARDS = 64
 
 
-def _uses(at: np.ndarray, key: np.ndarray, kinds: np.ndarray, least: int):
-    """Places to replace, the kind at each, and the kinds: of overlapping places in a run every second
-    one, from the left; kinds that then have fewer than `least` places are left out."""
-    rank = np.minimum(np.searchsorted(kinds, key), len(kinds) - 1)
-    hit = kinds[rank] == key
-    at, rank = at[hit], rank[hit]
+def _bucket(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of pairs of symbols."""
+    return (left * np.uint32(2654435761) + right * np.uint32(2246822519)) >> np.uint32(32 - _BUCKET_BITS)
+
+
+def _uses(at: np.ndarray, key: np.ndarray, bucket: np.ndarray, kinds: np.ndarray, least: int):
+    """Places to replace, the kind at each, and the kinds: of kinds in one bucket one, of overlapping
+    places in a run every second one, from the left; kinds that then have fewer than `least` places
+    are left out (a later round comes back to them)."""
+    table = np.full(1 << _BUCKET_BITS, -1, np.int32)
+    table[_bucket((kinds >> np.uint64(32)).astype(np.uint32), kinds.astype(np.uint32))] = np.arange(len(kinds), dtype=np.int32)
+    rank = table.take(bucket)
+    some = np.flatnonzero(rank >= 0)
+    some = some[kinds.take(rank[some]) == key[some]]
+    at, rank = at[some], rank[some]
     starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
     keep = (np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))) % 2 == 0
     at, rank = at[keep], rank[keep]
@@ -40,6 +49,19 @@ def _uses(at: np.ndarray, key: np.ndarray, kinds: np.ndarray, least: int):
     return at[keep], (np.cumsum(used) - 1)[rank[keep]], kinds[used]
 
 
+def _frequent(key: np.ndarray, bucket: np.ndarray, bar: int) -> np.ndarray:
+    """Pairs whose count reaches the bar: where there are many, the last pair of each bucket is counted
+    first, and all pairs only if none of those reaches it."""
+    if len(key) > 1 << 14:
+        last = np.zeros(1 << _BUCKET_BITS, np.uint64)
+        last[bucket] = key
+        n = np.bincount(bucket[last.take(bucket) == key], minlength=1 << _BUCKET_BITS)
+        if len(slots := np.flatnonzero(n >= bar)):
+            return last[slots]
+    kinds, n = np.unique(key, return_counts=True)
+    return kinds[n >= bar]
+
+
 def _apart(kinds: np.ndarray) -> np.ndarray:
     """Some of the kinds, none of which begins with a symbol that one ends with, so that none overlap."""
     left, right = kinds >> np.uint64(32), kinds & np.uint64(0xFFFFFFFF)
@@ -55,33 +77,39 @@ def build_grammar(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LE
     """Re-Pair: (symbols, positions of document ends, rules as left and right).
 
     Pairs inside documents are replaced by new nonterminals, frequent ones first: a round replaces
-    all pairs whose count reaches a bar, the bar falls by half from round to round, and rounds go on
+    all pairs whose count reaches a bar, the bar falls to a third from round to round, and rounds go on
     until no pair is left that can be replaced `least` times. Where overlaps keep every pair of a
     round below that, pairs that cannot overlap go first. ids >= first must not occur.
     """
     seq, end = ids.astype(np.uint32), np.zeros(len(ids), bool)
     end[ends] = True
     rules: list = []
-    made, bar = 0, len(ids)
+    made, bar, new = 0, len(ids), 0
     while len(seq) > 1:
-        a, b = seq[:-1], seq[1:]
-        bucket = (a * np.uint32(2654435761) + b * np.uint32(2246822519)) >> np.uint32(32 - _BUCKET_BITS)
-        bucket[end[:-1]] = 1 << _BUCKET_BITS  # no pair goes across the end of a document
-        count = np.bincount(bucket, minlength=(1 << _BUCKET_BITS) + 1)
-        count[-1] = 0
-        bar = max(least, min(bar, int(count.max())) // 2)
-        at = np.flatnonzero((count >= bar)[bucket])
-        key = (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
-        kinds, n = np.unique(key, return_counts=True)  # exact counts, as a bucket may hold several pairs
-        every = kinds = kinds[n >= bar]
+        if new:  # pairs that the last round made, all of which show one of its nonterminals
+            fresh = seq >= new
+            at = np.flatnonzero((fresh[:-1] | fresh[1:]) & ~end[:-1])
+            bucket = _bucket(seq[at], seq[at + 1])
+        else:
+            bucket = _bucket(seq[:-1], seq[1:])
+            bucket[end[:-1]] = 1 << _BUCKET_BITS  # no pair goes across the end of a document
+            count = np.bincount(bucket, minlength=(1 << _BUCKET_BITS) + 1)
+            count[-1] = 0
+            bar = max(least, min(bar, int(count.max())) // 3)
+            at = np.flatnonzero((count >= bar).take(bucket))
+            bucket = bucket[at]
+        key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        every = kinds = _frequent(key, bucket, bar)
         if len(every):
-            spots, rank, kinds = _uses(at, key, every, least)
+            spots, rank, kinds = _uses(at, key, bucket, every, least)
             if not len(kinds) and len(some := _apart(every)):
-                spots, rank, kinds = _uses(at, key, some, least)
+                spots, rank, kinds = _uses(at, key, bucket, some, least)
         if not len(kinds):
-            if bar == least:
+            if bar == least and not new:
                 break
+            new = 0
             continue
+        new = first + made if bar == least else 0
         seq[spots] = first + made + rank
         rules.append(kinds)
         made += len(kinds)
@@ -93,6 +121,14 @@ def build_grammar(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LE
     return seq, np.flatnonzero(end), np.array([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], np.uint32).reshape(2, -1)
 
 
+def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
+    """How many ids each rule stands for."""
+    sizes: list = []
+    for a, b in rules.T.tolist():
+        sizes.append((sizes[a - first] if a >= first else 1) + (sizes[b - first] if b >= first else 1))
+    return np.array(sizes, np.uint32)
+
+
 def expansions(rules: np.ndarray, first: int):
     """Expansion lengths of the rules, and all expansions in one array."""
     texts: list = []
@@ -123,7 +159,7 @@ def pack_shard(doc_ids: list, id_bytes: list[bytes], partition: int, before: int
     ids = np.frombuffer(b"".join(id_bytes), "<u4")
     symbols, ends, rules = build_grammar(ids, np.cumsum(counts) - 1, first)
     known = np.array([x is not None for x in doc_ids], np.uint8)
-    lengths, _ = expansions(rules, first)
+    lengths = expansion_lengths(rules, first)
     parts = [
         _HEADER.pack(_MAGIC, partition, before, len(doc_ids), len(ids), len(symbols), rules.shape[1], first),
         np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes(), known.tobytes(),

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from itertools import filterfalse
 
 import numpy as np
 
 #: Words that a worker keeps, those of them put together from two others, and the longest kept.
-CACHE_WORDS, CACHE_JOINED, CACHE_CHARS = 450_000, 130_000, 48
+CACHE_WORDS, CACHE_JOINED, CACHE_CHARS = 450_000, 400_000, 48
 #: Words handed to the library in one string.
 TOGETHER = 2000
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -60,13 +61,17 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mode = _mode(self.tokenizer)
         self.lead = self.mode == "lead"
         added = self.tokenizer.get_added_tokens_decoder()
         self.border = next(((i, t.content) for i, t in sorted(added.items()) if t.special), None)
+        # the signs that stand for the bytes of a letter and of the space that leads a word
+        signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        letters = (chr(c) for c in range(0x100) if _PLAIN_WORD.fullmatch(chr(c)))
+        self.signs, self.space = {ord(c): signs(c)[0][0] for c in letters}, signs(" ")[0][0] if self.lead else ""
         self.known: dict = {}  # ids of chunks as little-endian uint32 bytes
         self.joined, self.marks = 0, {"": b""}
 
@@ -90,18 +95,27 @@ class WordEncoder:
             out += [raw[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
         return out
 
+    def _pieces(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain letters (case folded already): each is one pre-token, which the model cuts."""
+        cut, signs, space = self.tokenizer.model.tokenize, self.signs, self.space
+        return [array("I", [t.id for t in cut(space + (w if w.isascii() else w.translate(signs)))]).tobytes() for w in words]
+
     def _learn(self, missing: set) -> dict:
         """Ids of the missing chunks; the caches keep them while there is room."""
-        whole, parts = set(), []
+        fold, whole, parts = not self.lead, set(), []
         for w in missing:
-            if m := _WORD_AND_MARKS.fullmatch(w):
-                parts.append((w, m[1] if self.lead else m[1].lower(), m[2]))
-            elif not self.lead and _PLAIN_WORD.fullmatch(w) and (low := w.lower()) != w:
-                parts.append((w, low, ""))
+            if w.isalpha():
+                low = w.lower() if fold else w
+                parts.append((w, low, "")) if low is not w and low != w and _PLAIN_WORD.fullmatch(w) else whole.add(w)
+            elif m := _WORD_AND_MARKS.fullmatch(w):
+                parts.append((w, m[1].lower() if fold else m[1], m[2]))
             else:
                 whole.add(w)
         known, new = self.known, {}
         words = list(whole.union(filterfalse(known.__contains__, (p[1] for p in parts))))
+        plain = [w for w in words if w.isalpha() and (w.isascii() or _PLAIN_WORD.fullmatch(w)) and (self.lead or w.islower())]
+        new.update(zip(plain, self._pieces(plain), strict=True))
+        words = [w for w in words if w not in new]
         ids = self._encode([w if w[0] == "\n" else " " + w for w in words] if self.lead else words)
         new.update(zip(words, ids, strict=True))
         if marks := {p[2] for p in parts} - self.marks.keys():
@@ -136,13 +150,14 @@ class WordEncoder:
                 chunks = text.split()
             ids = list(map(get, chunks))
             gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
-            if self.lead and any(self._odd(chunks[i]) for i in gaps):
+            words = [chunks[i] for i in gaps]
+            if self.lead and any(map(self._odd, filterfalse(str.isalpha, words))):
                 first, *chunks = _INNER_SPACE.split(text)
                 head, ids = self._whole([first])[0], list(map(get, chunks))
                 gaps = [i for i, x in enumerate(ids) if x is None]
+                words = [chunks[i] for i in gaps]
             elif self.lead:
                 head = None
-            words = [chunks[i] for i in gaps]
             missing.update(words)
             rows.append((head, ids, gaps, words))
         new, out = self._learn(missing), []

@@ -44,20 +44,23 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def sample(vectors: DataFrame, size: int) -> dict[int, np.ndarray]:
-    """About `size` vectors of each dimension, chosen by a hash, as matrices on the driver.
+    """About `size` vectors of each dimension, chosen by a hash of id and vector, as matrices on the driver.
 
-    The bound is the parameter `size`; the number of dimensions in a table is that of its models.
+    Never over twice as many together, however often a vector is repeated; the number of dimensions
+    in a table is that of its models.
     """
-    counts = {r[0]: r[1] for r in vectors.where("_vec is not null").groupBy("_dim").count().collect()}
-    draw = F.pmod(F.xxhash64("_vec"), F.lit(1 << 40))
+    usable = vectors.where("_vec is not null")
+    counts = {r[0]: r[1] for r in usable.groupBy("_dim").count().collect()}
+    draw = F.pmod(F.xxhash64("vec_id", "_vec"), F.lit(1 << 40))
     chosen = F.lit(False)
     for d, n in counts.items():
-        chosen = chosen | ((F.col("_dim") == d) & (draw < int((1 << 40) * min(1.0, size / n))))
-    rows = sorted((r[0], bytes(r[1])) for r in vectors.where(chosen).select("_dim", "_vec").collect())
+        chosen = chosen | ((F.col("_dim") == d) & (draw < F.lit(int((1 << 40) * min(1.0, size / n)))))
+    some = usable.where(chosen).select("_dim", "_vec", draw.alias("draw")).orderBy("draw", "_dim", "_vec").limit(2 * size * max(1, len(counts)))
+    rows = sorted((r[0], bytes(r[1])) for r in some.collect())
     found = {d: [v for k, v in rows if k == d] for d in sorted(counts)}
-    # a hash may choose none of a rare dimension: then any of its vectors will do
-    rare = {d: vectors.where(F.col("_dim") == d).select("_vec").limit(1).collect() for d in found if not found[d]}
-    return {d: matrix(v or [bytes(rare[d][0][0])], d) for d, v in found.items()}
+    # a hash may choose none of a rare dimension: then the first of its vectors will do
+    rare = {d: usable.where(F.col("_dim") == d).agg(F.min("_vec")).first()[0] for d in found if not found[d]}
+    return {d: matrix(v or [bytes(rare[d])], d) for d, v in found.items()}
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
