@@ -6,29 +6,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ranking import ranked
+
 
 def modulo_folds(trials: DataFrame, n_splits: int) -> DataFrame:
     """(trial, fold): rank of the trial modulo n_splits. One row per trial is ranked, not per sample."""
-    distinct = trials.select("trial").distinct()
-    return distinct.withColumn("fold", ((F.row_number().over(W.orderBy("trial")) - 1) % n_splits).cast("int"))
+    return ranked(trials.select("trial").distinct(), "trial", "fold").withColumn("fold", (F.col("fold") % n_splits).cast("int"))
 
 
-def greedy_folds(sizes: DataFrame, n_splits: int) -> DataFrame:
-    """(trial, fold): trials by size descending, ties by id, each into the fold that is lightest so far.
+def _greedy_plan(classes: list[tuple[int, int]], n_splits: int) -> list[tuple[int, list[int], list[int]]]:
+    """(size, folds of the first trials of that size, cycle of folds of all further ones), sizes descending.
 
-    sizes(trial, n) holds one row per trial of a dataset; the fold state goes through them in order, as
-    an aggregate over one sorted array.
+    Trials of one size fill the lightest folds until loads differ by less than the size; from then on
+    each turn goes through the folds in the order of their loads, which repeats.
     """
-    state = F.struct(F.array(*[F.lit(0).cast("long")] * n_splits).alias("load"), F.array().cast("array<struct<trial:long,fold:int>>").alias("out"))
+    load, plan = [0] * n_splits, []
+    for size, count in sorted(classes, reverse=True):
+        first: list[int] = []
+        while len(first) < count and max(load) - min(load) >= max(size, 1):
+            light = load.index(min(load))
+            first.append(light)
+            load[light] += size
+        cycle = sorted(range(n_splits), key=lambda f: (load[f], f)) if size > 0 else [load.index(min(load))]
+        turns, rest = divmod(count - len(first), len(cycle))
+        for i, f in enumerate(cycle):
+            load[f] += size * (turns + (i < rest))
+        plan.append((size, first, cycle))
+    return plan
 
-    def step(s: Column, t: Column) -> Column:
-        light = F.array_position(s["load"], F.array_min(s["load"])).cast("int")
-        load = F.transform(s["load"], lambda x, i: F.when(i + 1 == light, x + t["n"]).otherwise(x))
-        row = F.struct(t["trial"].cast("long").alias("trial"), (light - 1).alias("fold"))
-        return F.struct(load.alias("load"), F.concat(s["out"], F.array(row)).alias("out"))
 
-    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).cast("long").alias("k"), F.col("trial"), F.col("n").cast("long").alias("n"))))
-    return sizes.agg(F.aggregate(order, state, step, lambda s: s["out"]).alias("o")).select(F.explode("o").alias("o")).select("o.trial", "o.fold")
+def greedy_folds(sizes: DataFrame, n_splits: int) -> DataFrame:
+    """(trial, fold): trials by size descending, ties by id, each into the fold that is lightest so far.
+
+    sizes(trial, n) holds one row per trial. Only the number of trials of each size decides how a size
+    is dealt out (see _greedy_plan; the driver sees a row per distinct size); a trial's fold follows
+    from its rank within its size.
+    """
+    classes = [(int(r[0]), int(r[1])) for r in sizes.groupBy("n").count().collect()]
+    plan = sizes.sparkSession.createDataFrame(_greedy_plan(classes, n_splits), "size long, first array<int>, cycle array<int>")
+    rows = ranked(sizes.select("trial", F.col("n").cast("long").alias("n")), "trial", "_rank", ("n",)).join(F.broadcast(plan), F.col("n") == F.col("size"))
+    later = F.get("cycle", F.pmod(F.col("_rank") - F.size("first"), F.size("cycle")).cast("int"))
+    fold = F.when(F.col("_rank") < F.size("first"), F.get("first", F.col("_rank").cast("int"))).otherwise(later)
+    return rows.select(F.col("trial").cast("long").alias("trial"), fold.alias("fold"))
 
 
 def coverage(tested: DataFrame) -> DataFrame:

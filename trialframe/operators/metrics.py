@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numeric import is_finite, skip_nan
+from .ranking import ranges, running_sums
 
 
 def _hit() -> Column:
@@ -39,14 +40,13 @@ def confusion(predictions: DataFrame, labels: tuple = (0, 1)) -> DataFrame:
 def roc_auc(predictions: DataFrame, keys: tuple = ()) -> DataFrame:
     """Rank form of the area under the curve with mean ranks of ties; one class only gives null.
 
-    Equal scores are counted first, so the running sum goes over distinct scores.
+    Equal scores are counted first, so the running sum goes over distinct scores, range by range.
     """
     scored = predictions.where(is_finite(F.col("score")))
-    part = list(keys) or [F.lit(0)]
     by_score = scored.groupBy(*keys, "score").agg(F.sum("y_true").alias("pos"), F.count(F.lit(1)).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.partitionBy(*part).orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = by_score.withColumn("rank_sum", F.col("pos") * (below + (F.col("n") + 1) / 2.0))
-    sums = ranked.groupBy(*keys).agg(F.sum("rank_sum").alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
+    by_score = running_sums(by_score, "score", {"below": F.col("n")}, keys)
+    ranks = by_score.withColumn("rank_sum", F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2.0))
+    sums = ranks.groupBy(*keys).agg(F.sum("rank_sum").alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     area = F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0, (F.col("p") * (F.col("n") - F.col("p"))).cast("double"))
     return sums.select(*keys, area.alias("auc"))
 
@@ -54,18 +54,30 @@ def roc_auc(predictions: DataFrame, keys: tuple = ()) -> DataFrame:
 def roc_curve(predictions: DataFrame) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score from the highest down, after the point (null, 0, 0)."""
     by_score = predictions.where(is_finite(F.col("score"))).groupBy("score").agg(F.sum("y_true").cast("long").alias("pos"), F.count(F.lit(1)).alias("n"))
-    down, whole = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0), W.partitionBy(F.lit(0))
-    tp, seen = F.sum("pos").over(down), F.sum("n").over(down)
-    p, n = F.sum("pos").over(whole), F.sum("n").over(whole)
-    points = by_score.select(F.col("score").alias("threshold"), F.try_divide(seen - tp, n - p).alias("fpr"), F.try_divide(tp, p).alias("tpr"))
+    whole = F.broadcast(by_score.agg(F.sum("pos").alias("p_all"), F.sum("n").alias("n_all")))  # one row
+    below = running_sums(by_score, "score", {"p_below": F.col("pos"), "n_below": F.col("n")}).crossJoin(whole)
+    tp, seen = F.col("p_all") - F.col("p_below"), F.col("n_all") - F.col("n_below")
+    points = below.select(F.col("score").alias("threshold"), F.try_divide(seen - tp, F.col("n_all") - F.col("p_all")).alias("fpr"), F.try_divide(tp, F.col("p_all")).alias("tpr"))
     return points.unionByName(predictions.sparkSession.createDataFrame([(None, 0.0, 0.0)], points.schema))
 
 
 def curve_area(curve: DataFrame) -> DataFrame:
-    """Trapezoid area below a ROC curve."""
-    w = W.orderBy("fpr", "tpr")
-    step = (F.col("fpr") - F.lag("fpr").over(w)) * (F.col("tpr") + F.lag("tpr").over(w)) / 2
-    return curve.select(step.alias("a")).agg(F.sum("a").alias("auc"))
+    """Trapezoid area below a ROC curve.
+
+    fpr + tpr rises along the curve; steps are taken within ranges of it, and from the last point of a
+    range to the first of the next.
+    """
+    points = curve.select("fpr", "tpr", (F.col("fpr") + F.col("tpr")).alias("k"))
+    points = points.withColumn("_range", ranges(points, "k"))
+    before = lambda c, w: F.lag(c).over(w)
+    trapeze = lambda x, y, x0, y0: (x - x0) * (y + y0) / 2
+    w = W.partitionBy("_range").orderBy("k", "fpr")
+    inner = points.select(trapeze(F.col("fpr"), F.col("tpr"), before("fpr", w), before("tpr", w)).alias("a"))
+    key, point = F.struct("k", "fpr"), F.struct("fpr", "tpr")
+    ends = points.groupBy("_range").agg(F.min_by(point, key).alias("lo"), F.max_by(point, key).alias("hi"))
+    last = F.lag("hi").over(W.orderBy("_range"))  # a row per range
+    ends = ends.select("lo", last.alias("last")).select(trapeze(F.col("lo.fpr"), F.col("lo.tpr"), F.col("last.fpr"), F.col("last.tpr")).alias("a"))
+    return inner.union(ends).agg(F.sum("a").alias("auc"))
 
 
 def sem(table: DataFrame, column: str, keys: tuple = ()) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Normalisation of cubes: keyed aggregates joined or windowed back onto the cells.
+"""Normalisation of cubes: statistics of the baseline or blank cells, joined back onto all cells.
 
 A cube is a long table with the columns session, cond, trial, frame, pixel and value, or those of
-them that a keys parameter names. Statistics are windows over the keys; put a pixel predicate or the
-region join before these functions, since it is not pushed below the windows.
+them that a keys parameter names. Only the cells that a statistic needs are aggregated; the small
+result is joined, so Spark broadcasts it where its size allows and the cells then stay where they are.
 """
 
 from __future__ import annotations
@@ -23,21 +23,32 @@ def _frames(frames: list[int] | None, frame_range: tuple[int, int] | None) -> Co
     return (F.col("frame") >= frame_range[0]) & (F.col("frame") < frame_range[1])
 
 
+def _joined(cube: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """cube with the columns of stats, whose keys get names of their own; no match gives nulls."""
+    named = stats.select(*[F.col(k).alias(f"_by_{k}") for k in keys], *[c for c in stats.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in keys]
+    return cube.join(named, on, "left").drop(*[f"_by_{k}" for k in keys])
+
+
 def frame_zero(cube: DataFrame, frames: list[int] | None = None, frame_range: tuple[int, int] | None = None, eps: float = 1e-12, keys: tuple = ("session", "cond", "pixel", "trial")) -> DataFrame:
     """value / mean of the zero frames of its keys, kept eps away from zero."""
-    base = F.avg(F.when(_frames(frames, frame_range), F.col("value"))).over(W.partitionBy(*keys))
-    return cube.withColumn("value", F.try_divide("value", away_from_zero(base, eps)))
+    base = cube.where(_frames(frames, frame_range)).groupBy(*keys).agg(F.avg("value").alias("_base"))
+    out = _joined(cube, base, list(keys))
+    return out.withColumn("value", F.try_divide("value", away_from_zero(F.col("_base"), eps))).select(*cube.columns)
 
 
-def blank(cube: DataFrame, blank_cond: int, eps: float = 1e-12) -> DataFrame:
+def blank(cube: DataFrame, blank_cond: int, eps: float = 1e-12, strict: bool = False) -> DataFrame:
     """Every condition divided by the mean blank trial of its session, pixel and frame; the blank unchanged.
 
-    A cell without a blank partner is null. Blank means are one row per session, pixel and frame, the
-    join's size-checked side.
+    A cell without a blank partner is null; strict: a session without any blank is an error. Blank
+    means are one row per session, pixel and frame.
     """
-    mean = F.avg(F.when(F.col("cond") == blank_cond, skip_nan(F.col("value")))).over(W.partitionBy("session", "pixel", "frame"))
-    safe = F.when(F.abs(mean) < eps, F.lit(eps)).otherwise(mean)
-    return cube.withColumn("value", F.when(F.col("cond") == blank_cond, F.col("value")).otherwise(F.try_divide("value", safe)))
+    if strict and (bad := sessions_without_blank(cube, blank_cond).limit(10).collect()):
+        raise ValueError(f"sessions without blank: {sorted(r.session for r in bad)}")
+    mean = cube.where(F.col("cond") == blank_cond).groupBy("session", "pixel", "frame").agg(F.avg(skip_nan(F.col("value"))).alias("_mean"))
+    safe = F.when(F.abs("_mean") < eps, F.lit(eps)).otherwise(F.col("_mean"))
+    out = _joined(cube, mean, ["session", "pixel", "frame"])
+    return out.withColumn("value", F.when(F.col("cond") == blank_cond, F.col("value")).otherwise(F.try_divide("value", safe))).select(*cube.columns)
 
 
 def sessions_without_blank(cube: DataFrame, blank_cond: int) -> DataFrame:
@@ -45,23 +56,27 @@ def sessions_without_blank(cube: DataFrame, blank_cond: int) -> DataFrame:
     return cube.groupBy("session").agg(F.max((F.col("cond") == blank_cond).cast("int")).alias("has")).where("has = 0").select("session")
 
 
-def zscore_pooled(cube: DataFrame, baseline: tuple[int, int], ddof: int = 0, eps: float = 1e-8) -> DataFrame:
-    """z, mu and sd: value less its (pixel, trial) baseline mean, over the pixel's pooled baseline deviation.
+def zscore_pooled(cube: DataFrame, baseline: tuple[int, int], ddof: int = 0, eps: float = 1e-8, keys: tuple = ()) -> DataFrame:
+    """z, mu and sd: value less its trial's baseline mean, over the pixel's pooled baseline deviation.
 
-    Both windows are served by one exchange on pixel, which also satisfies (pixel, trial).
+    keys part data sets (sessions, conditions) that must not be pooled. Baseline values centred by
+    their trial's mean have mean zero, so the pooled variance is the sum of the trials' squared
+    deviations over the number of values less ddof.
     """
-    inside = _frames(None, baseline)
-    centred = cube.repartition("pixel").withColumn("mu", F.avg(F.when(inside, F.col("value"))).over(W.partitionBy("pixel", "trial"))).withColumn("_c", F.col("value") - F.col("mu"))
-    std = F.stddev_pop if ddof == 0 else F.stddev_samp
-    sd = std(F.when(inside, F.col("_c"))).over(W.partitionBy("pixel"))
-    return centred.withColumn("sd", sd).withColumn("z", F.col("_c") / F.greatest(F.col("sd"), F.lit(eps))).drop("_c")
+    inside = cube.where(_frames(None, baseline))
+    trials = inside.groupBy(*keys, "pixel", "trial").agg(F.avg("value").alias("mu"), (F.var_pop("value") * F.count("value")).alias("_m2"), F.count("value").alias("_n"))
+    pixels = trials.groupBy(*keys, "pixel").agg(F.sqrt(F.try_divide(F.sum("_m2"), (F.sum("_n") - ddof).cast("double"))).alias("sd"))
+    stats = _joined(trials.drop("_m2", "_n"), pixels, [*keys, "pixel"])
+    out = _joined(cube, stats, [*keys, "pixel", "trial"])
+    return out.withColumn("z", (F.col("value") - F.col("mu")) / F.greatest(F.col("sd"), F.lit(eps)))
 
 
-def zscore_per_trial(cube: DataFrame, baseline: tuple[int, int], eps: float = 1e-6) -> DataFrame:
-    """z with mean and deviation of each (pixel, trial) baseline, NaN left out."""
-    x = F.when(_frames(None, baseline), skip_nan(F.col("value")))
-    w = W.partitionBy("pixel", "trial")
-    return cube.withColumn("z", (F.col("value") - F.avg(x).over(w)) / F.greatest(F.stddev_pop(x).over(w), F.lit(eps)))
+def zscore_per_trial(cube: DataFrame, baseline: tuple[int, int], eps: float = 1e-6, keys: tuple = ()) -> DataFrame:
+    """z with mean and deviation of each trial's baseline at a pixel, NaN left out."""
+    x = skip_nan(F.col("value"))
+    stats = cube.where(_frames(None, baseline)).groupBy(*keys, "pixel", "trial").agg(F.avg(x).alias("_mu"), F.stddev_pop(x).alias("_sd"))
+    out = _joined(cube, stats, [*keys, "pixel", "trial"])
+    return out.withColumn("z", (F.col("value") - F.col("_mu")) / F.greatest(F.col("_sd"), F.lit(eps))).drop("_mu", "_sd")
 
 
 def baseline_check(cube: DataFrame, baseline: tuple[int, int], column: str = "z") -> DataFrame:
@@ -69,16 +84,23 @@ def baseline_check(cube: DataFrame, baseline: tuple[int, int], column: str = "z"
     return cube.where(_frames(None, baseline)).agg(F.avg(skip_nan(F.col(column))).alias("mean"), F.stddev_pop(skip_nan(F.col(column))).alias("std"))
 
 
+def _with_extremes(table: DataFrame, partition: list[str], **extremes: Column) -> DataFrame:
+    """table with aggregates of its partition, joined back; without partition one row for all."""
+    stats = table.groupBy(*partition).agg(*[c.alias(k) for k, c in extremes.items()])
+    return _joined(table, stats, list(partition)) if partition else table.crossJoin(F.broadcast(stats))
+
+
 def max_abs_scaled(table: DataFrame, column: str, out: str, partition: list[str] = ()) -> DataFrame:
     """column / largest |column| of the partition."""
-    return table.withColumn(out, F.try_divide(column, F.max(F.abs(skip_nan(F.col(column)))).over(W.partitionBy(*partition or [F.lit(0)]))))
+    both = _with_extremes(table, list(partition), _most=F.max(F.abs(skip_nan(F.col(column)))))
+    return both.withColumn(out, F.try_divide(column, "_most")).drop("_most")
 
 
 def min_max_scaled(table: DataFrame, column: str, out: str, partition: list[str] = ()) -> DataFrame:
     """column scaled to [0, 1]; a constant or missing value gives 0."""
-    w = W.partitionBy(*partition or [F.lit(0)])
-    low, high = F.min(skip_nan(F.col(column))).over(w), F.max(skip_nan(F.col(column))).over(w)
-    return table.withColumn(out, F.coalesce(F.try_divide(skip_nan(F.col(column)) - low, high - low), F.lit(0.0)))
+    x = skip_nan(F.col(column))
+    both = _with_extremes(table, list(partition), _low=F.min(x), _high=F.max(x))
+    return both.withColumn(out, F.coalesce(F.try_divide(x - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))).drop("_low", "_high")
 
 
 def factorised(table: DataFrame, column: str, out: str) -> DataFrame:

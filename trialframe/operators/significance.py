@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numeric import is_finite, normal_tail
+from .ranking import ROWS, ranked, running_sums
 
 CHANCE = 0.5
 
@@ -14,13 +15,16 @@ CHANCE = 0.5
 def permuted_labels(trials: DataFrame, n_permutations: int) -> DataFrame:
     """(perm, trial, y_perm): the labels of trials(trial, y) in md5 order of perm and trial.
 
-    Reproducible in any engine; label counts are kept in every permutation.
+    Reproducible in any engine; label counts are kept in every permutation. Ranks in md5 order are
+    counted in ranges of the first digits of the md5, which spread evenly.
     """
-    ranked = trials.select("y", F.row_number().over(W.orderBy("trial")).alias("rk"))
-    keyed = trials.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
-    key = F.md5(F.concat(F.col("perm").cast("string"), F.lit(":"), F.col("trial").cast("string")))
-    keyed = keyed.select("perm", "trial", F.row_number().over(W.partitionBy("perm").orderBy(key)).alias("rk"))
-    return keyed.join(ranked, "rk").select("perm", "trial", F.col("y").alias("y_perm"))
+    parts = max(1, -(-trials.count() // ROWS))
+    labels = ranked(trials, "trial", "rk").select("y", "rk")
+    keyed = trials.select("trial", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("perm"))
+    keyed = keyed.withColumn("_key", F.md5(F.concat(F.col("perm").cast("string"), F.lit(":"), F.col("trial").cast("string"))))
+    place = F.floor(F.conv(F.substring("_key", 1, 6), 16, 10).cast("long") * parts / F.lit(float(1 << 24))).cast("int")
+    keyed = running_sums(keyed, "_key", {"rk": F.lit(1)}, ("perm",), place).select("perm", "trial", "rk")
+    return keyed.join(labels, "rk").select("perm", "trial", F.col("y").alias("y_perm"))
 
 
 def p_value(null: Column, real: Column, tails: str = "one") -> Column:

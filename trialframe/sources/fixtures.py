@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 DENSE_FRAMES, DENSE_PIXELS, BLANK = 16, 4, 3
 ROI = (0, 1, 3)
@@ -36,7 +35,9 @@ def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("trial"), (F.col("label") % 2).cast("int").alias("y_true"), "embedding")
-    fold = e.select("trial", ((F.dense_rank().over(W.orderBy("trial")) - 1) % 10).cast("int").alias("fold"))
+    from ..operators.folds import modulo_folds
+
+    fold = modulo_folds(e, 10)
     score = F.expr("aggregate(slice(embedding, frame * 8 + 1, 8), 0D, (a, x) -> a + cast(x as double)) / 8D")
     s = e.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(7)))).select("trial", "frame", "y_true", score.alias("score"))
     return s.join(fold, "trial").select("trial", "frame", "fold", "y_true", (F.col("score") > 0).cast("int").alias("y_pred"), "score")
