@@ -102,6 +102,49 @@ def test_formats_of_the_sample_are_added(make_docs):
     assert got == ["email:5:29", "email:5:23", "email:5:20", "ip:5:19", "card:5:24", "", "", ""]
 
 
+def test_overlapping_proposals(make_docs):
+    """Cards before other digits, numbers without their plus, and addresses that go beyond a rule span."""
+    models = pii.fit(make_docs(corpus()))
+    assert all(models[k] for k in pii.KINDS)
+    texts = [
+        "pay by card 4111 1111 1111 1111 12/25 now", "pay by card 4111.1111.1111.1111 12/25 now", "pay by card 4111 1111 1111 1111 123 now",
+        "mail jörg@x.de or", "mail o'brien@mail1.example.org or", "call 001 (555) 012-3456 or", "order 4111 1111 1111 1112 12/25 of",
+    ]
+    got = [r.spans.split(",") for r in pii.found(make_docs(list(enumerate(texts))), models).orderBy("doc_id").collect()]
+    assert got[0] == ["card:12:31"] and got[1] == ["card:12:31"] and "card:12:31" in got[2]
+    assert set(got[3]) == {"email:5:14", "email:7:14"} and set(got[4]) == {"email:5:30", "email:7:30"}
+    assert got[5] == ["phone:5:23"] and got[6] == [""]
+    red = {r.doc_id: r.text for r in pii.redact(make_docs(list(enumerate(texts))), models).collect()}
+    assert red[0] == "pay by card [CARD] 12/25 now" and red[3] == "mail [EMAIL] or" and red[4] == "mail [EMAIL] or"
+
+
+def test_all_kinds_on_a_table(spark):
+    """Every kind has a model, clean texts get nothing, and what is added passes a check made anew."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    models = pii.fit(docs)
+    assert all(models.get(k) for k in pii.KINDS)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in pii.found(docs, models).collect():
+        base = slow(texts[r.doc_id])[1]
+        for s in extra_only(r.spans, base):
+            kind, a, b = s.split(":")
+            span = texts[r.doc_id][int(a) : int(b)]
+            assert kind != "card" or luhn(re.sub("[^0-9]", "", span))
+            assert kind in ("card", "ip") or len(span) >= 6
+
+
+def test_registered_query(spark, small):
+    from trialframe.llm.queries import op10_boosted_pii
+
+    out = op10_boosted_pii(spark, "/root/testdata/sf0.001")
+    kinds = [("n_email", "bigint"), ("n_ip", "bigint"), ("n_card", "bigint"), ("n_phone", "bigint")]
+    assert out.dtypes == [("doc_id", "bigint"), *kinds, ("base_sha256", "string"), ("spans", "string")]
+    texts = {r.doc_id: r.text for r in small.collect()}
+    for r in out.collect():
+        counts, base = slow(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts and r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+
+
 def test_trees_learn_and_calibrate():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((4000, 5))
@@ -114,8 +157,9 @@ def test_trees_learn_and_calibrate():
 
 def test_redaction(make_docs):
     rows = [(1, "mail a@b.co or ü +1 (626) 555-5759!"), (2, None), (3, "plain"), (4, "+4111111111111111")]
-    docs = make_docs(rows)
+    docs = make_docs(rows).withColumnsRenamed({"size": "_t", "shard": "_spans"})
     got = {r.doc_id: r for r in pii.redact(docs, {}).collect()}
+    assert all(r._t == "x" and r._spans == 7 for r in got.values())
     assert pii.redact(docs, {}).columns == docs.columns
     assert got[1].text == "mail [EMAIL] or ü [PHONE]!" and got[1].n_chars == len(got[1].text)
     assert got[2].text is None and got[3].text == "plain" and got[4].text == "+[CARD]"

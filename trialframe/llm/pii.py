@@ -22,15 +22,32 @@ RULES = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: High-recall generators of candidates, also with other separators or written-out signs.
+_WORD = r"[\p{L}\p{N}]"
+_MAIL = r"[\p{L}\p{N}_][\p{L}\p{N}._%+'-]{0,63}+"
+_AT, _DOT = r"\s?(?:@|\(at\)|\[at\]|\[@\])\s?", r"(?:\.|\s?(?:\(dot\)|\[dot\]|\[\.\])\s?)"
+_LABEL = r"[\p{L}\p{N}-]{1,63}+"
+_STOP, _GAP = r"(?:\.|\[\.\]|\(\.\))", r"[\x20._/-]{0,3}"
+_TEL, _TEL_GAP = r"(?:\+|\(|00)?\(?", r"[\x20()./-]{0,3}"
+#: Where candidates of a kind may start (a place, not a span): at every word of a local part, every part
+#: of a dotted number, every group of digits.
+STARTS = {
+    "email": rf"(?<!{_WORD})(?={_MAIL}{_AT}{_WORD})",
+    "ip": rf"(?<![0-9])(?=[0-9]{{1,3}}\x20?{_STOP})",
+    "card": rf"(?<![0-9])(?=[0-9](?:{_GAP}+[0-9]){{11}})",
+    "phone": rf"(?<![0-9+(])(?={_TEL}[0-9](?:{_TEL_GAP}+[0-9]){{8}})",
+}
+#: High-recall generators, all tried at each start, so spans of one kind may overlap: addresses plain or
+#: written out, with all or one part of the domain; quads with any dots; all counts of digits that end a group.
 GENERATORS = {
-    "email": r"[\p{L}\p{N}._%+'-]{1,64}+\s?(?:@|\(at\)|\[at\]|\[@\])\s?[\p{L}\p{N}-]{1,63}+(?:(?:\.|\s?+(?:\(dot\)|\[dot\])\s?+)[\p{L}\p{N}-]{1,63}+)++",
-    "ip": r"(?<![0-9])[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,3}){3}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[\x20._/-]{0,3}+[0-9]){11,18}+(?![0-9])",
-    "phone": r"(?<![0-9])(?:\+|\(|00)?[0-9][\x20().0-9/-]{6,24}[0-9](?![0-9])",
+    "email": [rf"{_MAIL}@(?:{_LABEL}\.)+\p{{L}}{{2,24}}(?!{_WORD})", rf"{_MAIL}{_AT}{_LABEL}(?:{_DOT}{_LABEL}){{1,4}}+", rf"{_MAIL}{_AT}{_LABEL}{_DOT}{_LABEL}"],
+    "ip": [rf"[0-9]{{1,3}}(?:{_STOP}[0-9]{{1,3}}){{3}}(?![0-9])", rf"[0-9]{{1,3}}(?:\x20?{_STOP}\x20?[0-9]{{1,3}}){{3}}(?![0-9])"],
+    "card": [rf"[0-9](?:{_GAP}[0-9]){{{n - 1}}}(?![0-9])" for n in range(12, 20)],
+    "phone": [rf"{_TEL}[0-9](?:{_TEL_GAP}[0-9]){{{n - 1}}}(?![0-9])" for n in range(9, 16)],
 }
+#: Characters read from a start on, and context kept before and after a span. Longer candidates are not proposed.
+WINDOW, BEFORE, AFTER = 200, 24, 12
 #: What a text must hold for a rule or generator to be tried.
-NEEDS = {"email": r"@|\(at\)|\[at\]", "ip": r"[0-9][.(\[]", "card": r"[0-9]", "phone": r"[0-9]"}
+NEEDS = {"email": r"@|\(at\)|\[at\]", "ip": r"[0-9]\x20?[.(\[]", "card": r"[0-9]", "phone": r"[0-9]"}
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _IP = rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"
 #: Words before a span that speak of such data.
@@ -44,9 +61,9 @@ _EMAIL = r"^[\p{L}\p{N}_%+'-][\p{L}\p{N}._%+'-]*+@(?:[\p{L}\p{N}-]++\.)++\p{L}{2
 #: First digits and lengths of card numbers, and the lengths of their printed groups.
 _ISSUER = r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5]|2[2-7]|35)[0-9]{14}|3[47][0-9]{13}|3[068][0-9]{12}|(?:5[0678]|6)[0-9]{10,17})$"
 _GROUPS = r"^(?:[0-9]+|[0-9]{4}(?:[^0-9]{1,3}[0-9]{4}){3}(?:[^0-9]{1,3}[0-9]{3})?|[0-9]{4}[^0-9]{1,3}[0-9]{6}[^0-9]{1,3}[0-9]{4,5})$"
-#: Matches whose lengths are summed at a time when positions are computed.
-BLOCK = 256
-#: The sample: documents, candidates; the boosting: trees, step, candidate cuts of a feature; the
+#: Matches whose lengths are summed at a time when positions are computed, and rule spans compared at a time.
+BLOCK, NEAR = 256, 64
+#: The sample: documents, training rows of a kind; the boosting: trees, step, candidate cuts of a feature; the
 #: part kept for calibration, the precision that a threshold must show there, and the least probability.
 SAMPLE_DOCS, SAMPLE_CANDIDATES = 20_000, 20_000
 TREES, RATE, CUTS = 25, 0.3, 12
@@ -80,17 +97,17 @@ def _valid(kind: str, txt: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def _with_matches(df: DataFrame, out: str, kind: str, pattern: str) -> DataFrame:
-    """df with `out`: all matches of pattern in _t as spans (code points, end exclusive) with 24 characters
-    before and 12 after.
+def _with_places(df: DataFrame, text: str, kind: str, pattern: str, group: int) -> DataFrame:
+    """df with _m (matches of pattern in column `text`), _p (the pieces between them) and _s (their starts).
 
     Positions are sums of the lengths of the pieces between the matches and of the matches, block by
     block, so the work stays near linear in the matches of a text.
     """
     none = F.array().cast("array<string>")
-    df = df.withColumn("_m", F.when(F.col("_t").rlike(NEEDS[kind]), F.regexp_extract_all("_t", F.lit(pattern), F.lit(0))).otherwise(none))
-    df = df.withColumn("_p", F.when(F.size("_m") > 0, F.split("_t", pattern, -1)).otherwise(none))
-    df = df.withColumn("_l", F.expr("transform(_m, (m, i) -> named_struct('g', length(_p[i]), 'n', length(_p[i]) + length(m)))"))
+    own = "0" if group else "length(m)"  # with a group the match itself is a place between two characters
+    df = df.withColumn("_m", F.when(F.col(text).rlike(NEEDS[kind]), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(none))
+    df = df.withColumn("_p", F.when(F.size("_m") > 0, F.split(text, pattern, -1)).otherwise(none))
+    df = df.withColumn("_l", F.expr(f"transform(_m, (m, i) -> named_struct('g', length(_p[i]), 'n', length(_p[i]) + {own}))"))
     df = df.withColumn(
         "_b",
         F.expr(
@@ -98,15 +115,42 @@ def _with_matches(df: DataFrame, out: str, kind: str, pattern: str) -> DataFrame
             j -> aggregate(slice(_l, j * {BLOCK} + 1, {BLOCK}), 0, (a, x) -> a + x.n)))"""
         ),
     )
-    df = df.withColumn(
-        "_s",
-        F.expr(
-            f"""if(size(_b) = 0, cast(array() as array<int>), transform(_l, (x, i) -> x.g + aggregate(slice(_b, 1, cast(i div {BLOCK} as int)), 0, (a, y) -> a + y)
-            + aggregate(slice(_l, cast(i div {BLOCK} as int) * {BLOCK} + 1, i % {BLOCK}), 0, (a, y) -> a + y.n)))"""
-        ),
+    places = F.expr(
+        f"""if(size(_b) = 0, cast(array() as array<int>), transform(_l, (x, i) -> x.g + aggregate(slice(_b, 1, cast(i div {BLOCK} as int)), 0, (a, y) -> a + y)
+        + aggregate(slice(_l, cast(i div {BLOCK} as int) * {BLOCK} + 1, i % {BLOCK}), 0, (a, y) -> a + y.n)))"""
     )
-    spans = F.expr("transform(_s, (s, i) -> named_struct('start', s, 'end', s + length(_m[i]), 'txt', _m[i], 'before', right(_p[i], 24), 'after', left(_p[i + 1], 12)))")
-    return df.withColumn(out, spans.cast(_SPAN)).drop("_m", "_p", "_l", "_b", "_s")
+    return df.withColumn("_s", places).drop("_l", "_b")
+
+
+def _with_matches(df: DataFrame, out: str, kind: str, pattern: str) -> DataFrame:
+    """df with `out`: all matches of pattern in _t as spans (code points, end exclusive) with context."""
+    df = _with_places(df, "_t", kind, pattern, 0)
+    spans = F.expr(f"transform(_s, (s, i) -> named_struct('start', s, 'end', s + length(_m[i]), 'txt', _m[i], 'before', right(_p[i], {BEFORE}), 'after', left(_p[i + 1], {AFTER})))")
+    return df.withColumn(out, spans.cast(_SPAN)).drop("_m", "_p", "_s")
+
+
+def _with_windows(df: DataFrame, out: str, kind: str) -> DataFrame:
+    """df with `out`: for each start of the kind its place, the WINDOW characters from there and those before.
+
+    The text is searched behind a line feed, as a split at a place before all text gives no piece.
+    """
+    pattern = STARTS[kind]
+    df = _with_places(df.withColumn("_n", F.concat(F.lit("\n"), "_t")), "_n", kind, rf"{pattern}(?=([\s\S]{{1,{WINDOW}}}))", 1)
+    before = f"""if(length(_p[i]) >= {BEFORE}, right(_p[i], {BEFORE}),
+        right(array_join(transform(slice(_p, greatest(i - 10, 1), least(i + 1, 12)), x -> right(x, {BEFORE})), ''), {BEFORE}))"""
+    windows = F.expr(f"transform(_s, (s, i) -> named_struct('start', s - 1, 'win', _m[i], 'before', {before}))")
+    return df.withColumn(out, windows).drop("_m", "_p", "_s", "_n")
+
+
+def _proposed(kind: str, w: Column) -> Column:
+    """The spans that the generators of a kind propose at a start; none that may go on beyond the window."""
+
+    def span(pattern: str) -> Column:
+        txt = F.regexp_extract(w["win"], f"^(?:{pattern})", 0)
+        return F.struct(w["start"].alias("start"), (w["start"] + F.length(txt)).alias("end"), txt.alias("txt"), w["before"].alias("before"), F.substring(w["win"], F.length(txt) + 1, F.lit(AFTER)).alias("after"))
+
+    spans = F.array_distinct(F.array(*[span(p) for p in GENERATORS[kind]]))
+    return F.filter(spans, lambda x: (F.length(x["txt"]) > 0) & ((F.length(x["txt"]) < F.length(w["win"])) | (F.length(w["win"]) < WINDOW)))
 
 
 def _only_valid(kind: str) -> Column:
@@ -122,64 +166,96 @@ def with_rule_spans(documents: DataFrame) -> DataFrame:
     return df
 
 
-def _with_candidates(df: DataFrame) -> DataFrame:
-    for kind in KINDS:
-        df = _with_matches(df, f"_maybe_{kind}", kind, GENERATORS[kind])
-    return df
-
-
 def _plain(kind: str, txt: Column) -> Column:
     """A candidate in one format for all: signs as signs, no spaces about them, numbers as digits only."""
     if kind == "email":
-        signs = F.regexp_replace(txt, r"\s?(?:@|\(at\)|\[at\]|\[@\])\s?", "@")
-        return F.regexp_replace(signs, r"\s?(?:\(dot\)|\[dot\])\s?", ".")
-    return F.regexp_replace(txt, r"\[\.\]|\(\.\)", ".") if kind == "ip" else _digits(txt)
+        return F.regexp_replace(F.regexp_replace(txt, _AT, "@"), r"\s?(?:\(dot\)|\[dot\]|\[\.\])\s?", ".")
+    return F.regexp_replace(txt, rf"\x20?{_STOP}\x20?", ".") if kind == "ip" else _digits(txt)
 
 
-#: Features of which one at least must speak for a candidate that passes the check.
-EVIDENCE = {"email": ("tight", "context"), "ip": (), "card": ("regular", "context"), "phone": ("foreign", "context")}
+def _check(kind: str, txt: Column) -> Column:
+    """Whether the plain form of a candidate can be such data at all. The trees never see this."""
+    plain = _plain(kind, txt)
+    if kind == "card":
+        return F.when(plain.rlike(_ISSUER), _luhn(plain)).otherwise(F.lit(False))
+    if kind == "phone":
+        return F.length(plain).between(9, 15) & ~txt.rlike(r"^(?:19|20)[0-9]{2}[-/.][0-9]{2}[-/.]") & ~plain.rlike(r"^(.)\1*$")
+    return plain.rlike(_IP if kind == "ip" else _EMAIL)
 
 
 def _features(kind: str, x: Column) -> dict[str, Column]:
-    """Numbers that describe the plain form and the context of a candidate, not its separators."""
+    """Numbers that describe the format and the context of a candidate."""
     txt, before, after = x["txt"], x["before"], x["after"]
-    digits, plain = _digits(txt), _plain(kind, txt)
-    check = {
-        "card": F.when(plain.rlike(_ISSUER), _luhn(plain)).otherwise(F.lit(False)),
-        "ip": plain.rlike(_IP),
-        "phone": F.length(digits).between(9, 15),
-        "email": plain.rlike(_EMAIL),
-    }
-    return {
-        "check": check[kind].cast("int"),
-        "context": before.rlike(CONTEXT[kind]).cast("int"),
-        "tight": (~txt.rlike(r"\s@|@\s")).cast("int"),
-        "regular": txt.rlike(_GROUPS).cast("int"),
-        "foreign": txt.rlike(r"^(?:\+|00[1-9])").cast("int"),
+    digits = _digits(txt)
+    found = {
+        "context": before.rlike(CONTEXT[kind]),
+        "tight": ~txt.rlike(r"\s"),
+        "written": txt.rlike(r"[\[(][@.a-z]"),
+        "regular": txt.rlike(_GROUPS),
+        "foreign": txt.rlike(r"^(?:\+|00[1-9])"),
+        "length": F.length(txt),
         "digits": F.length(digits),
         "kinds_of_digits": F.length(F.array_join(F.array_distinct(F.split(digits, "")), "")),
-        "free_before": before.rlike(r"(?:^|[\s(\[,:;<>\"'=])$").cast("int"),
-        "free_after": after.rlike(r"^(?:$|[\s)\],:;<>\"'.!?])").cast("int"),
+        "groups": F.size(F.split(txt, r"[^\p{L}\p{N}]+")),
+        "signs": F.length(F.array_join(F.array_distinct(F.split(F.regexp_replace(txt, r"[\p{L}\p{N}]", ""), "")), "")),
+        "letters_at_end": F.length(F.regexp_extract(txt, r"(\p{L}*)$", 1)),
+        "free_before": before.rlike(r"(?:^|[\s(\[,:;<>\"'=])$"),
+        "free_after": after.rlike(r"^(?:$|[\s)\],:;<>\"'!?]|\.(?:$|\s))"),
+        "more_digits": F.length(_digits(after)),
     }
+    return {k: v.cast("double") for k, v in found.items()}
 
 
-def label(kind: str, rows: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and labels to fit to: right is what passes the check of its plain form and has evidence.
+def _formats(kind: str, x: Column) -> list[tuple[Column, Column, Column, int]]:
+    """Training examples from a rule span: (txt, before, after, label). The span in other formats at the
+    same place is right; glued to a word, inside a longer number, or with a price for a domain it is wrong."""
+    txt, before, after = x["txt"], x["before"], x["after"]
+    glued = F.concat(before, F.lit("x"))
+    groups = lambda sign: F.regexp_replace(_digits(txt), "([0-9]{4})(?=[0-9])", f"$1{sign}")
+    at = lambda sign, dot: F.regexp_replace(F.regexp_replace(txt, r"\.(?=[^@]*$)", dot), "@", sign)
+    formats = {
+        "email": lambda: [at(" (at) ", " (dot) "), at("[at]", "."), at(" [at] ", "[dot]"), at(" @ ", ".")],
+        "ip": lambda: [F.regexp_replace(txt, r"\.", sign) for sign in ("[.]", "(.)", " . ")],
+        "card": lambda: [_digits(txt), groups("."), groups("-"), groups(" ")],
+        "phone": lambda: [F.regexp_replace(txt, r"^\+", "00"), F.regexp_replace(txt, r"^\+", ""), F.regexp_replace(txt, "[() .-]+", "/"), F.concat(F.lit("+"), _digits(txt))],
+    }
+    other = formats[kind]()
+    out = [(t, before, after, 1) for t in (txt, *other)]
+    out += [(t, glued, after, 0) for t in (txt, other[0], other[-1])]
+    if kind == "email":
+        return [*out, *[(F.regexp_replace(txt, "@.*", price), before, after, 0) for price in (" @ 7.30", "@12.50", " @ 9.99")]]
+    return [*out, *[(t, before, F.concat(F.lit(".7"), after), 0) for t in (txt, other[0])]]
+
 
-    Each right row also counts with its check failed, and with its evidence taken away: that is wrong
-    in any format, so wrong rows never lack, and what right and wrong rows share decides nothing.
+def _overlapped(kind: str, c: Column) -> Column:
+    """Whether a candidate overlaps a rule span. An address may hold shorter ones: it extends them.
+
+    Spans of one rule never overlap, so those near a candidate are the last that start before its end.
     """
-    at = [names.index(k) for k in EVIDENCE[kind]]
-    right = (rows[:, names.index("check")] == 1) & (rows[:, at].any(1) if at else True)
-    out = []
-    for row, good in zip(rows, right, strict=True):
-        out.append((row, good))
-        if good:
-            for off in [[names.index("check")], at][: 2 if at else 1]:
-                twin = row.copy()
-                twin[off] = 0
-                out.append((twin, False))
-    return np.array([r for r, _ in out]).reshape(-1, len(names)), np.array([g for _, g in out], float)
+
+    def clash(k: str) -> Column:
+        last = F.size(F.filter(f"_heads_{k}", lambda h: h < c["end"]))
+        near = F.slice(F.col(f"_rule_{k}"), F.greatest((last - 2) * NEAR, F.lit(0)) + 1, F.lit(2 * NEAR))
+
+        def meets(b: Column) -> Column:
+            inside = (c["start"] <= b["start"]) & (b["end"] <= c["end"]) & (b["end"] - b["start"] < c["end"] - c["start"])
+            meet = (b["start"] < c["end"]) & (c["start"] < b["end"])
+            return meet & ~inside if k == kind == "email" else meet
+
+        return F.exists(near, meets)
+
+    out = clash(KINDS[0])
+    for k in KINDS[1:]:
+        out = out | clash(k)
+    return out
+
+
+def _with_heads(df: DataFrame) -> DataFrame:
+    """df with _heads_<kind>: the starts of every NEAR-th rule span."""
+    for k in KINDS:
+        heads = F.expr(f"transform(sequence(0, cast((size(_rule_{k}) - 1) div {NEAR} as int)), b -> _rule_{k}[b * {NEAR}].start)")
+        df = df.withColumn(f"_heads_{k}", F.when(F.size(f"_rule_{k}") > 0, heads).otherwise(F.array().cast("array<int>")))
+    return df
 
 
 def _grow(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int):
@@ -234,27 +310,53 @@ def boost(x: np.ndarray, y: np.ndarray):
     return None
 
 
+def _examples(kind: str):
+    """Functions from a rule span, and from a start, to arrays of labelled training rows."""
+
+    def row(x: Column, label: Column) -> Column:
+        known = {"kind": F.lit(KINDS.index(kind)), "label": label, "at": x["start"], **_features(kind, x)}
+        return F.struct(*[v.cast("double").alias(k) for k, v in known.items()])
+
+    def from_rule(x: Column) -> Column:
+        variants = [F.struct(x["start"].alias("start"), t.alias("txt"), b.alias("before"), a.alias("after"), F.lit(y).alias("label")) for t, b, a, y in _formats(kind, x)]
+        return F.transform(F.array(*variants), lambda v: row(v, v["label"]))
+
+    def from_window(w: Column) -> Column:
+        rest = F.filter(_proposed(kind, w), lambda c: ~_overlapped(kind, c))
+        if kind in ("email", "phone"):
+            wrong = F.filter(rest, lambda c: ~_check(kind, c["txt"]) | ~(c["before"].rlike(CONTEXT[kind]) | c["txt"].rlike(r"^\+")))
+        else:
+            wrong = F.filter(rest, lambda c: ~_check(kind, c["txt"]))
+        return F.transform(wrong, lambda c: row(c, F.lit(0)))
+
+    return from_rule, from_window
+
+
 def fit(documents: DataFrame) -> dict:
-    """A model per kind, fitted to candidates of a bounded sample of documents.
+    """A model per kind, fitted to training rows of a bounded sample of documents, read in one scan.
 
-    Candidates are labelled by their plain form and their context (see label), whether or not a rule
-    has them, so that those in other formats are learned as right too. A kind with fewer than about
-    15 right candidates gets no model and adds nothing.
+    The check of the plain form (Luhn, octets, domain) is held out of the features and only labels:
+    rule spans are right, as they stand and in other formats at the same place (see _formats), and
+    candidates that fail the check are wrong. So are, for addresses and phone numbers, which have no
+    checksum, those that no rule and no word before them speaks for. All other candidates beside the
+    rule spans stay without a label. A kind with fewer than about ten rows of either label gets no model.
     """
     n = documents.count()
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
-    some = documents.select("doc_id", "text").where(draw < F.lit((1 << 20) * min(1.0, SAMPLE_DOCS / max(1, n))))
-    df = _with_candidates(some.where(F.col("text").rlike(r"[0-9@]|\(at\)|\[at\]")).withColumn("_t", F.col("text")))
-    models = {}
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    some = documents.select("doc_id", "text").where(draw < F.lit(int((1 << 40) * min(1.0, SAMPLE_DOCS / max(1, n)))))
+    df = _with_heads(with_rule_spans(some.where(F.col("text").rlike(r"[0-9@]|\(at\)|\[at\]"))))
+    parts: list = []
     for kind in KINDS:
-        names = list(_features(kind, F.col("c")))
-        # not explode: its implied filter would be pushed down and copy all of the expressions into itself
-        rows = df.select("doc_id", F.explode_outer(f"_maybe_{kind}").alias("c")).where("c.start is not null")
-        rows = rows.select(F.xxhash64("doc_id", "c.txt", "c.start").alias("h"), *[v.cast("double").alias(k) for k, v in _features(kind, F.col("c")).items()])
-        data = np.array([tuple(r)[1:] for r in rows.orderBy("h", *names).limit(SAMPLE_CANDIDATES).collect()], float)
-        if len(data):
-            models[kind] = boost(*label(kind, data, names))
-    return models
+        from_rule, from_window = _examples(kind)
+        df = _with_windows(df, "_w", kind)
+        df = df.withColumn(f"_train_{kind}", F.concat(F.flatten(F.transform(f"_rule_{kind}", from_rule)), F.flatten(F.transform("_w", from_window)))).drop("_w")
+        parts.append(f"_train_{kind}")
+    # not explode: its implied filter would be pushed down and copy all of the expressions into itself
+    rows = df.select("doc_id", F.explode_outer(F.concat(*parts)).alias("c")).where("c.kind is not null")
+    rows = rows.select(F.xxhash64("doc_id", "c.at").alias("h"), "c.*").orderBy("h", "kind", "label", *_features("ip", F.col("c")))
+    data = np.array([tuple(r)[1:] for r in rows.limit(len(KINDS) * SAMPLE_CANDIDATES).collect()], float).reshape(-1, 3 + len(_features("ip", F.col("c"))))
+    mine = {kind: data[data[:, 0] == i] for i, kind in enumerate(KINDS)}
+    return {kind: boost(x[:, 3:], x[:, 1]) for kind, x in mine.items() if len(x)}
 
 
 def _tree_column(tree, names: list[Column]) -> Column:
@@ -263,53 +365,65 @@ def _tree_column(tree, names: list[Column]) -> Column:
     return F.when(names[tree[0]] <= tree[1], _tree_column(tree[2], names)).otherwise(_tree_column(tree[3], names))
 
 
-def _chosen(kind: str, model) -> Callable[[Column], Column]:
-    """The probability of a candidate where it reaches the threshold, else null."""
-    trees, a, b, bar = model
+def _probability(kind: str, model) -> Callable[[Column], Column]:
+    """The calibrated probability of a candidate."""
+    trees, a, b, _ = model
 
     def score(x: Column) -> Column:
-        f = F.struct(*[v.cast("double").alias(k) for k, v in _features(kind, x).items()])
-        total = F.transform(F.array(f), lambda f: sum((_tree_column(t, [f[k] for k in _features(kind, x)]) for t in trees[1:]), _tree_column(trees[0], [f[k] for k in _features(kind, x)])))[0]
-        p = 1 / (1 + F.exp(-(total * F.lit(float(a)) + F.lit(float(b)))))
-        return F.when(p >= F.lit(bar), p)
+        names = list(_features(kind, x))
+        f = F.struct(*[v.alias(k) for k, v in _features(kind, x).items()])
+        total = F.transform(F.array(f), lambda f: sum((_tree_column(t, [f[k] for k in names]) for t in trees[1:]), _tree_column(trees[0], [f[k] for k in names])))[0]
+        return 1 / (1 + F.exp(-(total * F.lit(float(a)) + F.lit(float(b)))))
 
     return score
 
 
-def _accepted(rank: int, chosen: Callable[[Column], Column]) -> Column:
-    scored = F.transform("_c", lambda c: F.struct(c["start"].alias("start"), F.lit(rank).alias("rank"), c["end"].alias("end"), chosen(c).alias("p")))
-    return F.filter(scored, lambda c: c["p"].isNotNull())
+def _best(kind: str, model) -> Callable[[Column], Column]:
+    """Of the spans proposed at a start that pass the check, overlap no rule span and reach the threshold,
+    the one of the highest probability (then the longest); null if there is none."""
+    rank, probability, bar = KINDS.index(kind), _probability(kind, model), model[3]
+
+    def best(w: Column) -> Column:
+        spans = F.filter(F.filter(_proposed(kind, w), lambda c: ~_overlapped(kind, c)), lambda c: _check(kind, c["txt"]))
+        scored = F.transform(spans, lambda c: F.struct(probability(c).alias("p"), c["end"].alias("end"), c["start"].alias("start"), F.lit(rank).alias("rank")))
+        return F.array_max(F.filter(scored, lambda c: c["p"] >= F.lit(bar)))
+
+    return best
 
 
 def with_spans(documents: DataFrame, models: dict | None = None) -> DataFrame:
-    """documents with _t, _base and _spans: arrays of (start, rank of the kind, end) in order.
+    """documents (columns doc_id, text) with _t, _base and _spans: arrays of (start, rank of the kind, end) in order.
 
     _base holds the rule spans; _spans also those candidates that reach their threshold, overlap no
-    rule span and lose against no other such candidate that they overlap (higher probability first,
-    then the earlier kind). Positions are code points, ends exclusive.
+    rule span (an address may extend one) and lose against no other such candidate that they overlap
+    (higher probability first, then the earlier kind, the earlier start). Positions are code points,
+    ends exclusive.
     """
     models = fit(documents) if models is None else models
-    df = with_rule_spans(documents)
+    df = _with_heads(with_rule_spans(documents))
     placed = lambda name, rank: F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end")))
     df = df.withColumn("_base", F.array_sort(F.concat(*[placed(f"_rule_{k}", i) for i, k in enumerate(KINDS)])))
     more = []
-    for i, kind in enumerate(KINDS):
+    for kind in KINDS:
         if not models.get(kind):
             continue
-        df = _with_matches(df, "_c", kind, GENERATORS[kind])
-        # most candidates are the rule spans themselves; only the rest is compared and scored
-        spots = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e")))
-        df = df.withColumn("_left", F.array_except(spots("_c"), spots("_base")))
-        df = df.withColumn("_left", F.filter("_left", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["e"]) & (s["s"] < b["end"]))))
-        rest = F.filter("_c", lambda c: F.array_contains("_left", F.struct(c["start"].alias("s"), c["end"].alias("e"))))
-        df = df.withColumn("_c", F.when(F.size("_left") > 0, rest).otherwise(F.array().cast(_SPAN)))
-        df = df.withColumn(f"_more_{kind}", _accepted(i, _chosen(kind, models[kind]))).drop("_c", "_left")
+        df = _with_windows(df, "_w", kind)
+        best = F.transform("_w", _best(kind, models[kind]))
+        df = df.withColumn(f"_more_{kind}", F.filter(best, lambda c: c.isNotNull())).drop("_w")
         more.append(f"_more_{kind}")
     if not more:
         return df.withColumn("_spans", F.col("_base"))
-    df = df.withColumn("_all", F.concat(*more))
-    beats = lambda d, c: (d["p"] > c["p"]) | ((d["p"] == c["p"]) & (d["rank"] < c["rank"]))
-    won = F.filter("_all", lambda c: ~F.exists("_all", lambda d: (d["start"] < c["end"]) & (c["start"] < d["end"]) & beats(d, c)))
+    by_start = lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end"), c["p"].alias("p"))
+    df = df.withColumn("_all", F.array_sort(F.transform(F.concat(*more), by_start)))
+
+    def beaten(c: Column, i: Column) -> Column:
+        # spans are shorter than WINDOW and a kind has one at a start, so rivals stand near in this order
+        reach = WINDOW * len(KINDS)
+        near = F.slice("_all", F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach))
+        first = lambda d: (d["p"] > c["p"]) | ((d["p"] == c["p"]) & ((d["rank"] < c["rank"]) | ((d["rank"] == c["rank"]) & (d["start"] < c["start"]))))
+        return F.exists(near, lambda d: (d["start"] < c["end"]) & (c["start"] < d["end"]) & first(d))
+
+    won = F.filter("_all", lambda c, i: ~beaten(c, i))
     won = F.transform(won, lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end")))
     return df.withColumn("_spans", F.array_sort(F.concat("_base", won))).drop("_all")
 
@@ -334,10 +448,12 @@ def found(documents: DataFrame, models: dict | None = None) -> DataFrame:
 def redact(documents: DataFrame, models: dict | None = None) -> DataFrame:
     """documents with every span replaced by its kind in brackets, and n_chars the new length.
 
-    Overlapping spans are replaced once, by the first. Rows without spans stay as they are.
+    Overlapping spans are replaced once, by the first. Rows without spans, null texts among them, stay
+    as they are; repeated rows are treated alike; columns may have any names; an empty table stays empty.
     """
-    columns = documents.columns
-    df = with_spans(documents, models)
+    columns, row, length = documents.columns, "_row", documents.schema["n_chars"].dataType if "n_chars" in documents.columns else None
+    # the row travels as one struct, so that no column name can clash with those made here
+    df = with_spans(documents.select(F.struct(*columns).alias(row), "doc_id", "text"), fit(documents) if models is None else models)
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("parts"))
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
@@ -348,6 +464,7 @@ def redact(documents: DataFrame, models: dict | None = None) -> DataFrame:
 
     done = F.aggregate("_spans", start, cut, lambda d: F.concat(F.array_join(d["parts"], ""), F.substring(F.col("_t"), d["pos"] + 1, F.length("_t"))))
     df = df.withColumn("text", F.when(F.size("_spans") > 0, done).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        df = df.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType))
-    return df.select(*columns)
+    new = {"text": F.col("text")}
+    if length is not None:
+        new["n_chars"] = F.when(F.size("_spans") > 0, F.length("text")).otherwise(F.col(row)["n_chars"]).cast(length)
+    return df.select(*[new.get(c, F.col(row).getField(c)).alias(c) for c in columns])
