@@ -95,7 +95,7 @@ def build_grammar(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LE
             bucket[end[:-1]] = 1 << _BUCKET_BITS  # no pair goes across the end of a document
             count = np.bincount(bucket, minlength=(1 << _BUCKET_BITS) + 1)
             count[-1] = 0
-            bar = max(least, min(bar, int(count.max())) // 3)
+            bar = max(least, min(bar, int(count.max()) // 2) // 3)
             at = np.flatnonzero((count >= bar).take(bucket))
             bucket = bucket[at]
         key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]

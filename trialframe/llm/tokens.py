@@ -9,14 +9,9 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from itertools import filterfalse
-
-import numpy as np
 
 #: Words that a worker keeps, those of them put together from two others, and the longest kept.
 CACHE_WORDS, CACHE_JOINED, CACHE_CHARS = 450_000, 400_000, 48
-#: Words handed to the library in one string.
-TOGETHER = 2000
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Letters of ASCII and Latin-1 that have one lower-case letter and no other normal form.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -48,6 +43,21 @@ def _mode(tokenizer) -> str:
     return {json.dumps([None, BYTE_LEVEL]): "lead", json.dumps([FOLDING, SPLITTING]): "fold"}.get(json.dumps(parts), "whole")
 
 
+class _Known(dict):
+    """Ids of chunks; what is missing is asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.learn(chunk)
+
+
+class _OddSpace(Exception):
+    """A chunk shows white space that may belong together with its neighbours."""
+
+
 class WordEncoder:
     """Encodes texts like Tokenizer.encode(text, add_special_tokens=False).
 
@@ -55,9 +65,10 @@ class WordEncoder:
     (`lead`), a space or one line feed between two non-space characters is a border of pre-tokens, so
     chunks end there: a chunk stands for a space and a word, or for a line feed and the first word of
     a line. With folded case and white space that only separates (`fold`), chunks are the words. A
-    chunk of plain letters and punctuation is put together from the two. Texts with characters on
-    which the definitions of white space differ, and all texts under any other tokenizer file, are
-    encoded whole.
+    chunk of plain letters is one pre-token, which the file's model cuts; one of plain letters and
+    punctuation is put together from the two; all others go through the whole tokenizer. Texts with
+    characters on which the definitions of white space differ, and all texts under any other
+    tokenizer file, are encoded whole. Ids are kept as little-endian unsigned 32-bit integers.
     """
 
     def __init__(self, path: str):
@@ -66,107 +77,69 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.mode = _mode(self.tokenizer)
         self.lead = self.mode == "lead"
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.border = next(((i, t.content) for i, t in sorted(added.items()) if t.special), None)
         # the signs that stand for the bytes of a letter and of the space that leads a word
         signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         letters = (chr(c) for c in range(0x100) if _PLAIN_WORD.fullmatch(chr(c)))
         self.signs, self.space = {ord(c): signs(c)[0][0] for c in letters}, signs(" ")[0][0] if self.lead else ""
-        self.known: dict = {}  # ids of chunks as little-endian uint32 bytes
-        self.joined, self.marks = 0, {"": b""}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """Ids of each word; words go to the library in one string, with a special token between them."""
-        if self.border is None:
-            return self._whole(words)
-        out: list = []
-        number, name = self.border
-        for i in range(0, len(words), TOGETHER):
-            some = words[i : i + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([name.join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == number)
-            if len(cuts) != len(some) - 1:  # a word holds that token itself
-                out += self._whole(some)
-                continue
-            raw = ids.tobytes()
-            out += [raw[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
-        return out
-
-    def _pieces(self, words: list[str]) -> list[bytes]:
-        """Ids of words of plain letters (case folded already): each is one pre-token, which the model cuts."""
-        cut, signs, space = self.tokenizer.model.tokenize, self.signs, self.space
-        return [array("I", [t.id for t in cut(space + (w if w.isascii() else w.translate(signs)))]).tobytes() for w in words]
-
-    def _learn(self, missing: set) -> dict:
-        """Ids of the missing chunks; the caches keep them while there is room."""
-        fold, whole, parts = not self.lead, set(), []
-        for w in missing:
-            if w.isalpha():
-                low = w.lower() if fold else w
-                parts.append((w, low, "")) if low is not w and low != w and _PLAIN_WORD.fullmatch(w) else whole.add(w)
-            elif m := _WORD_AND_MARKS.fullmatch(w):
-                parts.append((w, m[1].lower() if fold else m[1], m[2]))
-            else:
-                whole.add(w)
-        known, new = self.known, {}
-        words = list(whole.union(filterfalse(known.__contains__, (p[1] for p in parts))))
-        plain = [w for w in words if w.isalpha() and (w.isascii() or _PLAIN_WORD.fullmatch(w)) and (self.lead or w.islower())]
-        new.update(zip(plain, self._pieces(plain), strict=True))
-        words = [w for w in words if w not in new]
-        ids = self._encode([w if w[0] == "\n" else " " + w for w in words] if self.lead else words)
-        new.update(zip(words, ids, strict=True))
-        if marks := {p[2] for p in parts} - self.marks.keys():
-            self.marks.update(zip(marks, self._encode(list(marks)), strict=True))
-        if len(known) - self.joined < CACHE_WORDS:
-            known.update((w, x) for w, x in new.items() if len(w) <= CACHE_CHARS)
-        pairs = {w: (known.get(stem) or new[stem]) + self.marks[mark] for w, stem, mark in parts}
-        if self.joined < CACHE_JOINED:
-            short = {w: x for w, x in pairs.items() if len(w) <= CACHE_CHARS}
-            self.joined += len(short)
-            known.update(short)
-        new.update(pairs)
-        return new
-
-    @staticmethod
-    def _odd(c: str) -> bool:
-        """Whether a chunk shows white space that may belong together with its neighbours."""
-        return not c or c[-1].isspace() or (c[0].isspace() and (c[0] != "\n" or c[1].isspace()))
+        self.line = self._whole("\n") if self.lead else b""
+        self.known, self.marks = _Known(self._learn), _Known(self._mark)
+        self.words, self.joined = CACHE_WORDS, CACHE_JOINED
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _cut(self, space: str, word: str) -> bytes:
+        """Ids of a word of plain letters (case folded already) behind a space or none."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(space + (word if word.isascii() else word.translate(self.signs)))]).tobytes()
+
+    def _mark(self, mark: str) -> bytes:
+        self.marks[mark] = ids = self._whole(mark)
+        return ids
+
+    def _learn(self, chunk: str) -> bytes:
+        """Ids of a new chunk; the caches keep them while there is room."""
+        if chunk.isalpha() and (chunk.isascii() or _PLAIN_WORD.fullmatch(chunk)):
+            low = chunk if self.lead else chunk.lower()
+            if low != chunk:
+                return self._keep_joined(chunk, self.known[low])
+            ids = self._cut(self.space, chunk)
+        elif m := _WORD_AND_MARKS.fullmatch(chunk):
+            stem = self.known[m[1] if self.lead else m[1].lower()]
+            return self._keep_joined(chunk, stem + self.marks[m[2]])
+        elif not self.lead:
+            ids = self._whole(chunk)
+        elif not chunk or chunk[-1].isspace() or (chunk[0].isspace() and (chunk[0] != "\n" or chunk[1].isspace())):
+            raise _OddSpace
+        elif chunk[0] != "\n":
+            ids = self._whole(" " + chunk)
+        else:
+            ids = self.line + self._cut("", chunk[1:]) if _PLAIN_WORD.fullmatch(chunk, 1) else self._whole(chunk)
+        if self.words > 0 and len(chunk) <= CACHE_CHARS:
+            self.words -= 1
+            self.known[chunk] = ids
+        return ids
+
+    def _keep_joined(self, chunk: str, ids: bytes) -> bytes:
+        if self.joined > 0 and len(chunk) <= CACHE_CHARS:
+            self.joined -= 1
+            self.known[chunk] = ids
+        return ids
+
+    def _ids(self, text: str) -> bytes:
+        get = self.known.__getitem__
+        if self.lead:
+            try:  # the line feed put before the first word is one id
+                return b"".join(map(get, ("\n" + text.replace("\n", " \n")).split(" ")))[4:]
+            except _OddSpace:
+                first, *chunks = _INNER_SPACE.split(text)
+                return self._whole(first) + b"".join([self._whole(" " + c) if c[-1].isspace() else get(c) for c in chunks])
+        if any(c in text for c in _NOT_SPACE):
+            return self._whole(text)
+        return b"".join(map(get, text.split()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if self.mode == "whole":
-            return self._whole(texts)
-        get, missing, rows = self.known.get, set(), []
-        for text in texts:
-            head: bytes | None = b""
-            if self.lead:
-                chunks = ("\n" + text.replace("\n", " \n")).split(" ")
-            elif any(c in text for c in _NOT_SPACE):
-                head, chunks = self._whole([text])[0], []
-            else:
-                chunks = text.split()
-            ids = list(map(get, chunks))
-            gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
-            words = [chunks[i] for i in gaps]
-            if self.lead and any(map(self._odd, filterfalse(str.isalpha, words))):
-                first, *chunks = _INNER_SPACE.split(text)
-                head, ids = self._whole([first])[0], list(map(get, chunks))
-                gaps = [i for i, x in enumerate(ids) if x is None]
-                words = [chunks[i] for i in gaps]
-            elif self.lead:
-                head = None
-            missing.update(words)
-            rows.append((head, ids, gaps, words))
-        new, out = self._learn(missing), []
-        for head, ids, gaps, words in rows:
-            for i, w in zip(gaps, words, strict=True):
-                ids[i] = new[w]
-            # the line feed put before the first word is one id
-            out.append(b"".join(ids)[4:] if head is None else head + b"".join(ids))
-        return out
+        """Ids of each text."""
+        return list(map(self._whole if self.mode == "whole" else self._ids, texts))
 
 
 _ENCODERS: dict = {}
