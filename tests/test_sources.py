@@ -3,11 +3,13 @@
 import io
 import struct
 import zlib
+from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trialframe.operators import folds, normalize, weights
 from trialframe.sources import recordings, runs
 
 
@@ -30,9 +32,9 @@ def mat_file(arrays, packed):
 def test_mat_and_npy_cubes_agree(spark, tmp_path, packed):
     rng = np.random.default_rng(1)
     arrays = {"cond2": rng.standard_normal((3, 4, 2)).astype("f4"), "cond10": rng.standard_normal((2, 2, 1)).astype("f4"), "x": np.zeros((1, 1), "f4")}
-    (tmp_path / "conds_110209a.mat").write_bytes(mat_file(arrays, packed))
+    (tmp_path / "conds_990131k.mat").write_bytes(mat_file(arrays, packed))
     for k in (2, 10):
-        np.save(tmp_path / f"conds{k}_110209a.npy", arrays[f"cond{k}"])
+        np.save(tmp_path / f"conds{k}_990131k.npy", arrays[f"cond{k}"])
     mat, npy = recordings.read_mat_cubes(spark, str(tmp_path)), recordings.read_npy_cubes(spark, str(tmp_path))
     assert sorted(mat.collect()) == sorted(npy.collect())
     r = mat.where("cond = 2 and pixel = 1 and frame = 3 and trial = 1").first()
@@ -69,7 +71,49 @@ def test_runs(spark, tmp_path):
 
 
 def test_names_and_permutation_schemas(spark):
-    names = spark.createDataFrame([("sliding_window__110209a24_frame1-100",), ("plain",)], "name string")
-    assert [tuple(r)[1:] for r in runs.parse_run_names(names).collect()] == [("110209", "a", "2,4"), ("", "", "")]
+    names = spark.createDataFrame([("sliding_window__990131k24_frame1-100",), ("plain",)], "name string")
+    assert [tuple(r)[1:] for r in runs.parse_run_names(names).collect()] == [("990131", "k", "2,4"), ("", "", "")]
     old = runs.unified_permutations(spark.createDataFrame([(0, 0.5)], "perm int, shuffled_scores double")).first()
     assert (old.trial_score, old.frame_score) == (0.5, None)
+
+
+def test_run_names_with_times(spark):
+    when = datetime(2031, 5, 6, 7, 8, 9)
+    assert runs.run_id("x", "t", when) == "x__t____2031-05-06_07-08-09"
+    row = spark.createDataFrame([(when, "plain")], "t timestamp, n string").select(runs.suffixed(F.lit("x__t"), F.col("t")).alias("name"), "n")
+    got = row.select("name", runs.run_time(F.col("name")).alias("at"), runs.run_time(F.col("n")).alias("none")).first()
+    assert (got.name, got.at, got.none) == ("x__t____2031-05-06_07-08-09", when, None)
+
+
+def test_permutation_runs(spark, tmp_path):
+    null = spark.createDataFrame([(0, 0, 1, 0.5)], "perm int, window int, fold int, frame_acc double")
+    runs.save_permutations(null, null, {"n_permutations": 1}, str(tmp_path), "p1")
+    row = runs.load_sliding_permutations(spark, str(tmp_path), "p1").first()
+    assert (row.frame_acc, row.trial_acc, row.center, row.run_id) == (0.5, None, None, "p1")
+    with pytest.raises(FileNotFoundError):
+        runs.load_sliding_permutations(spark, str(tmp_path), "p2")
+    old = runs.unified_summary(spark.createDataFrame([(0.7, 0.01)], "real_score double, p double")).first()
+    assert (old.real, old.p, old.null_mean, old.passed) == (0.7, 0.01, None, None)
+
+
+def test_dataset_of_a_configuration(spark):
+    rows = [(s, c, t, f, p, float(c + t + f * p)) for s in "kl" for c in (1, 2) for t in range(2 + c) for f in range(4) for p in range(2)]
+    cube = spark.createDataFrame(rows, "session string, cond int, trial int, frame int, pixel int, value double")
+    config = {"face_file": "conds1_k.npy", "nonface_file": "conds2_k.npy", "baseline_frames": [0, 2]}
+    got = runs.dataset_of(config, cube)
+    assert {(r.trial, r.y) for r in got.select("trial", "y").distinct().collect()} == {(0, 1), (1, 1), (2, 1), (3, 0), (4, 0), (5, 0)}
+    with pytest.raises(ValueError):
+        runs.dataset_of({**config, "nonface_file": "conds2_l.npy"}, cube)
+
+
+def test_validation(spark):
+    cube = spark.createDataFrame([("b", 1, 0, 0, 0, 2.0)], "session string, cond int, trial int, frame int, pixel int, value double")
+    with pytest.raises(ValueError, match="blank"):
+        normalize.blank(cube, 3, strict=True)
+    with pytest.raises(ValueError, match="mask"):
+        weights.sign_timecourse(cube, spark.createDataFrame([(0, True, False)], "pixel int, pos_mask boolean, neg_mask boolean"), strict=True)
+    x = spark.createDataFrame([(0, 1), (0, 0)], "trial int, y int")
+    with pytest.raises(ValueError, match="differ"):
+        folds.require_labels(x, x.limit(1))
+    with pytest.raises(ValueError, match="match"):
+        folds.require_labels(x.limit(1), spark.createDataFrame([(1, 1)], "trial int, y int"))

@@ -1,8 +1,10 @@
 """Linear SVM decoding under group-disjoint cross-validation.
 
-Every fit is one task of a grouped pandas function; a group holds the samples of one window (or one
-dataset), whose size is the experiment's, not the table's. Folds, votes, summaries and choices of C
-are DataFrame operations on the fits' small results.
+With up to NARROW features all fits of an experiment run at once as sums over the distributed samples
+(see primal); samples are never grouped, and their predictions are made where they lie. Experiments
+with more features than that have few samples (an image per trial and frame): there a task of a grouped
+pandas function fits one window or data set. Both reach the same optimum. Folds, votes, summaries and
+choices of C are DataFrame operations on the fits' small results.
 """
 
 from __future__ import annotations
@@ -15,13 +17,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import svm
-from . import features, metrics, significance
+from . import features, metrics, primal, significance
+from .ranking import running_sums
 
 #: The usual grid: 7 values from 1e-4 to 1e2.
 C_GRID = tuple(10.0**k for k in range(-4, 3))
+#: Features up to which fits are sums over distributed samples.
+NARROW = 128
 PREDICTIONS = "trial long, frame int, fold int, y_true int, y_pred int, score double"
 
 
+def _narrow(samples: DataFrame) -> bool:
+    first = samples.select(F.size("features").alias("n")).first()
+    return first is not None and first.n <= NARROW
+
+
 def _sorted_samples(pdf: pd.DataFrame):
     """Samples of a group in a fixed order: features, labels, trials, frames."""
     pdf = pdf.sort_values(["trial", "frame"], kind="stable")
@@ -33,8 +43,62 @@ def _both_sides(test: np.ndarray, y: np.ndarray, what: str) -> None:
         raise ValueError(f"{what} has an empty side or one training class")
 
 
+def _distinct(table: DataFrame, column: str) -> list:
+    """The values of a column that names folds, windows or permutations: as many as the experiment has."""
+    return sorted(r[0] for r in table.select(column).distinct().collect())
+
+
+def _check_folds(placed: DataFrame, keys: tuple = ()) -> None:
+    """An error if a fold has no test samples or fewer than two training classes."""
+    counts = pd.DataFrame([tuple(r) for r in placed.groupBy(*keys, "fold", "y").count().collect()], columns=[*keys, "fold", "y", "n"])
+    for _, part in counts.groupby(list(keys)) if keys else [((), counts)]:
+        for k in part["fold"].unique():
+            if part.loc[part["fold"] != k, "y"].nunique() < 2:
+                raise ValueError(f"fold {k} has an empty side or one training class")
+
+
+def _left_out(pdf: pd.DataFrame, task: dict):
+    """Training rows and labels of a task: its window, without its fold, under its permutation."""
+    on = pdf["fold"].to_numpy() != task["fold"]
+    if task.get("window") is not None:
+        on &= pdf["window"].to_numpy() == task["window"]
+    if task.get("inner") is not None:
+        on &= np.stack(pdf["inner"].to_numpy())[:, task["at"]] != task["inner"]
+    if task.get("perm") is None:
+        return on, pdf["y"].to_numpy()
+    return on, np.stack(pdf["ys"].to_numpy())[:, task["perm"]]
+
+
+def _fits(placed: DataFrame, tasks: list[dict]) -> np.ndarray:
+    return primal.fit_tasks(placed, tasks, _left_out, [t["c"] for t in tasks])[0]
+
+
+def _predicted(placed: DataFrame, tasks: list[dict], models: np.ndarray, extra: str = "") -> DataFrame:
+    """Predictions of the samples that each task left out; `extra` names further columns, of the task or the sample."""
+    more = [c.split()[0] for c in extra.split(",") if c]
+
+    def run(frames):
+        for pdf in frames:
+            x = primal.design(pdf["features"]) if len(pdf) else None
+            for task, v in zip(tasks, models, strict=True) if len(pdf) else ():
+                test = pdf["fold"].to_numpy() == task["fold"]
+                if task.get("window") is not None:
+                    test &= pdf["window"].to_numpy() == task["window"]
+                part, score = pdf[test], x[test] @ v
+                y = part["y"].to_numpy() if task.get("perm") is None else np.array([ys[task["perm"]] for ys in part["ys"]], int)
+                known = {"trial": part["trial"], "frame": part["frame"], "fold": task["fold"], "y_true": y, "y_pred": (score > 0).astype(int), "score": score}
+                yield pd.DataFrame(known | {c: task.get(c, part.get(c)) for c in more})
+
+    return placed.mapInPandas(run, PREDICTIONS + (", " + extra if extra else ""))
+
+
 def cross_validate(samples: DataFrame, fold_of: DataFrame, c: float) -> DataFrame:
     """Out-of-fold predictions of samples(trial, frame, y, features): one fit per fold."""
+    placed = samples.join(fold_of, "trial")
+    if _narrow(samples):
+        _check_folds(placed)
+        tasks = [{"fold": k, "c": c} for k in _distinct(placed, "fold")]
+        return _predicted(placed, tasks, _fits(placed, tasks))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, trial, frame, pdf = _sorted_samples(pdf)
@@ -43,19 +107,23 @@ def cross_validate(samples: DataFrame, fold_of: DataFrame, c: float) -> DataFram
         score = svm.decide(x[test], svm.fit(x[~test], y[~test], c))
         return pd.DataFrame({"trial": trial[test], "frame": frame[test], "fold": pdf["at"].iloc[0], "y_true": y[test], "y_pred": (score > 0).astype(int), "score": score})
 
-    placed = _with_tasks(samples.join(fold_of, "trial"), fold_of.select(F.col("fold").alias("at")).distinct())
-    return placed.groupBy("at").applyInPandas(run, PREDICTIONS)
+    return _with_tasks(placed, [{"at": k} for k in _distinct(fold_of, "fold")]).groupBy("at").applyInPandas(run, PREDICTIONS)
 
 
-def _with_tasks(placed: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Every sample once per task; tasks are the few parameter rows of an experiment."""
-    columns = tasks.columns
-    listed = tasks.agg(F.collect_list(F.struct(*columns)).alias("_tasks"))
-    return placed.crossJoin(F.broadcast(listed)).withColumn("_t", F.explode("_tasks")).select(*placed.columns, *[F.col(f"_t.{k}").alias(k) for k in columns])
+def _with_tasks(placed: DataFrame, tasks: list[dict]) -> DataFrame:
+    """Every sample once per task; tasks are the few parameter rows of a wide experiment."""
+    listed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in t.items()]) for t in tasks])
+    return placed.withColumn("_t", F.explode(listed)).select(*placed.columns, *[F.col(f"_t.{k}").alias(k) for k in tasks[0]])
 
 
 def fold_weights(samples: DataFrame, fold_of: DataFrame, c: float) -> DataFrame:
     """(fold, feature, w) of the fit that leaves each fold out; feature -1 is the bias."""
+    placed = samples.join(fold_of, "trial")
+    if _narrow(samples):
+        _check_folds(placed)
+        tasks = [{"fold": k, "c": c} for k in _distinct(placed, "fold")]
+        rows = [(int(t["fold"]), i if i < len(v) - 1 else -1, float(w)) for t, v in zip(tasks, _fits(placed, tasks), strict=True) for i, w in enumerate(v)]
+        return samples.sparkSession.createDataFrame(rows, "fold int, feature int, w double")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, _, _, pdf = _sorted_samples(pdf)
@@ -64,12 +132,16 @@ def fold_weights(samples: DataFrame, fold_of: DataFrame, c: float) -> DataFrame:
         v = svm.fit(x[~test], y[~test], c)
         return pd.DataFrame({"fold": pdf["at"].iloc[0], "feature": [*range(len(v) - 1), -1], "w": v})
 
-    placed = _with_tasks(samples.join(fold_of, "trial"), fold_of.select(F.col("fold").alias("at")).distinct())
-    return placed.groupBy("at").applyInPandas(run, "fold int, feature int, w double")
+    return _with_tasks(placed, [{"at": k} for k in _distinct(fold_of, "fold")]).groupBy("at").applyInPandas(run, "fold int, feature int, w double")
 
 
 def final_model(samples: DataFrame, c: float) -> DataFrame:
     """(feature, w, gradient) of the fit to all samples; the gradient's entries certify the optimum."""
+    if _narrow(samples):
+        everything = lambda pdf, task: (np.ones(len(pdf), bool), pdf["y"].to_numpy())
+        v, g = primal.fit_tasks(samples, [{}], everything, [c])
+        rows = [(i if i < len(v[0]) - 1 else -1, float(w), float(x)) for i, (w, x) in enumerate(zip(v[0], g[0], strict=True))]
+        return samples.sparkSession.createDataFrame(rows, "feature int, w double, gradient double")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, _, _, pdf = _sorted_samples(pdf)
@@ -80,10 +152,52 @@ def final_model(samples: DataFrame, c: float) -> DataFrame:
     return samples.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "feature int, w double, gradient double")
 
 
+def _with_inner(samples: DataFrame, outer: DataFrame, inner_splits: int):
+    """samples with fold and `inner`: for each outer fold in order the inner fold of the trial in its training set."""
+    folds = _distinct(outer, "fold")
+    ranks = running_sums(outer.select("trial", "fold"), "trial", {f"_in{i}": (F.col("fold") != k).cast("long") for i, k in enumerate(folds)})
+    inner = F.array(*[(F.col(f"_in{i}") % inner_splits).cast("int") for i in range(len(folds))])
+    return samples.join(ranks.select("trial", "fold", inner.alias("inner")), "trial"), folds
+
+
+def _inner_metrics(placed: DataFrame, folds: list, inner_splits: int, grid: tuple, metric: str, perms: list | None = None) -> DataFrame:
+    """(outer, c, fold, metric) of all inner folds, with perm where labels are permuted."""
+    tasks = [
+        {"fold": k, "at": i, "inner": j, "c": float(c), "perm": p}
+        for p in perms or [None] for i, k in enumerate(folds) for c in grid for j in range(inner_splits)
+    ]
+    models = _fits(placed, tasks)
+    names = ["perm", "outer", "c", "fold", "score", "y_true"]
+
+    def run(frames):
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            x, fold, inner = primal.design(pdf["features"]), pdf["fold"].to_numpy(), np.stack(pdf["inner"].to_numpy())
+            for t, v in zip(tasks, models, strict=True):
+                test = (fold != t["fold"]) & (inner[:, t["at"]] == t["inner"])
+                score, y = x[test] @ v, _left_out(pdf, t)[1][test]
+                if metric == "acc":  # hits and number of a batch
+                    score, y = [float(((score > 0) == (y > 0)).sum())], [len(y)]
+                yield pd.DataFrame({"perm": -1 if t["perm"] is None else t["perm"], "outer": t["fold"], "c": t["c"], "fold": t["inner"], "score": score, "y_true": y})[names]
+
+    rows = placed.mapInPandas(run, "perm int, outer int, c double, fold int, score double, y_true int")
+    keys = ("perm", "outer", "c", "fold")
+    if metric == "acc":
+        return rows.groupBy(*keys).agg((F.sum("score") / F.nullif(F.sum("y_true"), F.lit(0))).alias("metric")).where("metric is not null")
+    return metrics.roc_auc(rows, keys).withColumnRenamed("auc", "metric")
+
+
 def inner_scores(samples: DataFrame, outer: DataFrame, inner_splits: int, grid: tuple = C_GRID, metric: str = "acc") -> DataFrame:
-    """(outer, c, fold, metric) of the inner folds in each outer training set: one task per outer fold and C."""
+    """(outer, c, fold, metric) of the inner folds in each outer training set."""
     if metric not in ("acc", "auc") or not grid:
         raise ValueError("metric is acc or auc, the grid not empty")
+    if _narrow(samples):
+        placed, folds = _with_inner(samples, outer, inner_splits)
+        sides = placed.select("y", F.posexplode("inner").alias("at", "i"), F.col("fold").alias("own"))
+        sides = sides.join(F.broadcast(samples.sparkSession.createDataFrame(list(enumerate(folds)), "at int, o int")), "at").where("own <> o")
+        _check_folds(sides.select("at", F.col("i").alias("fold"), "y"), ("at",))
+        return _inner_metrics(placed, folds, inner_splits, grid, metric).drop("perm")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         at, c = pdf["at"].iloc[0], pdf["c"].iloc[0]
@@ -98,10 +212,8 @@ def inner_scores(samples: DataFrame, outer: DataFrame, inner_splits: int, grid:
             out.append((at, c, k, ((score > 0) == y[test]).mean() if metric == "acc" else _auc(score, y[test])))
         return pd.DataFrame(out, columns=["outer", "c", "fold", "metric"])
 
-    spark = samples.sparkSession
-    tasks = outer.select(F.col("fold").alias("at")).distinct().crossJoin(F.broadcast(spark.createDataFrame([(float(c),) for c in grid], "c double")))
-    placed = _with_tasks(samples.join(outer, "trial"), tasks)
-    return placed.groupBy("at", "c").applyInPandas(run, "outer int, c double, fold int, metric double")
+    tasks = [{"at": k, "c": float(c)} for k, c in product(_distinct(outer, "fold"), grid)]
+    return _with_tasks(samples.join(outer, "trial"), tasks).groupBy("at", "c").applyInPandas(run, "outer int, c double, fold int, metric double")
 
 
 def _auc(score: np.ndarray, y: np.ndarray) -> float:
@@ -117,9 +229,14 @@ def _auc(score: np.ndarray, y: np.ndarray) -> float:
 def nested(samples: DataFrame, outer: DataFrame, inner_splits: int = 4, grid: tuple = C_GRID, metric: str = "acc", rule: str = "one_se", tie_break: str = "smaller"):
     """Predictions (with the fold's C) of the outer folds, C being chosen inside each training set.
 
-    Two jobs instead of nested loops: all (outer, C) tasks, then all outer fits.
+    Two steps instead of nested loops: all inner fits of all outer folds and C, then all outer fits.
     """
     chosen = metrics.select_c(inner_scores(samples, outer, inner_splits, grid, metric).withColumnRenamed("fold", "inner").withColumnRenamed("outer", "fold"), rule, tie_break, ("fold",))
+    tasks = [{"fold": r["fold"], "c": r["c"]} for r in chosen.orderBy("fold").collect()]
+    placed = samples.join(outer, "trial")
+    if _narrow(samples):
+        _check_folds(placed)
+        return _predicted(placed, tasks, _fits(placed, tasks), "c double")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         at, c = pdf["at"].iloc[0], pdf["c"].iloc[0]
@@ -129,8 +246,23 @@ def nested(samples: DataFrame, outer: DataFrame, inner_splits: int = 4, grid: tu
         score = svm.decide(x[test], svm.fit(x[~test], y[~test], c))
         return pd.DataFrame({"trial": trial[test], "frame": frame[test], "fold": at, "y_true": y[test], "y_pred": (score > 0).astype(int), "score": score, "c": c})
 
-    placed = _with_tasks(samples.join(outer, "trial"), chosen.select(F.col("fold").alias("at"), "c"))
-    return placed.groupBy("at", "c").applyInPandas(run, PREDICTIONS + ", c double")
+    return _with_tasks(placed, [{"at": t["fold"], "c": t["c"]} for t in tasks]).groupBy("at", "c").applyInPandas(run, PREDICTIONS + ", c double")
+
+
+def nested_record(samples: DataFrame, outer: DataFrame, predictions: DataFrame) -> dict[str, DataFrame]:
+    """All tables of a nested run: folds, weights of each outer fit, trials out of fold, confusion, summary.
+
+    An error if the folds do not test every sample exactly once.
+    """
+    tested = predictions.groupBy("trial", "frame").count().agg(F.count(F.lit(1)), F.max("count")).first()
+    if tested[0] != samples.count() or (tested[1] or 0) > 1:
+        raise RuntimeError("the folds do not test every sample exactly once")
+    weights = None
+    for r in predictions.select("fold", "c").distinct().orderBy("fold").collect():
+        own = fold_weights(samples, outer.withColumn("fold", F.when(F.col("fold") == r["fold"], F.col("fold")).otherwise(F.lit(-1))), r["c"]).where(F.col("fold") == r["fold"])
+        weights = own if weights is None else weights.union(own)
+    trials = metrics.majority_vote(predictions)
+    return {"folds": metrics.fold_metrics(predictions), "weights": weights, "trials": trials, "confusion": metrics.confusion(trials), "summary": nested_summary(predictions)}
 
 
 def nested_summary(predictions: DataFrame) -> DataFrame:
@@ -146,8 +278,18 @@ def window_samples(cube: DataFrame, size: int, first: int, last: int, step: int
     return cells.groupBy("window", "center", "trial", "frame", "y").agg(F.transform(ordered, lambda c: c["value"]).alias("features"))
 
 
+def _window_tasks(samples: DataFrame, fold_of: DataFrame, c: float, perms: list | None = None):
+    placed = samples.join(fold_of, "trial")
+    _check_folds(placed, ("window",))
+    keys = product(_distinct(samples, "window"), _distinct(fold_of, "fold"), perms or [None])
+    return placed, [{"window": w, "fold": k, "perm": p, "c": c} for w, k, p in keys]
+
+
 def sliding_decode(samples: DataFrame, fold_of: DataFrame, c: float = 1e-4) -> DataFrame:
-    """Predictions per window: window, center and those of cross_validate; one task per window, all folds."""
+    """Predictions per window: window, center and those of cross_validate; all windows and folds at once."""
+    if _narrow(samples):
+        placed, tasks = _window_tasks(samples, fold_of, c)
+        return _predicted(placed, tasks, _fits(placed, tasks), "window int, center int")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, trial, frame, pdf = _sorted_samples(pdf)
@@ -173,6 +315,10 @@ def sliding_curve(predictions: DataFrame) -> DataFrame:
 
 def sliding_weights(samples: DataFrame, fold_of: DataFrame, c: float = 1e-4) -> DataFrame:
     """(window, fold, feature, w) of all fits."""
+    if _narrow(samples):
+        placed, tasks = _window_tasks(samples, fold_of, c)
+        rows = [(int(t["window"]), int(t["fold"]), i, float(w)) for t, v in zip(tasks, _fits(placed, tasks), strict=True) for i, w in enumerate(v[:-1])]
+        return samples.sparkSession.createDataFrame(rows, "window int, fold int, feature int, w double")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, _, _, pdf = _sorted_samples(pdf)
@@ -183,24 +329,47 @@ def sliding_weights(samples: DataFrame, fold_of: DataFrame, c: float = 1e-4) ->
     return samples.join(fold_of, "trial").groupBy("window").applyInPandas(run, "window int, fold int, feature int, w double")
 
 
+def sliding_record(samples: DataFrame, fold_of: DataFrame, c: float = 1e-4) -> dict[str, DataFrame]:
+    """All tables of a sliding run: predictions, curve per window, and mean and deviation of each weight per window."""
+    predictions = sliding_decode(samples, fold_of, c)
+    means = sliding_weights(samples, fold_of, c).groupBy("window", "feature").agg(F.avg("w").alias("mean"), F.stddev_samp("w").alias("std"))
+    return {"predictions": predictions, "curve": sliding_curve(predictions), "weights": means}
+
+
+def _with_labels(samples: DataFrame, labels: DataFrame):
+    """samples with `ys`, their trial's permuted labels in the order of the permutations, and those permutations."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("perm", F.col("y_perm").cast("int").alias("y")))), lambda s: s["y"])
+    return samples.join(labels.groupBy("trial").agg(ordered.alias("ys")), "trial"), _distinct(labels, "perm")
+
+
+def _accuracies(predictions: DataFrame, keys: tuple) -> DataFrame:
+    """keys, frame_acc and trial_acc."""
+    votes = metrics.trial_accuracy(predictions, keys).select(*keys, F.col("acc").alias("trial_acc"))
+    return metrics.accuracy(predictions, keys).select(*keys, F.col("acc").alias("frame_acc")).join(votes, list(keys))
+
+
 def sliding_permutations(samples: DataFrame, fold_of: DataFrame, labels: DataFrame, c: float = 1e-4, perms_a_task: int = 10) -> DataFrame:
     """(perm, window, fold, frame_acc, trial_acc) under permuted labels(perm, trial, y_perm).
 
-    A task takes one window and a few permutations: the Gram matrix of the window is computed once
-    and serves all its fits, as only the labels change.
+    Labels are joined to the samples by trial. In wide experiments a task takes one window and a few
+    permutations: the window's Gram matrix is computed once and serves all its fits, as only the
+    labels change.
     """
-    packs = labels.groupBy(F.floor(F.col("perm") / F.lit(perms_a_task)).cast("int").alias("pack")).agg(F.collect_list(F.struct("perm", "trial", "y_perm")).alias("labels"))
+    labelled, perms = _with_labels(samples, labels)
+    if _narrow(samples):
+        placed, tasks = _window_tasks(labelled, fold_of, c, list(range(len(perms))))
+        predictions = _predicted(placed, tasks, _fits(placed, tasks), "window int, perm int")
+        out = _accuracies(predictions, ("perm", "window", "fold"))
+        names = samples.sparkSession.createDataFrame([(i, int(p)) for i, p in enumerate(perms)], "perm int, name int")
+        return out.join(F.broadcast(names), "perm").select(F.col("name").alias("perm"), "window", "fold", "frame_acc", "trial_acc")
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"perm": [], "window": [], "fold": [], "frame_acc": [], "trial_acc": []})
-        x, _, trial, _, pdf = _sorted_samples(left)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, _, trial, _, pdf = _sorted_samples(pdf)
         fold, wide = pdf["fold"].to_numpy(), x.shape[1] > len(x)
         k = x @ x.T + 1 if wide else None
-        table = pd.DataFrame([tuple(r.values()) for r in right["p_labels"].iloc[0]], columns=["perm", "trial", "y"])
-        out = []
-        for perm, rows in table.groupby("perm"):
-            y = rows.set_index("trial")["y"].reindex(trial).to_numpy()
+        ys, out = np.stack(pdf["ys"].to_numpy()), []
+        for i in range(ys.shape[1]):
+            y = ys[:, i]
             for f in np.unique(fold):
                 test = fold == f
                 if len(np.unique(y[~test])) < 2:
@@ -210,38 +379,54 @@ def sliding_permutations(samples: DataFrame, fold_of: DataFrame, labels: DataFra
                 else:
                     score = svm.decide(x[test], svm.fit_primal(x[~test], y[~test], c))
                 hit = pd.DataFrame({"trial": trial[test], "p": score > 0, "y": y[test]}).groupby("trial").agg(p=("p", "mean"), y=("y", "first"))
-                out.append((perm, pdf["window"].iloc[0], f, ((score > 0) == y[test]).mean(), ((hit["p"] > 0.5) == hit["y"]).mean()))
+                out.append((perms[pdf["pack"].iloc[0] * perms_a_task + i], pdf["window"].iloc[0], f, ((score > 0) == y[test]).mean(), ((hit["p"] > 0.5) == hit["y"]).mean()))
         return pd.DataFrame(out, columns=["perm", "window", "fold", "frame_acc", "trial_acc"])
 
-    placed = _with_tasks(samples.join(fold_of, "trial"), packs.select("pack"))
-    windows = samples.select("window").distinct()
-    listed = windows.crossJoin(F.broadcast(packs))  # a row of labels for each window and pack
-    listed = listed.select(*[F.col(c).alias(f"p_{c}") for c in ("window", "pack", "labels")])  # both sides read the same table
-    return placed.groupBy("window", "pack").cogroup(listed.groupBy("p_window", "p_pack")).applyInPandas(run, "perm int, window int, fold int, frame_acc double, trial_acc double")
+    packs = -(-len(perms) // perms_a_task)
+    placed = labelled.join(fold_of, "trial").withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
+    placed = placed.withColumn("ys", F.slice("ys", F.col("pack") * perms_a_task + 1, F.lit(perms_a_task)))
+    return placed.groupBy("window", "pack").applyInPandas(run, "perm int, window int, fold int, frame_acc double, trial_acc double")
 
 
-def fixed_permutations(samples: DataFrame, outer: DataFrame, labels: DataFrame, inner_splits: int = 4, grid: tuple = C_GRID) -> DataFrame:
-    """(perm, fold, frame_acc, trial_acc) of nested decoding under permuted labels: one task per permutation and fold."""
+def fixed_permutations(samples: DataFrame, outer: DataFrame, labels: DataFrame, inner_splits: int = 4, grid: tuple = C_GRID, metric: str = "acc") -> DataFrame:
+    """(perm, fold, frame_acc, trial_acc) of nested decoding under permuted labels; with metric `auc`, frame_acc is the area.
+
+    C is chosen inside each training set by the one-standard-error rule.
+    """
+    if _narrow(samples):
+        placed, folds = _with_inner(samples, outer, inner_splits)
+        placed, perms = _with_labels(placed, labels)
+        scores = _inner_metrics(placed, folds, inner_splits, grid, metric, list(range(len(perms))))
+        chosen = metrics.select_c(scores.withColumnRenamed("fold", "inner").withColumnRenamed("outer", "fold"), keys=("perm", "fold"))
+        tasks = [{"perm": r["perm"], "fold": r["fold"], "c": r["c"]} for r in chosen.orderBy("perm", "fold").collect()]
+        predictions = _predicted(placed, tasks, _fits(placed, tasks), "perm int")
+        out = _accuracies(predictions, ("perm", "fold"))
+        if metric == "auc":
+            out = out.drop("frame_acc").join(metrics.roc_auc(predictions, ("perm", "fold")).withColumnRenamed("auc", "frame_acc"), ["perm", "fold"])
+        names = samples.sparkSession.createDataFrame([(i, int(p)) for i, p in enumerate(perms)], "perm int, name int")
+        return out.join(F.broadcast(names), "perm").select(F.col("name").alias("perm"), "fold", "frame_acc", "trial_acc")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         at, perm = pdf["at"].iloc[0], pdf["perm"].iloc[0]
         x, y, trial, _, pdf = _sorted_samples(pdf)
         test = pdf["fold"].to_numpy() == at
         xs, ys, names = x[~test], y[~test], np.unique(trial[~test])
+        k = xs @ xs.T + 1  # serves all fits of the task
         inner, scores = np.searchsorted(names, trial[~test]) % inner_splits, []
-        for c, k in product(grid, range(min(inner_splits, len(names)))):
-            v = svm.fit(xs[inner != k], ys[inner != k], c)
-            scores.append((c, ((svm.decide(xs[inner == k], v) > 0) == ys[inner == k]).mean()))
+        for c, j in product(grid, range(min(inner_splits, len(names)))):
+            here = inner == j
+            score = k[np.ix_(here, ~here)] @ svm.fit_gram(k[np.ix_(~here, ~here)], ys[~here], c)
+            scores.append((c, ((score > 0) == ys[here]).mean() if metric == "acc" else _auc(score, ys[here])))
         by_c = pd.DataFrame(scores, columns=["c", "m"]).groupby("c")["m"].agg(["mean", "std", "count"])
-        best = by_c["mean"].idxmax()
+        best = by_c["mean"].round(12).idxmax()
         se = np.nan_to_num(by_c.loc[best, "std"] / np.sqrt(by_c.loc[best, "count"]))
-        c = by_c.index[by_c["mean"] >= by_c.loc[best, "mean"] - se].min()
-        label = svm.decide(x[test], svm.fit(xs, ys, c)) > 0
-        vote = pd.DataFrame({"t": trial[test], "p": label, "y": y[test]}).groupby("t").agg(p=("p", "mean"), y=("y", "first"))
-        return pd.DataFrame({"perm": [perm], "fold": [at], "frame_acc": [(label == y[test]).mean()], "trial_acc": [((vote["p"] > 0.5) == vote["y"]).mean()]})
+        c = by_c.index[by_c["mean"].round(12) >= round(by_c.loc[best, "mean"] - se, 12)].min()
+        score = (x[test] @ xs.T + 1) @ svm.fit_gram(k, ys, c)
+        vote = pd.DataFrame({"t": trial[test], "p": score > 0, "y": y[test]}).groupby("t").agg(p=("p", "mean"), y=("y", "first"))
+        frame = ((score > 0) == y[test]).mean() if metric == "acc" else _auc(score, y[test])
+        return pd.DataFrame({"perm": [perm], "fold": [at], "frame_acc": [frame], "trial_acc": [((vote["p"] > 0.5) == vote["y"]).mean()]})
 
-    tasks = outer.select(F.col("fold").alias("at")).distinct()
-    placed = _with_tasks(samples.drop("y").join(outer, "trial"), tasks).join(labels.withColumnRenamed("y_perm", "y"), "trial")
+    placed = _with_tasks(samples.drop("y").join(outer, "trial"), [{"at": k} for k in _distinct(outer, "fold")]).join(labels.withColumnRenamed("y_perm", "y"), "trial")
     return placed.groupBy("perm", "at").applyInPandas(run, "perm int, fold int, frame_acc double, trial_acc double")
 
 

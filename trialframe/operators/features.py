@@ -6,9 +6,9 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.numeric import skip_nan
+from .ranking import ranked
 
 
 def in_region(cube: DataFrame, roi: DataFrame) -> DataFrame:
@@ -46,22 +46,23 @@ def window_average(cube: DataFrame, start: int, end: int) -> DataFrame:
     return extract_window(cube, start, end).groupBy("trial", "pixel").agg(F.avg(skip_nan(F.col("value"))).alias("value"))
 
 
-def balanced(trials: DataFrame, label: str = "y") -> DataFrame:
+def balanced(trials: DataFrame, label: str = "y", keys: tuple = ()) -> DataFrame:
     """The first n trials of each label, n being the smaller count, numbered anew: label 1 first.
 
-    trials(trial, y) has one row per trial.
+    trials(trial, y) has one row per trial; keys part data sets that are balanced each by itself.
     """
-    n = trials.groupBy(label).agg(F.count(F.lit(1)).alias("k")).agg(F.min("k").alias("n"), F.count(F.lit(1)).alias("labels"))
-    ranked = trials.withColumn("rank", F.row_number().over(W.partitionBy(label).orderBy("trial")))
-    kept = ranked.join(F.broadcast(n), F.col("rank") <= F.col("n"))  # one row
-    return kept.withColumn("index", F.col("rank") - 1 + F.when(F.col(label) == 1, F.lit(0)).otherwise(F.col("n"))).select("trial", label, F.col("index").cast("int").alias("index"))
+    n = trials.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("k")).groupBy(*keys).agg(F.min("k").alias("n"))
+    rows = ranked(trials, "trial", "rank", (*keys, label))
+    rows = rows.join(n, list(keys)) if keys else rows.crossJoin(F.broadcast(n))  # one row
+    place = F.col("rank") + F.when(F.col(label) == 1, F.lit(0)).otherwise(F.col("n"))
+    return rows.where("rank < n").select(*keys, "trial", label, place.cast("int").alias("index"))
 
 
-def pairwise_dataset(cube: DataFrame, face: int, nonface: int) -> DataFrame:
+def pairwise_dataset(cube: DataFrame, face: int, nonface: int, keys: tuple = ()) -> DataFrame:
     """Cells of two conditions with equal trial counts: trial numbered anew (face first), y 1 for face."""
     two = cube.where(F.col("cond").isin(face, nonface)).withColumn("y", F.when(F.col("cond") == face, 1).otherwise(0))
-    index = balanced(two.select("trial", "y").distinct())
-    return two.join(index, ["trial", "y"]).drop("trial").withColumnRenamed("index", "trial")
+    index = balanced(two.select(*keys, "trial", "y").distinct(), "y", keys)
+    return two.join(index, [*keys, "trial", "y"]).drop("trial").withColumnRenamed("index", "trial")
 
 
 def frames_as_samples(cube: DataFrame, start: int, n_frames: int) -> DataFrame:

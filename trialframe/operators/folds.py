@@ -69,6 +69,18 @@ def impure_groups(samples: DataFrame) -> DataFrame:
     return samples.groupBy("trial").agg(F.countDistinct("y").alias("labels")).where("labels > 1")
 
 
+def require_labels(samples: DataFrame, trials: DataFrame) -> None:
+    """An error unless each trial's samples agree on the label and trials(trial, y) names each trial once, with it."""
+    if impure_groups(samples).limit(1).count():
+        raise ValueError("labels differ within a trial")
+    if trials.count() != trials.select("trial").distinct().count():
+        raise ValueError("a trial has several labels")
+    first = samples.select("trial", F.col("y").alias("_y")).distinct()
+    both = first.join(trials.select("trial", "y"), "trial", "full").where("y is null or _y is null or y <> _y")
+    if both.limit(1).count():
+        raise ValueError("trials and samples do not match")
+
+
 def shuffle_key(seed: str, *columns: str) -> Column:
     """A reproducible random order: md5 of seed and ids, the same in any engine."""
     return F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in columns]))

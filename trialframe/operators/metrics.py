@@ -129,13 +129,14 @@ def select_c(grid: DataFrame, rule: str = "one_se", tie_break: str = "smaller",
 
     one_se: the standard error of the best C (sample deviation over the root of its folds); best: the
     smallest finite standard error on the grid. The first of equal means is the best.
+    Means are compared after rounding to 12 places, so that equal shares count as equal.
     """
     if rule not in ("one_se", "best") or tie_break not in ("smaller", "larger"):
         raise ValueError("rule is one_se or best, tie_break smaller or larger")
     by_c = grid.groupBy(*keys, "c").agg(F.avg("metric").alias("mean"), (F.stddev_samp("metric") / F.sqrt(F.count("metric"))).alias("se"))
     w = W.partitionBy(*keys or [F.lit(0)])
     best_se = F.max_by("se", F.struct("mean", -F.col("c"))).over(w) if rule == "one_se" else F.min("se").over(w)
-    near = by_c.select("*", F.max("mean").over(w).alias("best"), F.coalesce(best_se, F.lit(0.0)).alias("tolerance")).where("mean >= best - tolerance")
+    near = by_c.select("*", F.max("mean").over(w).alias("best"), F.coalesce(best_se, F.lit(0.0)).alias("tolerance")).where("round(mean, 12) >= round(best - tolerance, 12)")
     pick = F.min("c") if tie_break == "smaller" else F.max("c")
     return near.groupBy(*keys).agg(pick.alias("c"))
 

@@ -99,3 +99,14 @@ def rank_sum(real: DataFrame, null: DataFrame, alternative: str = "greater") ->
     s = s.withColumn("z", F.try_divide(half, F.col("sd")))
     tail = normal_tail(F.col("z")) * (2 if alternative == "two_sided" else 1)
     return s.select("window", "u", "z", F.least(F.lit(1.0), F.coalesce(tail, F.lit(1.0))).alias("p"))
+
+
+def rank_sum_adjusted(real: DataFrame, null: DataFrame, alternative: str = "greater", alpha: float = 0.05) -> DataFrame:
+    """rank_sum with p-values adjusted over all windows, and whether they lie below alpha."""
+    out = benjamini_hochberg(rank_sum(real, null, alternative))
+    return out.withColumn("significant", F.col("p_fdr") < alpha)
+
+
+def first_windows(table: DataFrame, n: int = 45) -> DataFrame:
+    """The first n windows of a result; p-values stay as they were adjusted over all windows."""
+    return table.where(F.col("window") < n)

@@ -51,9 +51,17 @@ def extreme_masks(weights: DataFrame, frac: float, keys: tuple = (), strict: boo
     return joined.withColumn("pos_mask", mark(w > 0, w >= F.col("pos_cut"))).withColumn("neg_mask", mark(w < 0, w <= F.col("neg_cut")))
 
 
-def sign_timecourse(cube: DataFrame, masks: DataFrame) -> DataFrame:
-    """Mean activation per frame of the pixels in each mask: (sign, frame, mean)."""
+def sign_timecourse(cube: DataFrame, masks: DataFrame, strict: bool = False) -> DataFrame:
+    """Mean activation per frame of the pixels in each mask: (sign, frame, mean).
+
+    strict: an empty mask, or masked pixels that the cube lacks, are an error.
+    """
     signs = masks.select("pixel", F.explode(F.array(F.when(F.col("pos_mask"), 1), F.when(F.col("neg_mask"), -1))).alias("sign")).where("sign is not null").distinct()
+    if strict:
+        if signs.select("sign").distinct().count() < 2:
+            raise ValueError("a mask has no pixels")
+        if signs.join(cube.select("pixel").distinct(), "pixel", "left_anti").limit(1).count():
+            raise ValueError("the masks hold pixels that the cube lacks")
     return cube.join(signs, "pixel").groupBy("sign", "frame").agg(F.avg("value").alias("mean"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import ms_axis
 from ..operators import features, folds, normalize
 from ..sources import fixtures as fx
+from ..sources import runs
 
 BASE = (0, 4)
 
@@ -45,7 +46,18 @@ def balance_classes(s, d):
 
 
 def pairwise_dataset(s, d):
-    return _r(features.pairwise_dataset(fx.sparse(s, d).where("session = 'N'"), 1, 4).select("trial", "y", "frame", "pixel", "value"), value=6)
+    return _r(features.pairwise_dataset(fx.sparse(s, d), 1, 4, ("session",)).select("session", "trial", "y", "frame", "pixel", "value"), value=6)
+
+
+def dataset_from_config(s, d):
+    """The data set that each session's configuration describes, z-scored over its baseline."""
+    cube = fx.sparse(s, d)
+    out = None
+    for r in cube.select("session").distinct().orderBy("session").collect():
+        config = {"face_file": f"conds1_{r.session}.npy", "nonface_file": f"conds4_{r.session}.npy", "zscore_baseline_frames": [0, 6]}
+        one = runs.dataset_of(config, cube)
+        out = one if out is None else out.union(one)
+    return _r(out.select("session", "trial", "y", "frame", "pixel", "z"), z=5)
 
 
 def roi_semi_join(s, d):
@@ -137,7 +149,7 @@ def split_matrix(s, d):
 
 def bad_splits(s, d):
     t = fx.trials(s, d)
-    return folds.bad_splits(t, folds.modulo_folds(t.where("trial < 3"), 5), 5)
+    return folds.bad_splits(t, folds.modulo_folds(t, 7), 12)
 
 
 def minmax_scale(s, d):
@@ -152,6 +164,13 @@ _Z = """SELECT trial, pixel, frame, round((value - mu) / greatest(sd, 1e-8), 6)
 _ZS = """cs AS (SELECT *, avg(value) FILTER (frame < 4) OVER (PARTITION BY pixel, trial) AS mu FROM {0}),
     zs AS (SELECT *, stddev_pop(value - mu) FILTER (frame < 4) OVER (PARTITION BY pixel) AS sd FROM cs)"""
 
+_PAIRS = """two AS (SELECT *, CASE WHEN cond = 1 THEN 1 ELSE 0 END AS y FROM sparse WHERE cond IN (1, 4)),
+    t AS (SELECT DISTINCT session, trial, y FROM two), r AS (SELECT *, row_number() OVER (PARTITION BY session, y ORDER BY trial) AS k FROM t),
+    n AS (SELECT session, min(c) AS n FROM (SELECT session, count(*) AS c FROM t GROUP BY session, y) GROUP BY session),
+    pw AS (SELECT session, CAST(k - 1 + CASE WHEN y = 1 THEN 0 ELSE n END AS INTEGER) AS trial, y, frame, pixel, value FROM two JOIN r USING (session, trial, y) JOIN n USING (session) WHERE k <= n)"""
+#: The edges of the polygon of roi_polygon.
+_EDGES = "(VALUES (0.2e0, 0.2e0, 1.9e0, 0.3e0), (1.9e0, 0.3e0, 0.3e0, 1.8e0), (0.3e0, 1.8e0, 0.2e0, 0.2e0)) e(x1, y1, x2, y2)"
+
 ORACLES = {
     "zscore_pooled": f"{fx.with_tables('dense')}, {_ZS.format('dense')} {_Z}",
     "zscore_per_trial": f"""{fx.with_tables("dense")} SELECT trial, pixel, frame, round((value - avg(value) FILTER (frame < 4) OVER w)
@@ -166,12 +185,14 @@ ORACLES = {
     "balance_classes": f"""{fx.with_tables("trials")}, r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY trial) AS k FROM trials),
         n AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM trials GROUP BY y))
         SELECT trial, y, CAST(k - 1 + CASE WHEN y = 1 THEN 0 ELSE n END AS INTEGER) AS "index" FROM r, n WHERE k <= n""",
-    "pairwise_dataset": f"""{fx.with_tables("sparse")}, two AS (SELECT *, CASE WHEN cond = 1 THEN 1 ELSE 0 END AS y FROM sparse WHERE session = 'N' AND cond IN (1, 4)),
-        t AS (SELECT DISTINCT trial, y FROM two), r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY trial) AS k FROM t), n AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM t GROUP BY y))
-        SELECT CAST(k - 1 + CASE WHEN y = 1 THEN 0 ELSE n END AS INTEGER) AS trial, y, frame, pixel, round(value, 6) AS value FROM two JOIN r USING (trial, y), n WHERE k <= n""",
+    "pairwise_dataset": f"{fx.with_tables('sparse')}, {_PAIRS} SELECT session, trial, y, frame, pixel, round(value, 6) AS value FROM pw",
+    "dataset_from_config": f"""{fx.with_tables("sparse")}, {_PAIRS}, cs AS (SELECT *, avg(value) FILTER (frame < 6) OVER (PARTITION BY session, pixel, trial) AS mu FROM pw),
+        zs AS (SELECT *, stddev_pop(value - mu) FILTER (frame < 6) OVER (PARTITION BY session, pixel) AS sd FROM cs)
+        SELECT session, trial, y, frame, pixel, round((value - mu) / greatest(sd, 1e-8), 5) AS z FROM zs""",
     "roi_semi_join": f"{fx.with_tables('dense', 'roi')} SELECT trial, y, frame, pixel, round(value, 6) AS value FROM dense WHERE pixel IN (SELECT pixel FROM roi)",
     "roi_anti_join": f"{fx.with_tables('dense', 'roi')} SELECT trial, y, frame, pixel, round(value, 6) AS value FROM dense WHERE pixel NOT IN (SELECT pixel FROM roi)",
-    "roi_polygon": f"{fx.with_tables('dense')} SELECT pixel, count(*) AS cells FROM dense WHERE pixel IN (0, 1, 2) GROUP BY pixel",
+    "roi_polygon": f"""{fx.with_tables("dense")}, p AS (SELECT pixel, count(*) AS cells, pixel % 2 + 0.5e0 AS px, pixel // 2 + 0.5e0 AS py FROM dense GROUP BY pixel)
+        SELECT pixel, cells FROM p, {_EDGES} GROUP BY pixel, cells HAVING count(*) FILTER ((y1 > py) <> (y2 > py) AND px < (py - y1) * (x2 - x1) / (y2 - y1) + x1) % 2 = 1""",
     "extract_window": f"{fx.with_tables('dense')} SELECT trial, frame, pixel, round(value, 6) AS value FROM dense WHERE frame >= 4 AND frame < 9",
     "window_average": f"{fx.with_tables('dense')} SELECT trial, pixel, round(avg(value), 6) AS value FROM dense WHERE frame >= 4 AND frame < 9 GROUP BY trial, pixel",
     "frames_as_samples_stats": f"""{fx.with_tables("dense")} SELECT trial * 5 + frame - 4 AS sample_id, trial, frame, y, round(max(value) FILTER (pixel = 0), 6) AS f0, round(max(value) FILTER (pixel = 1), 6) AS f1,
@@ -193,8 +214,8 @@ ORACLES = {
     "label_purity": f"{fx.with_tables('sparse')} SELECT trial, count(DISTINCT cond) AS labels FROM sparse GROUP BY trial HAVING count(DISTINCT cond) > 1",
     "split_matrix": f"""{fx.with_tables("trials")}, f AS (SELECT trial, (row_number() OVER (ORDER BY trial) - 1) % 5 AS fold FROM trials)
         SELECT CAST(k AS INTEGER) AS fold, trial, CAST(fold = k AS INTEGER) AS in_test FROM f, range(0, 5) r(k)""",
-    "bad_splits": f"""{fx.with_tables("trials")}, f AS (SELECT (row_number() OVER (ORDER BY trial) - 1) % 5 AS fold FROM trials WHERE trial < 3), n AS (SELECT count(*) AS total FROM trials)
-        SELECT CAST(k AS INTEGER) AS fold, coalesce(c, 0) AS test FROM range(0, 5) r(k) LEFT JOIN (SELECT fold, count(*) AS c FROM f GROUP BY fold) ON fold = k, n WHERE coalesce(c, 0) IN (0, total)""",
+    "bad_splits": f"""{fx.with_tables("trials")}, f AS (SELECT (row_number() OVER (ORDER BY trial) - 1) % 7 AS fold FROM trials), n AS (SELECT count(*) AS total FROM trials)
+        SELECT CAST(k AS INTEGER) AS fold, coalesce(c, 0) AS test FROM range(0, 12) r(k) LEFT JOIN (SELECT fold, count(*) AS c FROM f GROUP BY fold) ON fold = k, n WHERE coalesce(c, 0) IN (0, total)""",
     "minmax_scale": f"""{fx.with_tables("weights")} SELECT fold, "window", pixel, round(coalesce((w - min(w) OVER p) / nullif(max(w) OVER p - min(w) OVER p, 0), 0), 6) AS scaled FROM weights WINDOW p AS (PARTITION BY "window")""",
     "factorise": f"{fx.with_tables('sparse')} SELECT session, count(*) AS cells, CAST(dense_rank() OVER (ORDER BY session) - 1 AS INTEGER) AS code FROM sparse GROUP BY session",
 }

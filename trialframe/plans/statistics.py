@@ -56,12 +56,11 @@ def roc_auc_by_fold(s, d):
 
 
 def roc_curve(s, d):
-    p = fx.predictions(s, d).withColumn("score", F.round("score", 2))
-    return _r(metrics.roc_curve(p), threshold=6, fpr=6, tpr=6)
+    return _r(metrics.roc_curve(fx.predictions(s, d)), threshold=6, fpr=6, tpr=6)
 
 
 def roc_curve_area(s, d):
-    return _r(metrics.curve_area(metrics.roc_curve(fx.predictions(s, d).withColumn("score", F.round("score", 2)))), auc=6)
+    return _r(metrics.curve_area(metrics.roc_curve(fx.predictions(s, d))), auc=6)
 
 
 def sem_by_fold(s, d):
@@ -145,30 +144,49 @@ def ranksum_two_sided(s, d):
     return _r(significance.rank_sum(*_folds_as_windows(s, d), "two_sided"), z=5, p=5)
 
 
-def null_band(s, d):
-    return _r(significance.null_band(fx.window_scores(s, d)[0]), mean=6, low=6, high=6)
+def ranksum_adjusted(s, d):
+    return _r(significance.rank_sum_adjusted(*_folds_as_windows(s, d)), z=5, p=5, p_fdr=5)
+
+
+def significance_head(s, d):
+    return _r(significance.first_windows(significance.window_significance(*fx.window_scores(s, d), alpha=0.05), 5), real=6, p=6, p_fdr=6)
+
 
+def run_time_suffix(s, d):
+    days = fx.table(s, d, "lineitem").select(F.col("l_shipdate").cast("timestamp").alias("t")).distinct()
+    names = days.select(runs.suffixed(F.lit("sliding__tag"), F.col("t")).alias("name"))
+    return names.select("name", F.date_format(runs.run_time(F.col("name")), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
-def _one_window(s, d):
-    return fx.weights(s, d).where("window = 0")
+
+def perm_summary_schema(s, d):
+    """Summaries of each permutation's scores, half of them under the older names."""
+    null = fx.window_scores(s, d)[0].groupBy("perm").agg(F.avg("score").alias("m"), F.stddev_samp("score").alias("sd"), F.max("score").alias("hi"))
+    new = null.where("perm < 10").select(F.col("perm").cast("string").alias("run_id"), F.col("m").alias("null_mean"), F.col("sd").alias("null_std"), F.col("hi").alias("null_max"))
+    old = null.where("perm >= 10").select(F.col("perm").cast("string").alias("run_id"), F.col("m").alias("mean_score"), F.col("sd").alias("std_score"), F.col("hi").alias("max_score"))
+    out = runs.unified_summary(new.unionByName(old, allowMissingColumns=True))
+    return _r(out.select("run_id", "null_mean", "null_std", "null_max"), null_mean=6, null_std=6, null_max=6)
+
+
+def null_band(s, d):
+    return _r(significance.null_band(fx.window_scores(s, d)[0]), mean=6, low=6, high=6)
 
 
 def weight_stats(s, d):
-    return _r(weights.weight_stats(_one_window(s, d)), mean=6, std=6, abs_mean=6, scaled=6)
+    return _r(weights.weight_stats(fx.weights(s, d), ("window",)), mean=6, std=6, abs_mean=6, scaled=6)
 
 
 def weight_image(s, d):
     image = fx.weights(s, d).select("pixel").distinct()
-    return _r(weights.weight_image(weights.weight_stats(_one_window(s, d)).where("pixel % 3 <> 1").withColumnRenamed("mean", "w"), image), w=6)
+    return _r(weights.weight_image(features.in_region(weights.weight_stats(fx.weights(s, d)), fx.roi(s)).withColumnRenamed("mean", "w"), image), w=6)
 
 
 def weight_pixel_time(s, d):
     w = fx.weights(s, d).groupBy("window", "pixel").agg(F.avg("w").alias("w"))
-    return _r(weights.pixel_time(w.where("pixel % 3 <> 1"), w.select("pixel").distinct()), w=6)
+    return _r(weights.pixel_time(features.in_region(w, fx.roi(s)), w.select("pixel").distinct()), w=6)
 
 
 def extreme_masks(s, d):
-    w = weights.weight_stats(_one_window(s, d)).select("pixel", F.col("mean").alias("w"))
+    w = weights.weight_stats(fx.weights(s, d)).select("pixel", F.col("mean").alias("w"))
     return _r(weights.extreme_masks(w, 0.2), w=6, pos_cut=6, neg_cut=6)
 
 
@@ -185,7 +203,7 @@ def extreme_masks_nonstrict(s, d):
 
 
 def pos_neg_timecourse(s, d):
-    masks = weights.extreme_masks(weights.weight_stats(_one_window(s, d)).select("pixel", F.col("mean").alias("w")), 0.3)
+    masks = weights.extreme_masks(weights.weight_stats(fx.weights(s, d)).select("pixel", F.col("mean").alias("w")), 0.3)
     cube = _mean_windows(s, d).select("pixel", F.col("window").alias("frame"), F.col("w").alias("value"))
     return _r(weights.sign_timecourse(cube, masks), mean=6)
 
@@ -200,7 +218,8 @@ def clip_limits_percentile(s, d):
 
 def movie_status(s, d):
     p = fx.predictions(s, d)
-    curve = metrics.accuracy(p, ("frame",)).select(F.col("frame").alias("window"), (F.col("frame") + 3).alias("center"), F.round("acc", 3).alias("frame_acc"), F.lit(0.5).alias("trial_acc"))
+    voted = F.broadcast(metrics.trial_accuracy(p, ()).select(F.round("acc", 3).alias("trial_acc")))  # one row
+    curve = metrics.accuracy(p, ("frame",)).select(F.col("frame").alias("window"), (F.col("frame") + 3).alias("center"), F.round("acc", 3).alias("frame_acc")).crossJoin(voted)
     return weights.movie_status(curve)
 
 
@@ -274,7 +293,7 @@ _FM = f"""{_P}, {_VOTE}, {_AUC}, fm AS (SELECT fold, acc, n_test, auc, acc_trial
     JOIN auc USING (fold) JOIN (SELECT fold, avg(CAST(y_pred = y_true AS DOUBLE)) AS acc_trial FROM v GROUP BY fold) USING (fold))"""
 _GRID = f"{fx.with_tables('predictions', 'c_grid')}, g AS (SELECT c, avg(metric) AS mean, stddev_samp(metric) / sqrt(count(*)) AS se FROM c_grid GROUP BY c)"
 _CHOICE = f"{fx.with_tables('predictions', 'c_grid')}, ch AS (SELECT c FROM c_grid QUALIFY row_number() OVER (PARTITION BY fold ORDER BY metric DESC, c DESC) = 1)"
-_ROC = f"""{_P}, q AS (SELECT round(score, 2) AS score, sum(y_true) AS pos, count(*) AS n FROM predictions GROUP BY 1),
+_ROC = f"""{_P}, q AS (SELECT score, sum(y_true) AS pos, count(*) AS n FROM predictions GROUP BY score),
     roc AS (SELECT score AS threshold, (sum(n) OVER w - sum(pos) OVER w) / CAST(sum(n - pos) OVER () AS DOUBLE) AS fpr, sum(pos) OVER w / CAST(sum(pos) OVER () AS DOUBLE) AS tpr FROM q WINDOW w AS (ORDER BY score DESC)
     UNION ALL SELECT NULL, 0, 0)"""
 _FIX = f"""{_NULLS}, nl AS (SELECT avg(score) AS score FROM null_scores GROUP BY perm), re AS (SELECT avg(score) AS real FROM real_scores),
@@ -287,7 +306,7 @@ _RANKS = f"""{_NULLS}, both_ AS (SELECT frame AS "window", avg(CAST(y_pred = y_t
     st AS (SELECT "window", sum(r) FILTER (own = 1) AS r, CAST(sum(own) AS DOUBLE) AS n1, CAST(count(*) AS DOUBLE) AS n, sum(t * t - 1) AS ties FROM rk GROUP BY "window"),
     us AS (SELECT "window", r - n1 * (n1 + 1) / 2 AS u, r - n1 * (n1 + 1) / 2 - n1 * (n - n1) / 2 AS dd, sqrt(n1 * (n - n1) / 12 * (n + 1 - ties / (n * (n - 1)))) AS sd FROM st)"""
 _MW = f'{_W}, mw AS (SELECT "window", pixel, avg(w) AS w FROM weights GROUP BY ALL)'
-_W0 = f'{_W}, m0 AS (SELECT pixel, avg(w) AS w, stddev_samp(w) AS std FROM weights WHERE "window" = 0 GROUP BY pixel)'
+_W0 = f"{_W}, m0 AS (SELECT pixel, avg(w) AS w, stddev_samp(w) AS std FROM weights GROUP BY pixel)"
 
 
 def _masks(source: str, frac: float, keys: str, strict: bool = True) -> str:
@@ -321,8 +340,8 @@ ORACLES = {
     "metric_histogram": f"""{_NULLS}, e AS (SELECT min(score) AS lo, max(score) AS hi FROM null_scores), h AS (SELECT CAST(least(floor((score - lo) / (hi - lo) * 30), 29) AS INTEGER) AS bin, count(*) AS n FROM null_scores, e GROUP BY 1)
         SELECT CAST(b AS INTEGER) AS bin, round(lo + b * ((hi - lo) / 30), 6) AS low, round(lo + (b + 1) * ((hi - lo) / 30), 6) AS high, coalesce(n, 0) AS n FROM range(0, 30) r(b) LEFT JOIN h ON bin = b, e""",
     "peak_window": f"{_P}, c AS (SELECT frame + 3 AS center, avg(CAST(y_pred = y_true AS DOUBLE)) AS acc FROM predictions GROUP BY frame) SELECT round(acc, 6) AS peak, center AS at FROM c ORDER BY acc DESC, center LIMIT 1",
-    "select_c_one_se": f"{_GRID}, b AS (SELECT * FROM g ORDER BY mean DESC, c LIMIT 1) SELECT round(min(g.c), 6) AS c FROM g, b WHERE g.mean >= b.mean - coalesce(b.se, 0)",
-    "select_c_best": f"{_GRID} SELECT round(max(c), 6) AS c FROM g WHERE mean >= (SELECT max(mean) - min(se) FROM g)",
+    "select_c_one_se": f"{_GRID}, b AS (SELECT * FROM g ORDER BY mean DESC, c LIMIT 1) SELECT round(min(g.c), 6) AS c FROM g, b WHERE round(g.mean, 12) >= round(b.mean - coalesce(b.se, 0), 12)",
+    "select_c_best": f"{_GRID} SELECT round(max(c), 6) AS c FROM g WHERE round(mean, 12) >= (SELECT round(max(mean) - min(se), 12) FROM g)",
     "final_c_mode_median": f"{_CHOICE}, n AS (SELECT c, count(*) AS k FROM ch GROUP BY c) SELECT round(median(c), 6) AS c FROM n WHERE k = (SELECT max(k) FROM n)",
     "final_c_median": f"{_CHOICE} SELECT round(median(c), 6) AS c FROM ch",
     "permute_labels": f"{fx.with_tables('trials', 'perms')} SELECT perm, trial, y_perm FROM perms",
@@ -336,18 +355,25 @@ ORACLES = {
     "ranksum_by_window": f"""{_RANKS}, zz AS (SELECT "window", u, (dd - 0.5) / sd AS z FROM us) SELECT "window", u, round(z, 5) AS z, round(least(1, {normal_tail_sql("z")}), 5) AS p FROM zz""",
     "ranksum_two_sided": f"""{_RANKS}, zz AS (SELECT "window", u, (abs(dd) - 0.5) / sd AS z FROM us) SELECT "window", u, round(z, 5) AS z, round(least(1, 2 * {normal_tail_sql("z")}), 5) AS p FROM zz""",
     "null_band": f'{_NULLS} SELECT "window", round(avg(score), 6) AS mean, round(avg(score) - 3 * stddev_samp(score), 6) AS low, round(avg(score) + 3 * stddev_samp(score), 6) AS high FROM null_scores GROUP BY "window"',
-    "weight_stats": f"{_W0} SELECT pixel, round(w, 6) AS mean, round(std, 6) AS std, round(abs(w), 6) AS abs_mean, CAST(sign(w) AS DOUBLE) AS sign, round(w / max(abs(w)) OVER (), 6) AS scaled FROM m0",
-    "weight_image": f"{_W0} SELECT pixel, round(CASE WHEN pixel % 3 <> 1 THEN w END, 6) AS w FROM m0",
-    "weight_pixel_time": f'{_MW} SELECT pixel, "window", round(CASE WHEN pixel % 3 <> 1 THEN w END, 6) AS w FROM mw',
+    "weight_stats": f"""{_W}, m AS (SELECT "window", pixel, avg(w) AS w, stddev_samp(w) AS std FROM weights GROUP BY "window", pixel)
+        SELECT "window", pixel, round(w, 6) AS mean, round(std, 6) AS std, round(abs(w), 6) AS abs_mean, CAST(sign(w) AS DOUBLE) AS sign, round(w / max(abs(w)) OVER (PARTITION BY "window"), 6) AS scaled FROM m""",
+    "weight_image": f"{_W0} SELECT pixel, round(CASE WHEN pixel IN (0, 1, 3) THEN w END, 6) AS w FROM m0",
+    "weight_pixel_time": f'{_MW} SELECT pixel, "window", round(CASE WHEN pixel IN (0, 1, 3) THEN w END, 6) AS w FROM mw',
     "extreme_masks": f"{_W0}, {_masks('m0', 0.2, '')} SELECT pixel, {_SHOW}",
     "extreme_masks_sliding": f"""{_MW}, {_masks("mw", 0.2, '"window"')} SELECT "window", pixel, {_SHOW}""",
     "extreme_masks_nonstrict": f"""{_MW}, {_masks("mw", 0.2, '"window"', False)} SELECT "window", pixel, {_SHOW}""",
-    "pos_neg_timecourse": f"""{_MW}, m0 AS (SELECT pixel, w FROM mw WHERE "window" = 0), {_masks("m0", 0.3, "")}
+    "pos_neg_timecourse": f"""{_MW}, m0 AS (SELECT pixel, avg(w) AS w FROM weights GROUP BY pixel), {_masks("m0", 0.3, "")}
         SELECT CAST(CASE WHEN pos_mask THEN 1 ELSE -1 END AS INTEGER) AS sign, mw."window" AS frame, round(avg(mw.w), 6) AS mean FROM mw JOIN mk USING (pixel) WHERE pos_mask OR neg_mask GROUP BY 1, 2""",
     "clip_limits": f"{_W} SELECT round(-max(abs(w)), 6) AS low, round(max(abs(w)), 6) AS high FROM weights",
     "clip_limits_percentile": f"{_W} SELECT round(-quantile_cont(abs(w), 0.9), 6) AS low, round(quantile_cont(abs(w), 0.9), 6) AS high FROM weights",
-    "movie_status": f"""{_P}, c AS (SELECT frame AS "window", frame + 3 AS center, round(avg(CAST(y_pred = y_true AS DOUBLE)), 3) AS acc FROM predictions GROUP BY frame)
-        SELECT "window", printf('window %d/%d | center %d | frame %.3f | trial %.3f', "window" + 1, count(*) OVER (), center, acc, 0.5::DOUBLE) AS status FROM c""",
+    "movie_status": f"""{_P}, {_VOTE}, o AS (SELECT round(avg(CAST(y_pred = y_true AS DOUBLE)), 3) AS tr FROM v), c AS (SELECT frame AS "window", frame + 3 AS center, round(avg(CAST(y_pred = y_true AS DOUBLE)), 3) AS acc FROM predictions GROUP BY frame)
+        SELECT "window", printf('window %d/%d | center %d | frame %.3f | trial %.3f', "window" + 1, count(*) OVER (), center, acc, tr) AS status FROM c, o""",
+    "ranksum_adjusted": f"""{_RANKS}, zz AS (SELECT "window", u, (dd - 0.5) / sd AS z FROM us), pz AS (SELECT "window", u, z, least(1, {normal_tail_sql("z")}) AS p FROM zz)
+        SELECT "window", u, round(z, 5) AS z, round(p, 5) AS p, round(p_fdr, 5) AS p_fdr, p_fdr < 0.05 AS significant FROM ({_BH.format("pz")})""",
+    "significance_head": f"""{_NULLS}, wp AS (SELECT n."window", max(r.score) AS real, (sum(CAST(round(abs(n.score - 0.5), 12) >= round(abs(r.score - 0.5), 12) AS INTEGER)) + 1) / CAST(count(*) + 1 AS DOUBLE) AS p
+        FROM null_scores n JOIN real_scores r USING ("window") GROUP BY ALL) SELECT "window", round(real, 6) AS real, round(p, 6) AS p, round(p_fdr, 6) AS p_fdr, p_fdr < 0.05 AS significant FROM ({_BH.format("wp")}) WHERE "window" < 5""",
+    "run_time_suffix": """SELECT DISTINCT concat('sliding__tag____', strftime(CAST(l_shipdate AS TIMESTAMP), '%Y-%m-%d_%H-%M-%S')) AS name, strftime(CAST(l_shipdate AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS at FROM lineitem""",
+    "perm_summary_schema": f"{_NULLS} SELECT CAST(perm AS VARCHAR) AS run_id, round(avg(score), 6) AS null_mean, round(stddev_samp(score), 6) AS null_std, round(max(score), 6) AS null_max FROM null_scores GROUP BY perm",
     "run_name_parse": """WITH n AS (SELECT DISTINCT CASE WHEN l_partkey % 2 = 1 THEN concat('sliding_window_', '_', l_partkey, lower(l_returnflag), l_suppkey, '_frame1-100') ELSE 'run without token' END AS name FROM lineitem)
         SELECT name, regexp_extract(name, '_(\\d+)([A-Za-z])(\\d+)_', 1) AS date, regexp_extract(name, '_(\\d+)([A-Za-z])(\\d+)_', 2) AS session,
         array_to_string(string_split(regexp_extract(name, '_(\\d+)([A-Za-z])(\\d+)_', 3), ''), ',') AS conditions FROM n""",

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The session token of run names, the form of their time suffix, and the keys of configurations.
 TOKEN = r"_(\d+)([A-Za-z])(\d+)_"
-#: All keys that configurations of the experiment kinds have; each kind lacks some.
+SUFFIX, SUFFIX_FORM = r"(\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2})$", "yyyy-MM-dd_HH-mm-ss"
 CONFIG = T.StructType(
     [T.StructField(k, T.StringType()) for k in ("experiment", "tag", "face_file", "nonface_file", "data_dir", "metric", "rule", "tie_break", "outer_cv", "inner_cv", "model", "estimator", "source_run_dir", "source_model_name", "level")]
     + [T.StructField(k, T.LongType()) for k in ("n_trials_per_class", "random_state", "window_size", "start_frame", "stop_frame", "step", "n_splits", "n_permutations", "perm_seed", "svm_random_state")]
@@ -28,6 +32,31 @@ def file_catalog(files: DataFrame) -> DataFrame:
     return files.select(F.regexp_extract(stem, r"^conds[A-Za-z]*(\d+)_(.+)$", 2).alias("session"), F.regexp_extract(stem, r"^conds[A-Za-z]*(\d+)_(.+)$", 1).cast("int").alias("cond"), "path")
 
 
+def suffixed(name: Column, when: Column) -> Column:
+    """A run name with its time suffix."""
+    return F.concat(name, F.lit("____"), F.date_format(when, SUFFIX_FORM))
+
+
+def run_time(name: Column) -> Column:
+    """The time in a run name's suffix; null where there is none."""
+    return F.try_to_timestamp(F.regexp_extract(name, SUFFIX, 1), F.lit(SUFFIX_FORM))
+
+
+#: Names of a fixed permutation record's numbers in either schema, newer first.
+SUMMARY = {
+    "real": ("real_score_trials", "real_score"), "null_mean": ("null_mean", "mean_score"), "null_std": ("null_std", "std_score"), "null_min": ("null_min", "min_score"),
+    "null_max": ("null_max", "max_score"), "p": ("p_value", "p"), "passed": ("pass", "significant"),
+}
+
+
+def unified_summary(rows: DataFrame) -> DataFrame:
+    """The summary numbers of permutation records of either schema under one set of names; missing ones are null."""
+    have = lambda c: F.col(c) if c in rows.columns else F.lit(None)
+    kinds = {"passed": "boolean"}
+    keys = [c for c in ("run_id",) if c in rows.columns]
+    return rows.select(*keys, *[F.coalesce(*[have(c) for c in names]).cast(kinds.get(k, "double")).alias(k) for k, names in SUMMARY.items()])
+
+
 def unified_permutations(rows: DataFrame) -> DataFrame:
     """perm, trial_score, frame_score of either schema; old records have no frame scores."""
     have = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("double")
@@ -39,8 +68,8 @@ def parse_configs(texts: DataFrame) -> DataFrame:
     return texts.withColumn("config", F.from_json("json", CONFIG))
 
 
-def run_id(experiment: str, tag: str, when: str) -> str:
-    return f"{experiment}__{tag}____{when}"
+def run_id(experiment: str, tag: str, when: str | datetime) -> str:
+    return f"{experiment}__{tag}____{when if isinstance(when, str) else when.strftime('%Y-%m-%d_%H-%M-%S')}"
 
 
 def save_run(tables: dict[str, DataFrame], config: dict, root: str, run: str) -> None:
@@ -57,6 +86,45 @@ def save_run(tables: dict[str, DataFrame], config: dict, root: str, run: str) ->
     row.write.mode("errorifexists").parquet(f"{root}/{run}/config")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+#: Columns of a sliding permutation null; older records lack some.
+SLIDING_NULL = {"perm": "int", "window": "int", "fold": "int", "center": "int", "frame_acc": "double", "trial_acc": "double"}
+
+
+def save_permutations(null: DataFrame, real: DataFrame, config: dict, root: str, run: str) -> None:
+    """Write a permutation run: the null scores and the real ones."""
+    save_run({"null": null, "real": real}, config, root, run)
+
+
+def load_sliding_permutations(spark: SparkSession, root: str, run: str) -> DataFrame:
+    """The null of a sliding permutation run with all columns of SLIDING_NULL, missing ones null; an error if it is missing."""
+    if not exists(spark, f"{root}/{run}/null"):
+        raise FileNotFoundError(f"{root}/{run}/null")
+    null = spark.read.parquet(f"{root}/{run}/null")
+    return null.select(*[(F.col(c) if c in null.columns else F.lit(None)).cast(t).alias(c) for c, t in SLIDING_NULL.items()], F.lit(run).alias("run_id"))
+
+
+def dataset_of(config: dict, cube: DataFrame) -> DataFrame:
+    """The data set of a configuration rebuilt from the cube store: both conditions balanced, labelled, z-scored.
+
+    face_file and nonface_file name session and condition as file_catalog reads them; the baseline is
+    the half-open range of the first and last entry of zscore_baseline_frames (or baseline_frames).
+    """
+    from ..operators import features, normalize
+
+    names = [re.search(r"conds[A-Za-z]*(\d+)_(.+?)(?:\.npy)?$", config[k]) for k in ("face_file", "nonface_file")]
+    if not all(names) or names[0][2] != names[1][2]:
+        raise ValueError("the configuration does not name two conditions of one session")
+    frames = config.get("zscore_baseline_frames") or config.get("baseline_frames")
+    one = cube.where(F.col("session") == names[0][2])
+    pairs = features.pairwise_dataset(one, int(names[0][1]), int(names[1][1]), ("session",))
+    return normalize.zscore_pooled(pairs, (frames[0], frames[-1]), keys=("session",))
+
+
 def load_run(spark: SparkSession, root: str, run: str, name: str) -> DataFrame:
     """A result table of a run; an error if it is missing."""
     return spark.read.parquet(f"{root}/{run}/{name}").withColumn("run_id", F.lit(run))
