@@ -69,3 +69,16 @@ def test_apply_keeps_columns_and_repeats(make_docs, odd_rows):
     assert all(r._copy == "x" and r._rid == 7 for r in out.collect())
     assert out.columns == docs.columns
     assert out.count() == sum(r.copies for r in mixing.mix(docs).collect())
+
+
+def test_registered_query_against_its_sql(spark):
+    import duckdb
+
+    from trialframe.llm.queries import ORACLE_SQL, op7_systematic_mix
+
+    out = op7_systematic_mix(spark, "/root/testdata/sf0.001")
+    assert out.dtypes == [("doc_id", "bigint"), ("size", "bigint"), ("source_size", "bigint"), ("target", "double"), ("taken", "bigint")]
+    duck = duckdb.connect()
+    duck.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = sorted(duck.execute("SELECT doc_id, size, source_size, target, taken FROM (" + ORACLE_SQL["op7_systematic_mix"] + ")").fetchall())
+    assert sorted(tuple(r) for r in out.collect()) == want

@@ -27,13 +27,15 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
 
     Alternates two steps until the edges stop changing: every node hangs its larger neighbours under
     its smallest neighbour, then its smaller ones. Distances to the root about halve each round. Each
-    round is written to the shared folder, so a lost executor costs one round at most, and needs only
+    round is written to the shared folder and the one before deleted, so a lost executor costs one round
+    at most, and needs only
     a minimum per node, which is combined before the shuffle; the join with it may split hot nodes.
     Nodes without edges do not appear; self-loops and repeated edges are allowed.
     """
     edge = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     edge, last = shared.materialize(edge, name), None
     for _ in range(most_rounds):
+        before = edge
         both = edge.union(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -43,6 +45,8 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(low.select(F.col("n").alias("u"), F.col("m").alias("v")))
         edge = shared.materialize(small.distinct(), name)
         state = edge.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        shared.discard(large)
+        shared.discard(before)
         if state == last:
             break
         last = state
