@@ -19,8 +19,8 @@ WORDS, SEED, DISTANCE = 4, 42, 4
 COPY_WORDS, COPY_SIMILARITY, COPY_PRINTS, COPY_DISTANCE, COPY_CHECKS = 5, 0.8, 6, 5, 2
 #: Bits of a fingerprint, and rows of a bucket beyond which it is split by further segments.
 BITS, BUCKET_ROWS = 64, 20_000
-#: Pairs of index nodes that a task holds at once.
-FRONT = 400_000
+#: Pairs of index nodes that a task holds at once, and parts that a class is dealt into.
+FRONT, SALTS = 400_000, 16
 
 
 def _shingle_hashes(text: str, words: int, seed: int) -> np.ndarray:
@@ -243,9 +243,13 @@ def class_ids(tagged: DataFrame, prints: list[str], distance: int = DISTANCE, **
     node = F.col(prints[0]) if len(prints) == 1 else F.xxhash64(*prints)
     nodes = shared.materialize(tagged.groupBy(*prints).agg(least.alias("least")).withColumn("_node", node), "simhash-prints")
     classes = linked_classes(nodes.select("_node", *prints), prints, distance, **checks)
-    nodes = nodes.join(classes, F.col("_node") == F.col("node"), "left").withColumn("label", F.coalesce("component", "_node"))
-    ids = nodes.groupBy("label").agg(F.min("least").alias("rep"))
-    named = nodes.select(F.col("_node").alias("p"), "label").join(ids, "label").select("p", F.col("rep.doc_id").alias("component_id"), F.col("rep._rid").alias("component_rid"))
+    nodes = nodes.join(classes, F.col("_node") == F.col("node"), "left").select("_node", "component", "least")
+    # a class of any size is dealt out by salt; a node without links is a class of its own
+    linked = nodes.where("component is not null").withColumn("salt", F.pmod(F.xxhash64("_node"), F.lit(SALTS)).cast("int"))
+    ids = linked.groupBy("component").agg(F.min("least").alias("rep")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked = linked.drop("least").join(ids, ["component", "salt"]).select("_node", "rep")
+    named = linked.union(nodes.where("component is null").select("_node", "least"))
+    named = named.select(F.col("_node").alias("p"), F.col("rep.doc_id").alias("component_id"), F.col("rep._rid").alias("component_rid"))
     return tagged.join(named, node == F.col("p")).drop("p")
 
 
