@@ -193,7 +193,6 @@ def _features(kind: str, x: Column) -> dict[str, Column]:
         "written": txt.rlike(r"[\[(][@.a-z]"),
         "regular": txt.rlike(_GROUPS),
         "foreign": txt.rlike(r"^(?:\+|00[1-9])"),
-        "length": F.length(txt),
         "digits": F.length(digits),
         "kinds_of_digits": F.length(F.array_join(F.array_distinct(F.split(digits, "")), "")),
         "groups": F.size(F.split(txt, r"[^\p{L}\p{N}]+")),
@@ -203,12 +202,15 @@ def _features(kind: str, x: Column) -> dict[str, Column]:
         "free_after": after.rlike(r"^(?:$|[\s)\],:;<>\"'!?]|\.(?:$|\s))"),
         "more_digits": F.length(_digits(after)),
     }
+    if kind == "email":  # how long an address is and what digits it has speak neither for nor against it
+        found |= dict.fromkeys(("digits", "kinds_of_digits", "groups"), F.lit(0))
     return {k: v.cast("double") for k, v in found.items()}
 
 
 def _formats(kind: str, x: Column) -> list[tuple[Column, Column, Column, int]]:
     """Training examples from a rule span: (txt, before, after, label). The span in other formats at the
-    same place is right; glued to a word, inside a longer number, or with a price for a domain it is wrong."""
+    same place is right, also before another number; glued to a word, inside a longer number, or with a
+    price for a domain it is wrong."""
     txt, before, after = x["txt"], x["before"], x["after"]
     glued = F.concat(before, F.lit("x"))
     groups = lambda sign: F.regexp_replace(_digits(txt), "([0-9]{4})(?=[0-9])", f"$1{sign}")
@@ -224,7 +226,8 @@ def _formats(kind: str, x: Column) -> list[tuple[Column, Column, Column, int]]:
     out += [(t, glued, after, 0) for t in (txt, other[0], other[-1])]
     if kind == "email":
         return [*out, *[(F.regexp_replace(txt, "@.*", price), before, after, 0) for price in (" @ 7.30", "@12.50", " @ 9.99")]]
-    return [*out, *[(t, before, F.concat(F.lit(".7"), after), 0) for t in (txt, other[0])]]
+    out += [(t, before, F.concat(F.lit(more), after), 1) for t in (txt, other[0]) for more in (" 12/27", " 314")]
+    return [*out, *[(t, before, F.concat(F.lit(more), after), 0) for t in (txt, other[0]) for more in (".7", ".42")]]
 
 
 def _overlapped(kind: str, c: Column) -> Column:
@@ -385,8 +388,9 @@ def _best(kind: str, model) -> Callable[[Column], Column]:
 
     def best(w: Column) -> Column:
         spans = F.filter(F.filter(_proposed(kind, w), lambda c: ~_overlapped(kind, c)), lambda c: _check(kind, c["txt"]))
-        scored = F.transform(spans, lambda c: F.struct(probability(c).alias("p"), c["end"].alias("end"), c["start"].alias("start"), F.lit(rank).alias("rank")))
-        return F.array_max(F.filter(scored, lambda c: c["p"] >= F.lit(bar)))
+        scored = F.filter(F.transform(spans, lambda c: F.struct(c.alias("c"), probability(c).alias("p"))), lambda s: s["p"] >= F.lit(bar))
+        # probabilities that agree to two places are as good as equal: then the longer span is better
+        return F.array_max(F.transform(scored, lambda s: F.struct(F.round(s["p"], 2).alias("p"), s["c"]["end"].alias("end"), s["c"]["start"].alias("start"), F.lit(rank).alias("rank"))))
 
     return best
 
@@ -396,8 +400,8 @@ def with_spans(documents: DataFrame, models: dict | None = None) -> DataFrame:
 
     _base holds the rule spans; _spans also those candidates that reach their threshold, overlap no
     rule span (an address may extend one) and lose against no other such candidate that they overlap
-    (higher probability first, then the earlier kind, the earlier start). Positions are code points,
-    ends exclusive.
+    (higher probability to two places first, then the longer span, the earlier kind, the earlier
+    start). Positions are code points, ends exclusive.
     """
     models = fit(documents) if models is None else models
     df = _with_heads(with_rule_spans(documents))
@@ -420,8 +424,8 @@ def with_spans(documents: DataFrame, models: dict | None = None) -> DataFrame:
         # spans are shorter than WINDOW and a kind has one at a start, so rivals stand near in this order
         reach = WINDOW * len(KINDS)
         near = F.slice("_all", F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach))
-        first = lambda d: (d["p"] > c["p"]) | ((d["p"] == c["p"]) & ((d["rank"] < c["rank"]) | ((d["rank"] == c["rank"]) & (d["start"] < c["start"]))))
-        return F.exists(near, lambda d: (d["start"] < c["end"]) & (c["start"] < d["end"]) & first(d))
+        place = lambda d: F.struct(-d["p"], d["start"] - d["end"], d["rank"], d["start"])
+        return F.exists(near, lambda d: (d["start"] < c["end"]) & (c["start"] < d["end"]) & (place(d) < place(c)))
 
     won = F.filter("_all", lambda c, i: ~beaten(c, i))
     won = F.transform(won, lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end")))
