@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, langid, mixing, packing, pii, sharding, simhash, token_files, warc
+from . import ann, embedding_dedup, langid, mixing, packing, pii, sharding, simhash, token_files, warc, whitening
 from .shared import fresh_path
 
 
@@ -78,11 +78,17 @@ def op10_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(_table(spark, sf_dir, "documents"))
 
 
+def op11_bitsliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings along the leading components of their exact covariance, whitened."""
+    return whitening.by_component(whitening.whiten(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc_dictionary, op2_anisotropic_search, op3_feistel_shards, op4_language_id, op5_int8_tile_dedup,
         op6_hilbert_packing, op7_systematic_mix, op8_repair_token_files, op9_gray_simhash, op10_boosted_pii,
+        op11_bitsliced_whitening,
     )
 }
 ORACLE_SQL: dict[str, str] = {
