@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, langid, mixing, packing, pii, sharding, simhash, token_files, warc, whitening
+from . import ann, embedding_dedup, langid, mixing, packing, pii, prefix_trie, sharding, simhash, token_files, warc, whitening
 from .shared import fresh_path
 
 
@@ -83,12 +83,18 @@ def op11_bitsliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.by_component(whitening.whiten(_table(spark, sf_dir, "embeddings")))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, each begun like the first of its twenty."""
+    turns, convs = prefix_trie.spliced(prefix_trie.turns(_table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(turns, convs).drop("name", "parent")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc_dictionary, op2_anisotropic_search, op3_feistel_shards, op4_language_id, op5_int8_tile_dedup,
         op6_hilbert_packing, op7_systematic_mix, op8_repair_token_files, op9_gray_simhash, op10_boosted_pii,
-        op11_bitsliced_whitening,
+        op11_bitsliced_whitening, op12_conversation_trie,
     )
 }
 ORACLE_SQL: dict[str, str] = {
@@ -105,4 +111,24 @@ ORACLE_SQL: dict[str, str] = {
             CAST(concat('0x', substr(md5(concat('42:', CASE WHEN d.source IS NULL THEN 'null' ELSE concat('s', d.source) END)), 1, 7)) AS BIGINT) / 268435456.0::DOUBLE AS u
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target, CAST((floor(rate * (k + 1) + u) - floor(rate * k + u)) * size AS BIGINT) AS taken FROM r""",
+    "op12_conversation_trie": r"""
+        WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL),
+        h AS (SELECT DISTINCT c, c - c % 20 AS b, xor(list_reduce([4294967295] || list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+            lambda a, x: list_reduce([xor(a, x)] || range(8), lambda y, i: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)), 4294967295) % 4 AS h FROM o),
+        r AS (SELECT h.c, o.pos, o.role, o.text FROM h JOIN o ON o.c = h.b AND o.pos <= h.h
+            UNION ALL SELECT h.c, 10 + o.pos, o.role, o.text FROM h JOIN o ON o.c = h.c AND o.pos > h.h),
+        p AS (SELECT c, row_number() OVER w AS depth, list(sha256(concat(length(role), ':', role, text))) OVER w AS path, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+            FROM r WINDOW w AS (PARTITION BY c ORDER BY pos)),
+        m AS (SELECT c, depth, sha256(CAST(path AS VARCHAR)) AS node, words FROM p UNION ALL SELECT c, 0, 'root', 0 FROM h),
+        e AS (SELECT c, max(depth) AS depth FROM m GROUP BY c),
+        n AS (SELECT m.node, m.depth, min(m.c) AS conv_id, count(*) AS n_convs, any_value(words) AS words, coalesce(string_agg(CAST(m.c AS VARCHAR), ',' ORDER BY m.c) FILTER (e.depth = m.depth), '') AS ids
+            FROM m JOIN e USING (c) GROUP BY ALL),
+        k AS (SELECT DISTINCT a.node, b.node AS child FROM m a JOIN m b ON a.c = b.c AND b.depth = a.depth + 1),
+        kids AS (SELECT node, count(*) AS n_children FROM k GROUP BY node),
+        s AS (SELECT DISTINCT a.node, b.node AS below FROM m a JOIN m b ON a.c = b.c AND b.depth >= a.depth),
+        t AS (SELECT s.node, CAST(sum((n.n_convs - 1) * n.words) AS BIGINT) AS saved_tokens, count(*) FILTER (kids.node IS NULL) AS n_leaves
+            FROM s JOIN n ON n.node = s.below LEFT JOIN kids ON kids.node = s.below GROUP BY s.node)
+        SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n_children, 0) AS n_children, t.n_leaves, t.saved_tokens, sha256(n.ids) AS ends_sha256
+        FROM n JOIN t USING (node) LEFT JOIN kids USING (node) LEFT JOIN k ON k.child = n.node LEFT JOIN n up ON up.node = k.node""",
 }
