@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, langid, mixing, packing, pii, prefix_trie, sharding, simhash, token_files, warc, whitening
+from . import ann, embedding_dedup, langid, licenses, mixing, packing, pii, prefix_trie, sharding, simhash, token_files, warc, whitening
 from .shared import fresh_path
 
 
@@ -89,12 +89,17 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(turns, convs).drop("name", "parent")
 
 
+def op13_template_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in all documents."""
+    return licenses.digest(licenses.license_spans(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc_dictionary, op2_anisotropic_search, op3_feistel_shards, op4_language_id, op5_int8_tile_dedup,
         op6_hilbert_packing, op7_systematic_mix, op8_repair_token_files, op9_gray_simhash, op10_boosted_pii,
-        op11_bitsliced_whitening, op12_conversation_trie,
+        op11_bitsliced_whitening, op12_conversation_trie, op13_template_licenses,
     )
 }
 ORACLE_SQL: dict[str, str] = {
@@ -131,4 +136,5 @@ ORACLE_SQL: dict[str, str] = {
             FROM s JOIN n ON n.node = s.below LEFT JOIN kids ON kids.node = s.below GROUP BY s.node)
         SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n_children, 0) AS n_children, t.n_leaves, t.saved_tokens, sha256(n.ids) AS ends_sha256
         FROM n JOIN t USING (node) LEFT JOIN kids USING (node) LEFT JOIN k ON k.child = n.node LEFT JOIN n up ON up.node = k.node""",
+    "op13_template_licenses": licenses.oracle_sql(),
 }
