@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialframe.functions import svm
-from trialframe.operators import decoding, folds, metrics, ranking, significance
+from trialframe.functions.estimators import Ridge
+from trialframe.operators import decoding, folds, held, metrics, ranking, significance
 from trialframe.plans import preprocessing, statistics
 
 SF = "/root/testdata/sf0.001"
@@ -18,17 +19,22 @@ def samples(spark, windows=1, n_trials=14):
 
 
 def both(monkeypatch, run):
-    narrow = run().collect()
-    monkeypatch.setattr(decoding, "NARROW", 0)
-    return narrow, run().collect()
+    """Rows of an experiment held as features, held as Gram blocks, and summed where the samples are."""
+    out = [run().collect()]
+    monkeypatch.setattr(held, "LOCAL", 0)
+    out.append(run().collect())
+    monkeypatch.setattr(held, "LABELS", 0)
+    return *out, run().collect()
 
 
-def same(one, two, keys):
-    one, two = ({tuple(r[k] for k in keys): r.asDict() for r in rows} for rows in (one, two))
-    assert one.keys() == two.keys() and one
-    for k, r in one.items():
-        for c, v in r.items():
-            assert v == (pytest.approx(two[k][c], abs=1e-6) if isinstance(v, float) else two[k][c]), (k, c)
+def same(one, two, three, keys):
+    one, *others = ({tuple(r[k] for k in keys): r.asDict() for r in rows} for rows in (one, two, three))
+    assert one
+    for other in others:
+        assert one.keys() == other.keys()
+        for k, r in one.items():
+            for c, v in r.items():
+                assert v == (pytest.approx(other[k][c], abs=1e-6) if isinstance(v, float) else other[k][c]), (k, c)
 
 
 def test_cross_validation_both_ways(spark, monkeypatch):
@@ -42,8 +48,8 @@ def test_weights_and_final_model_both_ways(spark, monkeypatch):
     split = folds.modulo_folds(x, 3)
     same(*both(monkeypatch, lambda: decoding.fold_weights(x, split, 0.1)), ("fold", "feature"))
     monkeypatch.undo()
-    one, two = both(monkeypatch, lambda: decoding.final_model(x, 0.1).select("feature", "w"))
-    same(one, two, ("feature",))
+    one, two, three = both(monkeypatch, lambda: decoding.final_model(x, 0.1).select("feature", "w"))
+    same(one, two, three, ("feature",))
     monkeypatch.undo()
     data = x.orderBy("trial", "frame").collect()
     v = svm.fit(np.array([r.features for r in data]), np.array([r.y for r in data]), 0.1)
@@ -64,11 +70,19 @@ def test_nested_both_ways(spark, monkeypatch, metric):
 def test_nested_record(spark):
     x = samples(spark)
     split = folds.modulo_folds(x, 3)
-    got = decoding.nested_record(x, split, decoding.nested(x, split, 2, (1e-2, 1e-1)))
+    got = decoding.nested_record(x, split, 2, (1e-2, 1e-1))
     assert got["trials"].count() == 14 and got["weights"].count() == 3 * 4 and got["folds"].count() == 3
     assert sum(r.n for r in got["confusion"].collect()) == 14
-    with pytest.raises(RuntimeError):
-        decoding.nested_record(x.union(x.withColumn("frame", F.col("frame") + 50)), split, decoding.nested(x, split, 2, (1e-2,)))
+    one_class = spark.createDataFrame([(t, t % 2 + 2 * (t % 3)) for t in range(14)], "trial int, fold int")
+    assert decoding.nested_record(x, one_class, 2, (1e-2,))["weights"].count() == 6 * 4
+
+
+@pytest.mark.parametrize("folds_of", [[(t, 0 if t < 7 else 1) for t in range(13)], [(t % 14, t % 2) for t in range(15)]])
+def test_folds_that_do_not_cover(spark, folds_of):
+    split = spark.createDataFrame(folds_of, "trial int, fold int")
+    for run in (lambda: decoding.cross_validate(samples(spark), split, 0.1), lambda: decoding.nested_record(samples(spark), split, 2, (0.1,))):
+        with pytest.raises(RuntimeError, match="exactly once"):
+            run()
 
 
 def test_sliding_both_ways(spark, monkeypatch):
@@ -86,7 +100,7 @@ def test_permutations_both_ways(spark, monkeypatch):
     x = samples(spark, 2)
     split = folds.modulo_folds(x, 3)
     labels = significance.permuted_labels(x.select("trial", "y").distinct(), 5).withColumn("perm", F.col("perm") + 3)
-    same(*both(monkeypatch, lambda: decoding.sliding_permutations(x, split, labels, 0.1, perms_a_task=2)), ("perm", "window", "fold"))
+    same(*both(monkeypatch, lambda: decoding.sliding_permutations(x, split, labels, 0.1)), ("perm", "window", "fold"))
     monkeypatch.undo()
     one = x.where("window = 0")
     for metric in ("acc", "auc"):
@@ -147,3 +161,121 @@ def test_registered_without_sql(spark, name):
             assert v is None or not isinstance(v, float) or np.isfinite(v)
             if "acc" in c and "std" not in c and v is not None:
                 assert 0 <= v <= 1
+
+
+def test_wide_sliding_windows_share_frame_pairs(spark, monkeypatch):
+    """Images of 40 pixels in 4 windows: Gram blocks in slices of 7 pixels against fits of the images themselves."""
+    rng = np.random.default_rng(8)
+    cells = [(t, t % 2, f, p, float(rng.normal() + 0.3 * (t % 2) * (p < 5))) for t in range(9) for f in range(7) for p in range(40)]
+    cube = spark.createDataFrame(cells, "trial int, y int, frame int, pixel int, value double")
+    x = decoding.window_samples(cube, 3, 0, 4, 1).where("window <> 2")
+    split = folds.modulo_folds(cube.select("trial").distinct(), 3)
+    computed = []
+    pairs_of = held.frame_pairs
+    monkeypatch.setattr(held, "SLICE", 7 * 9 * 7)
+    monkeypatch.setattr(held, "frame_pairs", lambda slices, trials, pairs: computed.append((pairs, slices.select("first").distinct().count())) or pairs_of(slices, trials, pairs))
+    got = decoding.sliding_record(x, split, 0.02)
+    assert computed == [([(f, g) for f in range(7) for g in range(f, 7) if g - f < 3 and (f, g) != (2, 4)], 6)]
+    value = {(t, f, p): v for t, _, f, p, v in cells}
+    features = np.array([[[value[t, f, p] for p in range(40)] for f in range(7)] for t in range(9)])
+    scores, weights = {}, {}
+    for w in (0, 1, 3, 4):
+        for k in range(3):
+            on = [(t, f) for t in range(9) if t % 3 != k for f in range(w, w + 3)]
+            v = svm.fit_primal(np.array([features[t, f] for t, f in on]), np.array([t % 2 for t, _ in on]), 0.02)
+            weights.setdefault(w, []).append(v[:-1])
+            scores |= {(w, t, f): features[t, f] @ v[:-1] + v[-1] for t in range(9) if t % 3 == k for f in range(w, w + 3)}
+    found = {(r.window, r.trial, r.frame): r.score for r in got["predictions"].collect()}
+    assert found.keys() == scores.keys() and all(found[k] == pytest.approx(v, abs=1e-6) for k, v in scores.items())
+    for r in got["weights"].collect():
+        assert r["mean"] == pytest.approx(np.mean([v[r.feature] for v in weights[r.window]]), abs=1e-7)
+        assert r["std"] == pytest.approx(np.std([v[r.feature] for v in weights[r.window]], ddof=1), abs=1e-7)
+
+
+def test_a_second_estimator_all_ways(spark, monkeypatch):
+    x = samples(spark)
+    split = folds.modulo_folds(x, 3)
+    same(*both(monkeypatch, lambda: decoding.cross_validate(x.drop("window", "center"), split, 0.1, Ridge())), ("trial", "frame"))
+
+
+def embeddings(spark):
+    return {r.vec_id: (np.array(r.embedding, float), r.label) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+
+
+def movies(spark):
+    """Trials, features (frames 2 to 5 of all pixels) and classes, of the registered wide queries."""
+    e = embeddings(spark)
+    trials = sorted({v // 8 for v in e if all(v // 8 * 8 + f in e for f in range(2, 6))})
+    y = [sum(e[v][1] for v in range(8 * t, 8 * t + 8) if v in e) % 2 for t in trials]
+    return np.array(trials), np.array([np.concatenate([e[8 * t + f][0] for f in range(2, 6)]) for t in trials]), np.array(y)
+
+
+def test_wide_queries_against_loops(spark):
+    trials, x, y = movies(spark)
+    assert x.shape[1] > len(x)
+    fold, scores = np.arange(len(trials)) % 5, {}
+    for k in range(5):
+        v = svm.fit_primal(x[fold != k], y[fold != k], 0.01)
+        scores |= dict(zip(trials[fold == k].tolist(), svm.decide(x[fold == k], v), strict=True))
+    got = {r.trial: r.score for r in statistics.QUERIES["svm_wide_window"](spark, SF).collect()}
+    assert got.keys() == scores.keys() and all(got[t] == pytest.approx(s, abs=1e-6) for t, s in scores.items())
+    v = svm.fit_primal(x, y, 0.01)
+    rows = statistics.QUERIES["svm_wide_weights"](spark, SF).collect()
+    assert {r.feature: r.w for r in rows} == pytest.approx(dict(zip([*range(256), -1], v, strict=True)), abs=1e-7)
+    assert max(abs(r.gradient) for r in rows) < 1e-6
+
+
+def plain_nested(x, y, trials, fold, inner_splits=4):
+    """Chosen C and accuracy per outer fold by nested loops."""
+    out = []
+    for k in range(5):
+        train = fold != k
+        names = np.unique(trials[train])
+        inner, by_c = np.searchsorted(names, trials[train]) % inner_splits, {}
+        for c in decoding.C_GRID:
+            hits = []
+            for j in range(inner_splits):
+                v = svm.fit(x[train][inner != j], y[train][inner != j], c)
+                hits.append(((svm.decide(x[train][inner == j], v) > 0) == y[train][inner == j]).mean())
+            by_c[c] = (np.mean(hits), np.std(hits, ddof=1) / 2)
+        best = max(by_c, key=lambda c: (round(by_c[c][0], 12), -c))
+        c = min(c for c in by_c if round(by_c[c][0], 12) >= round(by_c[best][0] - by_c[best][1], 12))
+        v = svm.fit(x[train], y[train], c)
+        out.append((c, ((svm.decide(x[~train], v) > 0) == y[~train]).mean()))
+    return out
+
+
+def test_nested_queries_against_loops(spark):
+    trials, x, y = movies(spark)
+    want = plain_nested(x, y, trials, np.arange(len(trials)) % 5)
+    got = statistics.QUERIES["svm_wide_nested"](spark, SF).first()
+    assert got.acc_mean == pytest.approx(np.mean([a for _, a in want])) and got.acc_std == pytest.approx(np.std([a for _, a in want], ddof=1))
+    e = embeddings(spark)
+    ids = sorted(e)
+    x = np.array([[e[t][0][4 * f + p] for p in (0, 1, 3)] for t in ids for f in range(4, 9)])
+    y, trial = np.repeat([e[t][1] % 2 for t in ids], 5), np.repeat(ids, 5)
+    want = plain_nested(x, y, trial, np.repeat(np.arange(len(ids)) % 5, 5))
+    got = statistics.QUERIES["svm_nested_cv"](spark, SF).first()
+    assert got.acc_mean == pytest.approx(np.mean([a for _, a in want]))
+    fold, scores = trial // 100 % 5, {}
+    for k in range(5):
+        v = Ridge().fit(x[fold != k], y[fold != k], 0.1)
+        scores |= {(int(t), f): s for t, f, s in zip(trial[fold == k], np.tile(range(4, 9), len(ids))[fold == k], svm.decide(x[fold == k], v), strict=True)}
+    rows = statistics.QUERIES["ridge_in_blocks"](spark, SF).collect()
+    at = min(r.frame for r in rows) - 4
+    assert len(rows) == len(scores) and all(r.score == pytest.approx(scores[r.trial, r.frame - at], abs=1e-8) for r in rows)
+
+
+@pytest.mark.parametrize(
+    "splitter", [[], lambda t: t.select("trial", F.lit(0).alias("fold")), lambda t: t.select((F.col("trial") + 90).alias("trial"), F.lit(0).alias("fold")), [({0, 1}, {2, 3}), ({0, 1}, {2})], [({0, 1, 2}, {2, 3})]]
+)
+def test_bad_splitters(spark, splitter):
+    with pytest.raises(ValueError):
+        folds.splits(spark.range(4).withColumnRenamed("id", "trial"), splitter)
+
+
+def test_splitters(spark):
+    trials = spark.range(4).withColumnRenamed("id", "trial")
+    pairs = [({0, 1}, {2, 3}), ({2, 3}, {0, 1})]
+    for splitter in (pairs, lambda t: t.select("trial", (F.col("trial") < 2).cast("int").alias("fold"))):
+        assert {r.trial: r.fold for r in folds.splits(trials, splitter).collect()} == {0: 1, 1: 1, 2: 0, 3: 0}

@@ -1,10 +1,10 @@
-"""Linear SVM decoding under group-disjoint cross-validation.
+"""Linear decoding under group-disjoint cross-validation.
 
-With up to NARROW features all fits of an experiment run at once as sums over the distributed samples
-(see primal); samples are never grouped, and their predictions are made where they lie. Experiments
-with more features than that have few samples (an image per trial and frame): there a task of a grouped
-pandas function fits one window or data set. Both reach the same optimum. Folds, votes, summaries and
-choices of C are DataFrame operations on the fits' small results.
+A fit is a task: the fold it leaves out, C, and the window or permutation it belongs to. Experiments that
+are small enough are held (see held), as features or as a Gram matrix of frame pairs, and their tasks
+spread over the executors; of larger ones all fits run at once as sums over the distributed samples (see
+primal), which are never grouped. Both reach the same optimum. Folds, votes, summaries and choices of C are
+DataFrame operations on the fits' small results. The estimator is a parameter (see functions.estimators).
 """
 
 from __future__ import annotations
@@ -16,33 +16,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import svm
-from . import features, metrics, primal, significance
+from ..functions.estimators import LINEAR_SVM, Estimator
+from ..functions.svm import gradient as svm_gradient
+from . import features, held, metrics, primal, significance
+from .held import Held
 from .ranking import running_sums
 
 #: The usual grid: 7 values from 1e-4 to 1e2.
 C_GRID = tuple(10.0**k for k in range(-4, 3))
-#: Features up to which fits are sums over distributed samples.
-NARROW = 128
 PREDICTIONS = "trial long, frame int, fold int, y_true int, y_pred int, score double"
 
 
-def _narrow(samples: DataFrame) -> bool:
-    first = samples.select(F.size("features").alias("n")).first()
-    return first is not None and first.n <= NARROW
-
-
-def _sorted_samples(pdf: pd.DataFrame):
-    """Samples of a group in a fixed order: features, labels, trials, frames."""
-    pdf = pdf.sort_values(["trial", "frame"], kind="stable")
-    return np.stack(pdf["features"].to_numpy()).astype(float), pdf["y"].to_numpy(), pdf["trial"].to_numpy(), pdf["frame"].to_numpy(), pdf
-
-
-def _both_sides(test: np.ndarray, y: np.ndarray, what: str) -> None:
-    if not test.any() or test.all() or len(np.unique(y[~test])) < 2:
-        raise ValueError(f"{what} has an empty side or one training class")
-
-
 def _distinct(table: DataFrame, column: str) -> list:
     """The values of a column that names folds, windows or permutations: as many as the experiment has."""
     return sorted(r[0] for r in table.select(column).distinct().collect())
@@ -57,165 +41,189 @@ def _check_folds(placed: DataFrame, keys: tuple = ()) -> None:
                 raise ValueError(f"fold {k} has an empty side or one training class")
 
 
-def _left_out(pdf: pd.DataFrame, task: dict):
-    """Training rows and labels of a task: its window, without its fold, under its permutation."""
-    on = pdf["fold"].to_numpy() != task["fold"]
+def _place(samples: DataFrame, fold_of: DataFrame) -> DataFrame:
+    """samples with their trial's fold; an error unless each of them then is tested exactly once."""
+    placed = samples.join(fold_of.select("trial", "fold"), "trial", "left")
+    seen = placed.agg(F.count(F.lit(1)).alias("n"), F.count("fold").alias("tested")).first()
+    if seen.n != seen.tested or fold_of.groupBy("trial").count().where("count > 1").first():
+        raise RuntimeError("the folds do not test every sample exactly once")
+    return placed
+
+
+def _left_out(known: dict, task: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Training samples and labels of a task: its window, without its fold, under its permutation."""
+    on = known["fold"] != task.get("fold", -1)
     if task.get("window") is not None:
-        on &= pdf["window"].to_numpy() == task["window"]
+        on &= known["window"] == task["window"]
+    if task.get("inner") is not None:
+        on &= known["inner"][:, task["at"]] != task["inner"]
+    return on, known["y"] if task.get("perm") is None else known["ys"][:, task["perm"]]
+
+
+def _tested(known: dict, task: dict) -> np.ndarray:
+    """The samples that a task leaves out to test on."""
     if task.get("inner") is not None:
-        on &= np.stack(pdf["inner"].to_numpy())[:, task["at"]] != task["inner"]
-    if task.get("perm") is None:
-        return on, pdf["y"].to_numpy()
-    return on, np.stack(pdf["ys"].to_numpy())[:, task["perm"]]
+        return (known["fold"] != task["fold"]) & (known["inner"][:, task["at"]] == task["inner"])
+    test = known["fold"] == task["fold"]
+    return test if task.get("window") is None else test & (known["window"] == task["window"])
+
+
+def _two_classes(y: np.ndarray) -> None:
+    if not len(y) or (y == y[0]).all():
+        raise ValueError("a training side is empty or has one class")
+
 
+def _models(data: Held | DataFrame, tasks: list[dict], estimator: Estimator) -> list[np.ndarray]:
+    """Coefficients of all tasks, as the driver's copy of small results."""
+    if not isinstance(data, Held):
+        return list(estimator.fit_tasks(data, tasks, _left_out, [t["c"] for t in tasks]))
 
-def _fits(placed: DataFrame, tasks: list[dict]) -> np.ndarray:
-    return primal.fit_tasks(placed, tasks, _left_out, [t["c"] for t in tasks])[0]
+    def run(h: Held, number: int, task: dict) -> pd.DataFrame:
+        on, y = _left_out(h.keys, task)
+        _two_classes(y[on])
+        return pd.DataFrame({"id": [number], "a": [h.fit(estimator, task, on, y)]})
 
+    found = {r.id: np.array(r.a) for r in data.each(tasks, run, "id int, a array<double>").collect()}
+    return [found[i] for i in range(len(tasks))]
 
-def _predicted(placed: DataFrame, tasks: list[dict], models: np.ndarray, extra: str = "") -> DataFrame:
+
+def _predicted(data: Held | DataFrame, tasks: list[dict], models: list[np.ndarray], extra: str = "") -> DataFrame:
     """Predictions of the samples that each task left out; `extra` names further columns, of the task or the sample."""
     more = [c.split()[0] for c in extra.split(",") if c]
 
+    def rows(known: dict, task: dict, test: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+        y = _left_out(known, task)[1][test].astype(int)
+        out = {"trial": known["trial"][test], "frame": known["frame"][test], "fold": task["fold"], "y_true": y, "y_pred": (score > 0).astype(int), "score": score}
+        return pd.DataFrame(out | {c: task[c] if c in task else known[c][test] for c in more})
+
+    schema = PREDICTIONS + (", " + extra if extra else "")
+    if isinstance(data, Held):
+
+        def one(h: Held, number: int, task: dict) -> pd.DataFrame:
+            test = _tested(h.keys, task)
+            return rows(h.keys, task, test, h.scores(task, models[number], test))
+
+        return data.each(tasks, one, schema)
+
     def run(frames):
         for pdf in frames:
-            x = primal.design(pdf["features"]) if len(pdf) else None
-            for task, v in zip(tasks, models, strict=True) if len(pdf) else ():
-                test = pdf["fold"].to_numpy() == task["fold"]
-                if task.get("window") is not None:
-                    test &= pdf["window"].to_numpy() == task["window"]
-                part, score = pdf[test], x[test] @ v
-                y = part["y"].to_numpy() if task.get("perm") is None else np.array([ys[task["perm"]] for ys in part["ys"]], int)
-                known = {"trial": part["trial"], "frame": part["frame"], "fold": task["fold"], "y_true": y, "y_pred": (score > 0).astype(int), "score": score}
-                yield pd.DataFrame(known | {c: task.get(c, part.get(c)) for c in more})
-
-    return placed.mapInPandas(run, PREDICTIONS + (", " + extra if extra else ""))
+            if len(pdf):
+                x, known = primal.design(pdf["features"]), held.columns(pdf)
+                for task, v in zip(tasks, models, strict=True):
+                    test = _tested(known, task)
+                    yield rows(known, task, test, x[test] @ v)
 
+    return data.mapInPandas(run, schema)
 
-def cross_validate(samples: DataFrame, fold_of: DataFrame, c: float) -> DataFrame:
-    """Out-of-fold predictions of samples(trial, frame, y, features): one fit per fold."""
-    placed = samples.join(fold_of, "trial")
-    if _narrow(samples):
-        _check_folds(placed)
-        tasks = [{"fold": k, "c": c} for k in _distinct(placed, "fold")]
-        return _predicted(placed, tasks, _fits(placed, tasks))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, trial, frame, pdf = _sorted_samples(pdf)
-        test = pdf["fold"].to_numpy() == pdf["at"].iloc[0]
-        _both_sides(test, y, f"fold {pdf['at'].iloc[0]}")
-        score = svm.decide(x[test], svm.fit(x[~test], y[~test], c))
-        return pd.DataFrame({"trial": trial[test], "frame": frame[test], "fold": pdf["at"].iloc[0], "y_true": y[test], "y_pred": (score > 0).astype(int), "score": score})
+def _engine(placed: DataFrame, labels: int = 1) -> Held | DataFrame:
+    return held.hold(placed, labels) or placed
 
-    return _with_tasks(placed, [{"at": k} for k in _distinct(fold_of, "fold")]).groupBy("at").applyInPandas(run, PREDICTIONS)
 
+def _fold_tasks(placed: DataFrame, c: float) -> list[dict]:
+    _check_folds(placed)
+    return [{"fold": k, "c": c} for k in _distinct(placed, "fold")]
 
-def _with_tasks(placed: DataFrame, tasks: list[dict]) -> DataFrame:
-    """Every sample once per task; tasks are the few parameter rows of a wide experiment."""
-    listed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in t.items()]) for t in tasks])
-    return placed.withColumn("_t", F.explode(listed)).select(*placed.columns, *[F.col(f"_t.{k}").alias(k) for k in tasks[0]])
 
+def cross_validate(samples: DataFrame, fold_of: DataFrame, c: float, estimator: Estimator = LINEAR_SVM) -> DataFrame:
+    """Out-of-fold predictions of samples(trial, frame, y, features): one fit per fold.
 
-def fold_weights(samples: DataFrame, fold_of: DataFrame, c: float) -> DataFrame:
-    """(fold, feature, w) of the fit that leaves each fold out; feature -1 is the bias."""
-    placed = samples.join(fold_of, "trial")
-    if _narrow(samples):
-        _check_folds(placed)
-        tasks = [{"fold": k, "c": c} for k in _distinct(placed, "fold")]
-        rows = [(int(t["fold"]), i if i < len(v) - 1 else -1, float(w)) for t, v in zip(tasks, _fits(placed, tasks), strict=True) for i, w in enumerate(v)]
-        return samples.sparkSession.createDataFrame(rows, "fold int, feature int, w double")
+    An error if a fold has an empty side or one training class, or a sample is not tested exactly once.
+    """
+    placed = _place(samples, fold_of)
+    tasks, data = _fold_tasks(placed, c), _engine(placed)
+    return _predicted(data, tasks, _models(data, tasks, estimator))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, _, _, pdf = _sorted_samples(pdf)
-        test = pdf["fold"].to_numpy() == pdf["at"].iloc[0]
-        _both_sides(test, y, f"fold {pdf['at'].iloc[0]}")
-        v = svm.fit(x[~test], y[~test], c)
-        return pd.DataFrame({"fold": pdf["at"].iloc[0], "feature": [*range(len(v) - 1), -1], "w": v})
 
-    return _with_tasks(placed, [{"at": k} for k in _distinct(fold_of, "fold")]).groupBy("at").applyInPandas(run, "fold int, feature int, w double")
+def _weight_rows(data: Held | DataFrame, tasks: list[dict], models: list[np.ndarray]) -> DataFrame:
+    """(task, feature, w); feature -1 is the bias."""
+    if isinstance(data, Held):
+        return data.weights(tasks, models)
+    rows = [(i, j if j < len(v) - 1 else -1, float(w)) for i, v in enumerate(models) for j, w in enumerate(v)]
+    return data.sparkSession.createDataFrame(rows, "task int, feature int, w double")
 
 
-def final_model(samples: DataFrame, c: float) -> DataFrame:
-    """(feature, w, gradient) of the fit to all samples; the gradient's entries certify the optimum."""
-    if _narrow(samples):
-        everything = lambda pdf, task: (np.ones(len(pdf), bool), pdf["y"].to_numpy())
-        v, g = primal.fit_tasks(samples, [{}], everything, [c])
-        rows = [(i if i < len(v[0]) - 1 else -1, float(w), float(x)) for i, (w, x) in enumerate(zip(v[0], g[0], strict=True))]
-        return samples.sparkSession.createDataFrame(rows, "feature int, w double, gradient double")
+def _named(rows: DataFrame, tasks: list[dict], names: list[str]) -> DataFrame:
+    """Rows of tasks with the tasks' parameters in place of their numbers."""
+    known = rows.sparkSession.createDataFrame([(i, *[int(t[c]) for c in names]) for i, t in enumerate(tasks)], "task int, " + ", ".join(f"{c} int" for c in names))
+    return rows.join(F.broadcast(known), "task").select(*names, *[c for c in rows.columns if c != "task"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, _, _, pdf = _sorted_samples(pdf)
-        v = svm.fit(x, y, c)
-        g = svm.gradient(v, np.c_[x, np.ones(len(x))], np.where(y > 0, 1.0, -1.0), c)
-        return pd.DataFrame({"feature": [*range(len(v) - 1), -1], "w": v, "gradient": g})
 
-    return samples.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "feature int, w double, gradient double")
+def fold_weights(samples: DataFrame, fold_of: DataFrame, c: float, estimator: Estimator = LINEAR_SVM) -> DataFrame:
+    """(fold, feature, w) of the fit that leaves each fold out; feature -1 is the bias."""
+    placed = _place(samples, fold_of)
+    tasks, data = _fold_tasks(placed, c), _engine(placed)
+    return _named(_weight_rows(data, tasks, _models(data, tasks, estimator)), tasks, ["fold"])
 
 
-def _with_inner(samples: DataFrame, outer: DataFrame, inner_splits: int):
-    """samples with fold and `inner`: for each outer fold in order the inner fold of the trial in its training set."""
+def final_model(samples: DataFrame, c: float) -> DataFrame:
+    """(feature, w, gradient) of the SVM fit to all samples; the gradient's entries certify the optimum."""
+    placed = samples.withColumn("fold", F.lit(0))
+    data, task = _engine(placed), {"c": c}
+    if not isinstance(data, Held):
+        v, g = primal.fit_tasks(placed, [task], _left_out, [c])
+        rows = [(i if i < len(v[0]) - 1 else -1, float(w), float(x)) for i, (w, x) in enumerate(zip(v[0], g[0], strict=True))]
+        return samples.sparkSession.createDataFrame(rows, "feature int, w double, gradient double")
+    model, sign = _models(data, [task], LINEAR_SVM)[0], np.where(data.keys["y"] > 0, 1.0, -1.0)
+    everyone = np.ones(len(sign), bool)
+    if data.x is not None:
+        slope = svm_gradient(model, np.c_[data.x, everyone], sign, c)
+    else:  # the gradient, too, is a sum of samples
+        slope = model - 2 * c * sign * np.maximum(0, 1 - sign * data.scores(task, model, everyone))
+    both = data.weights([task, task], [model, slope])
+    return both.groupBy("feature").agg(F.max(F.when(F.col("task") == 0, F.col("w"))).alias("w"), F.max(F.when(F.col("task") == 1, F.col("w"))).alias("gradient"))
+
+
+def _with_inner(placed: DataFrame, outer: DataFrame, inner_splits: int):
+    """placed with `inner`: for each outer fold in order the inner fold of the trial in its training set."""
     folds = _distinct(outer, "fold")
     ranks = running_sums(outer.select("trial", "fold"), "trial", {f"_in{i}": (F.col("fold") != k).cast("long") for i, k in enumerate(folds)})
     inner = F.array(*[(F.col(f"_in{i}") % inner_splits).cast("int") for i in range(len(folds))])
-    return samples.join(ranks.select("trial", "fold", inner.alias("inner")), "trial"), folds
+    return placed.join(ranks.select("trial", inner.alias("inner")), "trial"), folds
 
 
-def _inner_metrics(placed: DataFrame, folds: list, inner_splits: int, grid: tuple, metric: str, perms: list | None = None) -> DataFrame:
-    """(outer, c, fold, metric) of all inner folds, with perm where labels are permuted."""
+def _inner_metrics(data: Held | DataFrame, folds: list, inner_splits: int, grid: tuple, metric: str, perms: list | None, estimator: Estimator) -> DataFrame:
+    """(perm, outer, c, fold, metric) of all inner folds; perm is -1 without permuted labels."""
     tasks = [
         {"fold": k, "at": i, "inner": j, "c": float(c), "perm": p}
         for p in perms or [None] for i, k in enumerate(folds) for c in grid for j in range(inner_splits)
     ]
-    models = _fits(placed, tasks)
-    names = ["perm", "outer", "c", "fold", "score", "y_true"]
+    keys = ("perm", "outer", "c", "fold")
+    if isinstance(data, Held):
+
+        def one(h: Held, number: int, t: dict) -> pd.DataFrame:
+            (on, y), test = _left_out(h.keys, t), _tested(h.keys, t)
+            if not test.any():  # fewer training trials than inner folds
+                return pd.DataFrame()
+            _two_classes(y[on])
+            score = h.scores(t, h.fit(estimator, t, on, y), test)
+            value = ((score > 0) == (y[test] > 0)).mean() if metric == "acc" else _auc(score, y[test])
+            return pd.DataFrame({"perm": [-1 if t["perm"] is None else t["perm"]], "outer": t["fold"], "c": t["c"], "fold": t["inner"], "metric": None if np.isnan(value) else value})
+
+        # fits are made once: the choice of C reads their few results several times
+        rows = data.each(tasks, one, "perm int, outer int, c double, fold int, metric double")
+        return data.spark.createDataFrame(rows.toArrow())
+    models = _models(data, tasks, estimator)
+    names = [*keys, "score", "y_true"]
 
     def run(frames):
         for pdf in frames:
             if not len(pdf):
                 continue
-            x, fold, inner = primal.design(pdf["features"]), pdf["fold"].to_numpy(), np.stack(pdf["inner"].to_numpy())
+            x, known = primal.design(pdf["features"]), held.columns(pdf)
             for t, v in zip(tasks, models, strict=True):
-                test = (fold != t["fold"]) & (inner[:, t["at"]] == t["inner"])
-                score, y = x[test] @ v, _left_out(pdf, t)[1][test]
+                test = _tested(known, t)
+                score, y = x[test] @ v, _left_out(known, t)[1][test]
                 if metric == "acc":  # hits and number of a batch
                     score, y = [float(((score > 0) == (y > 0)).sum())], [len(y)]
                 yield pd.DataFrame({"perm": -1 if t["perm"] is None else t["perm"], "outer": t["fold"], "c": t["c"], "fold": t["inner"], "score": score, "y_true": y})[names]
 
-    rows = placed.mapInPandas(run, "perm int, outer int, c double, fold int, score double, y_true int")
-    keys = ("perm", "outer", "c", "fold")
+    rows = data.mapInPandas(run, "perm int, outer int, c double, fold int, score double, y_true int")
     if metric == "acc":
         return rows.groupBy(*keys).agg((F.sum("score") / F.nullif(F.sum("y_true"), F.lit(0))).alias("metric")).where("metric is not null")
     return metrics.roc_auc(rows, keys).withColumnRenamed("auc", "metric")
 
 
-def inner_scores(samples: DataFrame, outer: DataFrame, inner_splits: int, grid: tuple = C_GRID, metric: str = "acc") -> DataFrame:
-    """(outer, c, fold, metric) of the inner folds in each outer training set."""
-    if metric not in ("acc", "auc") or not grid:
-        raise ValueError("metric is acc or auc, the grid not empty")
-    if _narrow(samples):
-        placed, folds = _with_inner(samples, outer, inner_splits)
-        sides = placed.select("y", F.posexplode("inner").alias("at", "i"), F.col("fold").alias("own"))
-        sides = sides.join(F.broadcast(samples.sparkSession.createDataFrame(list(enumerate(folds)), "at int, o int")), "at").where("own <> o")
-        _check_folds(sides.select("at", F.col("i").alias("fold"), "y"), ("at",))
-        return _inner_metrics(placed, folds, inner_splits, grid, metric).drop("perm")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, c = pdf["at"].iloc[0], pdf["c"].iloc[0]
-        x, y, trial, _, _ = _sorted_samples(pdf[pdf["fold"] != at])
-        names = np.unique(trial)
-        inner = np.searchsorted(names, trial) % inner_splits
-        out = []
-        for k in range(min(inner_splits, len(names))):
-            test = inner == k
-            _both_sides(test, y, f"inner fold {k}")
-            score = svm.decide(x[test], svm.fit(x[~test], y[~test], c))
-            out.append((at, c, k, ((score > 0) == y[test]).mean() if metric == "acc" else _auc(score, y[test])))
-        return pd.DataFrame(out, columns=["outer", "c", "fold", "metric"])
-
-    tasks = [{"at": k, "c": float(c)} for k, c in product(_distinct(outer, "fold"), grid)]
-    return _with_tasks(samples.join(outer, "trial"), tasks).groupBy("at", "c").applyInPandas(run, "outer int, c double, fold int, metric double")
-
-
 def _auc(score: np.ndarray, y: np.ndarray) -> float:
     n1 = int((y > 0).sum())
     n0 = len(y) - n1
@@ -226,43 +234,62 @@ def _auc(score: np.ndarray, y: np.ndarray) -> float:
     return float((rank[y > 0].sum() - n1 * (n1 + 1) / 2) / (n1 * n0))
 
 
-def nested(samples: DataFrame, outer: DataFrame, inner_splits: int = 4, grid: tuple = C_GRID, metric: str = "acc", rule: str = "one_se", tie_break: str = "smaller"):
-    """Predictions (with the fold's C) of the outer folds, C being chosen inside each training set.
+def _nested_data(samples: DataFrame, outer: DataFrame, inner_splits: int, grid: tuple, metric: str):
+    """The experiment with outer and inner folds, checked, and the outer folds."""
+    if metric not in ("acc", "auc") or not grid:
+        raise ValueError("metric is acc or auc, the grid not empty")
+    placed, folds = _with_inner(_place(samples, outer), outer, inner_splits)
+    _check_folds(placed)
+    sides = placed.select("y", F.posexplode("inner").alias("at", "i"), F.col("fold").alias("own"))
+    sides = sides.join(F.broadcast(samples.sparkSession.createDataFrame(list(enumerate(folds)), "at int, o int")), "at").where("own <> o")
+    _check_folds(sides.select("at", F.col("i").alias("fold"), "y"), ("at",))
+    return _engine(placed), folds
+
+
+def inner_scores(samples: DataFrame, outer: DataFrame, inner_splits: int, grid: tuple = C_GRID, metric: str = "acc", estimator: Estimator = LINEAR_SVM) -> DataFrame:
+    """(outer, c, fold, metric) of the inner folds in each outer training set."""
+    data, folds = _nested_data(samples, outer, inner_splits, grid, metric)
+    return _inner_metrics(data, folds, inner_splits, grid, metric, None, estimator).drop("perm")
+
+
+def _chosen(scores: DataFrame, rule: str = "one_se", tie_break: str = "smaller", perms: tuple = ()) -> list[dict]:
+    """The outer tasks with the C that their inner folds choose."""
+    inner = scores.withColumnRenamed("fold", "inner").withColumnRenamed("outer", "fold")
+    rows = metrics.select_c(inner, rule, tie_break, (*perms, "fold")).orderBy(*perms, "fold").collect()
+    return [{k: r[k] for k in (*perms, "fold", "c")} for r in rows]
+
 
-    Two steps instead of nested loops: all inner fits of all outer folds and C, then all outer fits.
+def nested_run(
+    samples: DataFrame, outer: DataFrame, inner_splits: int = 4, grid: tuple = C_GRID, metric: str = "acc", rule: str = "one_se", tie_break: str = "smaller",
+    estimator: Estimator = LINEAR_SVM,
+) -> tuple[DataFrame, DataFrame]:
+    """Predictions (with the fold's C) of the outer folds, and (fold, feature, w) of their fits.
+
+    C is chosen inside each training set. Two steps instead of nested loops: all inner fits of all outer folds and
+    C, then all outer fits; both share what the experiment is held as.
     """
-    chosen = metrics.select_c(inner_scores(samples, outer, inner_splits, grid, metric).withColumnRenamed("fold", "inner").withColumnRenamed("outer", "fold"), rule, tie_break, ("fold",))
-    tasks = [{"fold": r["fold"], "c": r["c"]} for r in chosen.orderBy("fold").collect()]
-    placed = samples.join(outer, "trial")
-    if _narrow(samples):
-        _check_folds(placed)
-        return _predicted(placed, tasks, _fits(placed, tasks), "c double")
+    data, folds = _nested_data(samples, outer, inner_splits, grid, metric)
+    tasks = _chosen(_inner_metrics(data, folds, inner_splits, grid, metric, None, estimator), rule, tie_break)
+    models = _models(data, tasks, estimator)
+    return _predicted(data, tasks, models, "c double"), _named(_weight_rows(data, tasks, models), tasks, ["fold"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, c = pdf["at"].iloc[0], pdf["c"].iloc[0]
-        x, y, trial, frame, pdf = _sorted_samples(pdf)
-        test = pdf["fold"].to_numpy() == at
-        _both_sides(test, y, f"fold {at}")
-        score = svm.decide(x[test], svm.fit(x[~test], y[~test], c))
-        return pd.DataFrame({"trial": trial[test], "frame": frame[test], "fold": at, "y_true": y[test], "y_pred": (score > 0).astype(int), "score": score, "c": c})
 
-    return _with_tasks(placed, [{"at": t["fold"], "c": t["c"]} for t in tasks]).groupBy("at", "c").applyInPandas(run, PREDICTIONS + ", c double")
+def nested(samples: DataFrame, outer: DataFrame, *args, **options) -> DataFrame:
+    """The predictions of nested_run."""
+    return nested_run(samples, outer, *args, **options)[0]
 
 
-def nested_record(samples: DataFrame, outer: DataFrame, predictions: DataFrame) -> dict[str, DataFrame]:
-    """All tables of a nested run: folds, weights of each outer fit, trials out of fold, confusion, summary.
+def nested_record(samples: DataFrame, outer: DataFrame, *args, **options) -> dict[str, DataFrame]:
+    """All tables of a nested run: predictions, folds, weights of each outer fit, trials out of fold, confusion, summary.
 
     An error if the folds do not test every sample exactly once.
     """
-    tested = predictions.groupBy("trial", "frame").count().agg(F.count(F.lit(1)), F.max("count")).first()
-    if tested[0] != samples.count() or (tested[1] or 0) > 1:
-        raise RuntimeError("the folds do not test every sample exactly once")
-    weights = None
-    for r in predictions.select("fold", "c").distinct().orderBy("fold").collect():
-        own = fold_weights(samples, outer.withColumn("fold", F.when(F.col("fold") == r["fold"], F.col("fold")).otherwise(F.lit(-1))), r["c"]).where(F.col("fold") == r["fold"])
-        weights = own if weights is None else weights.union(own)
+    predictions, weights = nested_run(samples, outer, *args, **options)
     trials = metrics.majority_vote(predictions)
-    return {"folds": metrics.fold_metrics(predictions), "weights": weights, "trials": trials, "confusion": metrics.confusion(trials), "summary": nested_summary(predictions)}
+    return {
+        "predictions": predictions, "folds": metrics.fold_metrics(predictions), "weights": weights, "trials": trials,
+        "confusion": metrics.confusion(trials), "summary": nested_summary(predictions),
+    }
 
 
 def nested_summary(predictions: DataFrame) -> DataFrame:
@@ -272,36 +299,27 @@ def nested_summary(predictions: DataFrame) -> DataFrame:
 
 
 def window_samples(cube: DataFrame, size: int, first: int, last: int, step: int = 1) -> DataFrame:
-    """Samples of every sliding window: window, center, trial, frame, y, features."""
-    cells = features.sliding_windows(cube, size, first, last, step)
+    """Samples of every sliding window: window, center, trial, frame, y, features.
+
+    Images are put together once per frame; then each appears in the windows that cover it.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("pixel", "value")))
-    return cells.groupBy("window", "center", "trial", "frame", "y").agg(F.transform(ordered, lambda c: c["value"]).alias("features"))
+    images = cube.where((F.col("frame") >= first) & (F.col("frame") < last + size)).groupBy("trial", "frame", "y").agg(F.transform(ordered, lambda c: c["value"]).alias("features"))
+    return features.sliding_windows(images, size, first, last, step).select("window", "center", "trial", "frame", "y", "features")
 
 
 def _window_tasks(samples: DataFrame, fold_of: DataFrame, c: float, perms: list | None = None):
-    placed = samples.join(fold_of, "trial")
+    placed = _place(samples, fold_of)
     _check_folds(placed, ("window",))
-    keys = product(_distinct(samples, "window"), _distinct(fold_of, "fold"), perms or [None])
-    return placed, [{"window": w, "fold": k, "perm": p, "c": c} for w, k, p in keys]
+    seen = sorted(tuple(r) for r in placed.groupBy("window", "fold").agg(F.first("center")).collect())
+    return placed, [{"window": w, "center": m, "fold": k, "perm": p, "c": c} for (w, k, m), p in product(seen, perms or [None])]
 
 
-def sliding_decode(samples: DataFrame, fold_of: DataFrame, c: float = 1e-4) -> DataFrame:
+def sliding_decode(samples: DataFrame, fold_of: DataFrame, c: float = 1e-4, estimator: Estimator = LINEAR_SVM) -> DataFrame:
     """Predictions per window: window, center and those of cross_validate; all windows and folds at once."""
-    if _narrow(samples):
-        placed, tasks = _window_tasks(samples, fold_of, c)
-        return _predicted(placed, tasks, _fits(placed, tasks), "window int, center int")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, trial, frame, pdf = _sorted_samples(pdf)
-        fold, out = pdf["fold"].to_numpy(), []
-        for k in np.unique(fold):
-            test = fold == k
-            _both_sides(test, y, f"fold {k}")
-            score = svm.decide(x[test], svm.fit(x[~test], y[~test], c))
-            out.append(pd.DataFrame({"trial": trial[test], "frame": frame[test], "fold": k, "y_true": y[test], "y_pred": (score > 0).astype(int), "score": score}))
-        return pd.concat(out).assign(window=pdf["window"].iloc[0], center=pdf["center"].iloc[0])
-
-    return samples.join(fold_of, "trial").groupBy("window").applyInPandas(run, PREDICTIONS + ", window int, center int")
+    placed, tasks = _window_tasks(samples, fold_of, c)
+    data = _engine(placed)
+    return _predicted(data, tasks, _models(data, tasks, estimator), "window int, center int")
 
 
 def sliding_curve(predictions: DataFrame) -> DataFrame:
@@ -313,26 +331,21 @@ def sliding_curve(predictions: DataFrame) -> DataFrame:
     )
 
 
-def sliding_weights(samples: DataFrame, fold_of: DataFrame, c: float = 1e-4) -> DataFrame:
+def sliding_weights(samples: DataFrame, fold_of: DataFrame, c: float = 1e-4, estimator: Estimator = LINEAR_SVM) -> DataFrame:
     """(window, fold, feature, w) of all fits."""
-    if _narrow(samples):
-        placed, tasks = _window_tasks(samples, fold_of, c)
-        rows = [(int(t["window"]), int(t["fold"]), i, float(w)) for t, v in zip(tasks, _fits(placed, tasks), strict=True) for i, w in enumerate(v[:-1])]
-        return samples.sparkSession.createDataFrame(rows, "window int, fold int, feature int, w double")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, _, _, pdf = _sorted_samples(pdf)
-        fold = pdf["fold"].to_numpy()
-        fits = {k: svm.fit(x[fold != k], y[fold != k], c)[:-1] for k in np.unique(fold)}
-        return pd.concat([pd.DataFrame({"window": pdf["window"].iloc[0], "fold": k, "feature": range(len(v)), "w": v}) for k, v in fits.items()])
+    placed, tasks = _window_tasks(samples, fold_of, c)
+    data = _engine(placed)
+    return _named(_weight_rows(data, tasks, _models(data, tasks, estimator)), tasks, ["window", "fold"]).where("feature >= 0")
 
-    return samples.join(fold_of, "trial").groupBy("window").applyInPandas(run, "window int, fold int, feature int, w double")
 
-
-def sliding_record(samples: DataFrame, fold_of: DataFrame, c: float = 1e-4) -> dict[str, DataFrame]:
+def sliding_record(samples: DataFrame, fold_of: DataFrame, c: float = 1e-4, estimator: Estimator = LINEAR_SVM) -> dict[str, DataFrame]:
     """All tables of a sliding run: predictions, curve per window, and mean and deviation of each weight per window."""
-    predictions = sliding_decode(samples, fold_of, c)
-    means = sliding_weights(samples, fold_of, c).groupBy("window", "feature").agg(F.avg("w").alias("mean"), F.stddev_samp("w").alias("std"))
+    placed, tasks = _window_tasks(samples, fold_of, c)
+    data = _engine(placed)
+    models = _models(data, tasks, estimator)
+    predictions = _predicted(data, tasks, models, "window int, center int")
+    w = _named(_weight_rows(data, tasks, models), tasks, ["window", "fold"]).where("feature >= 0")
+    means = w.groupBy("window", "feature").agg(F.avg("w").alias("mean"), F.stddev_samp("w").alias("std"))
     return {"predictions": predictions, "curve": sliding_curve(predictions), "weights": means}
 
 
@@ -342,92 +355,58 @@ def _with_labels(samples: DataFrame, labels: DataFrame):
     return samples.join(labels.groupBy("trial").agg(ordered.alias("ys")), "trial"), _distinct(labels, "perm")
 
 
-def _accuracies(predictions: DataFrame, keys: tuple) -> DataFrame:
-    """keys, frame_acc and trial_acc."""
+def _accuracies(data: Held | DataFrame, tasks: list[dict], keys: tuple, metric: str, estimator: Estimator) -> DataFrame:
+    """keys, frame_acc and trial_acc of each task under permuted labels; with metric `auc` frame_acc is the area."""
+    if isinstance(data, Held):
+
+        def one(h: Held, number: int, task: dict) -> pd.DataFrame:
+            (on, y), test = _left_out(h.keys, task), _tested(h.keys, task)
+            _two_classes(y[on])
+            score = h.scores(task, h.fit(estimator, task, on, y), test)
+            trial, at = np.unique(h.keys["trial"][test], return_inverse=True)
+            votes, n = np.bincount(at, score > 0, len(trial)), np.bincount(at, minlength=len(trial))
+            truth = np.zeros(len(trial), int)
+            truth[at] = y[test]
+            frame = ((score > 0) == (y[test] > 0)).mean() if metric == "acc" else _auc(score, y[test])
+            return pd.DataFrame({k: [task[k]] for k in keys} | {"frame_acc": frame, "trial_acc": ((2 * votes > n) == (truth > 0)).mean()})
+
+        return data.each(tasks, one, ", ".join(f"{k} int" for k in keys) + ", frame_acc double, trial_acc double")
+    extra = ", ".join(f"{k} int" for k in keys if k != "fold")
+    predictions = _predicted(data, tasks, _models(data, tasks, estimator), extra)
     votes = metrics.trial_accuracy(predictions, keys).select(*keys, F.col("acc").alias("trial_acc"))
-    return metrics.accuracy(predictions, keys).select(*keys, F.col("acc").alias("frame_acc")).join(votes, list(keys))
+    frames = metrics.accuracy(predictions, keys).withColumnRenamed("acc", "frame_acc") if metric == "acc" else metrics.roc_auc(predictions, keys).withColumnRenamed("auc", "frame_acc")
+    return frames.select(*keys, "frame_acc").join(votes, list(keys))
+
 
+def _with_names(rows: DataFrame, perms: list, keys: tuple) -> DataFrame:
+    names = rows.sparkSession.createDataFrame([(i, int(p)) for i, p in enumerate(perms)], "perm int, name int")
+    return rows.join(F.broadcast(names), "perm").select(F.col("name").alias("perm"), *keys, "frame_acc", "trial_acc")
 
-def sliding_permutations(samples: DataFrame, fold_of: DataFrame, labels: DataFrame, c: float = 1e-4, perms_a_task: int = 10) -> DataFrame:
+
+def sliding_permutations(samples: DataFrame, fold_of: DataFrame, labels: DataFrame, c: float = 1e-4, estimator: Estimator = LINEAR_SVM) -> DataFrame:
     """(perm, window, fold, frame_acc, trial_acc) under permuted labels(perm, trial, y_perm).
 
-    Labels are joined to the samples by trial. In wide experiments a task takes one window and a few
-    permutations: the window's Gram matrix is computed once and serves all its fits, as only the
-    labels change.
+    Labels are joined to the samples by trial. Only they change from permutation to permutation, so all fits
+    of a window share its products.
     """
     labelled, perms = _with_labels(samples, labels)
-    if _narrow(samples):
-        placed, tasks = _window_tasks(labelled, fold_of, c, list(range(len(perms))))
-        predictions = _predicted(placed, tasks, _fits(placed, tasks), "window int, perm int")
-        out = _accuracies(predictions, ("perm", "window", "fold"))
-        names = samples.sparkSession.createDataFrame([(i, int(p)) for i, p in enumerate(perms)], "perm int, name int")
-        return out.join(F.broadcast(names), "perm").select(F.col("name").alias("perm"), "window", "fold", "frame_acc", "trial_acc")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, _, trial, _, pdf = _sorted_samples(pdf)
-        fold, wide = pdf["fold"].to_numpy(), x.shape[1] > len(x)
-        k = x @ x.T + 1 if wide else None
-        ys, out = np.stack(pdf["ys"].to_numpy()), []
-        for i in range(ys.shape[1]):
-            y = ys[:, i]
-            for f in np.unique(fold):
-                test = fold == f
-                if len(np.unique(y[~test])) < 2:
-                    raise ValueError("a permuted training side has one class")
-                if wide:
-                    score = k[np.ix_(test, ~test)] @ svm.fit_gram(k[np.ix_(~test, ~test)], y[~test], c)
-                else:
-                    score = svm.decide(x[test], svm.fit_primal(x[~test], y[~test], c))
-                hit = pd.DataFrame({"trial": trial[test], "p": score > 0, "y": y[test]}).groupby("trial").agg(p=("p", "mean"), y=("y", "first"))
-                out.append((perms[pdf["pack"].iloc[0] * perms_a_task + i], pdf["window"].iloc[0], f, ((score > 0) == y[test]).mean(), ((hit["p"] > 0.5) == hit["y"]).mean()))
-        return pd.DataFrame(out, columns=["perm", "window", "fold", "frame_acc", "trial_acc"])
-
-    packs = -(-len(perms) // perms_a_task)
-    placed = labelled.join(fold_of, "trial").withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
-    placed = placed.withColumn("ys", F.slice("ys", F.col("pack") * perms_a_task + 1, F.lit(perms_a_task)))
-    return placed.groupBy("window", "pack").applyInPandas(run, "perm int, window int, fold int, frame_acc double, trial_acc double")
-
-
-def fixed_permutations(samples: DataFrame, outer: DataFrame, labels: DataFrame, inner_splits: int = 4, grid: tuple = C_GRID, metric: str = "acc") -> DataFrame:
+    placed, tasks = _window_tasks(labelled, fold_of, c, list(range(len(perms))))
+    out = _accuracies(_engine(placed, len(perms)), tasks, ("perm", "window", "fold"), "acc", estimator)
+    return _with_names(out, perms, ("window", "fold"))
+
+
+def fixed_permutations(
+    samples: DataFrame, outer: DataFrame, labels: DataFrame, inner_splits: int = 4, grid: tuple = C_GRID, metric: str = "acc", estimator: Estimator = LINEAR_SVM
+) -> DataFrame:
     """(perm, fold, frame_acc, trial_acc) of nested decoding under permuted labels; with metric `auc`, frame_acc is the area.
 
     C is chosen inside each training set by the one-standard-error rule.
     """
-    if _narrow(samples):
-        placed, folds = _with_inner(samples, outer, inner_splits)
-        placed, perms = _with_labels(placed, labels)
-        scores = _inner_metrics(placed, folds, inner_splits, grid, metric, list(range(len(perms))))
-        chosen = metrics.select_c(scores.withColumnRenamed("fold", "inner").withColumnRenamed("outer", "fold"), keys=("perm", "fold"))
-        tasks = [{"perm": r["perm"], "fold": r["fold"], "c": r["c"]} for r in chosen.orderBy("perm", "fold").collect()]
-        predictions = _predicted(placed, tasks, _fits(placed, tasks), "perm int")
-        out = _accuracies(predictions, ("perm", "fold"))
-        if metric == "auc":
-            out = out.drop("frame_acc").join(metrics.roc_auc(predictions, ("perm", "fold")).withColumnRenamed("auc", "frame_acc"), ["perm", "fold"])
-        names = samples.sparkSession.createDataFrame([(i, int(p)) for i, p in enumerate(perms)], "perm int, name int")
-        return out.join(F.broadcast(names), "perm").select(F.col("name").alias("perm"), "fold", "frame_acc", "trial_acc")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, perm = pdf["at"].iloc[0], pdf["perm"].iloc[0]
-        x, y, trial, _, pdf = _sorted_samples(pdf)
-        test = pdf["fold"].to_numpy() == at
-        xs, ys, names = x[~test], y[~test], np.unique(trial[~test])
-        k = xs @ xs.T + 1  # serves all fits of the task
-        inner, scores = np.searchsorted(names, trial[~test]) % inner_splits, []
-        for c, j in product(grid, range(min(inner_splits, len(names)))):
-            here = inner == j
-            score = k[np.ix_(here, ~here)] @ svm.fit_gram(k[np.ix_(~here, ~here)], ys[~here], c)
-            scores.append((c, ((score > 0) == ys[here]).mean() if metric == "acc" else _auc(score, ys[here])))
-        by_c = pd.DataFrame(scores, columns=["c", "m"]).groupby("c")["m"].agg(["mean", "std", "count"])
-        best = by_c["mean"].round(12).idxmax()
-        se = np.nan_to_num(by_c.loc[best, "std"] / np.sqrt(by_c.loc[best, "count"]))
-        c = by_c.index[by_c["mean"].round(12) >= round(by_c.loc[best, "mean"] - se, 12)].min()
-        score = (x[test] @ xs.T + 1) @ svm.fit_gram(k, ys, c)
-        vote = pd.DataFrame({"t": trial[test], "p": score > 0, "y": y[test]}).groupby("t").agg(p=("p", "mean"), y=("y", "first"))
-        frame = ((score > 0) == y[test]).mean() if metric == "acc" else _auc(score, y[test])
-        return pd.DataFrame({"perm": [perm], "fold": [at], "frame_acc": [frame], "trial_acc": [((vote["p"] > 0.5) == vote["y"]).mean()]})
-
-    placed = _with_tasks(samples.drop("y").join(outer, "trial"), [{"at": k} for k in _distinct(outer, "fold")]).join(labels.withColumnRenamed("y_perm", "y"), "trial")
-    return placed.groupBy("perm", "at").applyInPandas(run, "perm int, fold int, frame_acc double, trial_acc double")
+    placed, folds = _with_inner(_place(samples, outer), outer, inner_splits)
+    placed, perms = _with_labels(placed, labels)
+    data = _engine(placed, len(perms))
+    tasks = _chosen(_inner_metrics(data, folds, inner_splits, grid, metric, list(range(len(perms))), estimator), perms=("perm",))
+    return _with_names(_accuracies(data, tasks, ("perm", "fold"), metric, estimator), perms, ("fold",))
 
 
 def sliding_significance(null: DataFrame, predictions: DataFrame, alpha: float = 0.001) -> DataFrame:

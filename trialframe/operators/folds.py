@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -50,6 +52,36 @@ def greedy_folds(sizes: DataFrame, n_splits: int) -> DataFrame:
     return rows.select(F.col("trial").cast("long").alias("trial"), fold.alias("fold"))
 
 
+def splits(trials: DataFrame, splitter: Callable[[DataFrame], DataFrame] | DataFrame | Iterable) -> DataFrame:
+    """(trial, fold) of any splitter, checked: a function of trials(trial, y), a fold table, or (train, test) pairs of ids.
+
+    An error if there is no fold, a fold names a trial that trials does not have, a trial is tested twice, or a
+    side is empty. Of a pair, train has to be all trials but those of test. Trials in no fold are never tested; decoding,
+    which tests every sample once, refuses them.
+    """
+    found = splitter(trials) if callable(splitter) else splitter
+    if not isinstance(found, DataFrame):
+        pairs = [(set(train), set(test)) for train, test in found]
+        everyone = set().union(*(a | b for a, b in pairs))
+        if any(a & b or a | b != everyone for a, b in pairs):
+            raise ValueError("training and test side of a split overlap, or leave trials out")
+        if pairs and trials.select("trial").distinct().count() != len(everyone):
+            raise ValueError("training and test side of a split overlap, or leave trials out")
+        found = trials.sparkSession.createDataFrame([(int(t), k) for k, (_, test) in enumerate(pairs) for t in sorted(test)], "trial long, fold int")
+    found = found.select(F.col("trial").cast("long").alias("trial"), F.col("fold").cast("int").alias("fold"))
+    known = trials.select(F.col("trial").cast("long").alias("trial"), F.lit(1).alias("known")).distinct()
+    seen = found.join(known, "trial", "left").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("known"), F.count_distinct("trial").alias("trials"), F.count_distinct("fold").alias("folds")).first()
+    if not seen.folds:
+        raise ValueError("a splitter gives at least one fold")
+    if seen.known < seen.n:
+        raise ValueError("a fold has a trial that is not there")
+    if seen.trials < seen.n:
+        raise ValueError("a trial is tested twice")
+    if found.groupBy("fold").count().where(F.col("count") == known.count()).first():
+        raise ValueError("a fold leaves nothing to train on")
+    return found
+
+
 def coverage(tested: DataFrame) -> DataFrame:
     """Times that each sample is tested: samples per count. Full coverage is the single row (1, all)."""
     return tested.groupBy("sample_id").agg(F.count(F.lit(1)).alias("times")).groupBy("times").agg(F.count(F.lit(1)).alias("samples"))

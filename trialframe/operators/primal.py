@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.svm import TOLERANCE
+from .held import columns
 
 #: Step lengths tried at once, numbers that a round adds up at most, and rounds.
 LENGTHS, CELLS, ROUNDS = (1.0, 0.5, 0.25, 0.0625), 400_000, 100
@@ -37,9 +38,9 @@ def _sums(samples: DataFrame, tasks: list, sides: Callable, points: np.ndarray)
         for pdf in frames:
             if not len(pdf):
                 continue
-            x = design(pdf["features"])
+            x, known = design(pdf["features"]), columns(pdf)
             for t, task in enumerate(tasks):
-                on, y = sides(pdf, task)
+                on, y = sides(known, task)
                 xs, s = x[on], np.where(y[on] > 0, 1.0, -1.0)
                 for j in range(lengths):
                     slack = 1 - s * (xs @ points[t, j])
@@ -99,7 +100,7 @@ def _fit(samples: DataFrame, tasks: list, sides: Callable, costs: np.ndarray, d:
 def fit_tasks(samples: DataFrame, tasks: list, sides: Callable, costs: list[float]) -> tuple[np.ndarray, np.ndarray]:
     """Weights (bias last) and final gradients of all tasks, in their order.
 
-    sides(pdf, task) gives which rows of a batch train the task, and the labels of all its rows. Tasks
+    sides(columns, task) gives which rows of a batch train the task, and the labels of all its rows. Tasks
     go in groups, so that a round's sums stay below CELLS numbers. The samples are kept by the executors
     meanwhile; lost parts are computed anew.
     """

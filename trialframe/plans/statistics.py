@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.estimators import Ridge
 from ..functions.numeric import normal_tail_sql
 from ..operators import decoding, features, folds, metrics, significance, weights
 from ..sources import fixtures as fx
@@ -256,7 +257,39 @@ def svm_fixed_window(s, d):
 
 
 def svm_nested_cv(s, d):
-    return decoding.nested_summary(decoding.nested(_samples(s, d), folds.modulo_folds(fx.trials(s, d), 5), 3, (1e-4, 1e-2, 1.0)))
+    return decoding.nested_summary(decoding.nested(_samples(s, d), folds.modulo_folds(fx.trials(s, d), 5)))
+
+
+def _movie_samples(s, d):
+    """Frames 2 to 5 of each trial's whole image, pixel by frame, as one sample of 256 features."""
+    cube = fx.movies(s, d).where("frame between 2 and 5")
+    ordered = F.array_sort(F.collect_list(F.struct("frame", "pixel", "value")))
+    whole = cube.groupBy("trial", "y").agg(ordered.alias("v")).where(F.size("v") == 4 * 64)
+    return whole.select("trial", F.lit(2).alias("frame"), "y", F.transform("v", lambda c: c["value"]).alias("features"))
+
+
+def svm_wide_window(s, d):
+    samples = _movie_samples(s, d)
+    return decoding.cross_validate(samples, folds.modulo_folds(samples.select("trial"), 5), 0.01)
+
+
+def svm_wide_nested(s, d):
+    samples = _movie_samples(s, d)
+    return decoding.nested_record(samples, folds.modulo_folds(samples.select("trial"), 5))["summary"]
+
+
+def svm_wide_weights(s, d):
+    return decoding.final_model(_movie_samples(s, d), 0.01)
+
+
+def _in_blocks(trials):
+    """A splitter of one's own: folds of neighbouring trials."""
+    return trials.select("trial", F.floor(F.col("trial") / 100 % 5).cast("int").alias("fold"))
+
+
+def ridge_in_blocks(s, d):
+    split = folds.splits(fx.trials(s, d), _in_blocks)
+    return decoding.cross_validate(_samples(s, d), split, 0.1, Ridge())
 
 
 def svm_sliding_window(s, d):
@@ -380,5 +413,5 @@ ORACLES = {
     "file_catalog": f"{fx.with_tables('sparse')} SELECT DISTINCT lower(session) AS session, cond, concat('/data/conds', cond, '_', lower(session), '.npy') AS path FROM sparse",
     "perm_schema_coalesce": f"{_NULLS} SELECT perm, round(avg(score), 6) AS trial_score, round(CASE WHEN perm < 10 THEN max(score) END, 6) AS frame_score FROM null_scores GROUP BY perm",
 }
-ROWS_ONLY = ("svm_fixed_window", "svm_nested_cv", "svm_sliding_window", "svm_permutation_sliding", "svm_permutation_fixed", "svm_final_model", "svm_weight_map")
+ROWS_ONLY = ("svm_fixed_window", "svm_nested_cv", "svm_sliding_window", "svm_permutation_sliding", "svm_permutation_fixed", "svm_final_model", "svm_weight_map", "svm_wide_window", "svm_wide_nested", "svm_wide_weights", "ridge_in_blocks")
 QUERIES = {k: v for k, v in globals().items() if k in ORACLES or k in ROWS_ONLY}

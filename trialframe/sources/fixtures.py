@@ -47,6 +47,13 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("trial"), (F.col("label") % 2).cast("int").alias("y"))
 
 
+def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight embeddings in turn are the frames, 64 pixels each, of a trial; the parity of their labels' sum is its class."""
+    e = table(spark, sf_dir, "embeddings").select(F.expr("cast(vec_id div 8 as int)").alias("trial"), (F.col("vec_id") % 8).cast("int").alias("frame"), "label", "embedding")
+    y = e.groupBy("trial").agg((F.sum("label") % 2).cast("int").alias("y"))
+    return e.join(y, "trial").select("trial", "y", "frame", F.posexplode("embedding").alias("pixel", "v")).select("trial", "y", "frame", "pixel", F.col("v").cast("double").alias("value"))
+
+
 def roi(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p,) for p in ROI], "pixel int")
 
