@@ -24,6 +24,7 @@ from .ranking import running_sums
 
 #: The usual grid: 7 values from 1e-4 to 1e2.
 C_GRID = tuple(10.0**k for k in range(-4, 3))
+NOT_ONCE = "the folds do not test every sample exactly once"
 PREDICTIONS = "trial long, frame int, fold int, y_true int, y_pred int, score double"
 
 
@@ -32,6 +33,11 @@ def _distinct(table: DataFrame, column: str) -> list:
     return sorted(r[0] for r in table.select(column).distinct().collect())
 
 
+def _two_classes(y: np.ndarray, what: str = "a permuted fold") -> None:
+    if not len(y) or (y == y[0]).all():
+        raise ValueError(f"{what} has an empty side or one training class")
+
+
 def _check_folds(placed: DataFrame, keys: tuple = ()) -> None:
     """An error if a fold has no test samples or fewer than two training classes."""
     counts = pd.DataFrame([tuple(r) for r in placed.groupBy(*keys, "fold", "y").count().collect()], columns=[*keys, "fold", "y", "n"])
@@ -41,13 +47,65 @@ def _check_folds(placed: DataFrame, keys: tuple = ()) -> None:
                 raise ValueError(f"fold {k} has an empty side or one training class")
 
 
-def _place(samples: DataFrame, fold_of: DataFrame) -> DataFrame:
-    """samples with their trial's fold; an error unless each of them then is tested exactly once."""
+def _check_held(known: dict) -> None:
+    """The checks of _engine on the driver's copy of the keys."""
+    if np.isnan(known["fold"].astype(float)).any():
+        raise RuntimeError(NOT_ONCE)
+    known["fold"] = known["fold"].astype(int)
+    windows = known.get("window", np.zeros(len(known["fold"])))
+    for w in np.unique(windows):
+        fold, y = known["fold"][windows == w], known["y"][windows == w]
+        for k in np.unique(fold):
+            _two_classes(y[fold != k], f"fold {k}")
+
+
+def _inner_held(known: dict, folds: list, inner_splits: int) -> np.ndarray:
+    """The inner fold of each sample for each outer fold in order: its trial's rank in that training set, dealt in turn."""
+    inner = np.full((len(known["fold"]), len(folds)), -1)
+    for i, k in enumerate(folds):
+        train = known["fold"] != k
+        names = np.unique(known["trial"][train])
+        inner[train, i] = np.searchsorted(names, known["trial"][train]) % inner_splits
+        for j in range(min(inner_splits, len(names))):
+            _two_classes(known["y"][train & (inner[:, i] != j)], f"inner fold {j}")
+    return inner
+
+
+def _inner_placed(placed: DataFrame, outer: DataFrame, folds: list, inner_splits: int) -> DataFrame:
+    """_inner_held as a column of distributed samples."""
+    ranks = running_sums(outer.select("trial", "fold"), "trial", {f"_in{i}": (F.col("fold") != k).cast("long") for i, k in enumerate(folds)})
+    inner = F.array(*[(F.col(f"_in{i}") % inner_splits).cast("int") for i in range(len(folds))])
+    placed = placed.join(ranks.select("trial", inner.alias("inner")), "trial")
+    sides = placed.select("y", F.posexplode("inner").alias("at", "i"), F.col("fold").alias("own"))
+    sides = sides.join(F.broadcast(placed.sparkSession.createDataFrame(list(enumerate(folds)), "at int, o int")), "at").where("own <> o")
+    _check_folds(sides.select("at", F.col("i").alias("fold"), "y"), ("at",))
+    return placed
+
+
+def _engine(samples: DataFrame, fold_of: DataFrame, inner_splits: int = 0, labels: DataFrame | None = None) -> tuple[Held | DataFrame, list, list]:
+    """The experiment of samples with their trial's fold, held or distributed, its folds, and its permutations.
+
+    With inner_splits, samples have `inner`, with labels(perm, trial, y_perm), `ys` in the order of the permutations. An error
+    unless each sample is tested exactly once, and each training side has two classes.
+    """
     placed = samples.join(fold_of.select("trial", "fold"), "trial", "left")
+    if labels is not None:
+        ordered = F.array_sort(F.collect_list(F.struct("perm", F.col("y_perm").cast("int").alias("y")))).alias("ys")
+        placed = placed.join(labels.groupBy("trial").agg(ordered), "trial").withColumn("perms", F.col("ys.perm")).withColumn("ys", F.col("ys.y"))
+    data = held.hold(placed)
+    if data is not None:
+        _check_held(data.keys)
+        folds = np.unique(data.keys["fold"]).tolist()
+        if inner_splits:
+            data.keys["inner"] = _inner_held(data.keys, folds, inner_splits)
+        return data, folds, data.keys.pop("perms")[0].tolist() if labels is not None else []
     seen = placed.agg(F.count(F.lit(1)).alias("n"), F.count("fold").alias("tested")).first()
     if seen.n != seen.tested or fold_of.groupBy("trial").count().where("count > 1").first():
-        raise RuntimeError("the folds do not test every sample exactly once")
-    return placed
+        raise RuntimeError(NOT_ONCE)
+    _check_folds(placed, ("window",) if "window" in placed.columns else ())
+    folds = _distinct(fold_of, "fold")
+    perms = list(placed.select("perms").first()[0]) if labels is not None else []
+    return _inner_placed(placed, fold_of, folds, inner_splits) if inner_splits else placed, folds, perms
 
 
 def _left_out(known: dict, task: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -68,11 +126,6 @@ def _tested(known: dict, task: dict) -> np.ndarray:
     return test if task.get("window") is None else test & (known["window"] == task["window"])
 
 
-def _two_classes(y: np.ndarray) -> None:
-    if not len(y) or (y == y[0]).all():
-        raise ValueError("a training side is empty or has one class")
-
-
 def _models(data: Held | DataFrame, tasks: list[dict], estimator: Estimator) -> list[np.ndarray]:
     """Coefficients of all tasks, as the driver's copy of small results."""
     if not isinstance(data, Held):
@@ -116,22 +169,13 @@ def _predicted(data: Held | DataFrame, tasks: list[dict], models: list[np.ndarra
     return data.mapInPandas(run, schema)
 
 
-def _engine(placed: DataFrame, labels: int = 1) -> Held | DataFrame:
-    return held.hold(placed, labels) or placed
-
-
-def _fold_tasks(placed: DataFrame, c: float) -> list[dict]:
-    _check_folds(placed)
-    return [{"fold": k, "c": c} for k in _distinct(placed, "fold")]
-
-
 def cross_validate(samples: DataFrame, fold_of: DataFrame, c: float, estimator: Estimator = LINEAR_SVM) -> DataFrame:
     """Out-of-fold predictions of samples(trial, frame, y, features): one fit per fold.
 
     An error if a fold has an empty side or one training class, or a sample is not tested exactly once.
     """
-    placed = _place(samples, fold_of)
-    tasks, data = _fold_tasks(placed, c), _engine(placed)
+    data, folds, _ = _engine(samples, fold_of)
+    tasks = [{"fold": k, "c": c} for k in folds]
     return _predicted(data, tasks, _models(data, tasks, estimator))
 
 
@@ -151,16 +195,16 @@ def _named(rows: DataFrame, tasks: list[dict], names: list[str]) -> DataFrame:
 
 def fold_weights(samples: DataFrame, fold_of: DataFrame, c: float, estimator: Estimator = LINEAR_SVM) -> DataFrame:
     """(fold, feature, w) of the fit that leaves each fold out; feature -1 is the bias."""
-    placed = _place(samples, fold_of)
-    tasks, data = _fold_tasks(placed, c), _engine(placed)
+    data, folds, _ = _engine(samples, fold_of)
+    tasks = [{"fold": k, "c": c} for k in folds]
     return _named(_weight_rows(data, tasks, _models(data, tasks, estimator)), tasks, ["fold"])
 
 
 def final_model(samples: DataFrame, c: float) -> DataFrame:
     """(feature, w, gradient) of the SVM fit to all samples; the gradient's entries certify the optimum."""
     placed = samples.withColumn("fold", F.lit(0))
-    data, task = _engine(placed), {"c": c}
-    if not isinstance(data, Held):
+    data, task = held.hold(placed), {"c": c}
+    if data is None:
         v, g = primal.fit_tasks(placed, [task], _left_out, [c])
         rows = [(i if i < len(v[0]) - 1 else -1, float(w), float(x)) for i, (w, x) in enumerate(zip(v[0], g[0], strict=True))]
         return samples.sparkSession.createDataFrame(rows, "feature int, w double, gradient double")
@@ -174,14 +218,6 @@ def final_model(samples: DataFrame, c: float) -> DataFrame:
     return both.groupBy("feature").agg(F.max(F.when(F.col("task") == 0, F.col("w"))).alias("w"), F.max(F.when(F.col("task") == 1, F.col("w"))).alias("gradient"))
 
 
-def _with_inner(placed: DataFrame, outer: DataFrame, inner_splits: int):
-    """placed with `inner`: for each outer fold in order the inner fold of the trial in its training set."""
-    folds = _distinct(outer, "fold")
-    ranks = running_sums(outer.select("trial", "fold"), "trial", {f"_in{i}": (F.col("fold") != k).cast("long") for i, k in enumerate(folds)})
-    inner = F.array(*[(F.col(f"_in{i}") % inner_splits).cast("int") for i in range(len(folds))])
-    return placed.join(ranks.select("trial", inner.alias("inner")), "trial"), folds
-
-
 def _inner_metrics(data: Held | DataFrame, folds: list, inner_splits: int, grid: tuple, metric: str, perms: list | None, estimator: Estimator) -> DataFrame:
     """(perm, outer, c, fold, metric) of all inner folds; perm is -1 without permuted labels."""
     tasks = [
@@ -234,21 +270,15 @@ def _auc(score: np.ndarray, y: np.ndarray) -> float:
     return float((rank[y > 0].sum() - n1 * (n1 + 1) / 2) / (n1 * n0))
 
 
-def _nested_data(samples: DataFrame, outer: DataFrame, inner_splits: int, grid: tuple, metric: str):
-    """The experiment with outer and inner folds, checked, and the outer folds."""
+def _check_choice(grid: tuple, metric: str) -> None:
     if metric not in ("acc", "auc") or not grid:
         raise ValueError("metric is acc or auc, the grid not empty")
-    placed, folds = _with_inner(_place(samples, outer), outer, inner_splits)
-    _check_folds(placed)
-    sides = placed.select("y", F.posexplode("inner").alias("at", "i"), F.col("fold").alias("own"))
-    sides = sides.join(F.broadcast(samples.sparkSession.createDataFrame(list(enumerate(folds)), "at int, o int")), "at").where("own <> o")
-    _check_folds(sides.select("at", F.col("i").alias("fold"), "y"), ("at",))
-    return _engine(placed), folds
 
 
 def inner_scores(samples: DataFrame, outer: DataFrame, inner_splits: int, grid: tuple = C_GRID, metric: str = "acc", estimator: Estimator = LINEAR_SVM) -> DataFrame:
     """(outer, c, fold, metric) of the inner folds in each outer training set."""
-    data, folds = _nested_data(samples, outer, inner_splits, grid, metric)
+    _check_choice(grid, metric)
+    data, folds, _ = _engine(samples, outer, inner_splits)
     return _inner_metrics(data, folds, inner_splits, grid, metric, None, estimator).drop("perm")
 
 
@@ -268,7 +298,8 @@ def nested_run(
     C is chosen inside each training set. Two steps instead of nested loops: all inner fits of all outer folds and
     C, then all outer fits; both share what the experiment is held as.
     """
-    data, folds = _nested_data(samples, outer, inner_splits, grid, metric)
+    _check_choice(grid, metric)
+    data, folds, _ = _engine(samples, outer, inner_splits)
     tasks = _chosen(_inner_metrics(data, folds, inner_splits, grid, metric, None, estimator), rule, tie_break)
     models = _models(data, tasks, estimator)
     return _predicted(data, tasks, models, "c double"), _named(_weight_rows(data, tasks, models), tasks, ["fold"])
@@ -308,17 +339,18 @@ def window_samples(cube: DataFrame, size: int, first: int, last: int, step: int
     return features.sliding_windows(images, size, first, last, step).select("window", "center", "trial", "frame", "y", "features")
 
 
-def _window_tasks(samples: DataFrame, fold_of: DataFrame, c: float, perms: list | None = None):
-    placed = _place(samples, fold_of)
-    _check_folds(placed, ("window",))
-    seen = sorted(tuple(r) for r in placed.groupBy("window", "fold").agg(F.first("center")).collect())
-    return placed, [{"window": w, "center": m, "fold": k, "perm": p, "c": c} for (w, k, m), p in product(seen, perms or [None])]
+def _window_tasks(data: Held | DataFrame, c: float, perms: list | None = None) -> list[dict]:
+    if isinstance(data, Held):
+        seen = sorted(set(zip(*[data.keys[k].tolist() for k in ("window", "fold", "center")], strict=True)))
+    else:
+        seen = sorted(tuple(r) for r in data.select("window", "fold", "center").distinct().collect())
+    return [{"window": w, "center": m, "fold": k, "perm": p, "c": c} for (w, k, m), p in product(seen, perms or [None])]
 
 
 def sliding_decode(samples: DataFrame, fold_of: DataFrame, c: float = 1e-4, estimator: Estimator = LINEAR_SVM) -> DataFrame:
     """Predictions per window: window, center and those of cross_validate; all windows and folds at once."""
-    placed, tasks = _window_tasks(samples, fold_of, c)
-    data = _engine(placed)
+    data = _engine(samples, fold_of)[0]
+    tasks = _window_tasks(data, c)
     return _predicted(data, tasks, _models(data, tasks, estimator), "window int, center int")
 
 
@@ -333,15 +365,15 @@ def sliding_curve(predictions: DataFrame) -> DataFrame:
 
 def sliding_weights(samples: DataFrame, fold_of: DataFrame, c: float = 1e-4, estimator: Estimator = LINEAR_SVM) -> DataFrame:
     """(window, fold, feature, w) of all fits."""
-    placed, tasks = _window_tasks(samples, fold_of, c)
-    data = _engine(placed)
+    data = _engine(samples, fold_of)[0]
+    tasks = _window_tasks(data, c)
     return _named(_weight_rows(data, tasks, _models(data, tasks, estimator)), tasks, ["window", "fold"]).where("feature >= 0")
 
 
 def sliding_record(samples: DataFrame, fold_of: DataFrame, c: float = 1e-4, estimator: Estimator = LINEAR_SVM) -> dict[str, DataFrame]:
     """All tables of a sliding run: predictions, curve per window, and mean and deviation of each weight per window."""
-    placed, tasks = _window_tasks(samples, fold_of, c)
-    data = _engine(placed)
+    data = _engine(samples, fold_of)[0]
+    tasks = _window_tasks(data, c)
     models = _models(data, tasks, estimator)
     predictions = _predicted(data, tasks, models, "window int, center int")
     w = _named(_weight_rows(data, tasks, models), tasks, ["window", "fold"]).where("feature >= 0")
@@ -349,12 +381,6 @@ def sliding_record(samples: DataFrame, fold_of: DataFrame, c: float = 1e-4, esti
     return {"predictions": predictions, "curve": sliding_curve(predictions), "weights": means}
 
 
-def _with_labels(samples: DataFrame, labels: DataFrame):
-    """samples with `ys`, their trial's permuted labels in the order of the permutations, and those permutations."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("perm", F.col("y_perm").cast("int").alias("y")))), lambda s: s["y"])
-    return samples.join(labels.groupBy("trial").agg(ordered.alias("ys")), "trial"), _distinct(labels, "perm")
-
-
 def _accuracies(data: Held | DataFrame, tasks: list[dict], keys: tuple, metric: str, estimator: Estimator) -> DataFrame:
     """keys, frame_acc and trial_acc of each task under permuted labels; with metric `auc` frame_acc is the area."""
     if isinstance(data, Held):
@@ -389,9 +415,9 @@ def sliding_permutations(samples: DataFrame, fold_of: DataFrame, labels: DataFra
     Labels are joined to the samples by trial. Only they change from permutation to permutation, so all fits
     of a window share its products.
     """
-    labelled, perms = _with_labels(samples, labels)
-    placed, tasks = _window_tasks(labelled, fold_of, c, list(range(len(perms))))
-    out = _accuracies(_engine(placed, len(perms)), tasks, ("perm", "window", "fold"), "acc", estimator)
+    data, _, perms = _engine(samples, fold_of, labels=labels)
+    tasks = _window_tasks(data, c, list(range(len(perms))))
+    out = _accuracies(data, tasks, ("perm", "window", "fold"), "acc", estimator)
     return _with_names(out, perms, ("window", "fold"))
 
 
@@ -402,9 +428,8 @@ def fixed_permutations(
 
     C is chosen inside each training set by the one-standard-error rule.
     """
-    placed, folds = _with_inner(_place(samples, outer), outer, inner_splits)
-    placed, perms = _with_labels(placed, labels)
-    data = _engine(placed, len(perms))
+    _check_choice(grid, metric)
+    data, folds, perms = _engine(samples, outer, inner_splits, labels)
     tasks = _chosen(_inner_metrics(data, folds, inner_splits, grid, metric, list(range(len(perms))), estimator), perms=("perm",))
     return _with_names(_accuracies(data, tasks, ("perm", "fold"), metric, estimator), perms, ("fold",))
 

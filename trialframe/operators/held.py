@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,20 +167,28 @@ def frame_pairs(slices: DataFrame, trials: np.ndarray, pairs: list[tuple[int, in
     return parts.repartition("f", "g").sortWithinPartitions("f", "g").mapInArrow(added, "f int, g int, block binary")
 
 
-def hold(placed: DataFrame, labels: int = 1) -> Held | None:
+def hold(placed: DataFrame) -> Held | None:
     """The experiment of samples `placed` (features and keys, in windows if it has that column), or None if it is too large.
 
-    labels: labels per sample under permutations. Samples without windows form one. An error if a sample
-    repeats or features differ in number.
+    Samples without windows form one window; ys holds labels under permutations. An error if a sample repeats or features
+    differ in number. The samples are made once: the executors keep them until they have been measured and read.
     """
+    kept = placed.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _hold(kept)
+    finally:
+        kept.unpersist()
+
+
+def _hold(placed: DataFrame) -> Held | None:
     windowed = ["window"] if "window" in placed.columns else []
     size = F.size("features")
-    seen = placed.agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("low"), F.max(size).alias("d"), F.count_distinct("trial").alias("trials"), F.max("frame").alias("top"), F.count_distinct(*windowed or [F.lit(0)]).alias("windows")).first()
+    seen = placed.agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("low"), F.max(size).alias("d"), F.count_distinct("trial").alias("trials"), F.max("frame").alias("top"), (F.max(F.size("ys")) if "ys" in placed.columns else F.lit(1)).alias("labels"), F.count_distinct(*windowed or [F.lit(0)]).alias("windows")).first()
     if not seen.n:
         raise ValueError("there are no samples")
     if seen.low != seen.d:
         raise ValueError("samples differ in their number of features")
-    if seen.n * labels > LABELS:
+    if seen.n * seen.labels > LABELS:
         return None
     narrow = seen.n * seen.d <= LOCAL and seen.d * seen.windows <= seen.n
     if not narrow and seen.trials**2 > GRAM:
@@ -196,7 +205,7 @@ def hold(placed: DataFrame, labels: int = 1) -> Held | None:
             return None
     keys = placed.select(*[c for c in placed.columns if narrow or c != "features"]).toArrow().to_pandas().sort_values(order, kind="stable", ignore_index=True)
     if keys.duplicated(order).any():
-        raise ValueError("a sample repeats")
+        raise RuntimeError("a sample repeats: the folds do not test every sample exactly once")
     spark = placed.sparkSession
     if narrow:
         return Held(spark, columns(keys), np.stack(keys["features"].to_numpy()).astype(float))
