@@ -171,3 +171,28 @@ def test_anisotropic_loss_beats_plain_on_parallel_error():
     plain, aware = ann.Quantiser.fit(x, weight=1.0), ann.Quantiser.fit(x)
     parallel = lambda m: np.abs(((x - m.decode(m.encode(x))) * x).sum(1)).mean()
     assert parallel(aware) < parallel(plain)
+
+
+def test_sample_with_a_hot_row(spark):
+    """One row repeated ten thousand times counts once; the others are drawn as if it were not there."""
+    hot = spark.range(10_000).selectExpr("7L AS vec_id", "array(1D, 2D) AS embedding")
+    rest = spark.range(300).selectExpr("id + 100 AS vec_id", "array(cast(id AS double), 1D) AS embedding")
+    found = llm_vectors.sample(llm_vectors.as_bytes(hot.union(rest)), 100)[2]
+    assert 60 <= len(found) <= 200 and sum((v == [1.0, 2.0]).all() for v in found.tolist() and found) <= 1
+    assert len(llm_vectors.sample(llm_vectors.as_bytes(hot), 100)[2]) == 1
+
+
+@pytest.mark.parametrize("scales", [[1e-160], [1e-30], [1e20], [1e150], [1e-160, 1e-30, 1.0, 1e20, 1e150]])
+def test_search_at_any_finite_scale(spark, scales):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 6)) * np.resize(scales, 400)[:, None]
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.search(df, rerank=20).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 400, 100):
+        top = np.abs(x - x[q]).max(1)
+        far = top * np.sqrt((((x - x[q]) / np.maximum(top, 1e-300)[:, None]) ** 2).sum(1))
+        far[q] = np.inf
+        best = np.lexsort((np.arange(400), far))[:10]
+        assert np.allclose([s for _, _, s in sorted(got[q])], far[best], rtol=1e-9, atol=0) and len(scales) > 1 or [v for _, v, _ in sorted(got[q])] == best.tolist()

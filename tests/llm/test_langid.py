@@ -46,8 +46,9 @@ def test_long_texts_train(make_docs):
     docs = make_docs([(i, long[lang], lang, "s") for i in range(60) for lang in ("en", "de")])
     got = langid.predictions(docs).collect()
     assert sorted(r.lang_pred for r in got) == ["de"] * 60 + ["en"] * 60
-    pieces = make_docs([(1, long["de"], "de", "s")]).select(langid.training_text().alias("t")).first().t
-    assert 10_000 < len(pieces) < 30_000
+    buckets, counts = langid.bucket_counts(long["de"])
+    once, _ = langid.bucket_counts("der hund und die katze ist im haus")
+    assert buckets.tolist() == once.tolist() and (counts % 800 == 0).all()
 
 
 def test_score_equals_a_plain_version(make_docs):
@@ -89,3 +90,14 @@ def test_keep_identified(make_docs, odd_rows):
     kept = langid.keep_identified(docs)
     assert kept.columns == docs.columns
     assert {3, 4, 6}.isdisjoint({r.doc_id for r in kept.collect()})
+
+
+def test_a_hot_row_does_not_hide_a_language(make_docs):
+    rows = [(i, f"the cat and the dog number {i} of the house", "en", "s") for i in range(60)]
+    rows += [(100 + i, f"der hund und die katze nummer {i} ist im haus", "de", "s") for i in range(60)]
+    hot = [(7_000_002, "der hund und die katze", "de", "s")]
+    docs = make_docs(rows).union(make_docs(hot).selectExpr("*", "explode(sequence(1, 40000)) x").drop("x"))
+    model = langid.fit(docs)
+    assert model.languages == ["de", "en"]
+    got = langid.identify(make_docs(rows), model).collect()
+    assert all(r.lang_pred == r.lang for r in got)

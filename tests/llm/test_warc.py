@@ -4,7 +4,7 @@ import hashlib
 import pytest
 import zstandard
 
-from trialframe.llm import warc
+from trialframe.llm import shared, warc
 from trialframe.llm.shared import fresh_path, read_files
 
 SCHEMA = "page_id long, url string, html string, payload string, key int"
@@ -83,3 +83,15 @@ def test_empty(spark):
     path = fresh_path(spark, "test-warc")
     warc.write_archives(spark.createDataFrame([], SCHEMA), path)
     assert warc.read_archives(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("copies", [1, 10_000])
+def test_repeated_rows_leave_a_dictionary(spark, tmp_path, copies):
+    one = "<html><body>" + " ".join(f"word{i}" for i in range(300)) + "</body></html>"
+    pages = spark.createDataFrame([(1, "u", one)], "page_id long, url string, html string").selectExpr("*", f"explode(sequence(1, {copies})) x").drop("x")
+    assert len(warc.sample_records(pages)) == 1
+    path = f"file://{tmp_path}/out"
+    warc.write_archives(pages, path)
+    archives = [bytes(r.content) for r in shared.read_files(spark, path).collect()]
+    assert archives and all(a[:4] == b"\x5d\x2a\x4d\x18" or (a[0] & 0xF0 == 0x50 and a[1:4] == b"\x2a\x4d\x18") for a in archives)
+    assert warc.read_archives(spark, path, with_payload=False).count() == copies

@@ -27,11 +27,12 @@ class Quantiser:
     parallel to the vector. So the loss is |r|^2 + (weight - 1) (r . x / |x|)^2, the weight following
     from the dimension and the score threshold. Codes are found by going over the subspaces in turn,
     each time choosing the centre with the least loss given the others; centres are the weighted
-    least squares solution for their members.
+    least squares solution for their members. All of it happens on vectors times `unit`, a power of two that
+    brings the sample's largest component near 1.
     """
 
-    def __init__(self, centres: np.ndarray, dim: int, weight: float):
-        self.centres, self.dim, self.weight = centres, dim, weight
+    def __init__(self, centres: np.ndarray, dim: int, weight: float, unit: float = 1.0):
+        self.centres, self.dim, self.weight, self.unit = centres, dim, weight, unit
 
     @staticmethod
     def _cut(x: np.ndarray) -> np.ndarray:
@@ -43,9 +44,11 @@ class Quantiser:
         dim = x.shape[1]
         if weight is None:
             weight = max(1.0, (dim - 1) * MATTERS**2 / (1 - MATTERS**2))
+        unit = _unit(x)
+        x = x * unit
         parts = cls._cut(x)
         centres = np.stack([np.resize(vectors.k_means(parts[:, m], 16, 5, seed=m), (16, SUB)) for m in range(parts.shape[1])])
-        model = cls(centres, dim, weight)
+        model = cls(centres, dim, weight, unit)
         for _ in range(rounds):
             codes = model._codes(x)
             model._refit(x, codes)
@@ -84,26 +87,38 @@ class Quantiser:
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         """Two four-bit codes in each byte."""
-        codes = self._codes(x).astype(np.uint8)
+        with np.errstate(over="ignore", invalid="ignore"):  # far beyond the sample any code will do: bounds use the residual
+            codes = self._codes(x * self.unit).astype(np.uint8)
         return codes[:, 0::2] << 4 | codes[:, 1::2]
 
     def decode(self, packed: np.ndarray) -> np.ndarray:
+        """Coded vectors, times unit."""
         codes = np.stack([packed >> 4, packed & 15], 2).reshape(len(packed), -1)
         return self.centres[np.arange(codes.shape[1]), codes].reshape(len(packed), -1)[:, : self.dim]
 
-    def tables(self, query: np.ndarray) -> np.ndarray:
-        """Inner products of a query with every centre; the tables of two subspaces joined, one entry a byte."""
-        each = np.einsum("mcs,ms->mc", self.centres, self._cut(query[None])[0])
+    def tables(self, query: np.ndarray, scale: float) -> np.ndarray:
+        """Inner products of a query with every centre times scale; the tables of two subspaces joined, one entry a byte."""
+        each = np.einsum("mcs,ms->mc", self.centres * scale, self._cut(query[None])[0])
         return (each[0::2, :, None] + each[1::2, None, :]).reshape(len(each) // 2, 256).astype(np.float32)
 
 
+def _unit(*arrays: np.ndarray) -> float:
+    """The power of two that brings the largest component near 1, as far as doubles reach."""
+    top = max((float(np.abs(a).max()) for a in arrays if a.size), default=0.0)
+    return 2.0 ** min(1000, -int(np.floor(np.log2(top)))) if top else 1.0
+
+
 def _nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, allowed: np.ndarray, score: np.ndarray, lower: np.ndarray, k: int, rerank: int):
     """Rows of the k nearest of x to q, nearest first, and their distances, measured exactly.
 
     The `rerank` rows of the best scores are measured first; then all others whose lower bound does
     not exceed the k-th distance found so far, in slices by rising bound. So none is missed.
     """
-    measured = lambda rows: np.sqrt(((x[rows] - q) ** 2).sum(1))
+
+    def measured(rows):
+        apart = x[rows] - q
+        power = np.frexp(np.abs(apart).max(1))[1]  # squares of components near 1 stay in range, and powers of two are exact
+        return np.ldexp(np.sqrt((np.ldexp(apart, -power[:, None]) ** 2).sum(1)), power)
 
     def keep(rows, far):
         first = np.lexsort((ids[rows], far))[:k]
@@ -136,20 +151,23 @@ def _scan(models: dict, k: int, rerank: int):
             part, asked = base[base["_dim"] == d], queries[queries["_dim"] == d]
             if not len(part):
                 continue
-            x, ids = vectors.matrix(part["_vec"], d), part["vec_id"].to_numpy()
+            x, ids, queried = vectors.matrix(part["_vec"], d), part["vec_id"].to_numpy(), vectors.matrix(asked["_vec"], d)
             packed = np.frombuffer(b"".join(part["_codes"]), np.uint8).reshape(len(part), -1)
-            coded = models[d].decode(packed)
-            packed, half = packed.T.copy(), (x**2).sum(1) / 2
-            rest, size = np.linalg.norm(x - coded, axis=1), np.linalg.norm(coded, axis=1)
-            for query, q in zip(asked["query_id"], vectors.matrix(asked["_vec"], d), strict=True):
+            coded, unit = models[d].decode(packed), models[d].unit
+            # bounds are made of numbers near 1, so that squares and single-precision tables do not overflow
+            scale = min(_unit(x, queried), _unit(coded) * unit)
+            near, coded = x * scale, coded * (scale / unit)
+            packed, half = packed.T.copy(), (near**2).sum(1) / 2
+            rest, size = np.linalg.norm(near - coded, axis=1), np.linalg.norm(coded, axis=1)
+            for query, q in zip(asked["query_id"], queried, strict=True):
                 product = np.zeros(len(x), np.float32)
-                for table, codes in zip(models[d].tables(q), packed, strict=True):
+                for table, codes in zip(models[d].tables(q * scale, scale / unit), packed, strict=True):
                     product += table[codes]
                 # |q - x| >= |q - coded| - |x - coded|; sums of single precision err by no more than slack
-                product, length = product.astype(np.float64), np.linalg.norm(q)
-                slack = (len(packed) + 2) * 2.0**-23 * length * size
+                product, length = product.astype(np.float64), np.linalg.norm(q * scale)
+                slack = (len(packed) + 2) * (2.0**-23 * length * size + 2.0**-120)  # relative, and below the least normal numbers
                 lower = np.sqrt(np.maximum((length - size) ** 2 * (1 - 1e-9), length**2 - 2 * product + size**2 - 2 * slack)) - rest
-                lower -= 1e-9 * (length + size + rest)
+                lower = (lower - 1e-9 * (length + size + rest) - 2.0**-500) / scale
                 rows, far = _nearest(q, x, ids, ids != query, product - half, lower, k, rerank)
                 found.append(pd.DataFrame({"query_id": query, "vec_id": ids[rows], "score": far}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})

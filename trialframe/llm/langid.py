@@ -15,10 +15,8 @@ from . import shared
 from .tokens import small_batches
 
 
-#: Training sample: labelled documents of each language (about so many, never over twice), and characters
-#: of each: all of them, or of a longer text pieces of PIECE characters, chosen by a hash over the whole
-#: text. Prediction always reads whole texts.
-PER_LANGUAGE, TRAIN_CHARS, PIECE = 800, 20_000, 200
+#: Training sample: labelled documents of each language, about so many, never over twice. Whole texts train.
+PER_LANGUAGE = 800
 #: Hash buckets, dimensions of the embedding, lengths of the n-grams of a word.
 BUCKETS, DIMS, NGRAMS = 1 << 15, 16, (2, 3, 4)
 _NO_LETTER = re.compile(r"[^\w\n]|[\d_]")
@@ -26,6 +24,8 @@ _NO_LETTER = re.compile(r"[^\w\n]|[\d_]")
 EPOCHS, STEP, RATE, CALIBRATE = 8, 32, 8.0, 0.2
 #: The part of rightly classified calibration documents that the rejection threshold may cost, and its upper bound.
 COST, MOST = 0.001, 0.5
+#: Words of a training text counted together.
+WORDS = 50_000
 #: Words that a worker remembers.
 CACHE = 100_000
 UNKNOWN = "und"
@@ -110,17 +110,32 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def bucket_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the subwords of a whole text, and how often each occurs; at most BUCKETS numbers."""
+    total = np.zeros(BUCKETS, np.int64)
+    words = text.split()
+    for i in range(0, len(words), WORDS):
+        for _, buckets in subwords(words[i : i + WORDS]):
+            total += np.bincount(buckets, minlength=BUCKETS)
+    found = np.flatnonzero(total)
+    return found, total[found]
+
+
 def train(texts: list[str], labels: list[str], seed: int = 1) -> Model:
+    """train_counts of texts."""
+    return train_counts([bucket_counts(t) for t in texts], labels, seed)
+
+
+def train_counts(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 1) -> Model:
     """Stochastic gradient descent on the mean cross entropy, then temperature and rejection threshold.
 
-    The temperature minimises the loss on texts kept for calibration; the threshold is the largest
-    that rejects at most COST of the rightly classified ones, but at most MOST.
+    docs are bucket counts. The temperature minimises the loss on documents kept for calibration; the threshold is the
+    largest that rejects at most COST of the rightly classified ones, but at most MOST.
     """
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     rng = np.random.default_rng(seed)
-    docs = [np.unique(np.concatenate([b for _, b in subwords(t.split() or [""])]), return_counts=True) for t in texts]
     y = np.searchsorted(languages, labels)
     order = rng.permutation(len(docs))
     held, kept = order[: int(CALIBRATE * len(docs))], order[int(CALIBRATE * len(docs)) :]
@@ -145,7 +160,8 @@ def train(texts: list[str], labels: list[str], seed: int = 1) -> Model:
             done += 1
     model = Model(languages, (embed @ soft).astype(np.float32), bias)
     if len(held):
-        z, n = model.logits([texts[i] for i in held])
+        n = np.array([docs[i][1].sum() for i in held])
+        z = np.stack([docs[i][1] @ model.table[docs[i][0]].astype(float) / max(1, k) + bias for i, k in zip(held, n, strict=True)])
         z, right = z[n > 0], y[held][n > 0]
         if len(z):
             heats = np.exp(np.linspace(-3, 3, 61))
@@ -161,28 +177,23 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def training_text() -> Column:
-    """The text, or of a long one about TRAIN_CHARS characters in pieces from all over it."""
-    pieces = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int"))
-    some = F.filter(pieces, lambda i: F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.length("text"), i), F.length("text").cast("long")) < TRAIN_CHARS)
-    cut = F.array_join(F.transform(some, lambda i: F.substring(F.col("text"), i * PIECE + 1, F.lit(PIECE))), " ")
-    return F.when(F.length("text") <= TRAIN_CHARS, F.col("text")).otherwise(cut)
-
-
 def fit(documents: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 1) -> Model:
-    """A model from labelled documents that are not held out: about per_language of each language.
+    """A model from labelled documents that are not held out: about per_language of each language, distinct in id and text.
 
-    Documents are chosen by a hash of id and text against a rate per language, in one scan.
+    Whole texts become bucket counts where they lie; only these reach the driver.
     """
-    usable = documents.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-    chosen = F.lit(False)
-    for lang in sorted(counts):
-        chosen = chosen | ((F.col("lang") == lang) & (draw < F.lit(int((1 << 40) * min(1.0, per_language / counts[lang])))))
-    rows = usable.where(chosen).select(training_text().alias("text"), "lang", draw.alias("draw"))
-    rows = sorted((r.text, r.lang) for r in rows.orderBy("draw", "lang", "text").limit(2 * per_language * max(1, len(counts))).collect())
-    return train([t for t, _ in rows], [lang for _, lang in rows], seed)
+    usable = documents.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    some = shared.distinct_sample(usable, ["doc_id", "text"], per_language, "lang")
+
+    def counted(batches):
+        for batch in shared.in_slices(batches):
+            found = [bucket_counts(t) for t in batch["text"].to_pylist()]
+            buckets, counts = pa.array([b.astype(np.int32) for b, _ in found], pa.list_(pa.int32())), pa.array([c for _, c in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch["_draw"], batch["lang"], buckets, counts], ["draw", "lang", "buckets", "counts"])
+
+    rows = some.mapInArrow(counted, "draw long, lang string, buckets array<int>, counts array<long>").collect()
+    rows = sorted(rows, key=lambda r: (r.draw, r.lang))
+    return train_counts([(np.array(r.buckets, np.int64), np.array(r.counts, np.int64)) for r in rows], [r.lang for r in rows], seed)
 
 
 def identify(documents: DataFrame, model: Model, out: tuple = ("lang_pred", "score", "rejected")) -> DataFrame:

@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: The rules, in forms that match the same spans as the plain patterns but never try a run twice:
@@ -344,9 +346,7 @@ def fit(documents: DataFrame) -> dict:
     checksum, those that no rule and no word before them speaks for. All other candidates beside the
     rule spans stay without a label. A kind with fewer than about ten rows of either label gets no model.
     """
-    n = documents.count()
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-    some = documents.select("doc_id", "text").where(draw < F.lit(int((1 << 40) * min(1.0, SAMPLE_DOCS / max(1, n)))))
+    some = shared.distinct_sample(documents.select("doc_id", "text"), ["doc_id", "text"], SAMPLE_DOCS).drop("_draw")
     df = _with_heads(with_rule_spans(some.where(F.col("text").rlike(r"[0-9@]|\(at\)|\[at\]"))))
     parts: list = []
     for kind in KINDS:

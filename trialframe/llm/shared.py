@@ -91,11 +91,37 @@ def with_row_numbers(df: DataFrame, order: list[Column], name: str, out: str = "
     return rows.join(F.broadcast(base), "_pid").withColumn(out, F.col("_base") + F.col("_idx")).drop("_base")
 
 
-def in_slices(batches, rows: int = 1000):
-    """Arrow batches cut to fewer rows, so that Python objects of a few rows exist at a time."""
+def in_slices(batches, rows: int = 1000, most_bytes: int = 16 << 20):
+    """Arrow batches cut to fewer rows and bytes, so that Python objects of a few rows exist at a time.
+
+    A row that is larger by itself comes alone.
+    """
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        parts = [batch.slice(i, rows) for i in range(0, batch.num_rows, rows)][::-1]
+        while parts:
+            part = parts.pop()
+            if part.num_rows > 1 and part.nbytes > most_bytes:
+                half = part.num_rows // 2
+                parts += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
+def distinct_sample(rows: DataFrame, content: list[str], size: int, by: str | None = None) -> DataFrame:
+    """About `size` rows of distinct content, of each value of `by`, with their hash `_draw`: a rate that follows their number.
+
+    Rows whose content repeats count once, so a hot row neither fills the sample nor empties it, and where
+    there is a row there is one in the sample: the smallest hash is always drawn. Two scans; the driver
+    gets a count per value of `by`.
+    """
+    tagged = rows.withColumn("_draw", F.pmod(F.xxhash64(*content), F.lit(1 << 40)))
+    of = F.lit(0) if by is None else F.col(by)
+    counts = tagged.groupBy(of.alias("of")).agg(F.approx_count_distinct("_draw").alias("n"), F.min("_draw").alias("least")).collect()
+    chosen = F.lit(False)
+    for r in sorted(counts, key=lambda r: str(r["of"])):
+        bar = max(int((1 << 40) * min(1.0, 1.2 * size / max(1, r.n))), r.least + 1)
+        chosen = chosen | (of.eqNullSafe(F.lit(r["of"])) & (F.col("_draw") < F.lit(bar)))
+    return tagged.where(chosen).dropDuplicates(["_draw", *([by] if by else [])])
 
 
 FILE_END = b"\n"

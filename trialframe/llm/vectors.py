@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 
 def as_bytes(embeddings: DataFrame, column: str = "embedding") -> DataFrame:
     """(vec_id, _vec, _dim): components as little-endian doubles or floats, as the column has them.
@@ -44,23 +46,10 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def sample(vectors: DataFrame, size: int) -> dict[int, np.ndarray]:
-    """About `size` vectors of each dimension, chosen by a hash of id and vector, as matrices on the driver.
-
-    Never over twice as many together, however often a vector is repeated; the number of dimensions
-    in a table is that of its models.
-    """
-    usable = vectors.where("_vec is not null")
-    counts = {r[0]: r[1] for r in usable.groupBy("_dim").count().collect()}
-    draw = F.pmod(F.xxhash64("vec_id", "_vec"), F.lit(1 << 40))
-    chosen = F.lit(False)
-    for d, n in counts.items():
-        chosen = chosen | ((F.col("_dim") == d) & (draw < F.lit(int((1 << 40) * min(1.0, size / n)))))
-    some = usable.where(chosen).select("_dim", "_vec", draw.alias("draw")).orderBy("draw", "_dim", "_vec").limit(2 * size * max(1, len(counts)))
+    """About `size` vectors of each dimension, of distinct id and content, as matrices on the driver, at least one and at most twice as many."""
+    some = shared.distinct_sample(vectors.where("_vec is not null"), ["vec_id", "_vec"], size, "_dim").select("_dim", "_vec")
     rows = sorted((r[0], bytes(r[1])) for r in some.collect())
-    found = {d: [v for k, v in rows if k == d] for d in sorted(counts)}
-    # a hash may choose none of a rare dimension: then the first of its vectors will do
-    rare = {d: usable.where(F.col("_dim") == d).agg(F.min("_vec")).first()[0] for d in found if not found[d]}
-    return {d: matrix(v or [bytes(rare[d])], d) for d, v in found.items()}
+    return {d: matrix([v for k, v in rows if k == d], d) for d in sorted({k for k, _ in rows})}
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
