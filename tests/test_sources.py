@@ -85,15 +85,55 @@ def test_run_names_with_times(spark):
     assert (got.name, got.at, got.none) == ("x__t____2031-05-06_07-08-09", when, None)
 
 
-def test_permutation_runs(spark, tmp_path):
-    null = spark.createDataFrame([(0, 0, 1, 0.5)], "perm int, window int, fold int, frame_acc double")
-    runs.save_permutations(null, null, {"n_permutations": 1}, str(tmp_path), "p1")
-    row = runs.load_sliding_permutations(spark, str(tmp_path), "p1").first()
-    assert (row.frame_acc, row.trial_acc, row.center, row.run_id) == (0.5, None, None, "p1")
+def test_stored_records_of_either_schema(spark, tmp_path):
+    """Archives under the stored names, made by hand, and the same kinds of run in the store, each in one scan."""
+    new = {
+        "shuffled_scores_trials": [0.4, 0.6], "shuffled_scores_frames": [0.45, 0.55], "real_trial_acc": 0.9, "real_trial_std": 0.1, "real_frame_acc": 0.8, "real_frame_std": 0.2,
+        "shuffled_trial_mean": 0.5, "shuffled_trial_std": 0.14, "shuffled_trial_min": 0.4, "shuffled_trial_max": 0.6, "p_value_trial_two_tailed": 1 / 3, "pass_alpha_0p05_trial": False,
+    }
+    old = {"shuffled_scores": [0.3], "real_score": 0.7, "real_std": 0.05, "shuffled_mean": 0.3, "shuffled_std": 0.0, "shuffled_min": 0.3, "shuffled_max": 0.3, "p_value": 0.01, "pass_alpha_0p05": True}
+    sliding = {
+        "centers": [3, 4], "real_trial_curve": [0.5, 0.9], "real_fold_trial_acc": [[0.4, 0.6], [0.8, 1.0]], "real_frame_curve": np.nan, "null_trial_acc": [[0.5, 0.4], [0.6, 0.5], [0.4, 0.6]],
+        "null_frame_acc": [[0.5, 0.5]] * 3, "null_trial_folds": [[[0.5], [0.4]], [[0.6], [0.5]], [[0.4], [0.6]]], "null_trial_mean": [0.5, 0.5], "null_trial_std": [0.1, 0.1],
+        "null_frame_mean": [0.5, 0.5], "null_frame_std": [0.0, 0.0],
+    }
+    for name, record in (("new", new), ("old", old), ("sliding", sliding)):
+        (tmp_path / name).mkdir()
+        np.savez_compressed(tmp_path / name / "perm_result.npz", **{k: np.asarray(v) for k, v in record.items()})
+    rows = {r.run_id: r for r in runs.read_stored_records(spark, f"{tmp_path}/*/perm_result.npz").collect()}
+    assert all(rows["new"][k] == (v if not isinstance(v, float) else pytest.approx(v)) for k, v in new.items())
+    assert [rows["old"][k] for k in runs.SUMMARY] == [0.7, 0.05, 0.3, 0.0, 0.3, 0.3, 0.01, True, None, None]
+    assert rows["old"].shuffled_scores_trials == [0.3] and rows["old"].shuffled_scores_frames is None and rows["old"].centers is None
+    assert rows["sliding"].real_frame_curve is None and rows["sliding"].real_fold_trial_acc == sliding["real_fold_trial_acc"] and rows["sliding"].real_trial_acc is None
+    record = runs.read_stored_records(spark, f"{tmp_path}/sliding/perm_result.npz")
+    assert [tuple(r)[1:] for r in runs.sliding_curves(record).orderBy("window").collect()] == [(0, 3, 0.5, None, 0.5, 0.1, 0.5, 0.0), (1, 4, 0.9, None, 0.5, 0.1, 0.5, 0.0)]
+    assert runs.sliding_null(record).count() == 6 and runs.sliding_null(record).where("perm = 2 and center = 4").first().trial_acc == 0.6
+    store = f"{tmp_path}/store"
+    runs.save_permutations(spark.createDataFrame([(new["shuffled_scores_trials"], 0.9)], "shuffled_scores_trials array<double>, real_trial_acc double"), {"n_permutations": 2}, store, "a")
+    runs.save_permutations(spark.createDataFrame([(old["shuffled_scores"], 0.7)], "shuffled_scores array<double>, real_score double"), {}, store, "b")
+    both = {r.run_id: r for r in runs.load_permutations(spark, store).collect()}
+    assert (both["a"].shuffled_scores_trials, both["a"].real_trial_acc, both["b"].shuffled_scores_trials, both["b"].real_trial_acc) == ([0.4, 0.6], 0.9, [0.3], 0.7)
+
+
+def test_run_store(spark, tmp_path):
+    root, df = f"{tmp_path}/runs", spark.range(2)
+    when = datetime(2031, 5, 6, 7, 8, 9)
+    run = runs.save_experiment({"folds": df}, {"n_splits": 5}, root, "sliding_window", "990131k24_x", "/data/roi.npy", when)
+    assert run == "sliding_window__990131k24_x____2031-05-06_07-08-09"
+    with pytest.raises(FileExistsError):
+        runs.save_experiment({"folds": df}, {}, root, "sliding_window", "990131k24_x", "/data/roi.npy", when)
+    runs.claim(spark, root, "half")
+    df.write.parquet(f"{root}/half/folds")  # a run that broke off before its manifest
+    row = runs.list_runs(spark, root).collect()
+    assert [(r.run_id, r.roi_mask_path, r.tables, r.config.experiment, r.config.n_splits) for r in row] == [(run, "/data/roi.npy", ["folds"], "sliding_window", 5)]
+    assert {r.run_id for r in runs.load_all(spark, root, "folds").collect()} == {run}
+    assert runs.permutation_run_id("m", 100, 42, "t") == "m__permutation__perm100__seed42__t" and runs.permutation_run_id(None, 9, 1, "t") == "slidingwindow__perm9__seed1__t"
     with pytest.raises(FileNotFoundError):
-        runs.load_sliding_permutations(spark, str(tmp_path), "p2")
-    old = runs.unified_summary(spark.createDataFrame([(0.7, 0.01)], "real_score double, p double")).first()
-    assert (old.real, old.p, old.null_mean, old.passed) == (0.7, 0.01, None, None)
+        runs.load_sliding_permutations(spark, root, run)
+    runs.export_runs(runs.load_all(spark, root, "folds"), f"{tmp_path}/out")
+    assert {tuple(r) for r in spark.read.json(f"{tmp_path}/out").select("run_id", "date", "session", "conditions").collect()} == {(run, "990131", "k", "2,4")}
+    with pytest.raises(ValueError):
+        runs.export_runs(df, f"{tmp_path}/out2", "mat")
 
 
 def test_dataset_of_a_configuration(spark):

@@ -162,10 +162,37 @@ def run_time_suffix(s, d):
 def perm_summary_schema(s, d):
     """Summaries of each permutation's scores, half of them under the older names."""
     null = fx.window_scores(s, d)[0].groupBy("perm").agg(F.avg("score").alias("m"), F.stddev_samp("score").alias("sd"), F.max("score").alias("hi"))
-    new = null.where("perm < 10").select(F.col("perm").cast("string").alias("run_id"), F.col("m").alias("null_mean"), F.col("sd").alias("null_std"), F.col("hi").alias("null_max"))
-    old = null.where("perm >= 10").select(F.col("perm").cast("string").alias("run_id"), F.col("m").alias("mean_score"), F.col("sd").alias("std_score"), F.col("hi").alias("max_score"))
+    names = {"m": ("shuffled_trial_mean", "shuffled_mean"), "sd": ("shuffled_trial_std", "shuffled_std"), "hi": ("shuffled_trial_max", "shuffled_max")}
+    new, old = (null.where(f"perm {side} 10").select(F.col("perm").cast("string").alias("run_id"), *[F.col(c).alias(n[i]) for c, n in names.items()]) for i, side in enumerate(("<", ">=")))
     out = runs.unified_summary(new.unionByName(old, allowMissingColumns=True))
-    return _r(out.select("run_id", "null_mean", "null_std", "null_max"), null_mean=6, null_std=6, null_max=6)
+    return _r(out.select("run_id", *[n[0] for n in names.values()]), **{n[0]: 6 for n in names.values()})
+
+
+def sliding_record_curves(s, d):
+    """Record of a sliding permutation run and its curves, as read back."""
+    null, real = fx.window_scores(s, d)
+    folds_of = lambda t: t.withColumn("fold", F.lit(0)).withColumn("trial_acc", F.col("score")).withColumn("frame_acc", F.col("score"))
+    centers = real.select("window", (F.col("window") + 2).alias("center"))
+    record = runs.sliding_permutation_record(folds_of(null), centers, folds_of(real), folds_of(real)).withColumn("run_id", F.lit("r"))
+    out = runs.sliding_curves(record).drop("run_id")
+    return _r(out, **{c: 6 for c in out.columns if c not in ("window", "center")})
+
+
+def sliding_record_null(s, d):
+    """The null of such a record, cell by cell."""
+    null, real = fx.window_scores(s, d)
+    rows = null.withColumn("fold", F.lit(0)).withColumn("trial_acc", F.col("score")).withColumn("frame_acc", 1 - F.col("score"))
+    record = runs.sliding_permutation_record(rows, real.select("window", (F.col("window") + 2).alias("center"))).withColumn("run_id", F.lit("r"))
+    return _r(runs.sliding_null(record).drop("run_id"), trial_acc=6, frame_acc=6)
+
+
+def fixed_record(s, d):
+    """Record of a fixed permutation run: each window a fold, the real run without permutation."""
+    null, real = fx.window_scores(s, d)
+    null = null.select("perm", F.col("window").alias("fold"), F.col("score").alias("trial_acc"), (1 - F.col("score")).alias("frame_acc"))
+    real = real.agg(F.avg("score").alias("acc_trial_mean"), F.stddev_samp("score").alias("acc_trial_std"), F.avg(1 - F.col("score")).alias("acc_mean"), F.stddev_samp("score").alias("acc_std"))
+    out = runs.fixed_permutation_record(null, real).drop("shuffled_scores_trials", "shuffled_scores_frames")
+    return _r(out, **{c: 6 for c in out.columns if c != "pass_alpha_0p05_trial"})
 
 
 def null_band(s, d):
@@ -406,7 +433,16 @@ ORACLES = {
     "significance_head": f"""{_NULLS}, wp AS (SELECT n."window", max(r.score) AS real, (sum(CAST(round(abs(n.score - 0.5), 12) >= round(abs(r.score - 0.5), 12) AS INTEGER)) + 1) / CAST(count(*) + 1 AS DOUBLE) AS p
         FROM null_scores n JOIN real_scores r USING ("window") GROUP BY ALL) SELECT "window", round(real, 6) AS real, round(p, 6) AS p, round(p_fdr, 6) AS p_fdr, p_fdr < 0.05 AS significant FROM ({_BH.format("wp")}) WHERE "window" < 5""",
     "run_time_suffix": """SELECT DISTINCT concat('sliding__tag____', strftime(CAST(l_shipdate AS TIMESTAMP), '%Y-%m-%d_%H-%M-%S')) AS name, strftime(CAST(l_shipdate AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS at FROM lineitem""",
-    "perm_summary_schema": f"{_NULLS} SELECT CAST(perm AS VARCHAR) AS run_id, round(avg(score), 6) AS null_mean, round(stddev_samp(score), 6) AS null_std, round(max(score), 6) AS null_max FROM null_scores GROUP BY perm",
+    "perm_summary_schema": f"{_NULLS} SELECT CAST(perm AS VARCHAR) AS run_id, round(avg(score), 6) AS shuffled_trial_mean, round(stddev_samp(score), 6) AS shuffled_trial_std, round(max(score), 6) AS shuffled_trial_max FROM null_scores GROUP BY perm",
+    "sliding_record_curves": f"""{_NULLS}, b AS (SELECT "window", round(avg(score), 6) AS m, round(stddev_pop(score), 6) AS sd FROM null_scores GROUP BY "window")
+        SELECT CAST(row_number() OVER (ORDER BY "window") - 1 AS INTEGER) AS "window", CAST("window" + 2 AS INTEGER) AS center, round(score, 6) AS real_trial_curve, round(score, 6) AS real_frame_curve,
+        m AS null_trial_mean, sd AS null_trial_std, m AS null_frame_mean, sd AS null_frame_std FROM b JOIN real_scores USING ("window")""",
+    "sliding_record_null": f"""{_NULLS} SELECT CAST(dense_rank() OVER (ORDER BY perm) - 1 AS INTEGER) AS perm, CAST(dense_rank() OVER (ORDER BY "window") - 1 AS INTEGER) AS "window",
+        CAST("window" + 2 AS INTEGER) AS center, round(score, 6) AS trial_acc, round(1 - score, 6) AS frame_acc FROM null_scores""",
+    "fixed_record": f"""{_NULLS}, n AS (SELECT perm, avg(score) AS t FROM null_scores GROUP BY perm), r AS (SELECT avg(score) AS m, stddev_samp(score) AS sd FROM real_scores),
+        q AS (SELECT (sum(CAST(round(abs(t - 0.5), 12) >= round(abs(m - 0.5), 12) AS INTEGER)) + 1) / (count(*) + 1) AS p FROM n, r)
+        SELECT round(m, 6) AS real_trial_acc, round(sd, 6) AS real_trial_std, round(avg(t), 6) AS shuffled_trial_mean, round(stddev_samp(t), 6) AS shuffled_trial_std, round(min(t), 6) AS shuffled_trial_min,
+        round(max(t), 6) AS shuffled_trial_max, round(p, 6) AS p_value_trial_two_tailed, p < 0.05 AS pass_alpha_0p05_trial, round(1 - m, 6) AS real_frame_acc, round(sd, 6) AS real_frame_std FROM n, r, q GROUP BY m, sd, p""",
     "run_name_parse": """WITH n AS (SELECT DISTINCT CASE WHEN l_partkey % 2 = 1 THEN concat('sliding_window_', '_', l_partkey, lower(l_returnflag), l_suppkey, '_frame1-100') ELSE 'run without token' END AS name FROM lineitem)
         SELECT name, regexp_extract(name, '_(\\d+)([A-Za-z])(\\d+)_', 1) AS date, regexp_extract(name, '_(\\d+)([A-Za-z])(\\d+)_', 2) AS session,
         array_to_string(string_split(regexp_extract(name, '_(\\d+)([A-Za-z])(\\d+)_', 3), ''), ',') AS conditions FROM n""",

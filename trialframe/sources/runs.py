@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import json
 import re
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..operators import significance
 
 #: The session token of run names, the form of their time suffix, and the keys of configurations.
 TOKEN = r"_(\d+)([A-Za-z])(\d+)_"
@@ -42,19 +49,30 @@ def run_time(name: Column) -> Column:
     return F.try_to_timestamp(F.regexp_extract(name, SUFFIX, 1), F.lit(SUFFIX_FORM))
 
 
-#: Names of a fixed permutation record's numbers in either schema, newer first.
+#: Names under which records of fixed permutation runs store their numbers; second the older name, if it has one.
 SUMMARY = {
-    "real": ("real_score_trials", "real_score"), "null_mean": ("null_mean", "mean_score"), "null_std": ("null_std", "std_score"), "null_min": ("null_min", "min_score"),
-    "null_max": ("null_max", "max_score"), "p": ("p_value", "p"), "passed": ("pass", "significant"),
+    "real_trial_acc": ("double", "real_score"), "real_trial_std": ("double", "real_std"), "shuffled_trial_mean": ("double", "shuffled_mean"),
+    "shuffled_trial_std": ("double", "shuffled_std"), "shuffled_trial_min": ("double", "shuffled_min"), "shuffled_trial_max": ("double", "shuffled_max"),
+    "p_value_trial_two_tailed": ("double", "p_value"), "pass_alpha_0p05_trial": ("boolean", "pass_alpha_0p05"),
+    "real_frame_acc": ("double", None), "real_frame_std": ("double", None),
+}
+SCORES = {"shuffled_scores_trials": ("array<double>", "shuffled_scores"), "shuffled_scores_frames": ("array<double>", None)}
+#: Names of the arrays of sliding permutation records.
+SLIDING = {
+    "centers": "array<int>", "real_trial_curve": "array<double>", "real_fold_trial_acc": "array<array<double>>", "real_frame_curve": "array<double>",
+    "null_trial_acc": "array<array<double>>", "null_frame_acc": "array<array<double>>", "null_trial_folds": "array<array<array<double>>>",
+    "null_trial_mean": "array<double>", "null_trial_std": "array<double>", "null_frame_mean": "array<double>", "null_frame_std": "array<double>",
 }
 
 
-def unified_summary(rows: DataFrame) -> DataFrame:
-    """The summary numbers of permutation records of either schema under one set of names; missing ones are null."""
+def _unified(rows: DataFrame, names: dict) -> list[Column]:
     have = lambda c: F.col(c) if c in rows.columns else F.lit(None)
-    kinds = {"passed": "boolean"}
-    keys = [c for c in ("run_id",) if c in rows.columns]
-    return rows.select(*keys, *[F.coalesce(*[have(c) for c in names]).cast(kinds.get(k, "double")).alias(k) for k, names in SUMMARY.items()])
+    return [F.coalesce(have(new), have(old)).cast(kind).alias(new) for new, (kind, old) in names.items()]
+
+
+def unified_summary(rows: DataFrame) -> DataFrame:
+    """The summary numbers of permutation records of either schema under the newer names; missing ones are null."""
+    return rows.select(*[c for c in ("run_id",) if c in rows.columns], *_unified(rows, SUMMARY))
 
 
 def unified_permutations(rows: DataFrame) -> DataFrame:
@@ -69,21 +87,51 @@ def parse_configs(texts: DataFrame) -> DataFrame:
 
 
 def run_id(experiment: str, tag: str, when: str | datetime) -> str:
-    return f"{experiment}__{tag}____{when if isinstance(when, str) else when.strftime('%Y-%m-%d_%H-%M-%S')}"
+    return f"{experiment}__{tag}____{_stamp(when)}"
+
+
+def permutation_run_id(source: str | None, n: int, seed: int, when: str | datetime) -> str:
+    """The name of a permutation run: of a fixed window it begins with its model's, of sliding windows (source None) not."""
+    return f"{'slidingwindow' if source is None else source + '__permutation'}__perm{n}__seed{seed}__{_stamp(when)}"
+
+
+def _stamp(when: str | datetime) -> str:
+    return when if isinstance(when, str) else when.strftime("%Y-%m-%d_%H-%M-%S")
 
 
-def save_run(tables: dict[str, DataFrame], config: dict, root: str, run: str) -> None:
-    """Write the result tables of a run, then its configuration; an existing run is an error.
+def claim(spark: SparkSession, root: str, run: str) -> None:
+    """Take a run's name for one writer: its marker file is created, or there is one and this is an error.
 
-    The configuration comes last, so a run that broke off is not listed as a run.
+    The file system creates a file for one of several callers; the others get an error too.
     """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{run}/_claimed")
+    try:
+        taken = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).createNewFile(where)
+    except Exception as error:
+        raise FileExistsError(f"run {run} exists: {error}") from error
+    if not taken:
+        raise FileExistsError(f"run {run} exists")
+
+
+def save_run(tables: dict[str, DataFrame], config: dict, root: str, run: str, roi_mask_path: str | None = None) -> None:
+    """Write the result tables of a run, then its manifest: configuration, path of the region, names of the tables.
+
+    Of several writers of one name one goes on, the others fail before they write. The manifest comes last, so a run
+    that broke off is not listed; its name stays taken.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    claim(spark, root, run)
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{root}/{run}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    import json
+    row = spark.createDataFrame([(run, json.dumps(config, default=str), roi_mask_path, sorted(tables))], "run_id string, json string, roi_mask_path string, tables array<string>")
+    row.coalesce(1).write.mode("errorifexists").parquet(f"{root}/{run}/config")
+
 
-    row = spark.createDataFrame([(run, json.dumps(config, default=str))], "run_id string, json string")
-    row.write.mode("errorifexists").parquet(f"{root}/{run}/config")
+def save_experiment(tables: dict[str, DataFrame], info: dict, root: str, experiment: str, tag: str, roi_mask_path: str, when: str | datetime | None = None) -> str:
+    """save_run under the name made of experiment, tag and time, which are kept in the configuration; returns the name."""
+    run = run_id(experiment, tag, when or datetime.now())
+    save_run(tables, {"experiment": experiment, "tag": tag} | info, root, run, roi_mask_path)
+    return run
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -91,21 +139,138 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-#: Columns of a sliding permutation null; older records lack some.
-SLIDING_NULL = {"perm": "int", "window": "int", "fold": "int", "center": "int", "frame_acc": "double", "trial_acc": "double"}
+def fixed_permutation_record(null: DataFrame, real: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """The one-row record of a fixed permutation run, under the stored names.
 
-
-def save_permutations(null: DataFrame, real: DataFrame, config: dict, root: str, run: str) -> None:
-    """Write a permutation run: the null scores and the real ones."""
-    save_run({"null": null, "real": real}, config, root, run)
+    null(perm, fold, frame_acc, trial_acc) as fixed_permutations gives it, real as nested_summary does. Scores are means over
+    folds in the order of perm; as many numbers as permutations.
+    """
+    score = null.groupBy("perm").agg(F.avg("trial_acc").alias("t"), F.avg("frame_acc").alias("f"))
+    real = real.select(F.col("acc_trial_mean").alias("rt"), F.col("acc_trial_std").alias("rts"), F.col("acc_mean").alias("rf"), F.col("acc_std").alias("rfs"))
+    listed = F.array_sort(F.collect_list(F.struct("perm", "t", "f")))
+    once = [F.max(c).alias(k) for k, c in (("real_trial_acc", "rt"), ("real_trial_std", "rts"), ("real_frame_acc", "rf"), ("real_frame_std", "rfs"))]
+    out = score.crossJoin(F.broadcast(real)).agg(
+        listed.alias("l"), *once, F.avg("t").alias("shuffled_trial_mean"), F.stddev_samp("t").alias("shuffled_trial_std"), F.min("t").alias("shuffled_trial_min"),
+        F.max("t").alias("shuffled_trial_max"), significance.p_value(F.col("t"), F.col("rt"), "two").alias("p_value_trial_two_tailed"),
+    )
+    out = out.withColumn("pass_alpha_0p05_trial", F.col("p_value_trial_two_tailed") < alpha)
+    return out.select(F.col("l.t").alias("shuffled_scores_trials"), F.col("l.f").alias("shuffled_scores_frames"), *SUMMARY)
+
+
+def sliding_permutation_record(null: DataFrame, centers: DataFrame, curve: DataFrame | None = None, folds: DataFrame | None = None) -> DataFrame:
+    """The one-row record of a sliding permutation run, under the stored names.
+
+    null(perm, window, fold, frame_acc, trial_acc); centers(window, center); curve(window, trial_acc, frame_acc) and
+    folds(window, fold, trial_acc) of the real run, null in the record if it has none. Deviations of the null are population ones.
+    """
+    listed = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
+    by_window = null.groupBy("perm", "window").agg(F.avg("trial_acc").alias("t"), F.avg("frame_acc").alias("f"), listed("fold", "trial_acc").alias("k"))
+    by_perm = by_window.groupBy("perm").agg(listed("window", "t", "f", F.col("k.trial_acc").alias("k")).alias("w"))
+    perms = by_perm.agg(listed("perm", F.col("w.t").alias("t"), F.col("w.f").alias("f"), F.col("w.k").alias("k")).alias("p"))
+    band = by_window.groupBy("window").agg(F.avg("t").alias("tm"), F.stddev_pop("t").alias("ts"), F.avg("f").alias("fm"), F.stddev_pop("f").alias("fs"))
+    band = band.join(centers.select("window", "center").distinct(), "window").agg(listed("window", "center", "tm", "ts", "fm", "fs").alias("b"))
+    out = perms.crossJoin(band)
+    values = {
+        "centers": F.col("b.center"), "null_trial_acc": F.col("p.t"), "null_frame_acc": F.col("p.f"), "null_trial_folds": F.col("p.k"),
+        "null_trial_mean": F.col("b.tm"), "null_trial_std": F.col("b.ts"), "null_frame_mean": F.col("b.fm"), "null_frame_std": F.col("b.fs"),
+    }
+    if curve is not None:
+        out = out.crossJoin(curve.agg(listed("window", "trial_acc", "frame_acc").alias("c")))
+        values |= {"real_trial_curve": F.col("c.trial_acc"), "real_frame_curve": F.col("c.frame_acc")}
+    if folds is not None:
+        per = folds.groupBy("window").agg(listed("fold", "trial_acc").alias("k"))
+        out = out.crossJoin(per.agg(listed("window", F.col("k.trial_acc").alias("k")).alias("r")))
+        values |= {"real_fold_trial_acc": F.col("r.k")}
+    return out.select(*[values.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in SLIDING.items()])
+
+
+def save_permutations(record: DataFrame, config: dict, root: str, run: str) -> None:
+    """Write a permutation run: its one-row record as table perm_result."""
+    save_run({"perm_result": record}, config, root, run)
+
+
+def load_all(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table of all whole runs in one scan, columns of all of them merged, with run_id."""
+    whole = list_runs(spark, root).where(F.array_contains(F.coalesce("tables", F.array(F.lit(name))), name)).select("run_id")
+    rows = spark.read.option("mergeSchema", "true").parquet(f"{root}/*/{name}")
+    path = F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)/{name}/[^/]+$", 1)
+    return rows.withColumn("run_id", F.coalesce(F.try_url_decode(path), path)).join(whole, "run_id", "left_semi")
+
+
+def load_permutations(spark: SparkSession, root: str) -> DataFrame:
+    """The fixed permutation records of all runs, old and new ones under the newer names."""
+    rows = load_all(spark, root, "perm_result")
+    return rows.select("run_id", *_unified(rows, SCORES), *_unified(rows, SUMMARY))
 
 
 def load_sliding_permutations(spark: SparkSession, root: str, run: str) -> DataFrame:
-    """The null of a sliding permutation run with all columns of SLIDING_NULL, missing ones null; an error if it is missing."""
-    if not exists(spark, f"{root}/{run}/null"):
-        raise FileNotFoundError(f"{root}/{run}/null")
-    null = spark.read.parquet(f"{root}/{run}/null")
-    return null.select(*[(F.col(c) if c in null.columns else F.lit(None)).cast(t).alias(c) for c, t in SLIDING_NULL.items()], F.lit(run).alias("run_id"))
+    """The record of a sliding permutation run with all arrays of SLIDING, missing ones null; an error if it is missing."""
+    if not exists(spark, f"{root}/{run}/perm_result"):
+        raise FileNotFoundError(f"{root}/{run}/perm_result")
+    rows = spark.read.parquet(f"{root}/{run}/perm_result")
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in SLIDING.items()], F.lit(run).alias("run_id"))
+
+
+def _or_empty(rows: DataFrame, names: list[str]) -> DataFrame:
+    """rows with empty arrays for null ones, whose entries then are null beside those of others."""
+    return rows.withColumns({c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in names})
+
+
+def sliding_curves(records: DataFrame) -> DataFrame:
+    """(run_id, window, center, and the curves and null bands at it) of sliding permutation records."""
+    names = ["centers", "real_trial_curve", "real_frame_curve", "null_trial_mean", "null_trial_std", "null_frame_mean", "null_frame_std"]
+    there = _or_empty(records, names)
+    at = there.select("run_id", F.posexplode(F.arrays_zip(*names)).alias("window", "v"))
+    return at.select("run_id", "window", F.col("v.centers").alias("center"), *[F.col(f"v.{c}").alias(c) for c in names[1:]])
+
+
+def sliding_null(records: DataFrame) -> DataFrame:
+    """(run_id, perm, window, center, trial_acc, frame_acc) of sliding permutation records, perm counted from 0."""
+    names = ["null_trial_acc", "null_frame_acc"]
+    perms = _or_empty(records, names).select("run_id", "centers", F.posexplode(F.arrays_zip(*names)).alias("perm", "v"))
+    perms = _or_empty(perms.select("run_id", "centers", "perm", *[F.col(f"v.{c}").alias(c) for c in names]), names)
+    cells = perms.select("run_id", "perm", F.posexplode(F.arrays_zip("centers", *names)).alias("window", "c"))
+    return cells.select("run_id", "perm", "window", F.col("c.centers").alias("center"), F.col("c.null_trial_acc").alias("trial_acc"), F.col("c.null_frame_acc").alias("frame_acc"))
+
+
+def read_stored_records(spark: SparkSession, pattern: str) -> DataFrame:
+    """Permutation records in .npz archives as older tools store them, a row each: run_id (the folder) and all arrays of either kind.
+
+    Numbers outside an archive's schema are null; a scalar where an array belongs (a real curve that was not
+    there) is null too. Objects are not unpickled.
+    """
+    kinds = {k: t for k, (t, _) in (SCORES | SUMMARY).items()} | SLIDING
+    older = {old: t for t, old in (SCORES | SUMMARY).values() if old}
+
+    schema = spark.createDataFrame([], "run_id string, " + ", ".join(f"{k} {t}" for k, t in (kinds | older).items())).schema
+    arrow = to_arrow_schema(schema)
+
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                row = {"run_id": path.rstrip("/").split("/")[-2]}
+                with np.load(io.BytesIO(content), allow_pickle=False) as archive:
+                    for k in set(archive.files) & (kinds.keys() | older.keys()):
+                        deep, v = (kinds.get(k) or older[k]).startswith("array"), archive[k]
+                        row[k] = (v.tolist() if v.ndim else None) if deep else v.item()
+                out.append(row)
+            yield pa.RecordBatch.from_pylist(out, arrow)
+
+    read = spark.read.format("binaryFile").load(pattern).select("path", "content").mapInArrow(rows, schema)
+    return read.select("run_id", *_unified(read, SCORES), *_unified(read, SUMMARY), *SLIDING)
+
+
+def export_runs(rows: DataFrame, path: str, form: str = "json") -> None:
+    """Write rows with run_id as JSON or Parquet, each with date, session and conditions from the run's name.
+
+    A name without a session token gives empty ones.
+    """
+    if form not in ("json", "parquet"):
+        raise ValueError("form is json or parquet")
+    clash = [c for c in ("name", "date", "session", "conditions") if c in rows.columns]
+    names = parse_run_names(rows.select(F.col("run_id").alias("name")).distinct())
+    rows.drop(*clash).join(names, F.col("run_id") == F.col("name"), "left").drop("name").write.mode("errorifexists").format(form).save(path)
 
 
 def dataset_of(config: dict, cube: DataFrame) -> DataFrame:
@@ -131,5 +296,7 @@ def load_run(spark: SparkSession, root: str, run: str, name: str) -> DataFrame:
 
 
 def list_runs(spark: SparkSession, root: str) -> DataFrame:
-    """run_id, json and config of all whole runs."""
-    return parse_configs(spark.read.parquet(f"{root}/*/config"))
+    """run_id, json, roi_mask_path, tables and config of all whole runs; the last two columns are null in older manifests."""
+    rows = spark.read.option("mergeSchema", "true").parquet(f"{root}/*/config")
+    older = [F.lit(None).cast(t).alias(c) for c, t in (("roi_mask_path", "string"), ("tables", "array<string>")) if c not in rows.columns]
+    return parse_configs(rows.select("*", *older))
