@@ -142,3 +142,26 @@ def test_permuted_labels_keep_counts(spark):
     t = spark.createDataFrame([(i, i % 3 == 0) for i in range(20)], "trial int, y boolean")
     got = significance.permuted_labels(t, 5).groupBy("perm").agg(F.sum(F.col("y_perm").cast("int")).alias("k")).collect()
     assert {r.k for r in got} == {7}
+
+
+@pytest.mark.parametrize("alternative", ["greater", "less", "two_sided"])
+def test_exact_rank_sums_by_enumeration(spark, alternative):
+    from itertools import combinations
+
+    rng = np.random.default_rng(2)
+    sizes = [(5, 7), (1, 4), (8, 9), (3, 12), (9, 9), (4, 0)]
+    values = {w: (rng.permutation(a + b)[:a].tolist(), a, b) for w, (a, b) in enumerate(sizes)}
+    real = [(w, float(x)) for w, (own, _, _) in values.items() for x in own]
+    null = [(w, float(x)) for w, (own, a, b) in values.items() for x in range(a + b) if x not in own]
+    got = {r.window: r for r in significance.rank_sum(*[spark.createDataFrame(rows, "window int, score double") for rows in (real, null)], alternative).collect()}
+    for w, (own, a, b) in values.items():
+        if min(a, b) > significance.EXACT:
+            continue
+        u = lambda chosen: sum(chosen) - len(chosen) * (len(chosen) - 1) // 2
+        us = [u(c) for c in combinations(range(a + b), a)]
+        above, below = (sum(side(x, u(own)) for x in us) / len(us) for side in ((lambda x, y: x >= y), (lambda x, y: x <= y)))
+        want = {"greater": above, "less": below, "two_sided": min(1, 2 * min(above, below))}[alternative]
+        assert got[w].u == u(own) and got[w].p == pytest.approx(want)
+    assert 0 < got[4].p <= 1 and got[5].p == 1
+    tied = significance.rank_sum(*[spark.createDataFrame([(0, x) for x in rows], "window int, score double") for rows in ([1.0, 2.0], [2.0, 3.0, 4.0])], alternative).first()
+    assert 0 < tied.p <= 1

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cache
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.numeric import is_finite, normal_tail
@@ -78,18 +82,60 @@ def null_band(null: DataFrame, k: float = 3.0) -> DataFrame:
     return out.select("window", "mean", (F.col("mean") - k * F.col("std")).alias("low"), (F.col("mean") + k * F.col("std")).alias("high"))
 
 
+#: Size of the smaller sample up to which rank sums without ties are exact.
+EXACT = 8
+
+
+@cache
+def rank_sum_tails(small: int, large: int) -> np.ndarray:
+    """P(U >= u) for u from 0 on, of two samples without ties, all orders being equally likely.
+
+    The number of orders with U = u is a coefficient of the Gaussian binomial in q, the product of
+    (1 - q^(large + i)) / (1 - q^i) for i up to small, kept in whole numbers.
+    """
+    degree = small * large
+    counts = [1] + [0] * degree
+    for i in range(1, small + 1):
+        for u in range(degree, large + i - 1, -1):
+            counts[u] -= counts[u - large - i]
+        for u in range(i, degree + 1):
+            counts[u] += counts[u - i]
+    total, above, out = sum(counts), 0, np.zeros(degree + 1)
+    for u in range(degree, -1, -1):
+        above += counts[u]
+        out[u] = above / total
+    return out
+
+
+def _exact(alternative: str):
+    """Fills p of the rows with few values on a side and no ties."""
+
+    def run(frames):
+        for pdf in frames:
+            small = ((pdf["ties"] == 0) & (np.minimum(pdf["n1"], pdf["n2"]) <= EXACT)).to_numpy()
+            for i in np.flatnonzero(small):
+                n1, n2, u = int(pdf["n1"].iat[i]), int(pdf["n2"].iat[i]), int(pdf["u"].iat[i])
+                tails = rank_sum_tails(min(n1, n2), max(n1, n2))
+                above, below = tails[u], tails[n1 * n2 - u]
+                pdf.loc[pdf.index[i], "p"] = {"greater": above, "less": below, "two_sided": min(1.0, 2 * min(above, below))}[alternative]
+            yield pdf[["window", "u", "z", "p"]]
+
+    return run
+
+
 def rank_sum(real: DataFrame, null: DataFrame, alternative: str = "greater") -> DataFrame:
     """Mann-Whitney per window of real(window, score) against null(window, score).
 
-    Mean ranks of ties, tie-corrected normal approximation with continuity correction; a side without
-    values gives p = 1. Equal values are counted before they are ranked.
+    Mean ranks of ties, tie-corrected normal approximation with continuity correction; exact where no value
+    repeats and a side has at most EXACT; a side without values gives p = 1. Equal values are counted before they are
+    ranked, and ranks go range by range, so a window may have any number of values.
     """
     if alternative not in ("greater", "less", "two_sided"):
         raise ValueError("alternative is greater, less or two_sided")
     both = real.select("window", "score", F.lit(1).alias("own")).unionByName(null.select("window", "score", F.lit(0).alias("own"))).where(is_finite(F.col("score")))
     values = both.groupBy("window", "score").agg(F.sum("own").alias("a"), F.count(F.lit(1)).alias("t"))
-    below = F.coalesce(F.sum("t").over(W.partitionBy("window").orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    values = values.withColumn("r", F.col("a") * (below + (F.col("t") + 1) / 2.0))
+    values = running_sums(values, "score", {"below": F.col("t")}, ("window",))
+    values = values.withColumn("r", F.col("a") * (F.col("below") + (F.col("t") + 1) / 2.0))
     t = F.col("t").cast("double")
     s = values.groupBy("window").agg(F.sum("r").alias("r"), F.sum("a").cast("double").alias("n1"), F.sum("t").cast("double").alias("n"), F.sum(t * t * t - t).alias("ties"))
     s = s.withColumn("n2", F.col("n") - F.col("n1")).withColumn("u", F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2)
@@ -98,7 +144,8 @@ def rank_sum(real: DataFrame, null: DataFrame, alternative: str = "greater") ->
     half = {"greater": F.col("d") - 0.5, "less": -F.col("d") - 0.5, "two_sided": F.abs("d") - 0.5}[alternative]
     s = s.withColumn("z", F.try_divide(half, F.col("sd")))
     tail = normal_tail(F.col("z")) * (2 if alternative == "two_sided" else 1)
-    return s.select("window", "u", "z", F.least(F.lit(1.0), F.coalesce(tail, F.lit(1.0))).alias("p"))
+    s = s.withColumn("p", F.least(F.lit(1.0), F.coalesce(tail, F.lit(1.0)))).select("window", "n1", "n2", "ties", "u", "z", "p")
+    return s.mapInPandas(_exact(alternative), T.StructType([s.schema[c] for c in ("window", "u", "z", "p")]))
 
 
 def rank_sum_adjusted(real: DataFrame, null: DataFrame, alternative: str = "greater", alpha: float = 0.05) -> DataFrame:

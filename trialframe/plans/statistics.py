@@ -141,6 +141,20 @@ def ranksum_by_window(s, d):
     return _r(significance.rank_sum(*_folds_as_windows(s, d)), z=5, p=5)
 
 
+def _small_samples(s, d):
+    """Sixteen trials in turn are a window: six values against ten."""
+    p = fx.predictions(s, d).where("frame = 0").select(F.expr("cast(trial div 16 as int)").alias("window"), "trial", "score")
+    return p.where("trial % 16 < 6").drop("trial"), p.where("trial % 16 >= 6").drop("trial")
+
+
+def ranksum_exact(s, d):
+    return _r(significance.rank_sum(*_small_samples(s, d)).drop("z"), p=8)
+
+
+def ranksum_exact_two_sided(s, d):
+    return _r(significance.rank_sum(*_small_samples(s, d), "two_sided").drop("z"), p=8)
+
+
 def ranksum_two_sided(s, d):
     return _r(significance.rank_sum(*_folds_as_windows(s, d), "two_sided"), z=5, p=5)
 
@@ -365,6 +379,20 @@ _RANKS = f"""{_NULLS}, both_ AS (SELECT frame AS "window", avg(CAST(y_pred = y_t
     rk AS (SELECT "window", own, rank() OVER (PARTITION BY "window" ORDER BY score) + (count(*) OVER (PARTITION BY "window", score) - 1) / 2.0::DOUBLE AS r, CAST(count(*) OVER (PARTITION BY "window", score) AS DOUBLE) AS t FROM both_),
     st AS (SELECT "window", sum(r) FILTER (own = 1) AS r, CAST(sum(own) AS DOUBLE) AS n1, CAST(count(*) AS DOUBLE) AS n, sum(t * t - 1) AS ties FROM rk GROUP BY "window"),
     us AS (SELECT "window", r - n1 * (n1 + 1) / 2 AS u, r - n1 * (n1 + 1) / 2 - n1 * (n - n1) / 2 AS dd, sqrt(n1 * (n - n1) / 12 * (n + 1 - ties / (n * (n - 1)))) AS sd FROM st)"""
+def _exact_sql(two_sided: bool) -> str:
+    """Counts all ways to choose the own ranks; the normal approximation where a value repeats."""
+    above, below = (f"count(*) FILTER (b.r {side} us.r) / CAST(count(*) AS DOUBLE)" for side in (">=", "<="))
+    z = "((abs(dd) - 0.5) / sd)" if two_sided else "((dd - 0.5) / sd)"
+    normal = f"CASE WHEN sd > 0 THEN least(1, {'2 * ' if two_sided else ''}{normal_tail_sql(z)}) ELSE 1 END"
+    return f"""{_P}, both_ AS (SELECT trial // 16 AS "window", score, CAST(trial % 16 < 6 AS INTEGER) AS own FROM predictions WHERE frame = 0),
+    rk AS (SELECT "window", own, rank() OVER (PARTITION BY "window" ORDER BY score) + (count(*) OVER (PARTITION BY "window", score) - 1) / 2.0::DOUBLE AS r, CAST(count(*) OVER (PARTITION BY "window", score) AS DOUBLE) AS t FROM both_),
+    st AS (SELECT "window", coalesce(sum(r) FILTER (own = 1), 0) AS r, CAST(sum(own) AS DOUBLE) AS n1, CAST(count(*) AS DOUBLE) AS n, sum(t * t - 1) AS ties FROM rk GROUP BY "window"),
+    us AS (SELECT *, r - n1 * (n1 + 1) / 2 AS u, r - n1 * (n1 + 1) / 2 - n1 * (n - n1) / 2 AS dd, sqrt(n1 * (n - n1) / 12 * (n + 1 - CASE WHEN n > 1 THEN ties / (n * (n - 1)) ELSE 0 END)) AS sd FROM st),
+    b AS (SELECT m, bit_count(m) AS k, coalesce(list_sum(list_filter(range(1, 17), lambda i: (m >> (i - 1)) % 2 = 1)), 0) AS r FROM (SELECT CAST(range AS INTEGER) AS m FROM range(65536))),
+    x AS (SELECT us."window", {f"least(1, 2 * least({above}, {below}))" if two_sided else above} AS p FROM us JOIN b ON b.k = us.n1 AND b.m < pow(2, us.n) GROUP BY us."window", us.r)
+    SELECT CAST(us."window" AS INTEGER) AS "window", u, round(CASE WHEN ties = 0 THEN x.p ELSE {normal} END, 8) AS p FROM us JOIN x ON us."window" = x."window\""""
+
+
 _MW = f'{_W}, mw AS (SELECT "window", pixel, avg(w) AS w FROM weights GROUP BY ALL)'
 _W0 = f"{_W}, m0 AS (SELECT pixel, avg(w) AS w, stddev_samp(w) AS std FROM weights GROUP BY pixel)"
 
@@ -413,6 +441,8 @@ ORACLES = {
         FROM null_scores n JOIN real_scores r USING ("window") GROUP BY ALL) SELECT "window", round(real, 6) AS real, round(p, 6) AS p, round(p_fdr, 6) AS p_fdr, p_fdr < 0.05 AS significant FROM ({_BH.format("wp")})""",
     "bh_fdr": f"{_W}, b AS (SELECT pixel, abs(avg(w)) AS p FROM weights GROUP BY pixel) SELECT pixel, round(p, 6) AS p, round(p_fdr, 6) AS p_fdr FROM ({_BH.format('b')})",
     "ranksum_by_window": f"""{_RANKS}, zz AS (SELECT "window", u, (dd - 0.5) / sd AS z FROM us) SELECT "window", u, round(z, 5) AS z, round(least(1, {normal_tail_sql("z")}), 5) AS p FROM zz""",
+    "ranksum_exact": _exact_sql(False),
+    "ranksum_exact_two_sided": _exact_sql(True),
     "ranksum_two_sided": f"""{_RANKS}, zz AS (SELECT "window", u, (abs(dd) - 0.5) / sd AS z FROM us) SELECT "window", u, round(z, 5) AS z, round(least(1, 2 * {normal_tail_sql("z")}), 5) AS p FROM zz""",
     "null_band": f'{_NULLS} SELECT "window", round(avg(score), 6) AS mean, round(avg(score) - 3 * stddev_samp(score), 6) AS low, round(avg(score) + 3 * stddev_samp(score), 6) AS high FROM null_scores GROUP BY "window"',
     "weight_stats": f"""{_W}, m AS (SELECT "window", pixel, avg(w) AS w, stddev_samp(w) AS std FROM weights GROUP BY "window", pixel)
