@@ -165,3 +165,25 @@ def test_exact_rank_sums_by_enumeration(spark, alternative):
     assert 0 < got[4].p <= 1 and got[5].p == 1
     tied = significance.rank_sum(*[spark.createDataFrame([(0, x) for x in rows], "window int, score double") for rows in ([1.0, 2.0], [2.0, 3.0, 4.0])], alternative).first()
     assert 0 < tied.p <= 1
+
+
+def test_step_up_adjustment_over_ranges(spark, monkeypatch):
+    from trialframe.operators import ranking
+
+    rng = np.random.default_rng(4)
+    p = np.round(rng.random(90) ** 3, 2)
+    keys = rng.integers(0, 2, 90)
+    df = spark.createDataFrame([(int(k), i, float(x)) for i, (k, x) in enumerate(zip(keys, p, strict=True))] + [(0, 99, None), (None, 100, 0.03)], "k int, i int, p double")
+    want = {}
+    for k in (0, 1):
+        mine = np.flatnonzero(keys == k)
+        order = mine[np.argsort(p[mine], kind="stable")]
+        q = p[order] * len(order) / np.arange(1, len(order) + 1)
+        want |= dict(zip(order.tolist(), np.minimum(1, np.minimum.accumulate(q[::-1])[::-1]), strict=True))
+    for rows in (ranking.ROWS, 9):
+        monkeypatch.setattr(ranking, "ROWS", rows)
+        got = {r.i: r.p_fdr for r in significance.benjamini_hochberg(df, keys=("k",)).collect()}
+        assert len(got) == 92 and got.pop(99) is None and got.pop(100) == 0.03
+        assert got == pytest.approx(want)
+        one = significance.benjamini_hochberg(df.where("k = 0").drop("k")).collect()
+        assert {r.i: r.p_fdr for r in one if r.i < 90} == pytest.approx({i: q for i, q in want.items() if keys[i] == 0})

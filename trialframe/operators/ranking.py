@@ -48,3 +48,20 @@ def running_sums(table: DataFrame, order: str, sums: dict[str, Column], keys: tu
 def ranked(table: DataFrame, order: str, out: str, keys: tuple = ()) -> DataFrame:
     """table with `out`: the number of rows before a row, within the keys."""
     return running_sums(table, order, {out: F.lit(1)}, keys)
+
+
+def minima_from_end(table: DataFrame, order: str, value: str, out: str, keys: tuple = (), place: Column | None = None) -> DataFrame:
+    """table with `out`: the least `value` of a row and those after it, in the order of the column `order`.
+
+    Each range by itself, and the least values of the ranges after it from a window over one row per key and range.
+    """
+    table = table.withColumn("_range", ranges(table, order) if place is None else place)
+    inside = W.partitionBy(*keys, "_range").orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0)
+    after = W.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
+    totals = table.groupBy(*keys, "_range").agg(F.min(value).alias("_least"))
+    bases = totals.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_range").alias("_base_range"), F.min("_least").over(after).alias("_after"))
+    on = F.col("_range") == F.col("_base_range")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    columns = [c for c in table.columns if c not in ("_range", out)]
+    return table.withColumn("_here", F.min(value).over(inside)).join(bases, on).select(*columns, F.least("_here", "_after").alias(out))

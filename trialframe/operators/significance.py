@@ -8,10 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from ..functions.numeric import is_finite, normal_tail
-from .ranking import ROWS, ranked, running_sums
+from .ranking import ROWS, minima_from_end, ranked, ranges, running_sums
 
 CHANCE = 0.5
 
@@ -58,11 +57,28 @@ def p_text(p: Column, n: Column) -> Column:
 
 
 def benjamini_hochberg(table: DataFrame, p: str = "p", out: str = "p_fdr", keys: tuple = ()) -> DataFrame:
-    """Adjusted p-values: p * m / rank, made monotone from the largest down, at most 1."""
-    part = W.partitionBy(*keys or [F.lit(0)])
-    ranked = table.withColumn("_q", F.col(p) * F.count(p).over(part) / F.row_number().over(part.orderBy(p)))
-    back = part.orderBy(F.desc(p), F.desc("_q")).rowsBetween(W.unboundedPreceding, 0)
-    return ranked.withColumn(out, F.least(F.lit(1.0), F.min("_q").over(back))).drop("_q")
+    """Adjusted p-values: p * m / rank, made monotone from the largest down, at most 1; null where p is null.
+
+    Equal p-values, which have the rank of the last of them, are counted first; ranks and minima then go
+    range by range, so the tests of one key may be any number.
+    """
+    values = table.where(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    values = values.withColumn("_at", ranges(values, "_p"))
+    summed = running_sums(values, "_p", {"_before": F.col("_n")}, keys, F.col("_at"))
+    m = values.groupBy(*keys).agg(F.sum("_n").alias("_m"))
+    summed = _with(summed, m, keys).withColumn("_q", F.col("_p") * F.col("_m") / (F.col("_before") + F.col("_n")))
+    least = minima_from_end(summed, "_p", "_q", out, keys, F.col("_at")).select(*keys, "_p", F.least(F.lit(1.0), F.col(out)).alias(out))
+    return _with(table.withColumn("_p", F.col(p)), least, (*keys, "_p")).drop("_p")
+
+
+def _with(table: DataFrame, more: DataFrame, keys: tuple) -> DataFrame:
+    """table with the columns of `more` at equal keys, nulls being equal too; null where there are none."""
+    named = more.select(*[F.col(k).alias(f"_same_{k}") for k in keys], *[c for c in more.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
+    joined = table.join(named, on, "left") if keys else table.crossJoin(F.broadcast(named))
+    return joined.drop(*[f"_same_{k}" for k in keys])
 
 
 def window_significance(null: DataFrame, real: DataFrame, tails: str = "two", alpha: float = 0.001) -> DataFrame:
