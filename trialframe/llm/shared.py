@@ -107,12 +107,12 @@ def in_slices(batches, rows: int = 1000, most_bytes: int = 16 << 20):
                 yield part
 
 
-def distinct_sample(rows: DataFrame, content: list[str], size: int, by: str | None = None) -> DataFrame:
+def distinct_sample(rows: DataFrame, content: list[str], size: int, by: str | None = None, keep: list[Column] | None = None) -> DataFrame:
     """About `size` rows of distinct content, of each value of `by`, with their hash `_draw`: a rate that follows their number.
 
     Rows whose content repeats count once, so a hot row neither fills the sample nor empties it, and where
     there is a row there is one in the sample: the smallest hash is always drawn. Two scans; the driver
-    gets a count per value of `by`.
+    gets a count per value of `by`. keep: what is kept of the drawn rows (else all columns) before they meet.
     """
     tagged = rows.withColumn("_draw", F.pmod(F.xxhash64(*content), F.lit(1 << 40)))
     of = F.lit(0) if by is None else F.col(by)
@@ -121,7 +121,9 @@ def distinct_sample(rows: DataFrame, content: list[str], size: int, by: str | No
     for r in sorted(counts, key=lambda r: str(r["of"])):
         bar = max(int((1 << 40) * min(1.0, 1.2 * size / max(1, r.n))), r.least + 1)
         chosen = chosen | (of.eqNullSafe(F.lit(r["of"])) & (F.col("_draw") < F.lit(bar)))
-    return tagged.where(chosen).dropDuplicates(["_draw", *([by] if by else [])])
+    drawn = tagged.where(chosen)
+    drawn = drawn if keep is None else drawn.select("_draw", *([by] if by else []), *keep)
+    return drawn.dropDuplicates(["_draw", *([by] if by else [])])
 
 
 FILE_END = b"\n"

@@ -105,11 +105,11 @@ def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
 def sample_records(pages: DataFrame) -> list[bytes]:
     """Records of about SAMPLE_RECORDS pages, distinct in page and payload, in a fixed order; at least one of a table with rows."""
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), _payload().alias("payload"))
-    rows = shared.distinct_sample(rows, ["page_id", "url", "payload"], SAMPLE_RECORDS).withColumnRenamed("_draw", "hash")
     spare = F.greatest(F.octet_length("payload") - SAMPLE_RECORD_BYTES, F.lit(0))
-    place = (F.pmod(F.col("hash"), (spare + 1).cast("long")) + 1).cast("int")
-    rows = rows.withColumn("payload", F.substring(F.col("payload"), place, F.lit(SAMPLE_RECORD_BYTES)))
-    found = sorted(rows.collect(), key=lambda r: (r.hash, bytes(r.payload)))
+    place = (F.pmod(F.col("_draw"), (spare + 1).cast("long")) + 1).cast("int")
+    cut = F.substring(F.col("payload"), place, F.lit(SAMPLE_RECORD_BYTES)).alias("payload")
+    rows = shared.distinct_sample(rows, ["page_id", "url", "payload"], SAMPLE_RECORDS, keep=["page_id", "url", cut])
+    found = sorted(rows.collect(), key=lambda r: (r._draw, bytes(r.payload)))
     return [format_record(r.page_id, r.url, len(r.payload), payload_digest(bytes(r.payload)), bytes(r.payload)) for r in found]
 
 
