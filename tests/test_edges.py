@@ -132,7 +132,7 @@ def test_sliding_permutations(spark):
     x = samples(spark).withColumn("window", F.lit(0)).withColumn("center", F.lit(2))
     split = folds.modulo_folds(x, 3)
     labels = significance.permuted_labels(x.select("trial", "y").distinct(), 12)
-    null = decoding.sliding_permutations(x, split, labels, 0.1, perms_a_task=5)
+    null = decoding.sliding_permutations(x, split, labels, 0.1)
     assert null.count() == 36
     got = decoding.sliding_significance(null, decoding.sliding_decode(x, split, 0.1), 0.2).first()
     assert got.real > 0.9 and 1 / 13 <= got.p <= 1
