@@ -24,6 +24,8 @@ _NO_LETTER = re.compile(r"[^\w\n]|[\d_]")
 EPOCHS, STEP, RATE, CALIBRATE = 8, 32, 8.0, 0.2
 #: The part of rightly classified calibration documents that the rejection threshold may cost, and its upper bound.
 COST, MOST = 0.001, 0.5
+#: How bucket numbers and counts travel to the driver.
+BUCKET, COUNT = "<u2", "<u4"
 #: Words of a training text counted together.
 WORDS = 50_000
 #: Words that a worker remembers.
@@ -188,12 +190,13 @@ def fit(documents: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 1) -
     def counted(batches):
         for batch in shared.in_slices(batches):
             found = [bucket_counts(t) for t in batch["text"].to_pylist()]
-            buckets, counts = pa.array([b.astype(np.int32) for b, _ in found], pa.list_(pa.int32())), pa.array([c for _, c in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["_draw"], batch["lang"], buckets, counts], ["draw", "lang", "buckets", "counts"])
+            packed = [pa.array([v.astype(kind).tobytes() for v in side], pa.binary()) for side, kind in zip(zip(*found, strict=True), (BUCKET, COUNT), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["_draw"], batch["lang"], *packed], ["draw", "lang", "buckets", "counts"])
 
-    rows = some.mapInArrow(counted, "draw long, lang string, buckets array<int>, counts array<long>").collect()
+    rows = some.mapInArrow(counted, "draw long, lang string, buckets binary, counts binary").collect()
     rows = sorted(rows, key=lambda r: (r.draw, r.lang))
-    return train_counts([(np.array(r.buckets, np.int64), np.array(r.counts, np.int64)) for r in rows], [r.lang for r in rows], seed)
+    docs = [(np.frombuffer(r.buckets, BUCKET).astype(np.int64), np.frombuffer(r.counts, COUNT).astype(np.int64)) for r in rows]
+    return train_counts(docs, [r.lang for r in rows], seed)
 
 
 def identify(documents: DataFrame, model: Model, out: tuple = ("lang_pred", "score", "rejected")) -> DataFrame:
