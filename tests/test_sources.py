@@ -157,3 +157,58 @@ def test_validation(spark):
         folds.require_labels(x, x.limit(1))
     with pytest.raises(ValueError, match="match"):
         folds.require_labels(x.limit(1), spark.createDataFrame([(1, 1)], "trial int, y int"))
+
+
+def test_array_files_split_into_byte_ranges(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    arrays = {("k", 1): rng.standard_normal((7, 5, 3)), ("k", 2): np.asfortranarray(rng.standard_normal((4, 6, 5)).astype("f4")), ("l", 1): rng.integers(0, 9, (3, 2, 2)), ("l", 30): np.zeros((0, 2, 2))}
+    (tmp_path / "deep").mkdir()
+    for (s, c), a in arrays.items():
+        np.save(tmp_path / ("deep" if s == "l" else ".") / f"condsXY{c}_{s}.npy", a)
+    want = sorted((s, c, t, f, p, float(np.float32(a[p, f, t]))) for (s, c), a in arrays.items() for p, f, t in np.ndindex(a.shape))
+    for size in (None, 8, 53, 10**9):  # ranges may lie in the header and cut values in two
+        got = recordings.read_npy_cubes(spark, str(tmp_path), size)
+        assert sorted(map(tuple, got.collect())) == want
+    small = recordings.read_npy_cubes(spark, str(tmp_path), 100)
+    assert small.rdd.getNumPartitions() > 10
+    one = small.where("session = 'k' and cond in (2, 7) and frame > 3")
+    assert sorted(map(tuple, one.collect())) == [r for r in want if r[0] == "k" and r[1] == 2 and r[3] > 3]
+    assert one.rdd.getNumPartitions() < small.rdd.getNumPartitions() / 2
+    assert small.where("session = 'nobody'").count() == 0
+    plan = one._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan or one.rdd.getNumPartitions() == -(-(tmp_path / "condsXY2_k.npy").stat().st_size // 100)
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_mat_variables_are_dealt_to_tasks(spark, tmp_path, packed, monkeypatch):
+    rng = np.random.default_rng(4)
+    arrays = {f"cond{k}": rng.standard_normal((k, 3, 4)).astype("f4") for k in range(1, 9)}
+    (tmp_path / "conds_a.mat").write_bytes(mat_file(arrays, packed))
+    got = recordings.read_mat_cubes(spark, str(tmp_path), 200)
+    assert got.rdd.getNumPartitions() > 4
+    want = sorted(("a", k, t, f, p, float(arrays[f"cond{k}"][p, f, t])) for k in range(1, 9) for p in range(k) for f in range(3) for t in range(4))
+    assert sorted(map(tuple, got.collect())) == want
+    assert sorted(map(tuple, got.where("cond = 5").collect())) == [r for r in want if r[1] == 5]
+
+
+def test_broken_array_files(spark, tmp_path):
+    np.save(tmp_path / "conds1_a.npy", np.zeros((2, 3, 4)))
+    whole = (tmp_path / "conds1_a.npy").read_bytes()
+    (tmp_path / "conds1_a.npy").write_bytes(whole[:-1])
+    with pytest.raises(Exception, match="ends before"):
+        recordings.read_npy_cubes(spark, str(tmp_path)).collect()
+    np.save(tmp_path / "conds1_a.npy", np.zeros((2, 3, 4), complex))
+    with pytest.raises(Exception, match="no real number"):
+        recordings.read_npy_cubes(spark, str(tmp_path)).collect()
+    (tmp_path / "conds_b.mat").write_bytes(mat_file({"cond1": np.zeros((2, 3, 4), "f4")}, True)[:-20])
+    with pytest.raises(Exception):
+        recordings.read_mat_cubes(spark, str(tmp_path)).collect()
+
+
+def test_cube_store_skips_what_exists(spark, tmp_path):
+    cube = spark.createDataFrame([("a", 1, 0, 0, 0, 2.0)], "session string, cond int, trial int, frame int, pixel int, value double")
+    recordings.write_cube(cube, f"{tmp_path}/c", skip_existing=True)
+    recordings.write_cube(cube.withColumn("value", F.lit(3.0)), f"{tmp_path}/c", skip_existing=True)
+    assert recordings.read_cube(spark, f"{tmp_path}/c").first().value == 2.0
+    with pytest.raises(ValueError):
+        recordings.write_cube(cube, f"{tmp_path}/c", overwrite=True, skip_existing=True)

@@ -1,94 +1,35 @@
-"""Recordings in array files as cubes: one row per cell, one file per task."""
+"""Recordings as cubes, one row per cell: array files, masks, the Parquet store."""
 
 from __future__ import annotations
 
 import io
-import re
-import struct
-import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CUBE = "session string, cond int, trial int, frame int, pixel int, value float"
-#: Fixed values of the MAT level 5 format: element types that hold numbers, and those used here by name.
-MAT_NUMBERS = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8"}
-MAT_MATRIX, MAT_COMPRESSED = 14, 15
-#: Cells of a cube that are turned into rows at a time.
-CHUNK = 500_000
-
-
-def _elements(data: bytes, order: str) -> Iterator[tuple[int, bytes]]:
-    """Data elements (type, body) of a buffer; small elements keep their size in the upper half of the tag."""
-    at = 0
-    while at + 8 <= len(data):
-        kind, size = struct.unpack_from(order + "II", data, at)
-        if kind >> 16:
-            kind, size = kind & 0xFFFF, kind >> 16
-            yield kind, data[at + 4 : at + 4 + size]
-            at += 8
-        else:
-            yield kind, data[at + 8 : at + 8 + size]
-            at += 8 + size + (-size % 8 if kind != MAT_COMPRESSED else 0)
-
-
-def read_mat(data: bytes) -> dict[str, np.ndarray]:
-    """Real numeric arrays of a MAT level 5 file by name."""
-    order = "<" if data[126:128] == b"IM" else ">"
-    out = {}
-    for kind, body in _elements(data[128:], order):
-        if kind == MAT_COMPRESSED:
-            kind, body = next(_elements(zlib.decompress(body), order))
-        if kind != MAT_MATRIX:
-            continue
-        parts = [p for _, p in zip(range(4), _elements(body, order), strict=False)]
-        if len(parts) == 4 and parts[3][0] in MAT_NUMBERS:
-            shape = np.frombuffer(parts[1][1], order + "i4")
-            out[parts[2][1].decode()] = np.frombuffer(parts[3][1], order + MAT_NUMBERS[parts[3][0]]).reshape(shape, order="F")
-    return out
-
-
-def _cells(array: np.ndarray, session: str, cond: int) -> Iterator[pd.DataFrame]:
-    """Rows of a (pixels, frames, trials) array in chunks."""
-    if array.ndim != 3:
-        raise ValueError(f"session {session}, condition {cond}: a cube has 3 axes, not {array.ndim}")
-    flat = array.astype(np.float32).reshape(-1)
-    for i in range(0, len(flat), CHUNK):
-        pixel, frame, trial = np.unravel_index(np.arange(i, min(i + CHUNK, len(flat))), array.shape)
-        yield pd.DataFrame({"session": session, "cond": cond, "trial": trial.astype(np.int32), "frame": frame.astype(np.int32), "pixel": pixel.astype(np.int32), "value": flat[i : i + CHUNK]})
-
-
-def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
-
-
-def read_mat_cubes(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of all variables cond<N> in the files conds_<session>.mat below path."""
+from .arrays import ArrayCubes
 
-    def rows(frames):
-        for f in frames:
-            for name, content in zip(f["path"], f["content"], strict=True):
-                session = re.sub(r"^conds_", "", name.rpartition("/")[2].removesuffix(".mat"))
-                found = {int(k[4:]): v for k, v in read_mat(content).items() if re.fullmatch(r"cond\d+", k)}
-                for cond in sorted(found):
-                    yield from _cells(found[cond], session, cond)
 
-    return _files(spark, path, "conds_*.mat").mapInPandas(rows, CUBE)
+def _array_cubes(spark: SparkSession, path: str, kind: str, task_bytes: int | None) -> DataFrame:
+    spark.dataSource.register(ArrayCubes)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the source needs it, and so says Spark otherwise
+    reader = spark.read.format("arraycubes").option("kind", kind)
+    return (reader.option("taskBytes", task_bytes) if task_bytes else reader).load(path)
 
 
-def read_npy_cubes(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of the files conds<cond>_<session>.npy below path."""
+def read_mat_cubes(spark: SparkSession, path: str, task_bytes: int | None = None) -> DataFrame:
+    """Cells of all variables cond<N> in the MAT level 5 files conds_<session>.mat below path.
+
+    Tasks take the variables that begin in their bytes of a file; a compressed one is inflated as a stream.
+    """
+    return _array_cubes(spark, path, "mat", task_bytes)
 
-    def rows(frames):
-        for f in frames:
-            for name, content in zip(f["path"], f["content"], strict=True):
-                m = re.search(r"conds[A-Za-z]*(\d+)_(.+)\.npy$", name)
-                yield from _cells(np.load(io.BytesIO(content), allow_pickle=False), m[2], int(m[1]))
 
-    return _files(spark, path, "conds*_*.npy").mapInPandas(rows, CUBE)
+def read_npy_cubes(spark: SparkSession, path: str, task_bytes: int | None = None) -> DataFrame:
+    """Cells of the files conds<cond>_<session>.npy below path, in tasks of task_bytes each; see arrays.py."""
+    return _array_cubes(spark, path, "npy", task_bytes)
 
 
 def read_npy_mask(spark: SparkSession, path: str) -> DataFrame:
@@ -103,9 +44,15 @@ def read_npy_mask(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "pixel int")
 
 
-def write_cube(cube: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Cubes as Parquet by session and condition; an existing path is an error unless overwrite is set."""
-    cube.withColumn("value", F.col("value").cast("float")).repartition("session", "cond", "trial").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("session", "cond").parquet(path)
+def write_cube(cube: DataFrame, path: str, overwrite: bool = False, skip_existing: bool = False) -> None:
+    """Cubes as Parquet by session and condition.
+
+    An existing path is an error; overwrite replaces it, skip_existing leaves it and writes nothing.
+    """
+    if overwrite and skip_existing:
+        raise ValueError("give either overwrite or skip_existing")
+    mode = "overwrite" if overwrite else "ignore" if skip_existing else "errorifexists"
+    cube.withColumn("value", F.col("value").cast("float")).repartition("session", "cond", "trial").write.mode(mode).partitionBy("session", "cond").parquet(path)
 
 
 def read_cube(spark: SparkSession, path: str) -> DataFrame:
