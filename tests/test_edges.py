@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialframe.functions import svm
-from trialframe.operators import decoding, features, folds, metrics, normalize, significance, weights
+from trialframe.operators import decoding, features, folds, metrics, normalize, ranking, significance, weights
 
 EPS = 1e-12
 
@@ -187,3 +187,66 @@ def test_step_up_adjustment_over_ranges(spark, monkeypatch):
         assert got == pytest.approx(want)
         one = significance.benjamini_hochberg(df.where("k = 0").drop("k")).collect()
         assert {r.i: r.p_fdr for r in one if r.i < 90} == pytest.approx({i: q for i, q in want.items() if keys[i] == 0})
+
+
+@pytest.mark.parametrize("rows", [100_000, 7])
+def test_percentiles_by_range_counts(spark, monkeypatch, rows):
+    monkeypatch.setattr(ranking, "ROWS", rows)
+    rng = np.random.default_rng(5)
+    values = {"a": rng.standard_normal(301), "b": np.repeat([1.0, 2.0], [400, 3]), None: rng.integers(0, 5, 50).astype(float), "c": np.array([7.0])}
+    table = spark.createDataFrame([(k, float(v)) for k, x in values.items() for v in x] + [("a", None), ("empty", None)], "k string, v double")
+    got = {r.k: r for r in ranking.percentiles(table, "v", {"low": 0.03, "high": F.when(F.col("k") == "b", 1.0).otherwise(0.8)}, ("k",)).collect()}
+    assert set(got) == set(values)
+    for k, x in values.items():
+        assert got[k].low == pytest.approx(np.percentile(x, 3), abs=1e-12)
+        assert got[k].high == pytest.approx(np.percentile(x, 100 if k == "b" else 80), abs=1e-12)
+    assert ranking.percentiles(table, "v", {"mid": 0.5}).first().mid == pytest.approx(np.median(np.concatenate(list(values.values()))))
+    assert ranking.percentiles(table.where("v > 99"), "v", {"mid": 0.5}).first().mid is None
+
+
+def test_masks_have_no_buffer_of_all_values(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ROWS", 50)
+    rng = np.random.default_rng(6)
+    w = rng.standard_normal(400)
+    table = spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)] + [(900, float("nan")), (901, float("inf")), (902, None)], "pixel int, w double")
+    masks = weights.extreme_masks(table, 0.1)
+    assert "percentile(" not in masks._jdf.queryExecution().toString()
+    rows = {r.pixel: r for r in masks.collect()}
+    high, low = np.percentile(w[w > 0], 90), np.percentile(w[w < 0], 10)
+    assert {p for p, r in rows.items() if r.pos_mask} == set(np.flatnonzero(w >= high)) and {p for p, r in rows.items() if r.neg_mask} == set(np.flatnonzero(w <= low))
+    assert len(rows) == 403 and weights.clip_limits(table, 75).first().high == pytest.approx(np.percentile(np.abs(w), 75))
+
+
+@pytest.mark.parametrize("step", [1, 2])
+def test_window_means_equal_means_over_copied_cells(spark, step):
+    rng = np.random.default_rng(7)
+    rows = [(f % 2, f, p, None if rng.random() < 0.1 else float("nan") if f == 9 and p == 0 else float(rng.standard_normal() + 1e6)) for f in range(20) for p in range(6)]
+    cube = spark.createDataFrame(rows, "y int, frame int, pixel int, value double")
+    first, last = features.window_starts(20, 4, 1, 20, step)
+    means = lambda **k: {(r.window, r.center, r.y): r["mean"] for r in features.window_means(cube, "value", 4, first, last, step, ("y",), **k).collect()}
+    copied = features.sliding_windows(cube, 4, first, last, step).groupBy("window", "center", "y")
+    for got, x in ((means(), F.col("value")), (means(leave_out_nan=True), F.when(~F.isnan("value"), F.col("value")))):
+        want = {(r.window, r.center, r.y): r["mean"] for r in copied.agg(F.avg(x).alias("mean")).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k], rel=1e-12, nan_ok=True) for k in want)
+    assert any(np.isnan(v) for v in means().values()) and not any(np.isnan(v) for v in means(leave_out_nan=True).values())
+
+
+def test_greedy_plan_of_one_giant_trial_is_short():
+    plan = folds._greedy_plan([(10**12, 1), (1, 10**9)], 3)
+    assert plan[1] == (1, [(0, [1, 2])])
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        n_splits = int(rng.integers(2, 6))
+        sizes = sorted((int(x) for x in rng.choice([0, 1, 2, 3, 7, 20, 50], int(rng.integers(1, 60)))), reverse=True)
+        load, want = [0] * n_splits, []
+        for x in sizes:
+            want.append(load.index(min(load)))
+            load[want[-1]] += x
+        got = []
+        for size, phases in folds._greedy_plan([(x, sizes.count(x)) for x in set(sizes)], n_splits):
+            assert len(phases) <= n_splits
+            for rank in range(sizes.count(size)):
+                first, cycle = [p for p in phases if p[0] <= rank][-1]
+                got.append(cycle[(rank - first) % len(cycle)])
+        assert got == want

@@ -1,6 +1,7 @@
 """Array files, the cube store, run records."""
 
 import io
+import json
 import struct
 import zlib
 from datetime import datetime
@@ -212,3 +213,20 @@ def test_cube_store_skips_what_exists(spark, tmp_path):
     assert recordings.read_cube(spark, f"{tmp_path}/c").first().value == 2.0
     with pytest.raises(ValueError):
         recordings.write_cube(cube, f"{tmp_path}/c", overwrite=True, skip_existing=True)
+
+
+def test_datasets_of_many_configurations(spark):
+    rows = [(s, c, t, f, p, float((3 * c + t * t + f * p) % 7)) for s in "kl" for c in (1, 2, 3) for t in range(2 + c) for f in range(6) for p in range(2)]
+    cube = spark.createDataFrame(rows, "session string, cond int, trial int, frame int, pixel int, value double")
+    texts = {"r1": {"face_file": "conds1_k.npy", "nonface_file": "conds2_k.npy", "baseline_frames": [0, 2]}, "r2": {"face_file": "condsXY3_k", "nonface_file": "conds1_k.npy", "zscore_baseline_frames": [1, 2, 3, 4]}, "r3": {"face_file": "conds2_l.npy", "nonface_file": "conds3_l.npy", "baseline_frames": [0, 3]}}
+    configs = runs.parse_configs(spark.createDataFrame([(k, json.dumps(v)) for k, v in texts.items()], "run_id string, json string"))
+    columns = ["session", "cond", "trial", "y", "frame", "pixel", "value", "mu", "sd", "z"]
+    got = runs.datasets_of(configs, cube)
+    for k, config in texts.items():
+        rounded = lambda df: sorted(df.select([F.round(c, 9) if c in ("mu", "sd", "z") else c for c in columns]).collect())
+        assert rounded(got.where(F.col("run_id") == k)) == rounded(runs.dataset_of(config, cube))
+    for wrong in ({"nonface_file": "conds2_l.npy"}, {"baseline_frames": None}, {"nonface_file": "conds1_k.npy"}, {"face_file": None}):
+        bad = runs.parse_configs(spark.createDataFrame([("r9", json.dumps(texts["r1"] | wrong))], "run_id string, json string"))
+        with pytest.raises(Exception, match="no two conditions"):
+            runs.datasets_of(bad, cube).collect()
+    assert runs.datasets_of(configs.where("run_id = 'none'"), cube).count() == 0

@@ -61,8 +61,13 @@ def balanced(trials: DataFrame, label: str = "y", keys: tuple = ()) -> DataFrame
 def pairwise_dataset(cube: DataFrame, face: int, nonface: int, keys: tuple = ()) -> DataFrame:
     """Cells of two conditions with equal trial counts: trial numbered anew (face first), y 1 for face."""
     two = cube.where(F.col("cond").isin(face, nonface)).withColumn("y", F.when(F.col("cond") == face, 1).otherwise(0))
-    index = balanced(two.select(*keys, "trial", "y").distinct(), "y", keys)
-    return two.join(index, [*keys, "trial", "y"]).drop("trial").withColumnRenamed("index", "trial")
+    return balanced_cells(two, keys)
+
+
+def balanced_cells(cube: DataFrame, keys: tuple = ()) -> DataFrame:
+    """Cells (with y) of the trials that balanced keeps, numbered anew."""
+    index = balanced(cube.select(*keys, "trial", "y").distinct(), "y", keys)
+    return cube.join(index, [*keys, "trial", "y"]).drop("trial").withColumnRenamed("index", "trial")
 
 
 def frames_as_samples(cube: DataFrame, start: int, n_frames: int) -> DataFrame:
@@ -130,6 +135,20 @@ def sliding_windows(cube: DataFrame, size: int, first: int, last: int, step: int
     return rows.withColumn("window", ((F.col("_start") - first) / F.lit(step)).cast("int")).withColumn("center", (F.col("_start") + size // 2).cast("int")).drop("_lo", "_hi", "_start")
 
 
+def window_means(cube: DataFrame, value: str, size: int, first: int, last: int, step: int = 1, keys: tuple = (), leave_out_nan: bool = False) -> DataFrame:
+    """Mean of a column over the cells of each sliding window: (window, center, keys, mean).
+
+    Cells are summed per frame first, before any shuffle; only these sums, a row per frame and key, are
+    copied to the windows that cover their frame. So a cell is read once, whatever the size. A sum over few
+    frames loses no digits, as differences of running sums would. A NaN makes the windows over its frame
+    NaN, and no others, or is left out. A window without values has no row, or null if all are null.
+    """
+    x = skip_nan(F.col(value)) if leave_out_nan else F.col(value)
+    frames = cube.groupBy(*keys, "frame").agg(F.sum(x.cast("double")).alias("_sum"), F.count(x).alias("_n"))
+    rows = sliding_windows(frames, size, first, last, step).groupBy("window", "center", *keys)
+    return rows.agg(F.try_divide(F.sum("_sum"), F.sum("_n")).alias("mean"))
+
+
 def finite_only(table: DataFrame, column: str) -> DataFrame:
     from ..functions.numeric import is_finite
 

@@ -16,24 +16,31 @@ def modulo_folds(trials: DataFrame, n_splits: int) -> DataFrame:
     return ranked(trials.select("trial").distinct(), "trial", "fold").withColumn("fold", (F.col("fold") % n_splits).cast("int"))
 
 
-def _greedy_plan(classes: list[tuple[int, int]], n_splits: int) -> list[tuple[int, list[int], list[int]]]:
-    """(size, folds of the first trials of that size, cycle of folds of all further ones), sizes descending.
+#: Distinct sizes up to which the plan of greedy_folds is broadcast, and up to which the driver makes one.
+BROADCAST_SIZES, MOST_SIZES = 10_000, 2_000_000
 
-    Trials of one size fill the lightest folds until loads differ by less than the size; from then on
-    each turn goes through the folds in the order of their loads, which repeats.
+
+def _greedy_plan(classes: list[tuple[int, int]], n_splits: int) -> list[tuple[int, list[tuple[int, list[int]]]]]:
+    """(size, phases) with sizes descending; a phase is (first rank, folds in turn).
+
+    Folds within a size of the lightest take one trial each, in the order of their loads, before any takes a
+    second. Such turns repeat unchanged until the lightest fold comes within a size of one that was heavier,
+    which begins a phase: n_splits phases at most, however many trials.
     """
     load, plan = [0] * n_splits, []
     for size, count in sorted(classes, reverse=True):
-        first: list[int] = []
-        while len(first) < count and max(load) - min(load) >= max(size, 1):
-            light = load.index(min(load))
-            first.append(light)
-            load[light] += size
-        cycle = sorted(range(n_splits), key=lambda f: (load[f], f)) if size > 0 else [load.index(min(load))]
-        turns, rest = divmod(count - len(first), len(cycle))
-        for i, f in enumerate(cycle):
-            load[f] += size * (turns + (i < rest))
-        plan.append((size, first, cycle))
+        at, phases = 0, []
+        while at < count:
+            low = min(load)
+            cycle = sorted((f for f in range(n_splits) if load[f] - low < size), key=lambda f: (load[f], f)) or [load.index(low)]
+            heavier = [x for f, x in enumerate(load) if f not in cycle] if size > 0 else []
+            ranks = min(count - at, (min(heavier) - low) // size * len(cycle)) if heavier else count - at
+            phases.append((at, cycle))
+            turns, rest = divmod(ranks, len(cycle))
+            for i, f in enumerate(cycle):
+                load[f] += size * (turns + (i < rest))
+            at += ranks
+        plan.append((size, phases))
     return plan
 
 
@@ -41,14 +48,17 @@ def greedy_folds(sizes: DataFrame, n_splits: int) -> DataFrame:
     """(trial, fold): trials by size descending, ties by id, each into the fold that is lightest so far.
 
     sizes(trial, n) holds one row per trial. Only the number of trials of each size decides how a size
-    is dealt out (see _greedy_plan; the driver sees a row per distinct size); a trial's fold follows
-    from its rank within its size.
+    is dealt out (see _greedy_plan); a trial's fold follows from its rank within its size. The driver sees a
+    row per distinct size; more than MOST_SIZES of them are an error.
     """
-    classes = [(int(r[0]), int(r[1])) for r in sizes.groupBy("n").count().collect()]
-    plan = sizes.sparkSession.createDataFrame(_greedy_plan(classes, n_splits), "size long, first array<int>, cycle array<int>")
-    rows = ranked(sizes.select("trial", F.col("n").cast("long").alias("n")), "trial", "_rank", ("n",)).join(F.broadcast(plan), F.col("n") == F.col("size"))
-    later = F.get("cycle", F.pmod(F.col("_rank") - F.size("first"), F.size("cycle")).cast("int"))
-    fold = F.when(F.col("_rank") < F.size("first"), F.get("first", F.col("_rank").cast("int"))).otherwise(later)
+    counts = sizes.groupBy("n").count().limit(MOST_SIZES + 1).collect()
+    if len(counts) > MOST_SIZES:
+        raise ValueError(f"greedy folds take {MOST_SIZES} distinct sizes at most")
+    plan = sizes.sparkSession.createDataFrame(_greedy_plan([(int(r[0]), int(r[1])) for r in counts], n_splits), "size long, phases array<struct<first: long, cycle: array<int>>>")
+    plan = F.broadcast(plan) if len(counts) <= BROADCAST_SIZES else plan
+    rows = ranked(sizes.select("trial", F.col("n").cast("long").alias("n")), "trial", "_rank", ("n",)).join(plan, F.col("n") == F.col("size"))
+    rows = rows.withColumn("_phase", F.element_at(F.filter("phases", lambda p: p["first"] <= F.col("_rank")), -1))
+    fold = F.get("_phase.cycle", ((F.col("_rank") - F.col("_phase.first")) % F.size("_phase.cycle")).cast("int"))
     return rows.select(F.col("trial").cast("long").alias("trial"), fold.alias("fold"))
 
 

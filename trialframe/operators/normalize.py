@@ -23,7 +23,7 @@ def _frames(frames: list[int] | None, frame_range: tuple[int, int] | None) -> Co
     return (F.col("frame") >= frame_range[0]) & (F.col("frame") < frame_range[1])
 
 
-def _joined(cube: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+def joined_by(cube: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     """cube with the columns of stats, whose keys get names of their own; no match gives nulls."""
     named = stats.select(*[F.col(k).alias(f"_by_{k}") for k in keys], *[c for c in stats.columns if c not in keys])
     on = [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in keys]
@@ -33,7 +33,7 @@ def _joined(cube: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
 def frame_zero(cube: DataFrame, frames: list[int] | None = None, frame_range: tuple[int, int] | None = None, eps: float = 1e-12, keys: tuple = ("session", "cond", "pixel", "trial")) -> DataFrame:
     """value / mean of the zero frames of its keys, kept eps away from zero."""
     base = cube.where(_frames(frames, frame_range)).groupBy(*keys).agg(F.avg("value").alias("_base"))
-    out = _joined(cube, base, list(keys))
+    out = joined_by(cube, base, list(keys))
     return out.withColumn("value", F.try_divide("value", away_from_zero(F.col("_base"), eps))).select(*cube.columns)
 
 
@@ -47,7 +47,7 @@ def blank(cube: DataFrame, blank_cond: int, eps: float = 1e-12, strict: bool = F
         raise ValueError(f"sessions without blank: {sorted(r.session for r in bad)}")
     mean = cube.where(F.col("cond") == blank_cond).groupBy("session", "pixel", "frame").agg(F.avg(skip_nan(F.col("value"))).alias("_mean"))
     safe = F.when(F.abs("_mean") < eps, F.lit(eps)).otherwise(F.col("_mean"))
-    out = _joined(cube, mean, ["session", "pixel", "frame"])
+    out = joined_by(cube, mean, ["session", "pixel", "frame"])
     return out.withColumn("value", F.when(F.col("cond") == blank_cond, F.col("value")).otherwise(F.try_divide("value", safe))).select(*cube.columns)
 
 
@@ -66,8 +66,8 @@ def zscore_pooled(cube: DataFrame, baseline: tuple[int, int], ddof: int = 0, eps
     inside = cube.where(_frames(None, baseline))
     trials = inside.groupBy(*keys, "pixel", "trial").agg(F.avg("value").alias("mu"), (F.var_pop("value") * F.count("value")).alias("_m2"), F.count("value").alias("_n"))
     pixels = trials.groupBy(*keys, "pixel").agg(F.sqrt(F.try_divide(F.sum("_m2"), (F.sum("_n") - ddof).cast("double"))).alias("sd"))
-    stats = _joined(trials.drop("_m2", "_n"), pixels, [*keys, "pixel"])
-    out = _joined(cube, stats, [*keys, "pixel", "trial"])
+    stats = joined_by(trials.drop("_m2", "_n"), pixels, [*keys, "pixel"])
+    out = joined_by(cube, stats, [*keys, "pixel", "trial"])
     return out.withColumn("z", (F.col("value") - F.col("mu")) / F.greatest(F.col("sd"), F.lit(eps)))
 
 
@@ -75,7 +75,7 @@ def zscore_per_trial(cube: DataFrame, baseline: tuple[int, int], eps: float = 1e
     """z with mean and deviation of each trial's baseline at a pixel, NaN left out."""
     x = skip_nan(F.col("value"))
     stats = cube.where(_frames(None, baseline)).groupBy(*keys, "pixel", "trial").agg(F.avg(x).alias("_mu"), F.stddev_pop(x).alias("_sd"))
-    out = _joined(cube, stats, [*keys, "pixel", "trial"])
+    out = joined_by(cube, stats, [*keys, "pixel", "trial"])
     return out.withColumn("z", (F.col("value") - F.col("_mu")) / F.greatest(F.col("_sd"), F.lit(eps))).drop("_mu", "_sd")
 
 
@@ -87,7 +87,7 @@ def baseline_check(cube: DataFrame, baseline: tuple[int, int], column: str = "z"
 def _with_extremes(table: DataFrame, partition: list[str], **extremes: Column) -> DataFrame:
     """table with aggregates of its partition, joined back; without partition one row for all."""
     stats = table.groupBy(*partition).agg(*[c.alias(k) for k, c in extremes.items()])
-    return _joined(table, stats, list(partition)) if partition else table.crossJoin(F.broadcast(stats))
+    return joined_by(table, stats, list(partition)) if partition else table.crossJoin(F.broadcast(stats))
 
 
 def max_abs_scaled(table: DataFrame, column: str, out: str, partition: list[str] = ()) -> DataFrame:

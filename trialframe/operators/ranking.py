@@ -65,3 +65,31 @@ def minima_from_end(table: DataFrame, order: str, value: str, out: str, keys: tu
         on = on & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
     columns = [c for c in table.columns if c not in ("_range", out)]
     return table.withColumn("_here", F.min(value).over(inside)).join(bases, on).select(*columns, F.least("_here", "_after").alias(out))
+
+
+def percentiles(table: DataFrame, value: str, at: dict[str, Column | float], keys: tuple = ()) -> DataFrame:
+    """keys and a column for each entry of `at`: the exact percentile of the numeric column `value`, interpolated.
+
+    `at` gives shares from 0 to 1, which may depend on the keys. Equal values are counted first, so a frequent
+    value is one row, and ranks are running sums of these counts, so no task holds all values of a key. Null
+    values are left out; NaN counts as the largest. A key without values has no row, except for the only row without keys.
+    """
+    counts = table.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_sums(counts, value, {"_before": F.col("_n")}, keys)
+    named = [F.col(k).alias(f"_of_{k}") for k in keys]
+    places = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    places = places.select(*named, *[((F.col("_all") - 1) * share).alias(f"_at_{name}") for name, share in at.items()])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    rows = placed.join(places if keys else F.broadcast(places), on)  # without keys: one row
+    holds = lambda place: (F.col("_before") <= place) & (place < F.col("_before") + F.col("_n"))
+    sides = [F.max(F.when(holds(side(F.col(f"_at_{name}"))), F.col(value))).alias(f"_{end}_{name}") for name in at for end, side in (("low", F.floor), ("high", F.ceil))]
+    out = rows.groupBy(*keys).agg(*sides, *[F.max(f"_at_{name}").alias(f"_at_{name}") for name in at])
+
+    def between(name: str) -> Column:
+        low, high, place = F.col(f"_low_{name}"), F.col(f"_high_{name}"), F.col(f"_at_{name}")
+        mixed = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
+        return F.when(low == high, low).otherwise(mixed).alias(name)
+
+    return out.select(*keys, *[between(name) for name in at])

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numeric import is_finite
-from .normalize import max_abs_scaled
+from .normalize import joined_by, max_abs_scaled
+from .ranking import percentiles
 
 
 def weight_stats(weights: DataFrame, keys: tuple = ()) -> DataFrame:
@@ -38,15 +39,19 @@ def pixel_time(weights: DataFrame, pixels: DataFrame) -> DataFrame:
 def extreme_masks(weights: DataFrame, frac: float, keys: tuple = (), strict: bool = True) -> DataFrame:
     """weights with pos_mask and neg_mask: the top frac of the positive and the bottom frac of the negative weights.
 
-    Thresholds interpolate exactly. strict: percentiles of each sign alone; otherwise of all weights.
-    A sign without weights has no mask.
+    Thresholds interpolate exactly; no task holds all weights of a key (see percentiles). strict: percentiles
+    of each sign alone; otherwise of all weights. A sign without weights has no mask. Weights that are null
+    or not finite are in no mask; null keys are a key.
     """
     if not 0 < frac < 1:
         raise ValueError("frac lies between 0 and 1")
     w = F.when(is_finite(F.col("w")), F.col("w"))
-    pos, neg = (F.when(w > 0, w), F.when(w < 0, w)) if strict else (w, w)
-    cuts = weights.groupBy(*keys).agg(F.percentile(pos, F.lit(1 - frac)).alias("pos_cut"), F.percentile(neg, F.lit(frac)).alias("neg_cut"))
-    joined = weights.join(cuts, list(keys)) if keys else weights.crossJoin(F.broadcast(cuts))
+    side = "_side"
+    # strict: each sign is a key of its own, otherwise all finite weights are one
+    values = weights.select(*keys, w.alias("w"), (F.signum(w) if strict else F.lit(0.0)).alias(side)).where(F.col("w").isNotNull() & ((F.col(side) != 0) | F.lit(not strict)))
+    cuts = percentiles(values, "w", {"pos_cut": 1 - frac, "neg_cut": frac}, (*keys, side))
+    cuts = cuts.groupBy(*keys).agg(F.max(F.when(F.col(side) >= 0, F.col("pos_cut"))).alias("pos_cut"), F.max(F.when(F.col(side) <= 0, F.col("neg_cut"))).alias("neg_cut"))
+    joined = joined_by(weights, cuts, list(keys)) if keys else weights.crossJoin(F.broadcast(cuts))  # one row
     mark = lambda sign, cut: F.coalesce((sign if strict else F.lit(True)) & cut, F.lit(False))
     return joined.withColumn("pos_mask", mark(w > 0, w >= F.col("pos_cut"))).withColumn("neg_mask", mark(w < 0, w <= F.col("neg_cut")))
 
@@ -67,9 +72,9 @@ def sign_timecourse(cube: DataFrame, masks: DataFrame, strict: bool = False) ->
 
 def clip_limits(weights: DataFrame, q: float | None = None) -> DataFrame:
     """(low, high), symmetric: the largest |w|, or its q-th percentile, over finite weights."""
-    a = F.abs("w")
-    size: Column = F.max(a) if q is None else F.percentile(a, F.lit(q / 100))
-    return weights.where(is_finite(F.col("w"))).agg(size.alias("high")).select((-F.col("high")).alias("low"), "high")
+    sizes = weights.where(is_finite(F.col("w"))).select(F.abs("w").alias("size"))
+    high = sizes.agg(F.max("size").alias("high")) if q is None else percentiles(sizes, "size", {"high": q / 100})
+    return high.select((-F.col("high")).alias("low"), "high")
 
 
 def movie_status(curve: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def blank_normalize(s, d):
 
 
 def sessions_without_blank(s, d):
-    return normalize.sessions_without_blank(fx.sparse(s, d).where("session <> 'A' or cond <> 3"), fx.BLANK)
+    return normalize.sessions_without_blank(fx.sparse_without_blank(s, d), fx.BLANK)
 
 
 def balance_classes(s, d):
@@ -52,12 +52,9 @@ def pairwise_dataset(s, d):
 def dataset_from_config(s, d):
     """The data set that each session's configuration describes, z-scored over its baseline."""
     cube = fx.sparse(s, d)
-    out = None
-    for r in cube.select("session").distinct().orderBy("session").collect():
-        config = {"face_file": f"conds1_{r.session}.npy", "nonface_file": f"conds4_{r.session}.npy", "zscore_baseline_frames": [0, 6]}
-        one = runs.dataset_of(config, cube)
-        out = one if out is None else out.union(one)
-    return _r(out.select("session", "trial", "y", "frame", "pixel", "z"), z=5)
+    text = F.format_string('{"face_file": "conds1_%s.npy", "nonface_file": "conds4_%s.npy", "zscore_baseline_frames": [0, 6]}', "session", "session")
+    configs = runs.parse_configs(cube.select("session").distinct().select(F.col("session").alias("run_id"), text.alias("json")))
+    return _r(runs.datasets_of(configs, cube).select("session", "trial", "y", "frame", "pixel", "z"), z=5)
 
 
 def roi_semi_join(s, d):
@@ -114,10 +111,9 @@ def sliding_windows(s, d):
 
 def window_activation_curve(s, d):
     """Region, pooled z-score, sliding windows, mean activation per class: the flagship query."""
-    cube = normalize.zscore_pooled(features.in_region(fx.dense(s, d), fx.roi(s)), BASE).withColumn("value", F.col("z"))
+    cube = normalize.zscore_pooled(features.in_region(fx.dense(s, d), fx.roi(s)), BASE)
     first, last = features.window_starts(fx.DENSE_FRAMES, 5, 1, fx.DENSE_FRAMES)
-    out = features.sliding_windows(cube.select("trial", "y", "frame", "pixel", "value"), 5, first, last).groupBy("window", "center", "y").agg(F.avg("value").alias("mean"))
-    return _r(out, mean=6)
+    return _r(features.window_means(cube, "z", 5, first, last, keys=("y",)), mean=6)
 
 
 def fold_assign_modulo(s, d):

@@ -33,6 +33,11 @@ def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return item.groupBy(*keys).agg(F.avg("l_extendedprice").cast("double").alias("value"))
 
 
+def sparse_without_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sparse with session A as if its blank had never been recorded."""
+    return sparse(spark, sf_dir).where(f"session <> 'A' or cond <> {BLANK}")
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("trial"), (F.col("label") % 2).cast("int").alias("y_true"), "embedding")
     from ..operators.folds import modulo_folds

@@ -290,6 +290,26 @@ def dataset_of(config: dict, cube: DataFrame) -> DataFrame:
     return normalize.zscore_pooled(pairs, (frames[0], frames[-1]), keys=("session",))
 
 
+def datasets_of(configs: DataFrame, cube: DataFrame) -> DataFrame:
+    """The data sets of all configurations (run_id, config) rebuilt in one plan: run_id, the cube's columns, y, mu, sd, z.
+
+    As dataset_of, for any number of runs: configurations are joined to the cube store by session and
+    condition, which is scanned as often as for one. A configuration that does not name two conditions of
+    one session, or no baseline, is an error while the rows pass. A session of several runs is in each.
+    """
+    from ..operators import features, normalize
+
+    part = lambda k, i: F.regexp_extract(F.coalesce(f"config.{k}", F.lit("")), r"conds[A-Za-z]*(\d+)_(.+?)(?:\.npy)?$", i)
+    frames = F.coalesce("config.zscore_baseline_frames", "config.baseline_frames")
+    right = (part("face_file", 2) != "") & (part("face_file", 2) == part("nonface_file", 2)) & (part("face_file", 1) != part("nonface_file", 1)) & (F.size(F.coalesce(frames, F.array().cast("array<long>"))) > 0)
+    session = F.when(right, part("face_file", 2)).otherwise(F.raise_error(F.concat(F.lit("no two conditions of one session, or no baseline: "), "run_id")))
+    sides = F.array(*[F.struct(part(k, 1).cast("int").alias("cond"), F.lit(y).alias("y")) for k, y in (("face_file", 1), ("nonface_file", 0))])
+    named = configs.select("run_id", session.alias("session"), F.element_at(frames, 1).alias("_from"), F.element_at(frames, -1).alias("_to"), F.explode(sides).alias("_side"))
+    cells = cube.join(named.select("run_id", "session", "_from", "_to", "_side.cond", "_side.y"), ["session", "cond"])
+    pairs = features.balanced_cells(cells, ("run_id",))
+    return normalize.zscore_pooled(pairs, (F.col("_from"), F.col("_to")), keys=("run_id",)).drop("_from", "_to")
+
+
 def load_run(spark: SparkSession, root: str, run: str, name: str) -> DataFrame:
     """A result table of a run; an error if it is missing."""
     return spark.read.parquet(f"{root}/{run}/{name}").withColumn("run_id", F.lit(run))
