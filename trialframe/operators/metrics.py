@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from ..functions.numeric import is_finite, skip_nan
 from .ranking import ranges, running_sums
+from .validation import require
 
 
 def _hit() -> Column:
@@ -51,11 +52,17 @@ def roc_auc(predictions: DataFrame, keys: tuple = ()) -> DataFrame:
     return sums.select(*keys, area.alias("auc"))
 
 
-def roc_curve(predictions: DataFrame) -> DataFrame:
-    """(threshold, fpr, tpr) at every distinct score from the highest down, after the point (null, 0, 0)."""
+def roc_curve(predictions: DataFrame, strict: bool = False) -> DataFrame:
+    """(threshold, fpr, tpr) at every distinct score from the highest down, after the point (null, 0, 0).
+
+    With one class only its other rate is null; strict: that fails the query.
+    """
     by_score = predictions.where(is_finite(F.col("score"))).groupBy("score").agg(F.sum("y_true").cast("long").alias("pos"), F.count(F.lit(1)).alias("n"))
     whole = F.broadcast(by_score.agg(F.sum("pos").alias("p_all"), F.sum("n").alias("n_all")))  # one row
     below = running_sums(by_score, "score", {"p_below": F.col("pos"), "n_below": F.col("n")}).crossJoin(whole)
+    if strict:
+        both = (F.col("p_all") > 0) & (F.col("p_all") < F.col("n_all"))
+        below = below.withColumn("score", require(F.col("score"), both, "a ROC curve needs both classes"))
     tp, seen = F.col("p_all") - F.col("p_below"), F.col("n_all") - F.col("n_below")
     points = below.select(F.col("score").alias("threshold"), F.try_divide(seen - tp, F.col("n_all") - F.col("p_all")).alias("fpr"), F.try_divide(tp, F.col("p_all")).alias("tpr"))
     return points.unionByName(predictions.sparkSession.createDataFrame([(None, 0.0, 0.0)], points.schema))
@@ -101,15 +108,30 @@ def fold_summary(folds: DataFrame, keys: tuple = ()) -> DataFrame:
     return folds.groupBy(*keys).agg(*out)
 
 
-def out_of_fold(samples: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Every sample with its held-out prediction; null where it was never tested."""
-    return samples.join(predictions.select("trial", "frame", "fold", "y_pred", "score"), ["trial", "frame"], "left")
+def out_of_fold(samples: DataFrame, predictions: DataFrame, strict: bool = False) -> DataFrame:
+    """Every sample with its held-out prediction; null where it was never tested.
+
+    strict: a sample without prediction, or a prediction of no sample, fails the query.
+    """
+    tested = predictions.select("trial", "frame", "fold", "y_pred", "score")
+    if not strict:
+        return samples.join(tested, ["trial", "frame"], "left")
+    both = samples.withColumn("_sample", F.lit(1)).join(tested.withColumn("_tested", F.lit(1)), ["trial", "frame"], "full")
+    aligned = F.col("_sample").isNotNull() & F.col("_tested").isNotNull()
+    return both.withColumn("fold", require(F.col("fold"), aligned, "samples and predictions are not aligned")).drop("_sample", "_tested")
+
 
+def histogram(table: DataFrame, column: str, bins: int = 30, strict: bool = False) -> DataFrame:
+    """(bin, low, high, n) of equal-width bins from minimum to maximum, the last one closed.
 
-def histogram(table: DataFrame, column: str, bins: int = 30) -> DataFrame:
-    """(bin, low, high, n) of equal-width bins from minimum to maximum, the last one closed."""
+    Without finite values the ends of the bins are null; strict: that fails the query.
+    """
+    if bins < 1:
+        raise ValueError("a histogram has one bin at least")
     rows = table.where(is_finite(F.col(column)))
     ends = rows.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+    if strict:
+        ends = ends.withColumn("lo", require(F.col("lo"), F.col("lo").isNotNull(), "no value is finite"))
     placed = rows.crossJoin(F.broadcast(ends))  # one row
     at = F.least(F.floor(F.coalesce(F.try_divide(F.col(column) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
     counts = placed.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

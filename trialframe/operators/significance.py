@@ -7,10 +7,12 @@ from functools import cache
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..functions.numeric import is_finite, normal_tail
 from .ranking import ROWS, minima_from_end, ranked, ranges, running_sums
+from .validation import require
 
 CHANCE = 0.5
 
@@ -81,13 +83,20 @@ def _with(table: DataFrame, more: DataFrame, keys: tuple) -> DataFrame:
     return joined.drop(*[f"_same_{k}" for k in keys])
 
 
-def window_significance(null: DataFrame, real: DataFrame, tails: str = "two", alpha: float = 0.001) -> DataFrame:
+def window_significance(null: DataFrame, real: DataFrame, tails: str = "two", alpha: float = 0.001, strict: bool = False) -> DataFrame:
     """Per window: p of the real mean among null means, adjusted over all windows, and whether below alpha.
 
-    null(perm, window, score) and real(window, score) hold means over folds.
+    null(perm, window, score) and real(window, score) hold means over folds. Windows that only one side has are
+    left out. strict: such a window, a second real value or windows with different numbers of permutations fail
+    the query, and n_nan counts the null scores that are NaN, which no comparison counts as smaller.
     """
-    joined = null.select("window", F.col("score").alias("null")).join(real.select("window", F.col("score").alias("real")), "window")
-    p = joined.groupBy("window").agg(F.max("real").alias("real"), p_value(F.col("null"), F.col("real"), tails).alias("p"))
+    joined = null.select("window", F.col("score").alias("null")).join(real.select("window", F.col("score").alias("real"), F.lit(1).alias("_real")), "window", "full" if strict else "inner")
+    more = [F.count("null").alias("_n"), F.count("_real").alias("_rows"), F.count_distinct("real").alias("_reals"), F.count_if(F.isnan("null")).alias("n_nan")] if strict else []
+    p = joined.groupBy("window").agg(F.max("real").alias("real"), p_value(F.col("null"), F.col("real"), tails).alias("p"), *more)
+    if strict:
+        most = F.max("_n").over(W.partitionBy(F.lit(0)))  # a row per window
+        right = (F.col("_n") > 0) & (F.col("_rows") == F.col("_n")) & (F.col("_reals") == 1) & (F.col("_n") == F.col("_most"))
+        p = p.withColumn("_most", most).withColumn("p", require(F.col("p"), right, "windows or permutations of real and null scores do not match")).drop("_n", "_rows", "_reals", "_most")
     out = benjamini_hochberg(p)
     return out.withColumn("significant", F.col("p_fdr") < alpha)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..operators import significance
+from ..operators import significance, validation
 
 #: The session token of run names, the form of their time suffix, and the keys of configurations.
 TOKEN = r"_(\d+)([A-Za-z])(\d+)_"
@@ -113,16 +113,21 @@ def claim(spark: SparkSession, root: str, run: str) -> None:
         raise FileExistsError(f"run {run} exists")
 
 
-def save_run(tables: dict[str, DataFrame], config: dict, root: str, run: str, roi_mask_path: str | None = None) -> None:
+def save_run(tables: dict[str, DataFrame], config: dict, root: str, run: str, roi_mask_path: str | None = None, rules: dict[str, dict[str, Column]] | None = None) -> None:
     """Write the result tables of a run, then its manifest: configuration, path of the region, names of the tables.
 
     Of several writers of one name one goes on, the others fail before they write. The manifest comes last, so a run
-    that broke off is not listed; its name stays taken.
+    that broke off is not listed; its name stays taken. rules of a table (see validation) are checked as it is
+    written; a run that breaks one raises and gets no manifest.
     """
+    if unknown := set(rules or {}) - set(tables):
+        raise ValueError(f"rules for tables that are not there: {sorted(unknown)}")
     spark = next(iter(tables.values())).sparkSession
     claim(spark, root, run)
     for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{root}/{run}/{name}")
+        rows, verify = validation.observed(df, (rules or {}).get(name, {}))
+        rows.write.mode("errorifexists").parquet(f"{root}/{run}/{name}")
+        verify()
     row = spark.createDataFrame([(run, json.dumps(config, default=str), roi_mask_path, sorted(tables))], "run_id string, json string, roi_mask_path string, tables array<string>")
     row.coalesce(1).write.mode("errorifexists").parquet(f"{root}/{run}/config")
 
