@@ -1,11 +1,13 @@
 """Edge cases of the operators on hand-made cubes."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trialframe.functions import svm
 from trialframe.operators import decoding, features, folds, metrics, normalize, ranking, significance, weights
+from trialframe.plans import statistics
 
 EPS = 1e-12
 
@@ -250,3 +252,16 @@ def test_greedy_plan_of_one_giant_trial_is_short():
                 first, cycle = [p for p in phases if p[0] <= rank][-1]
                 got.append(cycle[(rank - first) % len(cycle)])
         assert got == want
+
+
+def test_step_up_sql_gives_equal_p_values_equal_results():
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        p = rng.integers(1, 8, 12) / 8
+        at = np.argsort(p, kind="stable")
+        want = np.empty(12)
+        want[at] = np.minimum(1, np.minimum.accumulate((p[at] * 12 / np.arange(1, 13))[::-1])[::-1])
+        con = duckdb.connect()
+        con.execute("CREATE TABLE t AS SELECT * FROM (VALUES " + ", ".join(f"({i}, {x}::DOUBLE)" for i, x in enumerate(p)) + ") AS v(i, p)")
+        got = dict(con.execute(f"SELECT i, p_fdr FROM ({statistics._BH.format('t')})").fetchall())
+        assert [got[i] for i in range(12)] == pytest.approx(list(want))

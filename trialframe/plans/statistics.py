@@ -374,7 +374,7 @@ _FIX = f"""{_NULLS}, nl AS (SELECT avg(score) AS score FROM null_scores GROUP BY
     fx AS (SELECT max(real) AS real, (sum(CAST(round(score, 12) >= round(real, 12) AS INTEGER)) + 1) / CAST(count(*) + 1 AS DOUBLE) AS p1,
     (sum(CAST(round(abs(score - 0.5), 12) >= round(abs(real - 0.5), 12) AS INTEGER)) + 1) / CAST(count(*) + 1 AS DOUBLE) AS p2,
     avg(score) AS m, stddev_samp(score) AS sd, min(score) AS lo, max(score) AS hi, count(*) AS n FROM nl, re)"""
-_BH = """SELECT *, least(1.0::DOUBLE, min(q) OVER (PARTITION BY 1 ORDER BY p DESC, q DESC ROWS UNBOUNDED PRECEDING)) AS p_fdr FROM (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS q FROM {0})"""
+_BH = """SELECT *, least(1.0::DOUBLE, min(q) OVER (PARTITION BY 1 ORDER BY p DESC, q ROWS UNBOUNDED PRECEDING)) AS p_fdr FROM (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS q FROM {0})"""
 _RANKS = f"""{_NULLS}, both_ AS (SELECT frame AS "window", avg(CAST(y_pred = y_true AS DOUBLE)) AS score, 1 AS own FROM predictions GROUP BY frame, fold UNION ALL SELECT "window", score, 0 FROM null_scores),
     rk AS (SELECT "window", own, rank() OVER (PARTITION BY "window" ORDER BY score) + (count(*) OVER (PARTITION BY "window", score) - 1) / 2.0::DOUBLE AS r, CAST(count(*) OVER (PARTITION BY "window", score) AS DOUBLE) AS t FROM both_),
     st AS (SELECT "window", sum(r) FILTER (own = 1) AS r, CAST(sum(own) AS DOUBLE) AS n1, CAST(count(*) AS DOUBLE) AS n, sum(t * t - 1) AS ties FROM rk GROUP BY "window"),
