@@ -279,3 +279,21 @@ def test_splitters(spark):
     pairs = [({0, 1}, {2, 3}), ({2, 3}, {0, 1})]
     for splitter in (pairs, lambda t: t.select("trial", (F.col("trial") < 2).cast("int").alias("fold"))):
         assert {r.trial: r.fold for r in folds.splits(trials, splitter).collect()} == {0: 1, 1: 1, 2: 0, 3: 0}
+
+
+def test_distributed_fits_share_their_rounds(spark, monkeypatch):
+    """63 inner fits of 257 numbers each go through the samples together, not one after the other."""
+    rng = np.random.default_rng(3)
+    rows = [(t, 0, t % 2, (rng.standard_normal(256) + 0.3 * (t % 2)).tolist()) for t in range(30)]
+    x = spark.createDataFrame(rows, "trial int, frame int, y int, features array<double>")
+    split = spark.createDataFrame([(t, t // 2 % 3) for t in range(30)], "trial int, fold int")
+    want = {(r.outer, r.c, r.fold): r.metric for r in decoding.inner_scores(x, split, 3).collect()}
+    monkeypatch.setattr(held, "LABELS", 0)
+    spark.sparkContext.setJobGroup("rounds", "rounds")
+    try:
+        got = {(r.outer, r.c, r.fold): r.metric for r in decoding.inner_scores(x, split, 3).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == pytest.approx(want) and len(got) == 63
+    assert jobs < 150

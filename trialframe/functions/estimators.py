@@ -10,9 +10,7 @@ from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import svm
 
@@ -54,26 +52,29 @@ class Ridge:
         return np.linalg.solve(k + np.eye(len(k)) / (2 * c), np.where(y > 0, 1.0, -1.0))
 
     def fit_tasks(self, samples, tasks, sides, costs):
-        """One scan: each partition adds X'X and X'y up for all tasks."""
+        """One scan: each partition adds X'X and X'y up for all tasks; a task is solved where its sums meet."""
         from ..operators import primal
-        from ..operators.held import columns
+        from ..operators.held import arrays
 
-        def sums(frames):
+        def partial(batches):
             total = None
-            for pdf in frames:
-                if len(pdf):
-                    x, known = primal.design(pdf["features"]), columns(pdf)
-                    total = np.zeros((len(tasks), x.shape[1], x.shape[1] + 1)) if total is None else total
-                    for t, task in enumerate(tasks):
-                        on, y = sides(known, task)
-                        total[t] += x[on].T @ np.c_[x[on], np.where(y[on] > 0, 1.0, -1.0)]
+            for batch in batches:
+                known = arrays(batch)
+                x = primal.design(known.pop("features"))
+                total = np.zeros((len(tasks), x.shape[1], x.shape[1] + 1)) if total is None else total
+                for t, task in enumerate(tasks):
+                    on, y = sides(known, task)
+                    total[t] += x[on].T @ np.c_[x[on], np.where(y[on] > 0, 1.0, -1.0)]
             if total is not None:
-                yield pd.DataFrame({"at": np.arange(total.size), "v": total.ravel()})
+                yield from ((t, w.ravel()) for t, w in enumerate(total))
 
-        rows = samples.mapInPandas(sums, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow().to_pandas().sort_values("at")
-        d = samples.select(F.size("features").alias("n")).first().n + 1
-        whole = rows["v"].to_numpy().reshape(len(tasks), d, d + 1)
-        return np.stack([np.linalg.solve(np.eye(d) + 2 * c * w[:, :d], 2 * c * w[:, d]) for w, c in zip(whole, costs, strict=True)])
+        def solved(t, total):
+            d = int(len(total) ** 0.5)
+            w, c = total.reshape(d, d + 1), costs[t]
+            return np.linalg.solve(np.eye(d) + 2 * c * w[:, :d], 2 * c * w[:, d])
+
+        found = primal.totals(samples, partial, solved)
+        return np.stack([found[t] for t in range(len(tasks))])
 
 
 LINEAR_SVM = LinearSVM()

@@ -9,10 +9,13 @@ DataFrame operations on the fits' small results. The estimator is a parameter (s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import ExitStack, contextmanager
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +51,7 @@ def _check_folds(placed: DataFrame, keys: tuple = ()) -> None:
 
 
 def _check_held(known: dict) -> None:
-    """The checks of _engine on the driver's copy of the keys."""
+    """The checks of _experiment on the driver's copy of the keys."""
     if np.isnan(known["fold"].astype(float)).any():
         raise RuntimeError(NOT_ONCE)
     known["fold"] = known["fold"].astype(int)
@@ -82,30 +85,58 @@ def _inner_placed(placed: DataFrame, outer: DataFrame, folds: list, inner_splits
     return placed
 
 
-def _engine(samples: DataFrame, fold_of: DataFrame, inner_splits: int = 0, labels: DataFrame | None = None) -> tuple[Held | DataFrame, list, list]:
+@contextmanager
+def _experiment(samples: DataFrame, fold_of: DataFrame, inner_splits: int = 0, labels: DataFrame | None = None) -> Iterator[tuple[Held | DataFrame, list, list]]:
     """The experiment of samples with their trial's fold, held or distributed, its folds, and its permutations.
 
     With inner_splits, samples have `inner`, with labels(perm, trial, y_perm), `ys` in the order of the permutations. An error
-    unless each sample is tested exactly once, and each training side has two classes.
+    unless each sample is tested exactly once, and each training side has two classes. Distributed samples are made
+    once and kept by the executors until the block ends; a trial's samples stand together, sorted, in one partition.
     """
-    placed = samples.join(fold_of.select("trial", "fold"), "trial", "left")
-    if labels is not None:
-        ordered = F.array_sort(F.collect_list(F.struct("perm", F.col("y_perm").cast("int").alias("y")))).alias("ys")
-        placed = placed.join(labels.groupBy("trial").agg(ordered), "trial").withColumn("perms", F.col("ys.perm")).withColumn("ys", F.col("ys.y"))
-    data = held.hold(placed)
-    if data is not None:
-        _check_held(data.keys)
-        folds = np.unique(data.keys["fold"]).tolist()
-        if inner_splits:
-            data.keys["inner"] = _inner_held(data.keys, folds, inner_splits)
-        return data, folds, data.keys.pop("perms")[0].tolist() if labels is not None else []
-    seen = placed.agg(F.count(F.lit(1)).alias("n"), F.count("fold").alias("tested")).first()
-    if seen.n != seen.tested or fold_of.groupBy("trial").count().where("count > 1").first():
-        raise RuntimeError(NOT_ONCE)
-    _check_folds(placed, ("window",) if "window" in placed.columns else ())
-    folds = _distinct(fold_of, "fold")
-    perms = list(placed.select("perms").first()[0]) if labels is not None else []
-    return _inner_placed(placed, fold_of, folds, inner_splits) if inner_splits else placed, folds, perms
+    with ExitStack() as stack:
+        keep = lambda rows: stack.enter_context(held.kept(rows))
+        fold_of = keep(fold_of.select("trial", "fold"))
+        placed, perms = samples.join(fold_of, "trial", "left"), []
+        if labels is not None:
+            ordered = F.array_sort(F.collect_list(F.struct("perm", F.col("y_perm").cast("tinyint").alias("y")))).alias("ys")
+            by_trial = keep(labels.groupBy("trial").agg(ordered).select("trial", F.col("ys.perm").alias("perms"), F.col("ys.y").alias("ys")))
+            perms = list((by_trial.select("perms").first() or [[]])[0])
+            placed = placed.join(by_trial.select("trial", "ys"), "trial")
+        with held.kept(placed) as first:
+            data = held.hold(first)
+            if data is None:
+                seen = first.agg(F.count(F.lit(1)).alias("n"), F.count("fold").alias("tested")).first()
+                if seen.n != seen.tested or fold_of.groupBy("trial").count().where("count > 1").first():
+                    raise RuntimeError(NOT_ONCE)
+                folds = _distinct(fold_of, "fold")
+                rows = _inner_placed(first, fold_of, folds, inner_splits) if inner_splits else first
+                windowed = ("window",) if "window" in rows.columns else ()
+                spark = rows.sparkSession
+                parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+                data = keep(rows.repartition(parts, "trial").sortWithinPartitions(*windowed, "trial"))
+                _check_folds(data, windowed)  # which makes them
+        if isinstance(data, Held):
+            _check_held(data.keys)
+            folds = np.unique(data.keys["fold"]).tolist()
+            if inner_splits:
+                data.keys["inner"] = _inner_held(data.keys, folds, inner_splits)
+        yield data, folds, perms
+
+
+def _whole_trials(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of batches of distributed samples, cut so that each trial's samples of a window come together."""
+    rest = None
+    for batch in batches:
+        rest = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        last = np.ones(rest.num_rows, bool)
+        for c in {"window", "trial"} & set(rest.schema.names):
+            last &= (v := rest[c].to_numpy(zero_copy_only=False)) == v[-1]
+        cut = rest.num_rows - int(np.argmin(last[::-1])) if not last.all() else 0
+        if cut:
+            yield held.arrays(rest.slice(0, cut))
+            rest = rest.slice(cut)
+    if rest is not None:
+        yield held.arrays(rest)
 
 
 def _left_out(known: dict, task: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +192,7 @@ def _predicted(data: Held | DataFrame, tasks: list[dict], models: list[np.ndarra
     def run(frames):
         for pdf in frames:
             if len(pdf):
-                x, known = primal.design(pdf["features"]), held.columns(pdf)
+                x, known = primal.design(np.stack(pdf["features"].to_numpy())), held.columns(pdf)
                 for task, v in zip(tasks, models, strict=True):
                     test = _tested(known, task)
                     yield rows(known, task, test, x[test] @ v)
@@ -169,14 +200,19 @@ def _predicted(data: Held | DataFrame, tasks: list[dict], models: list[np.ndarra
     return data.mapInPandas(run, schema)
 
 
+def _fixed(rows: DataFrame) -> DataFrame:
+    """rows, written to spark.checkpoint.dir where the session has one: several readers do not make them anew."""
+    return rows.checkpoint() if rows.sparkSession.conf.get("spark.checkpoint.dir", None) else rows
+
+
 def cross_validate(samples: DataFrame, fold_of: DataFrame, c: float, estimator: Estimator = LINEAR_SVM) -> DataFrame:
     """Out-of-fold predictions of samples(trial, frame, y, features): one fit per fold.
 
     An error if a fold has an empty side or one training class, or a sample is not tested exactly once.
     """
-    data, folds, _ = _engine(samples, fold_of)
-    tasks = [{"fold": k, "c": c} for k in folds]
-    return _predicted(data, tasks, _models(data, tasks, estimator))
+    with _experiment(samples, fold_of) as (data, folds, _):
+        tasks = [{"fold": k, "c": c} for k in folds]
+        return _predicted(data, tasks, _models(data, tasks, estimator))
 
 
 def _weight_rows(data: Held | DataFrame, tasks: list[dict], models: list[np.ndarray]) -> DataFrame:
@@ -195,17 +231,20 @@ def _named(rows: DataFrame, tasks: list[dict], names: list[str]) -> DataFrame:
 
 def fold_weights(samples: DataFrame, fold_of: DataFrame, c: float, estimator: Estimator = LINEAR_SVM) -> DataFrame:
     """(fold, feature, w) of the fit that leaves each fold out; feature -1 is the bias."""
-    data, folds, _ = _engine(samples, fold_of)
-    tasks = [{"fold": k, "c": c} for k in folds]
-    return _named(_weight_rows(data, tasks, _models(data, tasks, estimator)), tasks, ["fold"])
+    with _experiment(samples, fold_of) as (data, folds, _):
+        tasks = [{"fold": k, "c": c} for k in folds]
+        return _named(_weight_rows(data, tasks, _models(data, tasks, estimator)), tasks, ["fold"])
 
 
 def final_model(samples: DataFrame, c: float) -> DataFrame:
     """(feature, w, gradient) of the SVM fit to all samples; the gradient's entries certify the optimum."""
     placed = samples.withColumn("fold", F.lit(0))
-    data, task = held.hold(placed), {"c": c}
+    task = {"c": c}
+    with held.kept(placed) as rows:
+        data = held.hold(rows)
+        if data is None:
+            v, g = primal.fit_tasks(rows, [task], _left_out, [c])
     if data is None:
-        v, g = primal.fit_tasks(placed, [task], _left_out, [c])
         rows = [(i if i < len(v[0]) - 1 else -1, float(w), float(x)) for i, (w, x) in enumerate(zip(v[0], g[0], strict=True))]
         return samples.sparkSession.createDataFrame(rows, "feature int, w double, gradient double")
     model, sign = _models(data, [task], LINEAR_SVM)[0], np.where(data.keys["y"] > 0, 1.0, -1.0)
@@ -240,24 +279,37 @@ def _inner_metrics(data: Held | DataFrame, folds: list, inner_splits: int, grid:
         rows = data.each(tasks, one, "perm int, outer int, c double, fold int, metric double")
         return data.spark.createDataFrame(rows.toArrow())
     models = _models(data, tasks, estimator)
+    if metric == "acc":
+
+        def hits(batches):
+            counts = np.zeros((len(tasks), 2))
+            for batch in batches:
+                known = held.arrays(batch)
+                x = primal.design(known.pop("features"))
+                for i, (t, v) in enumerate(zip(tasks, models, strict=True)):
+                    test = _tested(known, t)
+                    if test.any():
+                        counts[i] += ((x[test] @ v > 0) == (_left_out(known, t)[1][test] > 0)).sum(), test.sum()
+            yield from enumerate(counts)
+
+        found = primal.totals(data, hits)
+        values = [(-1 if t["perm"] is None else t["perm"], t["fold"], t["c"], t["inner"], float(found[i][0] / found[i][1])) for i, t in enumerate(tasks) if found[i][1]]
+        return data.sparkSession.createDataFrame(values, "perm int, outer int, c double, fold int, metric double")
     names = [*keys, "score", "y_true"]
 
     def run(frames):
         for pdf in frames:
             if not len(pdf):
                 continue
-            x, known = primal.design(pdf["features"]), held.columns(pdf)
+            x, known = primal.design(np.stack(pdf["features"].to_numpy())), held.columns(pdf)
             for t, v in zip(tasks, models, strict=True):
                 test = _tested(known, t)
                 score, y = x[test] @ v, _left_out(known, t)[1][test]
-                if metric == "acc":  # hits and number of a batch
-                    score, y = [float(((score > 0) == (y > 0)).sum())], [len(y)]
                 yield pd.DataFrame({"perm": -1 if t["perm"] is None else t["perm"], "outer": t["fold"], "c": t["c"], "fold": t["inner"], "score": score, "y_true": y})[names]
 
     rows = data.mapInPandas(run, "perm int, outer int, c double, fold int, score double, y_true int")
-    if metric == "acc":
-        return rows.groupBy(*keys).agg((F.sum("score") / F.nullif(F.sum("y_true"), F.lit(0))).alias("metric")).where("metric is not null")
-    return metrics.roc_auc(rows, keys).withColumnRenamed("auc", "metric")
+    areas = metrics.roc_auc(rows, keys).withColumnRenamed("auc", "metric")
+    return data.sparkSession.createDataFrame(areas.toArrow())  # a row per fit, read several times
 
 
 def _auc(score: np.ndarray, y: np.ndarray) -> float:
@@ -278,8 +330,8 @@ def _check_choice(grid: tuple, metric: str) -> None:
 def inner_scores(samples: DataFrame, outer: DataFrame, inner_splits: int, grid: tuple = C_GRID, metric: str = "acc", estimator: Estimator = LINEAR_SVM) -> DataFrame:
     """(outer, c, fold, metric) of the inner folds in each outer training set."""
     _check_choice(grid, metric)
-    data, folds, _ = _engine(samples, outer, inner_splits)
-    return _inner_metrics(data, folds, inner_splits, grid, metric, None, estimator).drop("perm")
+    with _experiment(samples, outer, inner_splits) as (data, folds, _):
+        return _inner_metrics(data, folds, inner_splits, grid, metric, None, estimator).drop("perm")
 
 
 def _chosen(scores: DataFrame, rule: str = "one_se", tie_break: str = "smaller", perms: tuple = ()) -> list[dict]:
@@ -299,10 +351,10 @@ def nested_run(
     C, then all outer fits; both share what the experiment is held as.
     """
     _check_choice(grid, metric)
-    data, folds, _ = _engine(samples, outer, inner_splits)
-    tasks = _chosen(_inner_metrics(data, folds, inner_splits, grid, metric, None, estimator), rule, tie_break)
-    models = _models(data, tasks, estimator)
-    return _predicted(data, tasks, models, "c double"), _named(_weight_rows(data, tasks, models), tasks, ["fold"])
+    with _experiment(samples, outer, inner_splits) as (data, folds, _):
+        tasks = _chosen(_inner_metrics(data, folds, inner_splits, grid, metric, None, estimator), rule, tie_break)
+        models = _models(data, tasks, estimator)
+        return _fixed(_predicted(data, tasks, models, "c double")), _named(_weight_rows(data, tasks, models), tasks, ["fold"])
 
 
 def nested(samples: DataFrame, outer: DataFrame, *args, **options) -> DataFrame:
@@ -349,9 +401,9 @@ def _window_tasks(data: Held | DataFrame, c: float, perms: list | None = None) -
 
 def sliding_decode(samples: DataFrame, fold_of: DataFrame, c: float = 1e-4, estimator: Estimator = LINEAR_SVM) -> DataFrame:
     """Predictions per window: window, center and those of cross_validate; all windows and folds at once."""
-    data = _engine(samples, fold_of)[0]
-    tasks = _window_tasks(data, c)
-    return _predicted(data, tasks, _models(data, tasks, estimator), "window int, center int")
+    with _experiment(samples, fold_of) as (data, _, _):
+        tasks = _window_tasks(data, c)
+        return _predicted(data, tasks, _models(data, tasks, estimator), "window int, center int")
 
 
 def sliding_curve(predictions: DataFrame) -> DataFrame:
@@ -365,18 +417,18 @@ def sliding_curve(predictions: DataFrame) -> DataFrame:
 
 def sliding_weights(samples: DataFrame, fold_of: DataFrame, c: float = 1e-4, estimator: Estimator = LINEAR_SVM) -> DataFrame:
     """(window, fold, feature, w) of all fits."""
-    data = _engine(samples, fold_of)[0]
-    tasks = _window_tasks(data, c)
-    return _named(_weight_rows(data, tasks, _models(data, tasks, estimator)), tasks, ["window", "fold"]).where("feature >= 0")
+    with _experiment(samples, fold_of) as (data, _, _):
+        tasks = _window_tasks(data, c)
+        return _named(_weight_rows(data, tasks, _models(data, tasks, estimator)), tasks, ["window", "fold"]).where("feature >= 0")
 
 
 def sliding_record(samples: DataFrame, fold_of: DataFrame, c: float = 1e-4, estimator: Estimator = LINEAR_SVM) -> dict[str, DataFrame]:
     """All tables of a sliding run: predictions, curve per window, and mean and deviation of each weight per window."""
-    data = _engine(samples, fold_of)[0]
-    tasks = _window_tasks(data, c)
-    models = _models(data, tasks, estimator)
-    predictions = _predicted(data, tasks, models, "window int, center int")
-    w = _named(_weight_rows(data, tasks, models), tasks, ["window", "fold"]).where("feature >= 0")
+    with _experiment(samples, fold_of) as (data, _, _):
+        tasks = _window_tasks(data, c)
+        models = _models(data, tasks, estimator)
+        predictions = _predicted(data, tasks, models, "window int, center int")
+        w = _named(_weight_rows(data, tasks, models), tasks, ["window", "fold"]).where("feature >= 0")
     means = w.groupBy("window", "feature").agg(F.avg("w").alias("mean"), F.stddev_samp("w").alias("std"))
     return {"predictions": predictions, "curve": sliding_curve(predictions), "weights": means}
 
@@ -397,10 +449,30 @@ def _accuracies(data: Held | DataFrame, tasks: list[dict], keys: tuple, metric:
             return pd.DataFrame({k: [task[k]] for k in keys} | {"frame_acc": frame, "trial_acc": ((2 * votes > n) == (truth > 0)).mean()})
 
         return data.each(tasks, one, ", ".join(f"{k} int" for k in keys) + ", frame_acc double, trial_acc double")
+    models = _models(data, tasks, estimator)
+    if metric == "acc":  # counted where the samples are: predictions of all permutations would be many times the samples
+
+        def hits(batches):
+            counts = np.zeros((len(tasks), 4))
+            for known in _whole_trials(batches):
+                x = primal.design(known.pop("features"))
+                for i, (task, v) in enumerate(zip(tasks, models, strict=True)):
+                    test = _tested(known, task)
+                    if not test.any():
+                        continue
+                    y, positive = _left_out(known, task)[1][test] > 0, x[test] @ v > 0
+                    first = np.flatnonzero(np.diff(known["trial"][test], prepend=np.nan))
+                    n, votes = np.diff(first, append=len(y)), np.add.reduceat(positive.astype(int), first)
+                    counts[i] += (positive == y).sum(), len(y), ((2 * votes > n) == y[first]).sum(), len(first)
+            yield from enumerate(counts)
+
+        found = primal.totals(data, hits)
+        shares = [(*[int(t[k]) for k in keys], float(found[i][0] / found[i][1]), float(found[i][2] / found[i][3])) for i, t in enumerate(tasks) if found[i][1]]
+        return data.sparkSession.createDataFrame(shares, ", ".join(f"{k} int" for k in keys) + ", frame_acc double, trial_acc double")
     extra = ", ".join(f"{k} int" for k in keys if k != "fold")
-    predictions = _predicted(data, tasks, _models(data, tasks, estimator), extra)
+    predictions = _predicted(data, tasks, models, extra)
     votes = metrics.trial_accuracy(predictions, keys).select(*keys, F.col("acc").alias("trial_acc"))
-    frames = metrics.accuracy(predictions, keys).withColumnRenamed("acc", "frame_acc") if metric == "acc" else metrics.roc_auc(predictions, keys).withColumnRenamed("auc", "frame_acc")
+    frames = metrics.roc_auc(predictions, keys).withColumnRenamed("auc", "frame_acc")
     return frames.select(*keys, "frame_acc").join(votes, list(keys))
 
 
@@ -415,10 +487,10 @@ def sliding_permutations(samples: DataFrame, fold_of: DataFrame, labels: DataFra
     Labels are joined to the samples by trial. Only they change from permutation to permutation, so all fits
     of a window share its products.
     """
-    data, _, perms = _engine(samples, fold_of, labels=labels)
-    tasks = _window_tasks(data, c, list(range(len(perms))))
-    out = _accuracies(data, tasks, ("perm", "window", "fold"), "acc", estimator)
-    return _with_names(out, perms, ("window", "fold"))
+    with _experiment(samples, fold_of, labels=labels) as (data, _, perms):
+        tasks = _window_tasks(data, c, list(range(len(perms))))
+        out = _accuracies(data, tasks, ("perm", "window", "fold"), "acc", estimator)
+        return _with_names(out, perms, ("window", "fold"))
 
 
 def fixed_permutations(
@@ -429,9 +501,9 @@ def fixed_permutations(
     C is chosen inside each training set by the one-standard-error rule.
     """
     _check_choice(grid, metric)
-    data, folds, perms = _engine(samples, outer, inner_splits, labels)
-    tasks = _chosen(_inner_metrics(data, folds, inner_splits, grid, metric, list(range(len(perms))), estimator), perms=("perm",))
-    return _with_names(_accuracies(data, tasks, ("perm", "fold"), metric, estimator), perms, ("fold",))
+    with _experiment(samples, outer, inner_splits, labels) as (data, folds, perms):
+        tasks = _chosen(_inner_metrics(data, folds, inner_splits, grid, metric, list(range(len(perms))), estimator), perms=("perm",))
+        return _with_names(_accuracies(data, tasks, ("perm", "fold"), metric, estimator), perms, ("fold",))
 
 
 def sliding_significance(null: DataFrame, predictions: DataFrame, alpha: float = 0.001) -> DataFrame:

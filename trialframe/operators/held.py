@@ -11,6 +11,7 @@ brought together; larger experiments are fitted as sums over the distributed sam
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,6 +32,26 @@ def columns(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
     return {c: np.stack(v.to_numpy()) if v.dtype == object and len(v) and np.ndim(v.iloc[0]) else v.to_numpy() for c, v in pdf.items() if c != "features"}
 
 
+def arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The columns of an Arrow batch of samples; lists, which have equal lengths, as the rows of a matrix."""
+    matrix = lambda c: c.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    return {n: matrix(c) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+
+
+@contextmanager
+def kept(rows: DataFrame) -> Iterator[DataFrame]:
+    """rows, which the executors keep meanwhile; rows that are kept already stay so afterwards."""
+    level = rows.storageLevel
+    if level.useMemory or level.useDisk:
+        yield rows
+        return
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
 @dataclass
 class Held:
     """keys: columns of all samples, by (window, trial, frame); x or blocks: their features or products."""
@@ -173,11 +194,8 @@ def hold(placed: DataFrame) -> Held | None:
     Samples without windows form one window; ys holds labels under permutations. An error if a sample repeats or features
     differ in number. The samples are made once: the executors keep them until they have been measured and read.
     """
-    kept = placed.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _hold(kept)
-    finally:
-        kept.unpersist()
+    with kept(placed) as rows:
+        return _hold(rows)
 
 
 def _hold(placed: DataFrame) -> Held | None:
