@@ -230,3 +230,11 @@ def test_datasets_of_many_configurations(spark):
         with pytest.raises(Exception, match="no two conditions"):
             runs.datasets_of(bad, cube).collect()
     assert runs.datasets_of(configs.where("run_id = 'none'"), cube).count() == 0
+
+
+def test_lineitem_is_read_once_for_a_data_set(spark):
+    """The cube of the data set is made once: what follows reads its cells, not lineitem again."""
+    from trialframe.plans import preprocessing
+
+    rows = preprocessing.dataset_from_config(spark, "/root/testdata/sf0.001")
+    assert "l_extendedprice" not in rows._jdf.queryExecution().optimizedPlan().toString() and rows.count()

@@ -200,11 +200,6 @@ def _predicted(data: Held | DataFrame, tasks: list[dict], models: list[np.ndarra
     return data.mapInPandas(run, schema)
 
 
-def _fixed(rows: DataFrame) -> DataFrame:
-    """rows, written to spark.checkpoint.dir where the session has one: several readers do not make them anew."""
-    return rows.checkpoint() if rows.sparkSession.conf.get("spark.checkpoint.dir", None) else rows
-
-
 def cross_validate(samples: DataFrame, fold_of: DataFrame, c: float, estimator: Estimator = LINEAR_SVM) -> DataFrame:
     """Out-of-fold predictions of samples(trial, frame, y, features): one fit per fold.
 
@@ -354,7 +349,7 @@ def nested_run(
     with _experiment(samples, outer, inner_splits) as (data, folds, _):
         tasks = _chosen(_inner_metrics(data, folds, inner_splits, grid, metric, None, estimator), rule, tie_break)
         models = _models(data, tasks, estimator)
-        return _fixed(_predicted(data, tasks, models, "c double")), _named(_weight_rows(data, tasks, models), tasks, ["fold"])
+        return held.made_once(_predicted(data, tasks, models, "c double")), _named(_weight_rows(data, tasks, models), tasks, ["fold"])
 
 
 def nested(samples: DataFrame, outer: DataFrame, *args, **options) -> DataFrame:

@@ -52,6 +52,17 @@ def kept(rows: DataFrame) -> Iterator[DataFrame]:
         rows.unpersist()
 
 
+def made_once(rows: DataFrame) -> DataFrame:
+    """rows, made now for several readers: written to spark.checkpoint.dir, or without it kept by a local session.
+
+    A cluster without that setting makes them anew for each reader. Spark's cleaner drops what no table refers to.
+    """
+    spark = rows.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None):
+        return rows.checkpoint()
+    return rows.localCheckpoint() if spark.sparkContext.master.startswith("local[") else rows
+
+
 @dataclass
 class Held:
     """keys: columns of all samples, by (window, trial, frame); x or blocks: their features or products."""
