@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trialframe.functions import svm
 from trialframe.functions.estimators import Ridge
-from trialframe.operators import decoding, folds, held, metrics, ranking, significance
+from trialframe.operators import decoding, folds, held, metrics, primal, ranking, significance
 from trialframe.plans import preprocessing, statistics
 
 SF = "/root/testdata/sf0.001"
@@ -297,3 +297,8 @@ def test_distributed_fits_share_their_rounds(spark, monkeypatch):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == pytest.approx(want) and len(got) == 63
     assert jobs < 150
+
+
+def test_sums_of_a_scan_do_not_grow_with_its_partitions(spark):
+    counted = primal.totals(spark.range(0, 1000, 1, 60), lambda batches: [(7, np.array([1.0, sum(b.num_rows for b in batches)]))])
+    assert counted.keys() == {7} and counted[7][1] == 1000 and counted[7][0] <= max(primal.PARTS, spark.sparkContext.defaultParallelism)
