@@ -302,3 +302,32 @@ def test_distributed_fits_share_their_rounds(spark, monkeypatch):
 def test_sums_of_a_scan_do_not_grow_with_its_partitions(spark):
     counted = primal.totals(spark.range(0, 1000, 1, 60), lambda batches: [(7, np.array([1.0, sum(b.num_rows for b in batches)]))])
     assert counted.keys() == {7} and counted[7][1] == 1000 and counted[7][0] <= max(primal.PARTS, spark.sparkContext.defaultParallelism)
+
+
+def test_permuted_accuracies_are_counted_where_the_samples_are(spark, monkeypatch):
+    """Without predictions of all permutations, and with trials that go over several batches."""
+    x = samples(spark, 2)
+    split = folds.modulo_folds(x, 3)
+    labels = significance.permuted_labels(x.select("trial", "y").distinct(), 3)
+    rows = lambda: {(r.perm, r.window, r.fold): (r.frame_acc, r.trial_acc) for r in decoding.sliding_permutations(x, split, labels, 0.1).collect()}
+    want = rows()
+    monkeypatch.setattr(held, "LABELS", 0)
+    monkeypatch.setattr(decoding, "_predicted", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        got = rows()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys() and len(got) == 18
+    assert all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
+def test_held_samples_have_only_the_columns_of_fits(spark, monkeypatch):
+    x = samples(spark).withColumn("sample_id", F.lit(7))
+    labels = significance.permuted_labels(x.select("trial", "y").distinct(), 3)
+    seen = []
+    check = decoding._check_held
+    monkeypatch.setattr(decoding, "_check_held", lambda keys: seen.append(keys) or check(keys))
+    decoding.fixed_permutations(x.drop("window", "center"), folds.modulo_folds(x, 3), labels, 2, (0.1,))
+    assert seen[0].keys() == {"trial", "frame", "y", "fold", "ys", "inner"}
+    assert seen[0]["ys"].dtype == seen[0]["inner"].dtype == np.int8

@@ -28,6 +28,8 @@ from .ranking import running_sums
 #: The usual grid: 7 values from 1e-4 to 1e2.
 C_GRID = tuple(10.0**k for k in range(-4, 3))
 NOT_ONCE = "the folds do not test every sample exactly once"
+#: Columns of samples that decoding needs; others are not carried along.
+SAMPLE = ("window", "center", "trial", "frame", "y", "features")
 PREDICTIONS = "trial long, frame int, fold int, y_true int, y_pred int, score double"
 
 
@@ -64,7 +66,7 @@ def _check_held(known: dict) -> None:
 
 def _inner_held(known: dict, folds: list, inner_splits: int) -> np.ndarray:
     """The inner fold of each sample for each outer fold in order: its trial's rank in that training set, dealt in turn."""
-    inner = np.full((len(known["fold"]), len(folds)), -1)
+    inner = np.full((len(known["fold"]), len(folds)), -1, np.int8 if inner_splits < 128 else int)
     for i, k in enumerate(folds):
         train = known["fold"] != k
         names = np.unique(known["trial"][train])
@@ -96,7 +98,7 @@ def _experiment(samples: DataFrame, fold_of: DataFrame, inner_splits: int = 0, l
     with ExitStack() as stack:
         keep = lambda rows: stack.enter_context(held.kept(rows))
         fold_of = keep(fold_of.select("trial", "fold"))
-        placed, perms = samples.join(fold_of, "trial", "left"), []
+        placed, perms = samples.select(*[c for c in samples.columns if c in SAMPLE]).join(fold_of, "trial", "left"), []
         if labels is not None:
             ordered = F.array_sort(F.collect_list(F.struct("perm", F.col("y_perm").cast("tinyint").alias("y")))).alias("ys")
             by_trial = keep(labels.groupBy("trial").agg(ordered).select("trial", F.col("ys.perm").alias("perms"), F.col("ys.y").alias("ys")))
@@ -505,6 +507,7 @@ def sliding_significance(null: DataFrame, predictions: DataFrame, alpha: float =
     """Windows of sliding_permutations against the real voted accuracies, two-tailed and adjusted."""
     mean_null = null.groupBy("perm", "window").agg(F.avg("trial_acc").alias("score"))
     real = metrics.trial_accuracy(predictions, ("window", "fold")).groupBy("window").agg(F.avg("acc").alias("score"))
-    return significance.window_significance(mean_null, real, "two", alpha)
+    # a row per window, read several times
+    return significance.window_significance(held.made_once(mean_null), held.made_once(real), "two", alpha)
 
 
