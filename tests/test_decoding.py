@@ -331,3 +331,16 @@ def test_held_samples_have_only_the_columns_of_fits(spark, monkeypatch):
     decoding.fixed_permutations(x.drop("window", "center"), folds.modulo_folds(x, 3), labels, 2, (0.1,))
     assert seen[0].keys() == {"trial", "frame", "y", "fold", "ys", "inner"}
     assert seen[0]["ys"].dtype == seen[0]["inner"].dtype == np.int8
+
+
+def test_held_samples_count_with_their_keys_and_labels(spark, monkeypatch):
+    """Two features a sample are fewer numbers than its keys and labels: together they bound what each worker holds."""
+    rows = [(t, f, t % 2, [float(t), float(f)], t % 3, [t % 2] * 16) for t in range(12) for f in range(3)]
+    x = spark.createDataFrame(rows, "trial int, frame int, y int, features array<double>, fold int, ys array<tinyint>")
+    monkeypatch.setattr(held, "GRAM", 0)
+    monkeypatch.setattr(held, "LOCAL", 36 * 2)
+    assert held.hold(x) is None and held.hold(x.drop("ys")) is None
+    monkeypatch.setattr(held, "LOCAL", int(36 * (2 + 5 / 2 + 16 / 8)))
+    assert held.hold(x).x.shape == (36, 2)
+    monkeypatch.setattr(held, "LOCAL", held.LOCAL - 1)
+    assert held.hold(x) is None and held.hold(x.drop("ys")) is not None

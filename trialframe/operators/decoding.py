@@ -56,7 +56,7 @@ def _check_held(known: dict) -> None:
     """The checks of _experiment on the driver's copy of the keys."""
     if np.isnan(known["fold"].astype(float)).any():
         raise RuntimeError(NOT_ONCE)
-    known["fold"] = known["fold"].astype(int)
+    known["fold"] = known["fold"].astype(np.int32)
     windows = known.get("window", np.zeros(len(known["fold"])))
     for w in np.unique(windows):
         fold, y = known["fold"][windows == w], known["y"][windows == w]

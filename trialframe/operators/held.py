@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import svm
 
-#: Numbers that may be held: features, entries of all Gram blocks, labels; and cells of one slice of features.
+#: Numbers that may be held: features with their samples' keys, entries of all Gram blocks, labels; and cells of one slice of features.
 LOCAL, GRAM, LABELS, SLICE = 2_000_000, 9_000_000, 5_000_000, 2_000_000
 
 
@@ -219,7 +219,9 @@ def _hold(placed: DataFrame) -> Held | None:
         raise ValueError("samples differ in their number of features")
     if seen.n * seen.labels > LABELS:
         return None
-    narrow = seen.n * seen.d <= LOCAL and seen.d * seen.windows <= seen.n
+    # of samples with few features keys and labels weigh more: whole numbers of half a feature's width, and bytes
+    width = seen.d + (len(placed.columns) - 1) / 2 + (seen.labels / 8 if "ys" in placed.columns else 0)
+    narrow = seen.n * width <= LOCAL and seen.d * seen.windows <= seen.n
     if not narrow and seen.trials**2 > GRAM:
         return None
     order = [*windowed, "trial", "frame"]
