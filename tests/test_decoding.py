@@ -304,6 +304,30 @@ def test_sums_of_a_scan_do_not_grow_with_its_partitions(spark):
     assert counted.keys() == {7} and counted[7][1] == 1000 and counted[7][0] <= max(primal.PARTS, spark.sparkContext.defaultParallelism)
 
 
+def test_shuffled_bytes_of_a_fit_do_not_grow_with_the_partitions_of_its_samples(spark):
+    rng = np.random.default_rng(5)
+    rows = [(t, t % 2, (rng.standard_normal(80) + 0.2 * (t % 2)).tolist()) for t in range(192)]
+    x = spark.createDataFrame(rows, "trial int, y int, features array<double>")
+    core = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        core.listenerBus().waitUntilEmpty()
+        return core.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    def fit(parts):
+        placed = x.repartition(parts, "trial").persist()
+        placed.count()
+        before = shuffled()
+        v, _ = primal.fit_tasks(placed, [{"c": 0.1}], lambda known, _: (known["trial"] % 5 > 0, known["y"]), [0.1])
+        placed.unpersist()
+        return shuffled() - before, v[0]
+
+    (few, v), (many, w) = fit(8), fit(64)
+    on = [r for r in rows if r[0] % 5]
+    assert v == pytest.approx(svm.fit_primal(np.array([r[2] for r in on]), np.array([r[1] for r in on]), 0.1), abs=1e-7) and w == pytest.approx(v, abs=1e-7)
+    assert 0 < many < 1.5 * few
+
+
 def test_permuted_accuracies_are_counted_where_the_samples_are(spark, monkeypatch):
     """Without predictions of all permutations, and with trials that go over several batches."""
     x = samples(spark, 2)
